@@ -1,10 +1,63 @@
-"""A corpus cleaned in stages; each takes all that its predecessor kept."""
+"""A training corpus in five stages: language, near-duplicates, repeated passages, benchmark, packing."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from menulake.llm.common import Workspace, table
+from menulake.llm.decontaminate import remove_benchmark
+from menulake.llm.language import UNKNOWN, fit, identify
+from menulake.llm.packing import packed
+from menulake.llm.simhash import keep_one
+from menulake.llm.suffix_dedup import remove_repeats
+
+#: A document goes if its language is unknown or its score is below this.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is known; it is learned from the stage's own input."""
+    sure = identify(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return sure.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate class, on shingles of five words."""
+    return keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 bytes and more that a document with a smaller id has."""
+    return remove_repeats(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the benchmark's windows of ten words out of each text."""
+    return remove_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences of 2048 tokens."""
+    return packed(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_passages", benchmark_passages),
+    ("packing", packing),
+]
+
+#: SQL can't express the classifier, the tokenizer or suffix arrays.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written and read again."""
+    ws = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

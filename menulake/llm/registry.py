@@ -13,12 +13,13 @@ from menulake.llm.language import op5_hierarchical_language_id
 from menulake.llm.packing import op6_cost_balanced_packing
 from menulake.llm.sharding import op2_stratified_interleaving
 from menulake.llm.simhash import op9_simhash_near_dedup
+from menulake.llm.suffix_dedup import op8_suffix_array_dedup
 from menulake.llm.token_files import op3_arrow_token_files
 from menulake.llm.toxicity import op7_nearest_labelled_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_stratified_interleaving, op3_arrow_token_files, op4_nearest_url_differencing, op5_hierarchical_language_id, op6_cost_balanced_packing, op7_nearest_labelled_toxicity, op9_simhash_near_dedup, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_stratified_interleaving, op3_arrow_token_files, op4_nearest_url_differencing, op5_hierarchical_language_id, op6_cost_balanced_packing, op7_nearest_labelled_toxicity, op8_suffix_array_dedup, op9_simhash_near_dedup, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

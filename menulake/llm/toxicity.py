@@ -7,14 +7,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menulake.llm.common import LOWER, as_bytes, batch_of, crc_mod, table
 
 #: Labelled examples of each class, terms of the vocabulary, the chi-square a term needs, bytes of a
-#: stem, neighbours that vote, examples in a block, and different words a worker remembers.
-SAMPLE, TERMS, CHI2, STEM, NEIGHBOURS, BLOCK, CACHE_WORDS = 2000, 2048, 24.0, 4, 16, 64, 300_000
+#: stem, neighbours that vote, examples in a block, different words a worker remembers, and numbers
+#: in the sketch that tells copies among the examples.
+SAMPLE, TERMS, CHI2, STEM, NEIGHBOURS, BLOCK, CACHE_WORDS, SKETCH = 2000, 2048, 24.0, 4, 16, 64, 300_000, 32
 THRESHOLD = 0.7
 #: A-Z lowered, and ASCII that isn't a letter or digit as a space.
 WORDS = bytes(b if b >= 0x80 or chr(b).isascii() and chr(b).isalnum() else 0x20 for b in LOWER)
@@ -164,6 +166,24 @@ class ToxicityModel:
         self.line = (float(beta[0]), float(beta[1]))
 
 
+def sketch(text: bytes | None) -> np.ndarray:
+    """The smallest of a text's word hashes under each of SKETCH mixings; equal ones estimate the
+    share of words that two texts have in common."""
+    words = {xxhash.xxh64_intdigest(w) for w in (text or b"").translate(WORDS).split()} or {0}
+    h = np.fromiter(words, np.uint64, len(words))
+    odd = np.random.default_rng(1).integers(1 << 62, size=(SKETCH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return ((h[None, :] * odd) >> np.uint64(1)).min(axis=1).astype(np.int64)
+
+
+def different(sketches: np.ndarray, order: np.ndarray) -> list[int]:
+    """Rows, taken by order, that share less than half of their sketch with any row before them."""
+    kept: list[int] = []
+    for i in order.tolist():
+        if not kept or ((sketches[kept] == sketches[i]).sum(axis=1) < SKETCH / 2).all():
+            kept.append(i)
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learns from about `sample` labelled rows of each class, drawn by a hash of their ids from
     those whose id's crc32 doesn't leave 1 by 3. A document with several labels is toxic if any says
@@ -179,21 +199,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(1, total[1])))).otherwise(F.lit(min(1.0, sample / max(1, total[0]))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)).limit(3 * sample)  # the sample's documented bound
 
+    def outline(batches):
+        for b in batches:
+            yield batch_of(["doc_id", "toxic", "sketch"], [b.column(0), b.column(2), [sketch(t).tolist() for t in as_bytes(b.column(1))]], [pa.int64(), pa.int32(), pa.list_(pa.int64())])
+
     def learn(batches):
         for b in batches:
             yield batch_of(["doc_id", "toxic", "words"], [b.column(0), b.column(2), [[w for w in set((t or b"").translate(WORDS).split())] for t in as_bytes(b.column(1))]], [pa.int64(), pa.int32(), pa.list_(pa.binary())])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = plain.join(F.broadcast(chosen), "doc_id")  # at most 3 * sample rows of two numbers
+    rows = plain.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most 3 * sample rows of two numbers
+    # a copy of an example is no further evidence, neither for a word nor as a neighbour
+    drawn = sorted(rows.mapInArrow(outline, "doc_id long, toxic int, sketch array<long>").collect())
+    alone = different(np.array([r[2] for r in drawn]), np.arange(len(drawn))) if drawn else []
+    toxic = sum(drawn[i][1] for i in alone)
+    clean = len(alone) - toxic
+    own = docs.sparkSession.createDataFrame([(drawn[i][0],) for i in alone], "doc_id long")
+    rows = rows.join(F.broadcast(own.distinct()), "doc_id").dropDuplicates(["doc_id"])
     terms = (
-        rows.select("doc_id", "text", "toxic")
-        .mapInArrow(learn, "doc_id long, toxic int, words array<binary>")
+        rows.mapInArrow(learn, "doc_id long, toxic int, words array<binary>")
         .select("toxic", F.explode(F.array_distinct(F.flatten(F.transform("words", lambda w: F.when(F.length(w) > STEM, F.array(w, F.concat(F.substring(w, 1, STEM), F.lit(b"*")))).otherwise(F.array(w)))))).alias("term"))
         .groupBy("term")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     )
-    sizes = dict(rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect())  # two rows
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     n = toxic + clean
     low = F.abs(F.col("t") * clean - F.col("c") * toxic) - n / 2
     seen = F.col("t") + F.col("c")
@@ -220,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
             c = [vocabulary.counts(t) for t in as_bytes(b.column(1))]
             yield batch_of(["doc_id", "toxic", "terms", "counts"], [b.column(0), b.column(2), [list(x.keys()) for x in c], [list(x.values()) for x in c]], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())])
 
-    got = sorted(rows.select("doc_id", "text", "toxic").mapInArrow(counted, "doc_id long, toxic int, terms array<int>, counts array<int>").collect())
+    got = sorted(rows.mapInArrow(counted, "doc_id long, toxic int, terms array<int>, counts array<int>").collect())
     x = vectors([Counter(dict(zip(r[2], r[3], strict=True))) for r in got], idf)
     order = np.lexsort((x.argmax(axis=1) if size else np.zeros(len(x)), [r[1] for r in got])) if got else np.zeros(0, np.int64)
     model = ToxicityModel(vocabulary, idf, x[order], np.array([got[i][1] for i in order], np.int64), np.array([got[i][0] for i in order], np.int64))
