@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from menulake.llm.suffix_index import K, LEFT_WORDS, MIN, PLACES, RIGHT_WORDS, F
 
 #: Bytes of text in a batch, anchors for which there is a bucket, buckets at least, and contexts
 #: that enter the index family at once.
-BATCH_BYTES, BUCKET_ANCHORS, MIN_BUCKETS, ADD_CONTEXTS = 8 << 20, 400_000, 256, 1 << 19
+BATCH_BYTES, BUCKET_ANCHORS, MIN_BUCKETS, ADD_CONTEXTS = 4 << 20, 200_000, 256, 1 << 17
 #: A null doc_id counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 FRONT, BACK = LEFT_WORDS * 8, RIGHT_WORDS * 8 + 64
@@ -290,8 +291,10 @@ def each_document(docs: DataFrame, finish, schema: str, keep_rows: bool = False)
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)  # the cleaner works beside the driver
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
