@@ -1,11 +1,23 @@
-"""Query key to builder, and query key to SQL."""
+"""Query key to builder, and query key to SQL for DuckDB."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from menulake.plans import counters, logs, matching, search, text  # noqa: F401
+from menulake.plans.dialect import DUCK, PLANS, SPARK, run_sql, with_views
 
-def oracle_sql() -> dict:
-    return {}
+
+def _builder(fn) -> Callable[[SparkSession, str], DataFrame]:
+    return functools.wraps(fn)(lambda spark, sf_dir: run_sql(spark, sf_dir, fn(SPARK)))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _builder(fn) for name, fn in PLANS.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(fn(DUCK), DUCK) for name, fn in PLANS.items()}
