@@ -170,7 +170,7 @@ def hidden_bag_contained(d: Dialect) -> str:
 @plan
 def menu_diff(d: Dialect) -> str:
     """A line meets a live one by name, in its own path before any other; new, changed or same."""
-    return """WITH j AS (SELECT a.source, a.line, a.price, e.price AS old, row_number() OVER (PARTITION BY a.source, a.line ORDER BY CASE WHEN a.path = e.path THEN 0 ELSE 1 END, e.line, e.price) AS k FROM actual a LEFT JOIN expected e ON e.source = a.source AND e.name = a.name)
+    return """WITH j AS (SELECT a.source, a.line, a.price, e.price AS old, row_number() OVER (PARTITION BY a.source, a.line ORDER BY CASE WHEN a.path = e.path THEN 0 ELSE 1 END, e.line, e.price, a.price) AS k FROM actual a LEFT JOIN expected e ON e.source = a.source AND e.name = a.name)
         SELECT source, line, CASE WHEN old IS NULL THEN 'new' WHEN old <> price THEN 'changed' ELSE 'same' END AS state FROM j WHERE k = 1"""
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from menulake.operators.custom import CUSTOM
 from menulake.plans import counters, logs, matching, search, text  # noqa: F401
 from menulake.plans.dialect import DUCK, PLANS, SPARK, run_sql, with_views
 
@@ -16,8 +17,12 @@ def _builder(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _builder(fn) for name, fn in PLANS.items()}
+    return {name: _builder(fn) for name, fn in PLANS.items()} | {fn.__name__: fn for fn in CUSTOM}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(fn(DUCK), DUCK) for name, fn in PLANS.items()}
+    sql = {name: fn(DUCK) for name, fn in PLANS.items()}
+    sql["latest_review_frames"] = sql["latest_review"]
+    sql["bag_match_frames"] = f"SELECT class, count(*) AS n FROM ({sql['bag_match_3pass']}) t GROUP BY class"
+    sql["stream_day_counters"] = "SELECT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, CAST(count_if(event_type = 'click') AS BIGINT) AS clicks, CAST(count_if(event_type = 'view') AS BIGINT) AS views FROM events GROUP BY user_id, CAST(ts AS DATE)"
+    return {name: with_views(text, DUCK) for name, text in sql.items()}
