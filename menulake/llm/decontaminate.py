@@ -150,7 +150,9 @@ def scan_shard(texts: list[bytes | None], paths: list[str]) -> list[tuple[int, l
 
 
 def _groups(values: np.ndarray):
-    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    if not len(values):
+        return []
+    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     return zip(cut.tolist(), [*cut[1:].tolist(), len(values)], strict=True)
 
 
