@@ -3,62 +3,94 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Different words that one Python worker remembers, words encoded in one call, and characters of
-#: text that are looked at together.
-CACHE_WORDS, CALL_WORDS, CHUNK_CHARS = 300_000, 1000, 1 << 20
+from menulake.llm.common import LOWER, as_bytes
+
+#: Different words that one Python worker remembers, words encoded in one call, and bytes of text
+#: that are looked at together.
+CACHE_WORDS, CALL_WORDS, CHUNK_BYTES = 800_000, 1000, 1 << 20
 #: A special token between words that are encoded together.
 MARK = "<|endoftext|>"
+#: A-Z lowered, line feeds as spaces.
+_PLAIN = bytes(32 if b == 10 else b for b in LOWER)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for
+    itself, the others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
     """The ids of tokenizer.encode(text, add_special_tokens=False) as little-endian unsigned 32-bit
     integers.
 
-    The tokenizer must treat space and line feed as breaks that no token crosses or keeps and whose
-    neighbours don't influence each other, as `word_bpe_49k.json` does: white space is collapsed
-    and dropped, normal forms and lower case don't reach across it, and each pre-token is encoded
-    alone. So a text's ids are those of its words; the library encodes each word it hasn't met
-    lately, many in a call.
+    The tokenizer must be like `word_bpe_49k.json`: white space is dropped and no token crosses it,
+    letters are lowered, letters and other signs are encoded apart, and each such pre-token alone,
+    over bytes. So a text's ids are those of its words, split at spaces and line feeds. Words that
+    were met lately aren't encoded again. Others are, by the library: a word of lower-case letters
+    only is one pre-token and goes to the model at once, as it does before a comma or full stop
+    that ends the word; the rest pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.cache: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.cache: dict[bytes, bytes] = {}
+        self.stops = {ord(c): self._ids(c).tobytes() for c in ",."}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        for at in range(0, len(words), CALL_WORDS):
-            part = words[at : at + CALL_WORDS]
-            ids = self._ids(MARK.join(part))
+    def _one_pretoken(self, word: bytes) -> str | None:
+        """A word as the model takes it, if it is all letters that no normal form changes."""
+        if word.isalpha():  # of bytes: ASCII letters, here lowered
+            return word.decode()
+        text = word.decode()
+        if text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text):
+            return word.decode("latin-1").translate(self.letters)
+        return None
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        rest, cache, stops, tokenize = [], self.cache, self.stops, self.model.tokenize
+        for w in words:
+            stop = stops.get(w[-1], b"") if w else b""
+            text = self._one_pretoken(w[:-1] if stop else w)
+            if text is None:
+                rest.append(w)
+            else:
+                cache[w] = array("I", [t.id for t in tokenize(text)]).tobytes() + stop
+        odd = [w for w in rest if b"<|" in w]  # may hold a special token's own string
+        for w in odd:
+            cache[w] = self._ids(w.decode()).tobytes()
+        rest = [w for w in rest if b"<|" not in w]
+        for at in range(0, len(rest), CALL_WORDS):
+            part = rest[at : at + CALL_WORDS]
+            ids = self._ids(MARK.join([w.decode() for w in part]))
             cuts = np.flatnonzero(ids == self.mark)
             data = ids.tobytes()
             begins, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)]
-            self.cache.update(zip(part, [data[b:e] for b, e in zip(begins, ends, strict=True)], strict=True))
+            cache.update(zip(part, [data[b:e] for b, e in zip(begins, ends, strict=True)], strict=True))
 
-    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+    def encode_many(self, texts: Iterable[bytes | None]) -> list[bytes]:
+        split = [t.translate(_PLAIN).split(b" ") if t else [] for t in texts]
         seen = set().union(*split)
-        odd = {w for w in seen if "<|" in w}  # may hold a special token's own string
-        new = list(seen.difference(self.cache, odd))
+        new = seen.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = list(seen.difference(odd))
-        if len(new) > CACHE_WORDS:  # one text of more different words than are remembered
-            return [self._ids(t).tobytes() if t else b"" for t in texts]
+            new = seen
         self._learn(new)
-        for w in odd:
-            self.cache[w] = self._ids(w).tobytes()
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -70,14 +102,14 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(batches: Iterable[pa.RecordBatch], text_at: int, path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """(rows, their ids) in pieces of about CHUNK_CHARS of text. Null texts are empty."""
+    """(rows, their ids) in pieces of about CHUNK_BYTES of text. Null texts are empty."""
     enc = encoder(path)
     for b in batches:
-        texts = b.column(text_at).to_pylist()
+        texts = as_bytes(b.column(text_at))
         begin, held = 0, 0
         for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= CHUNK_CHARS or i + 1 == len(texts):
+            held += len(t or b"")
+            if held >= CHUNK_BYTES or i + 1 == len(texts):
                 yield b.slice(begin, i + 1 - begin), enc.encode_many(texts[begin : i + 1])
                 begin, held = i + 1, 0
 
