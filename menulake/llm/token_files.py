@@ -3,66 +3,67 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menulake.llm.common import Workspace, batch_of, shuffle_partitions, table
-from menulake.llm.tokens import default_path, encoded
+from menulake.llm.tokens import default_path, encoded, encoder
 
 #: Tokens in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH_ROWS = 2048, 256
-#: Values of the mask: padding, a token, and a document's last token.
-PAD, TOKEN, LAST = 0, 1, 2
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), length), nullable=False)])
+def id_type(vocabulary: int) -> pa.DataType:
+    """The smallest unsigned type that holds all ids."""
+    return pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+
+
+def file_schema(length: int, kind: pa.DataType) -> pa.Schema:
+    """Sequences of ids, and masks that are true where there is a token; a mask takes a bit each."""
+    return pa.schema([pa.field("ids", pa.list_(pa.field("id", kind, nullable=False), length), nullable=False), pa.field("mask", pa.list_(pa.field("token", pa.bool_(), nullable=False), length), nullable=False)])
+
+
+#: Beside each file, the documents in it.
+DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class SequenceWriter:
     """Writes documents' ids one after another as rows of `length` ids and a mask of equal length.
+    Only the last row is padded. All batches but the last have equally many rows."""
 
-    Only the last row is padded. The mask marks each document's last token, so a file alone tells
-    where its documents begin and end.
-    """
-
-    def __init__(self, sink, length: int = SEQUENCE, batch_rows: int = BATCH_ROWS):
-        self.length, self.size = length, length * batch_rows
-        self.writer = pa.ipc.new_stream(sink, file_schema(length))
-        self.ids, self.mask, self.held = [], [], 0
+    def __init__(self, sink, kind: pa.DataType, length: int = SEQUENCE, batch_rows: int = BATCH_ROWS):
+        self.schema, self.length, self.size = file_schema(length, kind), length, length * batch_rows
+        self.kind = kind.to_pandas_dtype()
+        self.writer = pa.ipc.new_stream(sink, self.schema)
+        self.ids, self.held = [], 0
 
     def add(self, ids: np.ndarray) -> None:
-        mask = np.full(len(ids), TOKEN, np.uint8)
-        mask[-1:] = LAST
-        self.ids.append(ids)
-        self.mask.append(mask)
+        self.ids.append(ids.astype(self.kind))
         self.held += len(ids)
         if self.held >= self.size:
             self._flush(self.held - self.held % self.size)
 
     def _flush(self, n: int) -> None:
-        ids, mask = np.concatenate(self.ids), np.concatenate(self.mask)
+        ids = np.concatenate(self.ids)
         for at in range(0, n, self.size):
-            self._write(ids[at : min(n, at + self.size)], mask[at : min(n, at + self.size)])
-        self.ids, self.mask, self.held = [ids[n:]], [mask[n:]], len(ids) - n
+            self._write(ids[at : min(n, at + self.size)], 0)
+        self.ids, self.held = [ids[n:]], len(ids) - n
 
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        schema = file_schema(self.length)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), schema, strict=True)]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
+    def _write(self, ids: np.ndarray, pad: int) -> None:
+        mask = np.ones(len(ids), bool)
+        mask[len(ids) - pad :] = False
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
             pad = -self.held % self.length
-            self.ids.append(np.zeros(pad, "<u4"))
-            self.mask.append(np.full(pad, PAD, np.uint8))
-            self._flush(self.held + pad)
+            self._write(np.concatenate([*self.ids, np.zeros(pad, self.kind)]), pad)
         self.writer.close()
 
 
@@ -81,24 +82,30 @@ class SequenceFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence i; the mask is Arrow's view of its bits."""
         b, r = self.batches[i // self.rows], i % self.rows
-        return tuple(b.column(c).values[(b.column(c).offset + r) * self.length :][: self.length].to_numpy(zero_copy_only=True) for c in range(2))
+        ids, mask = (b.column(c).values.slice((b.column(c).offset + r) * self.length, self.length) for c in range(2))
+        return ids.to_numpy(zero_copy_only=True), mask
+
+
+class TokenReader:
+    """take(n) gives the next n ids of a file's record batches, which are opened one at a time."""
 
+    def __init__(self, batches):
+        self.batches, self.ids = iter(batches), np.zeros(0, np.uint32)
 
-def documents(batches) -> Iterator[np.ndarray]:
-    """The ids of each document of a file's record batches, in order; one document is held."""
-    parts: list[np.ndarray] = []
-    for b in batches:
-        ids, mask = (b.column(c).flatten().to_numpy(zero_copy_only=True) for c in range(2))
-        begin = 0
-        for end in np.flatnonzero(mask == LAST).tolist():
-            yield np.concatenate([*parts, ids[begin : end + 1]]) if parts else ids[begin : end + 1]
-            parts, begin = [], end + 1
-        rest = ids[begin:][mask[begin:] != PAD]
-        if len(rest):
-            parts.append(rest.copy())
+    def take(self, n: int) -> np.ndarray:
+        parts = []
+        while n > len(self.ids):
+            parts.append(self.ids)
+            n -= len(self.ids)
+            b = next(self.batches)
+            whole = b.column(0).flatten().to_numpy(zero_copy_only=True)
+            self.ids = whole[: int(pa.compute.sum(b.column(1).flatten()).as_py() or 0)]
+        parts.append(self.ids[:n])
+        self.ids = self.ids[n:]
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def write_files(docs: DataFrame, folder: str, path: str, end_id: int, length: int = SEQUENCE) -> DataFrame:
@@ -117,15 +124,17 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, length: in
         name, mine = f"part-{part:06d}.arrows", f"{root}/.part-{part:06d}-{context.taskAttemptId()}.tmp"
         n_docs = n_tokens = 0
         with store.open_output_stream(mine) as sink, store.open_output_stream(f"{mine}.docs") as docs_sink:
-            out = SequenceWriter(sink, length)
-            index = pa.ipc.new_stream(docs_sink, pa.schema([("doc_id", pa.int64())]))
+            out = SequenceWriter(sink, id_type(max(encoder(path).tokenizer.get_vocab_size(), end_id + 1)), length)
+            index = pa.ipc.new_stream(docs_sink, DOCS)
             for rows, ids in encoded(batches, 1, path):
+                counts = []
                 for x in ids:
                     tokens = np.concatenate([np.frombuffer(x, "<u4"), end])
                     out.add(tokens)
-                    n_tokens += len(tokens)
+                    counts.append(len(tokens))
+                n_tokens += sum(counts)
                 n_docs += rows.num_rows
-                index.write_batch(pa.RecordBatch.from_arrays([rows.column(0)], names=["doc_id"]))
+                index.write_batch(pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64())], schema=DOCS))
             out.close()
             index.close()
         store.move(mine, f"{root}/{name}")
@@ -147,12 +156,12 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for part, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as f, store.open_input_file(f"{root}/{name}.docs") as g:
-                    tokens = documents(pa.ipc.open_stream(f))
+                    tokens = TokenReader(pa.ipc.open_stream(f))
                     at = 0
                     for names in pa.ipc.open_stream(g):
                         begins, counts, crcs = [], [], []
-                        for _ in range(names.num_rows):
-                            ids = np.ascontiguousarray(next(tokens), "<u4")
+                        for n in names.column(1).to_pylist():
+                            ids = np.ascontiguousarray(tokens.take(n), "<u4")
                             begins.append(at)
                             counts.append(len(ids))
                             crcs.append(zlib.crc32(ids))
