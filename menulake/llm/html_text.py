@@ -171,7 +171,8 @@ def page_lines(pages: DataFrame, decided: bool) -> DataFrame:
 
 
 def neighbours(ws: Workspace, lines: DataFrame) -> DataFrame:
-    """(host, path, other): the line keys of the page with the nearest path on the same host.
+    """(host, path, other): the line keys of the page with the nearest path on the same host; of two
+    as near, that with more lines in common.
 
     One page stands for all of a path. Pages are sorted by host and path and cut into blocks of
     equal counts that see one page on either side, so a host of any size is spread out."""
@@ -187,7 +188,7 @@ def neighbours(ws: Workspace, lines: DataFrame) -> DataFrame:
         others = []
         for i in range(len(pdf)):
             beside = [j for j in (i - 1, i + 1) if 0 <= j < len(pdf) and hosts[j] == hosts[i] and not np.array_equal(keys[j], keys[i])]
-            best = max(beside, key=lambda j: (common(paths[i], paths[j]), -j), default=None)
+            best = max(beside, key=lambda j: (common(paths[i], paths[j]), len(set(keys[i]) & set(keys[j])), -j), default=None)  # noqa: B023
             others.append([] if best is None else keys[best])
         own = (pdf["row"] // BLOCK_PAGES == key[0]).to_numpy()
         return pdf.assign(other=others)[own][["host", "path", "other"]]
