@@ -29,7 +29,7 @@ FAMILIES = {
 }
 
 #: Hashed features of a text, and labelled documents that are learned from for each language.
-DIM, SAMPLE = 4096, 800
+DIM, SAMPLE = 4096, 400
 LETTER = re.compile(r"[^\W\d_]")
 #: A-Z lowered, and ASCII that isn't a letter as a space.
 TO_LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() and b < 0x80 else 0x20 for b in LOWER)
@@ -59,19 +59,19 @@ def features(text: bytes) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 10.0) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, classes weighed alike, by accelerated gradient steps."""
-    n, dim = x.shape
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    weight, y = weight.astype(np.float32), y.astype(np.float32)
-    xb = np.concatenate([x, np.ones((n, 1))], axis=1).astype(np.float32)
-    w = np.zeros(dim + 1, np.float32)
-    look, t, rate = w.copy(), 1.0, 1.0 / (1 / c + 4.0)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y = y.astype(np.float32)
+    w = np.zeros(x.shape[1], np.float32)
+    b = look_b = np.float32(0)
+    look, t, rate = w.copy(), 1.0, np.float32(1.0 / (1 / c + 4.0))
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (xb @ look))
-        grad = look / c - 2 * (xb.T @ (weight * y * slack))
-        new = (look - rate * grad).astype(np.float32)
+        pull = weight * y * np.maximum(0, 1 - y * (x @ look + look_b))
+        new = look - rate * (look / np.float32(c) - 2 * (pull @ x))
+        new_b = look_b - rate * (look_b / np.float32(c) - 2 * pull.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look, w, t = (new + (t - 1) / t2 * (new - w)).astype(np.float32), new, t2
-    return w[:-1].astype(np.float64), float(w[-1])
+        step = np.float32((t - 1) / t2)
+        look, look_b, w, b, t = new + step * (new - w), new_b + step * (new_b - b), new, new_b, t2
+    return w.astype(np.float64), float(b)
 
 
 @dataclass
@@ -92,7 +92,7 @@ class LanguageModel:
         names, weights, bias = [], [], []
 
         def add(name: str, rows: np.ndarray, y: np.ndarray) -> None:
-            w, b = train_svm(x[rows], y.astype(np.float64))
+            w, b = train_svm(x if len(rows) == len(x) else x[rows], y)
             names.append(name)
             weights.append(w)
             bias.append(b)
@@ -138,14 +138,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
             data = [features(texts[i]).astype(np.float32).tobytes() for i in ok]
             yield batch_of(["doc_id", "lang", "x"], [b.column(0).take(pa.array(ok, pa.int64())), b.column(2).take(pa.array(ok, pa.int64())), data], [pa.int64(), pa.string(), pa.binary()])
 
+    found = drawn.mapInArrow(run, "doc_id long, lang string, x binary").collect()  # about 1.5 * sample rows a language
+    found.sort(key=lambda r: (r[0], r[1], r[2]))
     seen: dict[str, int] = {}
-    rows, labels = [], []
-    for doc_id, lang, x in sorted(drawn.mapInArrow(run, "doc_id long, lang string, x binary").collect()):
-        if seen.setdefault(lang, 0) < sample:
-            seen[lang] += 1
-            labels.append(lang)
-            rows.append(np.frombuffer(x, np.float32))
-    return LanguageModel.fit(np.array(rows, np.float64), labels) if rows else None
+    chosen = [r for r in found if seen.update({r[1]: seen.get(r[1], 0) + 1}) or seen[r[1]] <= sample]
+    if not chosen:
+        return None
+    x = np.frombuffer(b"".join(r[2] for r in chosen), np.float32).reshape(len(chosen), DIM)
+    labels = [r[1] for r in chosen]
+    del found, chosen
+    return LanguageModel.fit(x, labels)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
