@@ -18,8 +18,10 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; it is learned from the stage's own input."""
-    sure = identify(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return sure.select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(own), fit(docs))
+    sure = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return sure.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
