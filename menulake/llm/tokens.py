@@ -112,6 +112,7 @@ def encoded(batches: Iterable[pa.RecordBatch], text_at: int, path: str) -> Itera
             if held >= CHUNK_BYTES or i + 1 == len(texts):
                 yield b.slice(begin, i + 1 - begin), enc.encode_many(texts[begin : i + 1])
                 begin, held = i + 1, 0
+    enc.cache.clear()  # workers live on, and other operators need the memory
 
 
 def default_path() -> str:
