@@ -35,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows that travel to Python at once at most; they are held on both sides, with their whole texts.
+ARROW_ROWS = 2000
+
+
 class Workspace:
     """Intermediate tables in the shared folder. A saved table survives the loss of executors."""
 
@@ -42,6 +46,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/menulake-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def path(self, label: str) -> str:
         self._n += 1
