@@ -17,7 +17,7 @@ from menulake.llm.suffix_index import K, LEFT_WORDS, MIN, PLACES, RIGHT_WORDS, F
 
 #: Bytes of text in a batch, anchors for which there is a bucket, buckets at least, and contexts
 #: that enter the index family at once.
-BATCH_BYTES, BUCKET_ANCHORS, MIN_BUCKETS, ADD_CONTEXTS = 4 << 20, 200_000, 256, 1 << 17
+BATCH_BYTES, BUCKET_ANCHORS, MIN_BUCKETS, ADD_CONTEXTS = 4 << 20, 100_000, 256, 1 << 16
 #: A null doc_id counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 FRONT, BACK = LEFT_WORDS * 8, RIGHT_WORDS * 8 + 64
