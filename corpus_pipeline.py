@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class, on shingles of five words."""
+    """Keeps one document of each near-duplicate class: five-word shingles, a similarity of 0.8 or more."""
     return keep_one(docs)
 
 

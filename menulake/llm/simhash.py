@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from menulake.llm.common import LOWER, Workspace, as_bytes, batch_of, components, table
+from menulake.llm.common import LOWER, Workspace, as_bytes, batch_of, components, ranked, table
 
 #: Fingerprints are four blocks of 16 bits. Two that differ in at most 2 bits agree in two blocks
 #: at least, so each pair of blocks is a join key of 32 bits.
@@ -19,6 +20,12 @@ PAIRS = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
 #: Blocks with more different fingerprints than this are resolved by shared one-bit neighbours.
 HOT = 1024
 
+#: Wide fingerprints estimate a Jaccard similarity: their bits, the share of pairs at the threshold
+#: that must share a block, and what an estimate may lack (half its standard deviation at 0.8).
+WIDE_BITS, HIT_RATE, SLACK = 2048, 0.99, 0.01
+#: Constants of the SplitMix64 generator.
+GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
 
 def shingle_hashes(text: bytes, words_per_shingle: int, seed: int) -> list[int]:
     """XXH64 of each shingle of a text's words (separated by ASCII white space, A-Z lowered)."""
@@ -114,13 +121,147 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, seed: int =
     return each.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
+def wide_fingerprint(text: bytes | None, words_per_shingle: int = 5, seed: int = 42) -> tuple[bytes, int]:
+    """The majority bits of a text's different shingles, and the number of those."""
+    hashes = np.unique(np.array(shingle_hashes(text or b"", words_per_shingle, seed), np.uint64))
+    total = np.zeros(WIDE_BITS, np.int64)
+    steps = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * GOLDEN
+    for at in range(0, len(hashes), 255):  # so that sums fit a byte
+        z = hashes[at : at + 255, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * MIX_A
+        z = (z ^ (z >> np.uint64(27))) * MIX_B
+        z ^= z >> np.uint64(31)
+        total += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes)).tobytes(), len(hashes)
+
+
+def wide_fingerprints(docs: DataFrame, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, n): wide fingerprints and numbers of different shingles."""
+
+    def run(batches):
+        for b in batches:
+            found = [wide_fingerprint(t, words_per_shingle, seed) for t in as_bytes(b.column(1))]
+            yield batch_of(["doc_id", "fp", "n"], [b.column(0), [x[0] for x in found], [x[1] for x in found]], [pa.int64(), pa.binary(), pa.int64()])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, n long")
+
+
+def split_blocks(rows: int, similarity: float, seed: int) -> np.ndarray:
+    """Bit positions of each block, from as many seeded splits of a wide fingerprint as it takes.
+
+    Shingle sets of this Jaccard similarity have a cosine of 2s / (1 + s), so a bit differs with
+    probability angle / pi. A block has 4 bits more than would number all rows, so that few rows
+    meet by chance; a pair at the threshold shares one of the blocks with probability HIT_RATE.
+    """
+    bits = math.ceil(math.log2(max(rows, 1 << 12))) + 4
+    shared = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    blocks = math.ceil(math.log(1 - HIT_RATE) / math.log(1 - shared))
+    rng, per_split = np.random.default_rng([seed, bits]), WIDE_BITS // bits
+    splits = [rng.permutation(WIDE_BITS)[: per_split * bits].reshape(per_split, bits) for _ in range(math.ceil(blocks / per_split))]
+    return np.concatenate(splits)[:blocks]
+
+
+def similarities(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarities of shingle sets by the Hamming distances of their fingerprints."""
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    common = np.cos(np.pi * differ / WIDE_BITS) * np.sqrt(n_a * n_b)
+    return common / np.maximum(n_a + n_b - common, 1e-9)
+
+
+def block_forest(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Verified pairs of rows with equal keys (sorted by key), enough of them to connect what all
+    verified pairs would. Row i is compared with row i + lag, for each lag that a key has."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out, i, lag = [], np.arange(len(key)), 0
+    while True:
+        lag += 1
+        i = i[i + lag < len(key)]
+        i = i[key[i] == key[i + lag]]
+        if not len(i):
+            return out
+        near = similarities(fps[i], fps[i + lag], n[i], n[i + lag]) >= least
+        for a, b in zip(ids[i[near]].tolist(), ids[i[near] + lag].tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[ra] = rb
+                out.append((a, b))
+
+
+def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float, seed: int, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) between classes (no, fp, n) that share a block and are similar enough.
+
+    Blocks that several classes share come to a task many at a time, as units of bounded size. A
+    block of over `hot` classes is dealt into chunks, and each pair of chunks is a unit. No unit
+    gives more edges than it has rows.
+    """
+    at = split_blocks(rows, similarity, seed)
+    weights = np.int64(1) << np.arange(at.shape[1], dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+            for k in range(len(at)):
+                yield batch_of(["no", "block", "value"], [b.column(0), [k] * b.num_rows, bits[:, at[k]] @ weights], [pa.int64(), pa.int32(), pa.int64()])
+
+    # a key is two columns, so that blocks of any width fit; the fingerprints follow where needed
+    keys = ws.save(classes.select("no", "fp").mapInArrow(run, "no long, block int, value long"), "keys")
+    sizes = keys.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = ws.save(keys.join(sizes, ["block", "value"]), "shared")
+    ws.drop(keys)
+    bins = shared.count() // (2 * hot) + 1
+    chunks = F.ceil(F.col("size") / (hot // 2)).cast("int")
+    own = F.pmod(F.xxhash64("no"), chunks).cast("int")
+    other = F.filter(F.sequence(F.lit(0), chunks - 1), lambda o: o != own)
+    units = F.when(F.col("size") <= hot, F.array(F.concat(F.lit("b"), F.pmod(F.xxhash64("block", "value"), F.lit(bins))))).otherwise(
+        F.transform(other, lambda o: F.concat_ws("-", "block", "value", F.least(o, own), F.greatest(o, own)))
+    )
+
+    def compare(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["block", "value", "no"])
+        key = pdf.groupby(["block", "value"], sort=False).ngroup().to_numpy()
+        fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+        edges = block_forest(key, pdf["no"].to_numpy(), fps, pdf["n"].to_numpy(), similarity - SLACK)
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    dealt = shared.join(classes.select("no", "fp", "n"), "no").select("no", "fp", "n", "block", "value", F.explode(units).alias("unit"))
+    return dealt.groupBy("unit").applyInPandas(compare, "a long, b long")
+
+
+def near_components(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id): classes of documents linked by the Jaccard similarity of their
+    different word shingles, as wide fingerprints estimate it.
+
+    At 0.8 two fingerprints of 64 bits differ in about 10, too many for blocks that tell documents
+    apart. So the fingerprint is wider, and split in several ways. Nulls, blank texts, repeated rows
+    and empty tables have the results that simhash_components gives them.
+    """
+    ws = Workspace(docs.sparkSession, "near")
+    each = ws.save(wide_fingerprints(docs, words_per_shingle, seed), "fingerprints")
+    classes = ranked(ws, each.groupBy("fp", "n").agg(F.min("doc_id").alias("first_id")), "first_id", "fp", "n", name="no")
+    comps = components(ws, wide_links(ws, classes, classes._menulake_rows, similarity, seed, hot)).withColumnRenamed("node", "no")
+    grouped = classes.join(comps, "no", "left").select("fp", "n", "first_id", F.coalesce("component", "no").alias("component"))
+    firsts = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    names = ws.save(grouped.join(firsts, "component").select("fp", "n", "component_id"), "names")
+    return each.join(names, ["fp", "n"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate class: that with the smallest doc_id.
 
     Same columns as docs. Of rows that repeat the smallest doc_id of a class one stays. Rows with a
     null doc_id stay as they are: nothing names them, so nothing can be chosen among them.
     """
-    found = simhash_components(docs, words_per_shingle, seed)
+    found = near_components(docs, words_per_shingle, similarity, seed)
     keep = found.where("component_id = doc_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     repeats = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")

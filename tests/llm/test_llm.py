@@ -287,6 +287,49 @@ def test_op9_hot_blocks_give_the_same_components(spark):
     assert cold == hot and cold
 
 
+def edited(rng, words, n):
+    """words with n of them replaced."""
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_components_find_similar_texts(spark, odd, none):
+    rng = random.Random(9)
+    texts = {}
+    for g in range(30):
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for j, n in enumerate((0, 0, 2, 4, 60)):  # similarities of 1, over 0.93, over 0.87, and under 0.3
+            texts[g * 10 + j] = " ".join(edited(rng, base, n))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {d: d if d % 10 == 4 else d - d % 10 for d in texts}
+    assert {r.doc_id: r.component_id for r in simhash.near_components(df).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {d for d in texts if want[d] == d}
+    assert simhash.near_components(odd).count() == 10 and simhash.near_components(none).count() == 0
+
+
+def test_near_components_of_hot_blocks_are_the_same(spark):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice((0, 1, 2, 30))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cold, hot = ({tuple(r) for r in simhash.near_components(df, hot=n).collect()} for n in (10**6, 4))
+    assert cold == hot and len({c for _, c in cold}) < 40
+
+
+def test_similarity_estimates_follow_the_shingles(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    for n in (0, 4, 8, 12, 20):
+        a, b = (" ".join(w).encode() for w in (base, edited(rng, base, n)))
+        shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a.split(), b.split())]
+        exact = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+        (fa, na), (fb, nb) = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
+        found = simhash.similarities(*(np.frombuffer(f, np.uint64)[None] for f in (fa, fb)), np.array([na]), np.array([nb]))[0]
+        assert abs(found - exact) < 0.09
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 299)]
     got = {r.node: r.component for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
