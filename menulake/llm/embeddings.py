@@ -140,8 +140,9 @@ def degrees(ws: Workspace, members: DataFrame, threshold: float) -> DataFrame:
     starts = ws.save(order.groupBy("component").agg(F.min("row").alias("start"), F.count(F.lit(1)).alias("size")), "sizes")
     own = order.join(starts, "component").withColumn("own", F.expr(f"cast((row - start) div {BLOCK} as int)")).withColumn("last", F.expr(f"cast((size - 1) div {BLOCK} as int)"))
     others = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
-    # small components share a task's group: many of them come to one call
-    units = own.select("id", "unit", "copies", "component", "own", F.explode(others).alias("pair"), (F.when(F.col("last") == 0, F.pmod(F.xxhash64("component"), F.lit(64)))).alias("bin"))
+    # small components share a task's group: many of them come to one call, of about BLOCK rows
+    bins = order._menulake_rows // BLOCK + 1
+    units = own.select("id", "unit", "copies", "component", "own", F.explode(others).alias("pair"), (F.when(F.col("last") == 0, F.pmod(F.xxhash64("component"), F.lit(bins)))).alias("bin"))
     grouped = units.withColumn("unit_of_work", F.when(F.col("bin").isNotNull(), F.concat(F.lit("s"), F.col("bin"))).otherwise(F.concat_ws("-", "component", "pair.lo", "pair.hi")))
 
     def count(pdf):
