@@ -106,3 +106,14 @@ def test_catalogue_round_trip(spark):
 def test_dice():
     assert extract.dice("night", "nacht") == pytest.approx(0.25)
     assert extract.dice("a", "") == 0 and math.isclose(extract.dice("soep", "SOEP"), 1)
+
+
+def test_page_merge_reads_all_documents(spark, tmp_path):
+    docs = [(d, f"all\nten {d % 10}\nown {d}\nown {d}") for d in range(150, 450)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = {}, []
+    for d, text in docs:
+        for nr, line in enumerate(text.split("\n")):
+            if seen.setdefault((d % 10, line), d) == d:
+                want.append((d, nr, line))
+    assert sorted(tuple(r) for r in core.queries()["page_merge"](spark, str(tmp_path)).collect()) == want
