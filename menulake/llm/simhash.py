@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from itertools import combinations
 
@@ -20,9 +21,15 @@ PAIRS = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
 #: Blocks with more different fingerprints than this are resolved by shared one-bit neighbours.
 HOT = 1024
 
-#: Wide fingerprints estimate a Jaccard similarity: their bits, the share of pairs at the threshold
-#: that must share a block, and what an estimate may lack (half its standard deviation at 0.8).
-WIDE_BITS, HIT_RATE, SLACK = 2048, 0.99, 0.01
+#: Wide fingerprints find candidates for a Jaccard similarity: their bits, the share of pairs at the
+#: threshold that must share a block, and that of pairs of texts of up to SHORT different shingles.
+WIDE_BITS, HIT_RATE, SHORT_HIT_RATE, SHORT = 2048, 0.99, 0.9999, 32
+#: Up to so many shingles the chance that a bit differs is computed exactly; above, the angle's
+#: formula is used, from which the exact chance is less than this away (0.0016 at 100 to 160).
+COUNTED, ANGLE_OFF = 128, 0.002
+#: Standard deviations by which a distance may exceed that of the threshold, and by which it must
+#: fall short of it for a pair that needs no second way to be linked.
+ABOVE, BELOW = 4.5, 5.0
 #: Constants of the SplitMix64 generator.
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -136,29 +143,84 @@ def wide_fingerprint(text: bytes | None, words_per_shingle: int = 5, seed: int =
 
 
 def wide_fingerprints(docs: DataFrame, words_per_shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, n): wide fingerprints and numbers of different shingles."""
+    """(doc_id, fp, n, key): wide fingerprints, numbers of different shingles, and row_key."""
 
     def run(batches):
         for b in batches:
             found = [wide_fingerprint(t, words_per_shingle, seed) for t in as_bytes(b.column(1))]
-            yield batch_of(["doc_id", "fp", "n"], [b.column(0), [x[0] for x in found], [x[1] for x in found]], [pa.int64(), pa.binary(), pa.int64()])
+            yield batch_of(["doc_id", "fp", "n", "key"], [b.column(0), [x[0] for x in found], [x[1] for x in found], b.column(2)], [pa.int64(), pa.binary(), pa.int64(), pa.int64()])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key()).mapInArrow(run, "doc_id long, fp binary, n long, key long")
 
 
-def split_blocks(rows: int, similarity: float, seed: int) -> np.ndarray:
-    """Bit positions of each block, from as many seeded splits of a wide fingerprint as it takes.
+def differing(n_a: int, n_b: int, common: int) -> float:
+    """Chance that a majority bit differs between sets of these counts with so many in common.
+
+    A tie gives 0, so that the chance at small counts isn't the angle's."""
+
+    def binomial(n):
+        logs = np.array([math.lgamma(i + 1) for i in range(n + 1)])
+        return np.exp(logs[n] - logs - logs[::-1] - n * math.log(2))
+
+    def is_set(n):  # by the number of common shingles whose bit is 1
+        more = np.append(np.cumsum(binomial(n - common)[::-1])[::-1], 0)
+        return more[np.clip(n // 2 + 1 - np.arange(common + 1), 0, n - common + 1)]
+
+    a, b = is_set(n_a), is_set(n_b)
+    return float(binomial(common) @ (a * (1 - b) + b * (1 - a)))
+
+
+@functools.cache
+def chances(similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """By two counts up to COUNTED: the chance of a differing bit with the fewest common shingles
+    that reach the similarity, and with one less; -1 where no number reaches it."""
+    at, under = np.full((2, COUNTED + 1, COUNTED + 1), -1.0)
+    for a in range(1, COUNTED + 1):
+        for b in range(a, COUNTED + 1):
+            least = math.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+            if least > a:
+                break
+            at[a, b] = at[b, a] = differing(a, b, least)
+            under[a, b] = under[b, a] = differing(a, b, least - 1) if least else 0.0
+    return at, under
+
+
+def split_blocks(rows: int, similarity: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit positions of each block, from as many seeded splits of a wide fingerprint as it takes,
+    and how many of the blocks a text has by its count of shingles (the last entry: any more).
 
     Shingle sets of this Jaccard similarity have a cosine of 2s / (1 + s), so a bit differs with
-    probability angle / pi. A block has 4 bits more than would number all rows, so that few rows
-    meet by chance; a pair at the threshold shares one of the blocks with probability HIT_RATE.
+    probability angle / pi; texts of few shingles have the worst of their exact chances. A block has
+    4 bits more than would number all rows, so that few rows meet by chance; a pair at the threshold
+    shares one of the blocks with probability HIT_RATE.
     """
     bits = math.ceil(math.log2(max(rows, 1 << 12))) + 4
-    shared = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
-    blocks = math.ceil(math.log(1 - HIT_RATE) / math.log(1 - shared))
+
+    def blocks(differs: float, rate: float) -> int:
+        return math.ceil(math.log(1 - rate) / math.log(1 - (1 - differs) ** bits)) if differs > 0 else 1
+
+    short = [blocks(float(x), SHORT_HIT_RATE if n <= SHORT else HIT_RATE) for n, x in enumerate(chances(similarity)[0].max(axis=1))]
+    # the partners of the longest of these are longer still, and not among them
+    usual = blocks(math.acos(2 * similarity / (1 + similarity)) / math.pi + ANGLE_OFF, HIT_RATE)
+    limits = np.array([max(x, usual) if n > COUNTED * similarity else x for n, x in enumerate(short)] + [usual])
     rng, per_split = np.random.default_rng([seed, bits]), WIDE_BITS // bits
-    splits = [rng.permutation(WIDE_BITS)[: per_split * bits].reshape(per_split, bits) for _ in range(math.ceil(blocks / per_split))]
-    return np.concatenate(splits)[:blocks]
+    splits = [rng.permutation(WIDE_BITS)[: per_split * bits].reshape(per_split, bits) for _ in range(math.ceil(limits.max() / per_split))]
+    return np.concatenate(splits)[: limits.max()], limits
+
+
+def distance_bounds(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(most, sure): fingerprints of a pair at the similarity differ in at most so many bits; those of
+    a pair below it in more than `sure`. Both are bounds by ABOVE and BELOW standard deviations."""
+    at, under = chances(similarity)
+    cosine = similarity / (1 + similarity) * (n_a + n_b) / np.sqrt(np.maximum(n_a * n_b, 1.0))
+    angle = np.arccos(np.minimum(cosine, 1)) / np.pi
+    counted = np.maximum(n_a, n_b) <= COUNTED
+    a, b = np.minimum(n_a, COUNTED), np.minimum(n_b, COUNTED)
+    reach = np.where(counted, at[a, b], np.where(np.minimum(n_a, n_b) < similarity * np.maximum(n_a, n_b) - 1e-9, -1, angle + ANGLE_OFF))
+    miss = np.maximum(np.where(counted, under[a, b], angle - ANGLE_OFF), 0)
+    spread = lambda q: np.sqrt(WIDE_BITS * np.maximum(q, 0) * (1 - q))
+    most = np.where(reach < 0, -1, WIDE_BITS * reach + ABOVE * spread(reach))
+    return most, np.minimum(WIDE_BITS * miss - BELOW * spread(miss), most)
 
 
 def similarities(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -168,9 +230,11 @@ def similarities(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
     return common / np.maximum(n_a + n_b - common, 1e-9)
 
 
-def block_forest(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Verified pairs of rows with equal keys (sorted by key), enough of them to connect what all
-    verified pairs would. Row i is compared with row i + lag, for each lag that a key has."""
+def block_pairs(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Candidate pairs (rows a, b) of rows with equal keys (sorted by key). Of the pairs well over the
+    similarity there are enough to connect what all those would; of the rest, all that could be
+    similar enough and aren't connected by those. Row i is compared with row i + lag, for each lag
+    that a key has."""
     parent = {}
 
     def root(x):
@@ -178,29 +242,34 @@ def block_forest(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarra
             parent[x] = x = parent[parent[x]]
         return x
 
-    out, i, lag = [], np.arange(len(key)), 0
+    out, doubtful, i, lag = [], [], np.arange(len(key)), 0
     while True:
         lag += 1
         i = i[i + lag < len(key)]
         i = i[key[i] == key[i + lag]]
         if not len(i):
-            return out
-        near = similarities(fps[i], fps[i + lag], n[i], n[i + lag]) >= least
-        for a, b in zip(ids[i[near]].tolist(), ids[i[near] + lag].tolist(), strict=True):
+            break
+        differ = np.bitwise_count(fps[i] ^ fps[i + lag]).sum(axis=1, dtype=np.int64)
+        most, sure = distance_bounds(n[i], n[i + lag], similarity)
+        for a, b in zip(ids[i[differ <= sure]].tolist(), ids[i[differ <= sure] + lag].tolist(), strict=True):
             ra, rb = root(a), root(b)
             if ra != rb:
                 parent[ra] = rb
                 out.append((a, b))
+        rest = i[(differ > sure) & (differ <= most)]
+        doubtful.append(np.stack([ids[rest], ids[rest + lag]], axis=1))
+    if doubtful:
+        out += {(a, b) for a, b in np.concatenate(doubtful).tolist() if root(a) != root(b)}
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float, seed: int, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) between classes (no, fp, n) that share a block and are similar enough.
+    """Candidate edges (a, b) between classes (no, fp, n) that share a block and are near enough.
 
     Blocks that several classes share come to a task many at a time, as units of bounded size. A
-    block of over `hot` classes is dealt into chunks, and each pair of chunks is a unit. No unit
-    gives more edges than it has rows.
+    block of over `hot` classes is dealt into chunks, and each pair of chunks is a unit.
     """
-    at = split_blocks(rows, similarity, seed)
+    at, limits = split_blocks(rows, similarity, seed)
     weights = np.int64(1) << np.arange(at.shape[1], dtype=np.int64)
 
     def run(batches):
@@ -208,11 +277,13 @@ def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float,
             if not b.num_rows:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-            for k in range(len(at)):
-                yield batch_of(["no", "block", "value"], [b.column(0), [k] * b.num_rows, bits[:, at[k]] @ weights], [pa.int64(), pa.int32(), pa.int64()])
+            no, own = b.column(0).to_numpy(), limits[np.minimum(b.column(2).to_numpy(), len(limits) - 1)]
+            for k in range(own.max()):
+                has = own > k
+                yield batch_of(["no", "block", "value"], [no[has], np.full(has.sum(), k, np.int32), bits[has][:, at[k]] @ weights], [pa.int64(), pa.int32(), pa.int64()])
 
     # a key is two columns, so that blocks of any width fit; the fingerprints follow where needed
-    keys = ws.save(classes.select("no", "fp").mapInArrow(run, "no long, block int, value long"), "keys")
+    keys = ws.save(classes.select("no", "fp", "n").mapInArrow(run, "no long, block int, value long"), "keys")
     sizes = keys.groupBy("block", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = ws.save(keys.join(sizes, ["block", "value"]), "shared")
     ws.drop(keys)
@@ -230,25 +301,63 @@ def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float,
         pdf = pdf.sort_values(["block", "value", "no"])
         key = pdf.groupby(["block", "value"], sort=False).ngroup().to_numpy()
         fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
-        edges = block_forest(key, pdf["no"].to_numpy(), fps, pdf["n"].to_numpy(), similarity - SLACK)
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(block_pairs(key, pdf["no"].to_numpy(), fps, pdf["n"].to_numpy(), similarity), columns=["a", "b"])
 
     dealt = shared.join(classes.select("no", "fp", "n"), "no").select("no", "fp", "n", "block", "value", F.explode(units).alias("unit"))
     return dealt.groupBy("unit").applyInPandas(compare, "a long, b long")
 
 
+def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, edges: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
+    """The edges (a, b) whose classes have sets of shingles of this Jaccard similarity or more."""
+    pairs = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+
+    def sets(batches):
+        seen = set()  # a repeated row has its copies in the same task
+        for b in batches:
+            for begin in range(0, b.num_rows, 200):
+                new = []
+                for no, text in zip(b.column(0).slice(begin, 200).to_pylist(), as_bytes(b.column(1).slice(begin, 200)), strict=True):
+                    if no not in seen:
+                        seen.add(no)
+                        new.append((no, np.unique(np.array(shingle_hashes(text or b"", words_per_shingle, seed), np.uint64)).tobytes()))
+                yield batch_of(["no", "hashes"], [[x[0] for x in new], [x[1] for x in new]], [pa.int64(), pa.binary()])
+
+    # texts and sets stream past the smaller side and are never sorted
+    needed = classes.join(ends, "no").select("no", "key").hint("shuffle_hash")
+    texts = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).join(needed, "key").select("no", "text")
+    hashes = ws.save(texts.mapInArrow(sets, "no long, hashes binary"), "sets")
+
+    def similar(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    both = hashes.toDF("a", "of_a").join(pairs.hint("shuffle_hash"), "a").join(hashes.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+    return both.mapInArrow(similar, "a long, b long")
+
+
+def row_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def near_components(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42, hot: int = HOT) -> DataFrame:
     """(doc_id, component_id): classes of documents linked by the Jaccard similarity of their
-    different word shingles, as wide fingerprints estimate it.
+    different word shingles. Each link is confirmed on the sets of shingles.
 
     At 0.8 two fingerprints of 64 bits differ in about 10, too many for blocks that tell documents
-    apart. So the fingerprint is wider, and split in several ways. Nulls, blank texts, repeated rows
-    and empty tables have the results that simhash_components gives them.
+    apart. So the fingerprint that finds candidates is wider, and split in several ways. Nulls, blank
+    texts, repeated rows and empty tables have the results that simhash_components gives them.
     """
     ws = Workspace(docs.sparkSession, "near")
     each = ws.save(wide_fingerprints(docs, words_per_shingle, seed), "fingerprints")
-    classes = ranked(ws, each.groupBy("fp", "n").agg(F.min("doc_id").alias("first_id")), "first_id", "fp", "n", name="no")
-    comps = components(ws, wide_links(ws, classes, classes._menulake_rows, similarity, seed, hot)).withColumnRenamed("node", "no")
+    classes = ranked(ws, each.groupBy("fp", "n").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key")), "first_id", "fp", "n", name="no")
+    edges = wide_links(ws, classes, classes._menulake_rows, similarity, seed, hot)
+    comps = components(ws, confirmed(ws, docs, classes, edges, words_per_shingle, similarity, seed)).withColumnRenamed("node", "no")
     grouped = classes.join(comps, "no", "left").select("fp", "n", "first_id", F.coalesce("component", "no").alias("component"))
     firsts = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = ws.save(grouped.join(firsts, "component").select("fp", "n", "component_id"), "names")

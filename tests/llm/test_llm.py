@@ -318,6 +318,35 @@ def test_near_components_of_hot_blocks_are_the_same(spark):
     assert cold == hot and len({c for _, c in cold}) < 40
 
 
+def test_near_components_of_short_texts_equal_brute_force(spark):
+    rng, texts = random.Random(12), []
+    for _ in range(150):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(5, 30))]
+        texts += [base, [*base, "more"], ["so", *base, "more"], base[:-1], edited(rng, base, 1)]
+    for n in (8, 12, 19):  # pairs at 0.8 and just under it
+        base = [f"v{i}" for i in range(n)]
+        texts += [base, [*base, "more"], [*base[1:], "more"]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    where, parent = {}, list(range(len(texts)))
+    for i, own in enumerate(sets):
+        for x in own:
+            where.setdefault(x, []).append(i)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(sets):
+        for j in {j for x in own for j in where[x]}:
+            if 5 * len(own & sets[j]) >= 4 * len(own | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
 def test_similarity_estimates_follow_the_shingles(spark):
     rng = random.Random(11)
     base = [f"w{rng.randrange(4000)}" for _ in range(400)]
