@@ -44,7 +44,9 @@ def known_multi_anti(d: Dialect) -> str:
 
 @plan
 def unique_lookup(d: Dialect) -> str:
-    return "SELECT name_key, nation_id, CAST(min(candidate_id) AS BIGINT) AS candidate_id FROM candidates WHERE candidate_id % 11 = 0 GROUP BY name_key, nation_id HAVING count(*) = 1"
+    """Keys that exactly one candidate has, of all candidates. The distance east is part of the key:
+    kind and nation alone are shared by several nearly everywhere."""
+    return "SELECT name_key, nation_id, lon, CAST(min(candidate_id) AS BIGINT) AS candidate_id FROM candidates GROUP BY name_key, nation_id, lon HAVING count(*) = 1"
 
 
 @plan

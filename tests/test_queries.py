@@ -117,3 +117,10 @@ def test_page_merge_reads_all_documents(spark, tmp_path):
             if seen.setdefault((d % 10, line), d) == d:
                 want.append((d, nr, line))
     assert sorted(tuple(r) for r in core.queries()["page_merge"](spark, str(tmp_path)).collect()) == want
+
+
+def test_unique_lookup_counts_all_candidates(spark, tmp_path):
+    rows = [(1, "a", 1, 1.0, "X"), (90, "b", 1, 1.0, "X"), (11, "c", 1, 1.0, "X"), (22, "d", 2, 1.0, "X"), (111, "e", 2, 1.0, "X"), (3, "f", 3, 1.0, "Y")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    # 1 and 90, and 22 and 111, are 89 apart: the same distance east
+    assert sorted(r.candidate_id for r in core.queries()["unique_lookup"](spark, str(tmp_path)).collect()) == [3, 11]
