@@ -210,8 +210,10 @@ def owner_union(d: Dialect) -> str:
 
 @plan
 def job_attribution(d: Dialect) -> str:
-    """A job belongs to the one candidate with its host; with several or none it stays open."""
-    return """SELECT j.job_id, CASE WHEN h.n = 1 THEN h.candidate_id END AS candidate_id FROM jobs j LEFT JOIN (SELECT candidate_id % 150 AS host, min(candidate_id) AS candidate_id, count(*) AS n FROM candidates WHERE candidate_id < 200 GROUP BY candidate_id % 150) h ON h.host = j.host"""
+    """A job belongs to the one candidate with its host; with several or none it stays open.
+
+    Of three candidates in a row two share a host, which leaves one number without a candidate."""
+    return """SELECT j.job_id, CASE WHEN h.n = 1 THEN h.candidate_id END AS candidate_id FROM jobs j LEFT JOIN (SELECT host, min(candidate_id) AS candidate_id, count(*) AS n FROM (SELECT candidate_id, CASE WHEN candidate_id % 3 = 2 THEN candidate_id - 1 ELSE candidate_id END AS host FROM candidates) c GROUP BY host) h ON h.host = j.host"""
 
 
 @plan

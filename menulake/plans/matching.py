@@ -110,9 +110,14 @@ def osm_rows(d: Dialect) -> str:
 
 @plan
 def host_match_cardinality(d: Dialect) -> str:
-    """How many owners a page's host has: exactly one, none or several."""
-    host = "substr(host, 1, 3)"
-    return f"""SELECT p.page_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'exact' ELSE 'multiple' END AS class FROM page_urls p LEFT JOIN (SELECT h, count(*) AS n FROM (SELECT restaurant_id, CASE restaurant_id % 4 WHEN 0 THEN 'blo' WHEN 1 THEN 'm.t' WHEN 2 THEN 'spa' ELSE concat('x', CAST(restaurant_id AS STRING)) END AS h FROM restaurants WHERE restaurant_id < 40 OR restaurant_id % 4 = 3) r GROUP BY h) o ON o.h = {host}"""
+    """How many owners a page's host has: exactly one, none or several.
+
+    Hosts are whole, and owners are all restaurants: a restaurant's host is that of its number among
+    the pages' hosts, where two of three restaurants in a row share one. A page without a host has
+    no owner."""
+    return """WITH hosts AS (SELECT host, row_number() OVER (ORDER BY host) AS nr FROM (SELECT DISTINCT host FROM page_urls WHERE host <> '') h),
+        owners AS (SELECT nr, count(*) AS n FROM (SELECT CASE WHEN restaurant_id % 3 = 2 THEN restaurant_id - 1 ELSE restaurant_id END AS nr FROM restaurants) r GROUP BY nr)
+        SELECT p.page_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'exact' ELSE 'multiple' END AS class FROM page_urls p LEFT JOIN (SELECT host, n FROM hosts JOIN owners ON owners.nr = hosts.nr) o ON o.host = p.host"""
 
 
 @plan

@@ -169,7 +169,7 @@ def opening_state(d: Dialect) -> str:
 @plan
 def saved_list_resolve(d: Dialect) -> str:
     """Saved dish ids in order, each once; unknown ones are skipped and counted."""
-    return """WITH saved AS (SELECT concat(CAST(event_id % 100 + 1 AS STRING), '-N-', CAST(event_id * 7 % 2000 + 1 AS STRING)) AS dish_id, event_id AS ord FROM events WHERE event_type = 'view' AND user_id < 40),
+    return """WITH saved AS (SELECT concat(CAST(event_id % 100 + 1 AS STRING), '-N-', CAST(event_id * 7 % 2000 + 1 AS STRING)) AS dish_id, event_id AS ord FROM events WHERE event_type = 'view'),
         firsts AS (SELECT dish_id, CAST(min(ord) AS BIGINT) AS ord FROM saved GROUP BY dish_id)
         SELECT f.dish_id, f.ord, x.name, x.price_cents, CAST(count_if(x.dish_id IS NULL) OVER () AS BIGINT) AS skipped, x.dish_id IS NOT NULL AS known FROM firsts f LEFT JOIN dishes x ON f.dish_id = x.dish_id"""
 

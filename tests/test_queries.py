@@ -124,3 +124,32 @@ def test_unique_lookup_counts_all_candidates(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     # 1 and 90, and 22 and 111, are 89 apart: the same distance east
     assert sorted(r.candidate_id for r in core.queries()["unique_lookup"](spark, str(tmp_path)).collect()) == [3, 11]
+
+
+def test_attribution_and_saved_lists_read_all_rows(spark):
+    sf = SF.replace("0.001", "0.1")  # hosts up to 1499
+    read = lambda name: pd.read_parquet(f"{sf}/{name}.parquet")
+    events, owners = read("events"), {}
+    for c in read("customer").c_custkey:
+        owners.setdefault(c - (c % 3 == 2), []).append(c)
+    want = {(e, owners[u][0] if len(owners.get(u, [])) == 1 else None) for e, u in zip(events.event_id, events.user_id, strict=True)}
+    got = {(r.job_id, r.candidate_id) for r in core.queries()["job_attribution"](spark, sf).collect()}
+    assert got == want and {c for _, c in got if c is not None and c >= 200}
+    views = events[events.event_type == "view"].event_id
+    firsts = {}
+    for e in sorted(views):
+        firsts.setdefault(f"{e % 100 + 1}-N-{e * 7 % 2000 + 1}", e)
+    assert {r.dish_id: r.ord for r in core.queries()["saved_list_resolve"](spark, sf).collect()} == firsts
+
+
+def test_host_match_counts_all_restaurants(spark):
+    sf = SF.replace("0.001", "0.01")
+    read = lambda name: pd.read_parquet(f"{sf}/{name}.parquet")
+    pages = read("pages")
+    hosts = pages.url.str.extract(r"^https?://([^/?#:]+)")[0].fillna("").str.lower().str.replace(r"^www[.]", "", regex=True)
+    number = {h: i for i, h in enumerate(sorted(set(hosts) - {""}), 1)}
+    owners = [i - (i % 3 == 2) for i in read("supplier").s_suppkey]
+    name = lambda n: "none" if n == 0 else "exact" if n == 1 else "multiple"
+    want = {p: name(owners.count(number[h]) if h else 0) for p, h in zip(pages.page_id, hosts, strict=True)}
+    got = {r.page_id: r["class"] for r in core.queries()["host_match_cardinality"](spark, sf).collect()}
+    assert got == want and set(got.values()) == {"none", "exact", "multiple"}
