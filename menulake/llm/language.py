@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -28,13 +29,20 @@ FAMILIES = {
     "semitic": "ar he mt".split(),
 }
 
-#: Hashed features of a text, and labelled documents that are learned from for each language.
-DIM, SAMPLE = 4096, 400
+#: Hashed features of a text, and labelled documents that are learned from: for each language, and
+#: of all languages together.
+DIM, SAMPLE, TOTAL = 4096, 400, 12_000
+#: What may be a letter: signs such as fractions are numbers, but match as well.
 LETTER = re.compile(r"[^\W\d_]")
 #: A-Z lowered, and ASCII that isn't a letter as a space.
 TO_LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() and b < 0x80 else 0x20 for b in LOWER)
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether a text has a character of Unicode's category L."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text.decode()))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), f"only {lang}")
 
@@ -121,32 +129,40 @@ class LanguageModel:
         return lang, float(fam[best] / max(sum(fam.values()), fam[best]) * votes[lang] / (sum(votes.values()) or 1.0))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
-    """Learns from about `sample` documents of each language, drawn by a hash of their ids; of the
-    documents with a text and a lang and a remainder of the id's crc32 by 4 other than 2."""
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> LanguageModel | None:
+    """Learns from `sample` documents of each language at most, and `total` of all languages together
+    (one of each language at least), drawn by a hash of their ids and texts; of the documents with a
+    text and a lang and a remainder of the id's crc32 by 4 other than 2. Rows that repeat an id and
+    a text count once. None if there is nothing to learn from."""
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
     counts = dict(learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each language
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample / n)))])
-    drawn = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    each = max(1, min(sample, total // len(counts)))
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * each / n)))])
+    learn = learn.withColumn("drawn", F.xxhash64("doc_id", "text", F.lit(5)))
+    drawn = learn.where(F.pmod("drawn", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # copies of a row have one hash, which counts once before anything else is read of them
+    numbers = sorted(map(tuple, drawn.select("lang", "drawn").distinct().collect()), key=lambda r: (r[0], r[1]))  # about 1.5 * each of two words a language
+    seen: Counter = Counter()
+    picked = [r for r in numbers if seen.update((r[0],)) or seen[r[0]] <= each]
+    spark = docs.sparkSession
+    rows = drawn.select("lang", "drawn", "text").join(F.broadcast(spark.createDataFrame(picked or [("", 0)], "lang string, drawn long")), ["lang", "drawn"])  # at most `total` rows or one a language
 
     def run(batches):
         for b in batches:
-            texts = as_bytes(b.column(1))
-            ok = [i for i, t in enumerate(texts) if LETTER.search(t.decode())]
+            texts = as_bytes(b.column(2))
+            ok = [i for i, t in enumerate(texts) if has_letter(t)]
             data = [features(texts[i]).astype(np.float32).tobytes() for i in ok]
-            yield batch_of(["doc_id", "lang", "x"], [b.column(0).take(pa.array(ok, pa.int64())), b.column(2).take(pa.array(ok, pa.int64())), data], [pa.int64(), pa.string(), pa.binary()])
+            yield batch_of(["lang", "drawn", "x"], [*(b.column(c).take(pa.array(ok, pa.int64())) for c in range(2)), data], [pa.string(), pa.int64(), pa.binary()])
 
-    found = drawn.mapInArrow(run, "doc_id long, lang string, x binary").collect()  # about 1.5 * sample rows a language
-    found.sort(key=lambda r: (r[0], r[1], r[2]))
-    seen: dict[str, int] = {}
-    chosen = [r for r in found if seen.update({r[1]: seen.get(r[1], 0) + 1}) or seen[r[1]] <= sample]
-    if not chosen:
+    found = rows.mapInArrow(run, "lang string, drawn long, x binary").groupBy("lang", "drawn").agg(F.first("x").alias("x")).collect()
+    if not found:
         return None
-    x = np.frombuffer(b"".join(r[2] for r in chosen), np.float32).reshape(len(chosen), DIM)
-    labels = [r[1] for r in chosen]
-    del found, chosen
+    found.sort(key=lambda r: (r[0], r[1]))
+    x = np.frombuffer(b"".join(r[2] for r in found), np.float32).reshape(len(found), DIM)
+    labels = [r[0] for r in found]
+    del found
     return LanguageModel.fit(x, labels)
 
 
@@ -161,7 +177,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         for b in batches:
             pred, score = [], []
             for t in as_bytes(b.column(at)):
-                found = model.predict(features(t)) if model and t and LETTER.search(t.decode()) else (UNKNOWN, 0.0)
+                found = model.predict(features(t)) if model and t and has_letter(t) else (UNKNOWN, 0.0)
                 pred.append(found[0])
                 score.append(min(1.0, max(0.0, found[1])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])

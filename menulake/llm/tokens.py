@@ -83,8 +83,20 @@ class Encoder:
             begins, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)]
             cache.update(zip(part, [data[b:e] for b, e in zip(begins, ends, strict=True)], strict=True))
 
+    @staticmethod
+    def words(text: bytes | None) -> list[bytes]:
+        """A text's words, A-Z lowered but for those that may hold a special token: the library looks
+        for its string before it lowers letters."""
+        if not text:
+            return []
+        words = text.translate(_PLAIN).split(b" ")
+        if b"<|" in text:
+            raw = text.replace(b"\n", b" ").split(b" ")
+            words = [r if b"<|" in r else w for r, w in zip(raw, words, strict=True)]
+        return words
+
     def encode_many(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        split = [t.translate(_PLAIN).split(b" ") if t else [] for t in texts]
+        split = list(map(self.words, texts))
         seen = set().union(*split)
         new = seen.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
