@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.llm.common import LOWER, as_bytes, batch_of, crc_mod, table
+from menulake.llm.common import LOWER, Workspace, as_bytes, batch_of, crc_mod, table
 
-#: Labelled examples of each class, terms of the vocabulary, the chi-square a term needs, bytes of a
-#: stem, neighbours that vote, examples in a block, different words a worker remembers, and numbers
-#: in the sketch that tells copies among the examples.
-SAMPLE, TERMS, CHI2, STEM, NEIGHBOURS, BLOCK, CACHE_WORDS, SKETCH = 2000, 2048, 24.0, 4, 16, 64, 300_000, 32
+#: Labelled examples of each class, bytes of a stem, neighbours that vote, examples in a block,
+#: different words a worker remembers, and numbers in the sketch that tells copies among the examples.
+SAMPLE, STEM, NEIGHBOURS, BLOCK, CACHE_WORDS, SKETCH = 2000, 4, 16, 64, 300_000, 32
 THRESHOLD = 0.7
 #: A-Z lowered, and ASCII that isn't a letter or digit as a space.
 WORDS = bytes(b if b >= 0x80 or chr(b).isascii() and chr(b).isalnum() else 0x20 for b in LOWER)
@@ -27,129 +29,142 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, word[:STEM] + b"*"] if len(word) > STEM else [word]
 
 
-class Vocabulary(dict):
-    """Word to the numbers of its terms (an empty tuple for most), filled as words are met."""
+def term_counts(text: bytes | None) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter((text or b"").translate(WORDS).split()).items():
+        for term in terms_of(word):
+            out[term] += n
+    return out
+
+
+class Vocabulary:
+    """Numbers of the examples' terms, by word; filled as words are met."""
 
     def __init__(self, terms: list[bytes]):
-        super().__init__()
         self.terms = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
+        self.words: dict[bytes, tuple[int, ...]] = {}
+
+    def numbers(self, word: bytes) -> tuple[int, ...]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            found = self.words[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
         return found
 
-    def counts(self, text: bytes | None) -> Counter:
-        out: Counter = Counter()
-        if text and self.terms:
-            for hit in filter(None, map(self.__getitem__, text.translate(WORDS).split())):
-                out.update(hit)
-        return out
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms that an example has, in order, and how often each occurs."""
+        out: dict[int, int] = {}
+        for word, n in Counter((text or b"").translate(WORDS).split()).items():
+            for t in self.numbers(word):
+                out[t] = out.get(t, 0) + n
+        terms = np.fromiter(out.keys(), np.int64, len(out))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(out.values(), np.float64, len(out))[order]
 
-    def __reduce__(self):
-        return Vocabulary, (list(self.terms),)
 
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights): (1 + ln tf) times the term's weight, of length 1; weightless terms are left out."""
+    x = (1 + np.log(counts)) * weight[terms]
+    terms, x = terms[x > 0], x[x > 0]
+    return terms, x / np.sqrt(x @ x) if len(x) else x
 
-def vectors(counts: list[Counter], idf: np.ndarray) -> np.ndarray:
-    """Rows (1 + ln tf) idf of length 1; a row without terms is zero."""
-    out = np.zeros((len(counts), len(idf)), np.float64)
-    for r, c in enumerate(counts):
-        if c:
-            k = np.fromiter(c.keys(), np.int64, len(c))
-            out[r, k] = (1 + np.log(np.fromiter(c.values(), np.float64, len(c)))) * idf[k]
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=out, where=norm > 0)
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after another."""
+    total = int(lengths.sum())
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(total)
 
 
 class BlockMaxIndex:
-    """Examples by term, in blocks of BLOCK examples with each term's largest weight there.
+    """Postings of all terms of the examples, by term, cut into blocks of BLOCK examples with the
+    largest weight that the term has there.
 
-    A block is opened for a query only if the sum of its terms' maxima reaches the query's k-th
-    best cosine so far, so the k nearest are exact. Blocks hold their postings as a small matrix
-    over the terms that occur in them.
+    A block is opened for a query only if the sum of its terms' maxima reaches the query's k-th best
+    cosine so far, so the k nearest are exact.
     """
 
-    def __init__(self, examples: np.ndarray):
-        self.n = len(examples)
-        self.blocks = []
-        maxima = []
-        for lo in range(0, self.n, BLOCK):
-            part = examples[lo : lo + BLOCK]
-            used = np.flatnonzero(part.any(axis=0))
-            self.blocks.append((lo, used, np.ascontiguousarray(part[:, used].T)))
-            maxima.append(part.max(axis=0))
-        self.maxima = np.array(maxima).T if maxima else np.zeros((examples.shape[1], 0))
-
-    def nearest(self, queries: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, example numbers) of the k nearest, best first, ties by number; -1 is no example.
-        Only cosines above 0 count. without: an example that each query must not get."""
-        n = len(queries)
-        sims, ids = np.zeros((n, k)), np.full((n, k), -1, np.int64)
-        if not n or not self.n:
-            return sims, ids
-        bound = queries @ self.maxima
-        used = queries.any(axis=0)
-        seen = np.zeros_like(bound, dtype=bool)
-        for turn in range(2):  # first each query's most promising block, for a good k-th best
-            best = bound.argmax(axis=1)
-            for b, (lo, cols, postings) in enumerate(self.blocks):
-                if not used[cols].any():
-                    continue
-                open_ = (best == b) & (bound[:, b] > 0) if turn == 0 else ~seen[:, b] & (bound[:, b] > 0) & (bound[:, b] * (1 + 1e-9) >= sims[:, -1])
-                rows = np.flatnonzero(open_)
-                if not len(rows):
-                    continue
-                seen[rows, b] = True
-                got = queries[np.ix_(rows, cols)] @ postings
-                names = np.broadcast_to(np.arange(lo, lo + got.shape[1]), got.shape)
-                if without is not None:
-                    got = np.where(names == without[rows, None], 0.0, got)
-                s, i = np.concatenate([sims[rows], got], axis=1), np.concatenate([ids[rows], np.where(got > 0, names, -1)], axis=1)
-                order = np.lexsort((np.where(i < 0, self.n, i), -s), axis=1)[:, :k]
-                sims[rows], ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        return sims, ids
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        sizes = [len(t) for t, _ in vectors]
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        order = np.argsort(term, kind="stable")  # the examples of a term stay in order
+        self.example = np.repeat(np.arange(self.n), sizes)[order]
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        term, block = term[order], self.example // BLOCK
+        head = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        self.start, self.size, self.block = head, np.diff(np.append(head, len(term))), block[head]
+        self.most = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
+        self.of_term = np.searchsorted(term[head], np.arange(terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, example numbers) of the query's k nearest, best first, ties by number. Only
+        cosines above 0 count. without: an example that mustn't be among them."""
+        size = self.of_term[terms + 1] - self.of_term[terms]
+        at = ranges(self.of_term[terms], size)  # the terms' blocks
+        w, block = np.repeat(weights, size), self.block[at]
+        bound = np.bincount(block, w * self.most[at], self.blocks)
+        first = np.argsort(-bound, kind="stable")[:2]  # the most promising blocks, for a good k-th best
+        opened = np.zeros(self.blocks, bool)
+        opened[first[bound[first] > 0]] = True
+        found, who = self._scan(opened[block], at, w, k, without)
+        least = found[k - 1] if len(found) >= k else 0.0
+        rest = ~opened & (bound > 0) & (bound * (1 + 1e-9) >= least)
+        if rest.any():
+            more, others = self._scan(rest[block], at, w, k, without)
+            found, who = np.concatenate([found, more]), np.concatenate([who, others])
+            order = np.lexsort((who, -found))[:k]
+            found, who = found[order], who[order]
+        return found, who
+
+    def _scan(self, chosen: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, without: int):
+        size = self.size[at[chosen]]
+        rows = ranges(self.start[at[chosen]], size)
+        cosine = np.bincount(self.example[rows], self.weight[rows] * np.repeat(w[chosen], size), self.n)
+        if without >= 0:
+            cosine[without] = 0.0
+        who = np.flatnonzero(cosine > 0)
+        order = np.lexsort((who, -cosine[who]))[:k]
+        return cosine[who[order]], who[order]
 
 
 @dataclass
 class ToxicityModel:
+    """The examples' terms and their weights, the examples' unit vectors, labels and ids."""
+
     vocabulary: Vocabulary
-    idf: np.ndarray
-    examples: np.ndarray
+    weight: np.ndarray
+    examples: list[tuple[np.ndarray, np.ndarray]]
     labels: np.ndarray
     example_ids: np.ndarray
-    weights: tuple[float, float] = (1.0, 1.0)
     line: tuple[float, float] = (0.0, 0.0)
     blank: float = 0.0
     index: BlockMaxIndex = field(init=False)
 
     def __post_init__(self):
-        self.index = BlockMaxIndex(self.examples)
+        self.index = BlockMaxIndex(self.examples, len(self.weight))
 
-    def votes(self, sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def vote(self, cosines: np.ndarray, who: np.ndarray) -> float:
         """Share of label 1 among the neighbours, by the inverse of their cosine distance."""
-        w = np.where(ids >= 0, sims / (1.05 - np.minimum(sims, 1.0)), 0.0)
-        y = self.labels[np.maximum(ids, 0)]
-        return (w * y).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-12)
-
-    def scored(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score, cosines, example numbers) of each text."""
-        x = vectors([self.vocabulary.counts(t) for t in texts], self.idf)
-        sims, ids = self.index.nearest(x, NEIGHBOURS)
-        raw = self.votes(sims, ids)
+        w = cosines / (1.05 - np.minimum(cosines, 1.0))
+        return float((w * self.labels[who]).sum() / max(w.sum(), 1e-12))
+
+    def scored(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, cosines, example numbers) of a text."""
+        cosines, who = self.index.nearest(*unit(*self.vocabulary.counts(text), self.weight), NEIGHBOURS)
+        if not len(who):
+            return self.blank, cosines, who
         a, b = self.line
-        score = np.where(ids[:, 0] < 0, self.blank, 1 / (1 + np.exp(-(a * raw + b))))
-        return score, sims, ids
+        return float(1 / (1 + np.exp(-(a * self.vote(cosines, who) + b)))), cosines, who
 
     def calibrate(self, totals: tuple[int, int]) -> None:
         """A logistic curve from the votes that each example gets of the others to its label; the
         classes count as often as in the labels, of which the examples are a sample."""
-        sims, ids = self.index.nearest(self.examples, NEIGHBOURS, np.arange(len(self.examples)))
-        raw, y = self.votes(sims, ids), self.labels.astype(float)
+        found = [self.index.nearest(*x, NEIGHBOURS, i) for i, x in enumerate(self.examples)]
+        none = np.array([not len(who) for _, who in found], bool)
+        raw, y = np.array([self.vote(*x) for x in found]), self.labels.astype(float)
         w = np.where(y > 0, totals[1] / max(1, (y > 0).sum()), totals[0] / max(1, (y == 0).sum()))
         prior = totals[1] / max(1, sum(totals))
-        none = ids[:, 0] < 0
         self.blank = float(((w * y)[none].sum() + prior) / (w[none].sum() + 1))
         x, t, w = raw[~none], y[~none], w[~none]
         smooth = np.where(t > 0, (w[t > 0].sum() + 1) / (w[t > 0].sum() + 2), 1 / (w[t == 0].sum() + 2))
@@ -166,6 +181,14 @@ class ToxicityModel:
         self.line = (float(beta[0]), float(beta[1]))
 
 
+def association(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Chi-square of each term with the label: it occurs in t of the toxic examples and c of the clean
+    ones. Never negative, and 0 only where the shares are equal."""
+    n, seen = toxic + clean, t + c
+    below = np.maximum(float(toxic) * clean * seen * (n - seen), 1.0)
+    return (t * float(clean) - c * float(toxic)) ** 2 * n / below
+
+
 def sketch(text: bytes | None) -> np.ndarray:
     """The smallest of a text's word hashes under each of SKETCH mixings; equal ones estimate the
     share of words that two texts have in common."""
@@ -184,10 +207,33 @@ def different(sketches: np.ndarray, order: np.ndarray) -> list[int]:
     return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """Learns from about `sample` labelled rows of each class, drawn by a hash of their ids from
-    those whose id's crc32 doesn't leave 1 by 3. A document with several labels is toxic if any says
-    so; labels other than 0 and 1 are ignored. Document frequencies are those of all documents."""
+def put(ws: Workspace, what, label: str) -> str:
+    """Writes a value into the shared folder; `get` reads it once in each Python worker."""
+    url = ws.path(label)
+    store, path = fs.FileSystem.from_uri(url)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(pickle.dumps(what))
+    return url
+
+
+@functools.lru_cache(maxsize=1)
+def get(url: str):
+    store, path = fs.FileSystem.from_uri(url)
+    with store.open_input_stream(path) as f:
+        return pickle.loads(f.read())
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str:
+    """Where the shared folder has the model. It learns from about `sample` labelled rows of each
+    class, drawn by a hash of their ids from those whose id's crc32 doesn't leave 1 by 3. A document
+    with several labels is toxic if any says so; labels other than 0 and 1 are ignored; of texts that
+    share an id the smallest counts.
+
+    All terms of the examples are indexed. A term weighs its inverse document frequency, over all
+    documents, times its chi-square with the labels of the examples."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "toxicity")
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1))
@@ -198,76 +244,71 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     total = (totals.get(0, 0), totals.get(1, 0))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(1, total[1])))).otherwise(F.lit(min(1.0, sample / max(1, total[0]))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)).limit(3 * sample)  # the sample's documented bound
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most 3 * sample rows
 
     def outline(batches):
         for b in batches:
-            yield batch_of(["doc_id", "toxic", "sketch"], [b.column(0), b.column(2), [sketch(t).tolist() for t in as_bytes(b.column(1))]], [pa.int64(), pa.int32(), pa.list_(pa.int64())])
-
-    def learn(batches):
-        for b in batches:
-            yield batch_of(["doc_id", "toxic", "words"], [b.column(0), b.column(2), [[w for w in set((t or b"").translate(WORDS).split())] for t in as_bytes(b.column(1))]], [pa.int64(), pa.int32(), pa.list_(pa.binary())])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = plain.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most 3 * sample rows of two numbers
+            texts = as_bytes(b.column(2))
+            counts = [term_counts(t) for t in texts]
+            yield batch_of(
+                ["doc_id", "toxic", "sketch", "terms", "counts"],
+                [b.column(0), b.column(1), [sketch(t).tolist() for t in texts], [b" ".join(c) for c in counts], [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in counts]],
+                [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()],
+            )
+
+    drawn = sorted(rows.mapInArrow(outline, "doc_id long, toxic int, sketch array<long>, terms binary, counts binary").collect())
     # a copy of an example is no further evidence, neither for a word nor as a neighbour
-    drawn = sorted(rows.mapInArrow(outline, "doc_id long, toxic int, sketch array<long>").collect())
-    alone = different(np.array([r[2] for r in drawn]), np.arange(len(drawn))) if drawn else []
-    toxic = sum(drawn[i][1] for i in alone)
-    clean = len(alone) - toxic
-    own = docs.sparkSession.createDataFrame([(drawn[i][0],) for i in alone], "doc_id long")
-    rows = rows.join(F.broadcast(own.distinct()), "doc_id").dropDuplicates(["doc_id"])
-    terms = (
-        rows.mapInArrow(learn, "doc_id long, toxic int, words array<binary>")
-        .select("toxic", F.explode(F.array_distinct(F.flatten(F.transform("words", lambda w: F.when(F.length(w) > STEM, F.array(w, F.concat(F.substring(w, 1, STEM), F.lit(b"*")))).otherwise(F.array(w)))))).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    )
-    n = toxic + clean
-    low = F.abs(F.col("t") * clean - F.col("c") * toxic) - n / 2
-    seen = F.col("t") + F.col("c")
-    chi2 = low * low * n / (F.lit(float(max(1, toxic * clean))) * seen * (n - seen))
-    best = terms.where((low > 0) & (seen > 2) & (seen < n)).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2)
-    picked = [bytes(r[0]) for r in best.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()] if toxic and clean else []
-    vocabulary = Vocabulary(picked)
-    size = len(picked)
+    drawn = [drawn[i] for i in different(np.array([r[2] for r in drawn]), np.arange(len(drawn)))] if drawn else []
+    numbers: dict[bytes, int] = {}
+    found = []
+    for r in drawn:
+        terms = np.array([numbers.setdefault(t, len(numbers)) for t in bytes(r[3]).split()], np.int64)
+        order = np.argsort(terms)
+        found.append((terms[order], np.frombuffer(r[4], np.int32).astype(np.float64)[order]))
+    y = np.array([r[1] for r in drawn], np.int64)
+    size, toxic = len(numbers), int(y.sum())
+    hits = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for (t, _), own in zip(found, y, strict=True) if own == label)]), minlength=size) for label in (1, 0)]
+    vocabulary = Vocabulary(list(numbers))
+    url = put(ws, vocabulary, "terms")
 
     def frequencies(batches):
-        df = np.zeros(size + 1, np.int64)
+        df, terms = np.zeros(size + 1, np.int64), get(url)
         for b in batches:
             df[size] += b.num_rows
             for t in as_bytes(b.column(0)):
-                df[list(vocabulary.counts(t))] += 1
-        yield batch_of(["term", "n"], [list(range(size + 1)), df], [pa.int32(), pa.int64()])
-
-    found = dict(plain.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect())  # a row for each term
-    df = np.array([found.get(i, 0) for i in range(size)], np.float64)
-    idf = np.log((1 + found.get(size, 0)) / (1 + df)) + 1
-
-    def counted(batches):
-        for b in batches:
-            c = [vocabulary.counts(t) for t in as_bytes(b.column(1))]
-            yield batch_of(["doc_id", "toxic", "terms", "counts"], [b.column(0), b.column(2), [list(x.keys()) for x in c], [list(x.values()) for x in c]], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())])
-
-    got = sorted(rows.mapInArrow(counted, "doc_id long, toxic int, terms array<int>, counts array<int>").collect())
-    x = vectors([Counter(dict(zip(r[2], r[3], strict=True))) for r in got], idf)
-    order = np.lexsort((x.argmax(axis=1) if size else np.zeros(len(x)), [r[1] for r in got])) if got else np.zeros(0, np.int64)
-    model = ToxicityModel(vocabulary, idf, x[order], np.array([got[i][1] for i in order], np.int64), np.array([got[i][0] for i in order], np.int64))
+                df[list({n for word in set((t or b"").translate(WORDS).split()) for n in terms.numbers(word)})] += 1
+        some = np.flatnonzero(df)
+        yield batch_of(["term", "n"], [some, df[some]], [pa.int32(), pa.int64()])
+
+    each = plain.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each term of the examples
+    df = np.zeros(size + 1, np.float64)
+    df[each.column("term").to_numpy()] = each.column("n").to_numpy()
+    weight = (np.log((1 + df[size]) / (1 + df[:size])) + 1) * association(*hits, toxic, len(drawn) - toxic)
+    vectors = [unit(*x, weight) for x in found]
+    # examples of one class and one heaviest term share blocks, so that blocks' maxima tell them apart
+    heaviest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+    order = np.lexsort((heaviest, y)) if drawn else np.zeros(0, np.int64)
+    model = ToxicityModel(vocabulary, weight, [vectors[i] for i in order], y[order], np.array([drawn[i][0] for i in order], np.int64))
     model.calibrate(total)
-    return model
+    return put(ws, model, "model")
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score, predicted, evidence): evidence lists the nearest labelled examples that voted
-    as (doc_id, cosine, label), best first. A text without informative terms, empty or null, gets
-    the calibrated share of toxic ones among such examples, and no evidence."""
+def score(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, score, predicted, evidence) by the model that `fit` has written: evidence lists the
+    nearest labelled examples that voted as (doc_id, cosine, label), best first. A text without terms
+    of the examples, empty or null, gets the calibrated share of toxic ones among such examples, and
+    no evidence."""
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int64())]))
 
     def run(batches):
+        m = get(model)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                score_, sims, ids = model.scored(as_bytes(part.column(1)))
-                proof = [[{"doc_id": int(model.example_ids[i]), "cosine": float(s), "label": int(model.labels[i])} for s, i in zip(sr, ir, strict=True) if i >= 0] for sr, ir in zip(sims, ids, strict=True)]
+                found = [m.scored(t) for t in as_bytes(part.column(1))]
+                score_ = np.array([x[0] for x in found])
+                proof = [[{"doc_id": int(m.example_ids[i]), "cosine": float(s), "label": int(m.labels[i])} for s, i in zip(x[1], x[2], strict=True)] for x in found]
                 yield batch_of(["doc_id", "score", "predicted", "evidence"], [part.column(0), score_, (score_ >= THRESHOLD).astype(np.int32), proof], [pa.int64(), pa.float64(), pa.int32(), kind])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:long>>")

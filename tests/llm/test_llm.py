@@ -145,11 +145,41 @@ def test_op3_op6_odd_rows_and_random_access(odd, none):
     assert len(f) == 7 and f.sequence(5)[0].tolist() == [20, 21, 22, 23] and f.sequence(6)[1].to_pylist() == [True, True, True, False]
 
 
-def test_pack_fills_and_balances():
-    lengths = np.random.default_rng(2).integers(1, 900, size=300)
-    out = packing.pack(lengths, 512)
-    used = np.array([sum(n for *_, n in s) for s in out])
-    assert used.sum() == lengths.sum() and used.max() <= 512 and (512 - used).sum() < 512 and packing.pack(np.zeros(0, np.int64), 512) == []
+def slow_pack(lengths, capacity):
+    """The rule, one piece at a time over plain lists."""
+    rest = sorted(((n % capacity, d, n - n % capacity) for d, n in enumerate(lengths) if n % capacity), key=lambda r: (-r[0], r[1]))
+    count = -(-sum(r[0] for r in rest) // capacity)
+    seqs = [[] for _ in range(count)]
+    room, costs = [capacity] * count, [0.0] * count
+    for n, d, start in rest:
+        while n:
+            free = [i for i in range(count) if room[i] >= n] or [i for i in range(count) if room[i]]
+            i = min(free, key=lambda i: (costs[i], i))
+            m = min(n, room[i])
+            seqs[i].append((d, start, m))
+            room[i] -= m
+            costs[i] += packing.LINEAR * m + packing.QUADRATIC * m * m
+            start, n = start + m, n - m
+    return seqs
+
+
+def test_pack_fills_and_goes_to_the_lowest_cost():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(1, rng.choice([40, 900]), size=int(rng.integers(1, 120)))
+        out, rest = packing.pack(lengths, 256)
+        used = np.array([sum(n for *_, n in s) for s in out])
+        assert used.sum() == lengths.sum() and used.max() <= 256 and (256 - used).sum() < 256 and not rest
+        assert [s for s in out if s[0][2] < 256] == [s for s in slow_pack(lengths.tolist(), 256) if s[0][2] < 256]
+        full, rest = packing.pack(lengths, 256, last=False)
+        assert all(sum(n for *_, n in s) == 256 for s in full) and sum(n for *_, n in rest) == lengths.sum() % 256
+    assert packing.pack(np.zeros(0, np.int64), 512) == ([], [])
+
+
+def test_op6_padding_does_not_follow_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(64)
+    rows = packing.packed(docs, with_ids=False).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert all(r[1] <= 2048 for r in rows) and sum(r[1] for r in rows) > 0.99 * 2048 * len(rows)
 
 
 def test_op4(spark):
@@ -185,6 +215,30 @@ def test_op5_held_out(spark, odd, none):
     assert len(got) == 10 and all(r.lang_pred == "und" for r in got if r.doc_id in (1, 2, 7)) and language.predict_languages(none).count() == 0
 
 
+def test_op5_letters_and_votes(spark):
+    assert not language.has_letter("½ ² Ⅷ ① 12 _".encode()) and language.has_letter("½ é".encode())
+    rng = np.random.default_rng(5)
+    labels = ["en", "de", "fr", "es"] * 12
+    centres = {lang: rng.standard_normal(language.DIM) for lang in set(labels)}
+    x = np.array([centres[lang] + rng.standard_normal(language.DIM) for lang in labels], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language.LanguageModel.fit(x, labels)
+    margin = lambda name, v: float(model.weights[model.names.index(name)] @ v + model.bias[model.names.index(name)])
+    for v, lang in zip(x, labels, strict=True):
+        germanic = margin("family germanic", v) > margin("family romance", v)
+        name, a, b = ("de en", "de", "en") if germanic else ("es fr", "es", "fr")
+        want = a if margin(name, v) > 0 else b
+        assert model.predict(v)[0] == want == lang
+
+
+def test_op5_copies_count_once_and_languages_share_the_total(spark):
+    rows = [(1, "le chat est sur la table et il dort", "fr")] * 40 + [(i, f"the cat number {i} sat on the mat", "en") for i in range(2, 60)] + [(i, f"die Katze {i} sitzt auf der Matte", "de") for i in range(60, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = language.fit(docs, sample=10, total=30)
+    assert sorted(x for f in model.families.values() for x in f) == ["de", "en", "fr"]
+    assert {r.lang_pred for r in language.identify(docs.where("lang = 'en'"), model).collect()} == {"en"}
+
+
 def test_op7_held_out(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -194,12 +248,55 @@ def test_op7_held_out(spark, odd, none):
     assert toxicity.toxicity(odd, labels).count() == 10 and toxicity.toxicity(none, labels).count() == 0
 
 
+def test_op7_scores_equal_brute_force(spark):
+    """Dense vectors over all terms of the examples, and all cosines."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    url = toxicity.fit(docs, labels)
+    model = toxicity.get(url)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    terms = model.vocabulary.terms
+    assert set(terms) == {t for d in model.example_ids.tolist() for t in toxicity.term_counts(texts[d])}
+    df = Counter(t for x in texts.values() for t in toxicity.term_counts(x))
+    t, c = (Counter(t for d, y in zip(model.example_ids.tolist(), model.labels, strict=True) if y == label for t in toxicity.term_counts(texts[d])) for label in (1, 0))
+    n1, n0 = int(model.labels.sum()), int((1 - model.labels).sum())
+    weight = np.zeros(len(terms))
+    for term, i in terms.items():
+        seen, n = t[term] + c[term], n1 + n0
+        chi2 = (t[term] * n0 - c[term] * n1) ** 2 * n / max(n1 * n0 * seen * (n - seen), 1)
+        weight[i] = (np.log((1 + len(texts)) / (1 + df[term])) + 1) * chi2
+
+    def dense(text):
+        v = np.zeros(len(terms))
+        for term, n in toxicity.term_counts(text).items():
+            if term in terms:
+                v[terms[term]] = (1 + np.log(n)) * weight[terms[term]]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.array([dense(texts[d]) for d in model.example_ids.tolist()])
+    for r in toxicity.score(docs, url).collect():
+        cosines = examples @ dense(texts[r.doc_id])
+        best = -np.sort(-cosines)[: toxicity.NEIGHBOURS]
+        best = best[best > 1e-15]
+        np.testing.assert_allclose([e.cosine for e in r.evidence if e.cosine > 1e-15], best, atol=1e-9)
+        w = np.array([e.cosine / (1.05 - min(e.cosine, 1)) for e in r.evidence])
+        a, b = model.line
+        want = 1 / (1 + np.exp(-(a * (w @ [e.label for e in r.evidence]) / w.sum() + b))) if len(w) else model.blank
+        assert abs(r.score - want) < 1e-9
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     make = lambda n: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(rng.random((n, 30)) * (rng.random((n, 30)) < 0.15))
     x, q = make(500), make(80)
-    sims, _ = toxicity.BlockMaxIndex(x).nearest(q, 8)
-    np.testing.assert_allclose(sims, -np.sort(-(q @ x.T), axis=1)[:, :8], atol=1e-12)
+    sparse = lambda m: [(np.flatnonzero(v), v[v > 0]) for v in m]
+    index = toxicity.BlockMaxIndex(sparse(x), 30)
+    for v, (terms, weights) in zip(q, sparse(q), strict=True):
+        cosines = x @ v
+        order = np.lexsort((np.arange(500), -cosines.round(12)))[:8]
+        found, who = index.nearest(terms, weights, 8)
+        np.testing.assert_allclose(found, cosines[order][cosines[order] > 0], atol=1e-12)
+        other, _ = index.nearest(terms, weights, 8, without=int(who[0])) if len(who) else ([], [])
+        np.testing.assert_allclose(other, np.sort(np.delete(cosines, who[:1]))[::-1][:8][: len(other)], atol=1e-12)
 
 
 def brute_spans(rows):
