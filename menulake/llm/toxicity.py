@@ -6,6 +6,7 @@ import functools
 import pickle
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from menulake.llm.common import LOWER, Workspace, as_bytes, batch_of, crc_mod, table
 
 #: Labelled examples of each class, bytes of a stem, neighbours that vote, examples in a block,
-#: different words a worker remembers, and numbers in the sketch that tells copies among the examples.
-SAMPLE, STEM, NEIGHBOURS, BLOCK, CACHE_WORDS, SKETCH = 2000, 4, 16, 64, 300_000, 32
+#: different words a worker remembers, numbers in the sketch that tells copies among the examples,
+#: the share of examples that makes a term a frequent one, and queries that are answered together.
+SAMPLE, STEM, NEIGHBOURS, BLOCK, CACHE_WORDS, SKETCH, FREQUENT, TOGETHER = 2000, 4, 16, 64, 300_000, 32, 16, 256
 THRESHOLD = 0.7
 #: A-Z lowered, and ASCII that isn't a letter or digit as a space.
 WORDS = bytes(b if b >= 0x80 or chr(b).isascii() and chr(b).isalnum() else 0x20 for b in LOWER)
@@ -37,30 +39,26 @@ def term_counts(text: bytes | None) -> Counter:
     return out
 
 
-class Vocabulary:
+class Vocabulary(dict):
     """Numbers of the examples' terms, by word; filled as words are met."""
 
     def __init__(self, terms: list[bytes]):
+        super().__init__()
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.words: dict[bytes, tuple[int, ...]] = {}
-
-    def numbers(self, word: bytes) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
         return found
 
+    def __reduce__(self):
+        return Vocabulary, (list(self.terms),)
+
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms that an example has, in order, and how often each occurs."""
-        out: dict[int, int] = {}
-        for word, n in Counter((text or b"").translate(WORDS).split()).items():
-            for t in self.numbers(word):
-                out[t] = out.get(t, 0) + n
-        terms = np.fromiter(out.keys(), np.int64, len(out))
-        order = np.argsort(terms)
-        return terms[order], np.fromiter(out.values(), np.float64, len(out))[order]
+        words = (text or b"").translate(WORDS).split()
+        return np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64), return_counts=True)
 
 
 def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +75,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of all terms of the examples, by term, cut into blocks of BLOCK examples with the
-    largest weight that the term has there.
+    """Postings of all terms of the examples, in blocks of BLOCK examples with the largest weight that
+    each term has there. Terms that one in FREQUENT examples has lie as a matrix a block, the others
+    as lists by term.
 
     A block is opened for a query only if the sum of its terms' maxima reaches the query's k-th best
     cosine so far, so the k nearest are exact.
@@ -88,44 +87,64 @@ class BlockMaxIndex:
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         sizes = [len(t) for t, _ in vectors]
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-        order = np.argsort(term, kind="stable")  # the examples of a term stay in order
-        self.example = np.repeat(np.arange(self.n), sizes)[order]
-        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
-        term, block = term[order], self.example // BLOCK
+        example, weight = np.repeat(np.arange(self.n), sizes), np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        often = np.bincount(term, minlength=terms) * FREQUENT >= max(1, self.n)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.width = int(often.sum())
+        part = often[term]
+        whole = np.zeros((self.n, self.width))
+        whole[example[part], self.column[term[part]]] = weight[part]
+        self.frequent = [np.ascontiguousarray(whole[lo : lo + BLOCK].T) for lo in range(0, self.n, BLOCK)]
+        self.frequent_most = np.array([m.max(axis=1) for m in self.frequent]).reshape(self.blocks, self.width).T
+        order = np.flatnonzero(~part)[np.argsort(term[~part], kind="stable")]  # the examples of a term stay in order
+        self.example, self.weight, term = example[order], weight[order], term[order]
+        block = self.example // BLOCK
         head = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
         self.start, self.size, self.block = head, np.diff(np.append(head, len(term))), block[head]
         self.most = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
         self.of_term = np.searchsorted(term[head], np.arange(terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, example numbers) of the query's k nearest, best first, ties by number. Only
-        cosines above 0 count. without: an example that mustn't be among them."""
-        size = self.of_term[terms + 1] - self.of_term[terms]
-        at = ranges(self.of_term[terms], size)  # the terms' blocks
-        w, block = np.repeat(weights, size), self.block[at]
-        bound = np.bincount(block, w * self.most[at], self.blocks)
-        first = np.argsort(-bound, kind="stable")[:2]  # the most promising blocks, for a good k-th best
-        opened = np.zeros(self.blocks, bool)
-        opened[first[bound[first] > 0]] = True
-        found, who = self._scan(opened[block], at, w, k, without)
-        least = found[k - 1] if len(found) >= k else 0.0
-        rest = ~opened & (bound > 0) & (bound * (1 + 1e-9) >= least)
-        if rest.any():
-            more, others = self._scan(rest[block], at, w, k, without)
-            found, who = np.concatenate([found, more]), np.concatenate([who, others])
-            order = np.lexsort((who, -found))[:k]
-            found, who = found[order], who[order]
-        return found, who
-
-    def _scan(self, chosen: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, without: int):
-        size = self.size[at[chosen]]
-        rows = ranges(self.start[at[chosen]], size)
-        cosine = np.bincount(self.example[rows], self.weight[rows] * np.repeat(w[chosen], size), self.n)
-        if without >= 0:
-            cosine[without] = 0.0
-        who = np.flatnonzero(cosine > 0)
-        order = np.lexsort((who, -cosine[who]))[:k]
-        return cosine[who[order]], who[order]
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(cosines, example numbers) of each query's k nearest, best first, ties by number. Only
+        cosines above 0 count. without: for each query an example that mustn't be among them."""
+        dense, rare = np.zeros((len(queries), self.width)), []
+        bound = np.zeros((len(queries), self.blocks))
+        for i, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            dense[i, column[column >= 0]] = weights[column >= 0]
+            terms, weights = terms[column < 0], weights[column < 0]
+            size = self.of_term[terms + 1] - self.of_term[terms]
+            at = ranges(self.of_term[terms], size)  # the terms' blocks
+            rare.append((at, np.repeat(weights, size)))
+            bound[i] = np.bincount(self.block[at], rare[i][1] * self.most[at], self.blocks)
+        bound += dense @ self.frequent_most
+        cosine = np.zeros((len(queries), self.n))
+        first = np.zeros(bound.shape, bool)  # each query's most promising blocks, for a good k-th best
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
+        self._open(cosine, first & (bound > 0), dense, rare, without)
+        least = np.partition(cosine, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(len(queries))
+        self._open(cosine, ~first & (bound > 0) & (bound * (1 + 1e-9) >= least[:, None]), dense, rare, without)
+        out = []
+        for row in cosine:
+            who = np.flatnonzero(row > 0)
+            if len(who) > 4 * k:
+                who = who[row[who] >= np.partition(row[who], len(who) - k)[len(who) - k]]
+            who = who[np.lexsort((who, -row[who]))[:k]]
+            out.append((row[who], who))
+        return out
+
+    def _open(self, cosine: np.ndarray, chosen: np.ndarray, dense: np.ndarray, rare: list, without: np.ndarray | None) -> None:
+        """Adds the cosines of the chosen (query, block) pairs."""
+        for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+            rows = np.flatnonzero(chosen[:, b]) if not chosen[:, b].all() else slice(None)
+            cosine[rows, b * BLOCK : (b + 1) * BLOCK] = dense[rows] @ self.frequent[b]
+        for i, (at, w) in enumerate(rare):
+            here = chosen[i, self.block[at]]
+            size = self.size[at[here]]
+            rows = ranges(self.start[at[here]], size)
+            cosine[i] += np.bincount(self.example[rows], self.weight[rows] * np.repeat(w[here], size), self.n)
+        if without is not None:
+            cosine[np.arange(len(rare)), without] = 0.0
 
 
 @dataclass
@@ -149,18 +168,22 @@ class ToxicityModel:
         w = cosines / (1.05 - np.minimum(cosines, 1.0))
         return float((w * self.labels[who]).sum() / max(w.sum(), 1e-12))
 
-    def scored(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, cosines, example numbers) of a text."""
-        cosines, who = self.index.nearest(*unit(*self.vocabulary.counts(text), self.weight), NEIGHBOURS)
-        if not len(who):
-            return self.blank, cosines, who
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for lo in range(0, len(queries), TOGETHER):
+            out += self.index.nearest(queries[lo : lo + TOGETHER], NEIGHBOURS, None if without is None else without[lo : lo + TOGETHER])
+        return out
+
+    def scored(self, texts: list[bytes | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, cosines, example numbers) of each text."""
         a, b = self.line
-        return float(1 / (1 + np.exp(-(a * self.vote(cosines, who) + b)))), cosines, who
+        found = self.nearest([unit(*self.vocabulary.counts(t), self.weight) for t in texts])
+        return [(float(1 / (1 + np.exp(-(a * self.vote(*x) + b)))) if len(x[1]) else self.blank, *x) for x in found]
 
     def calibrate(self, totals: tuple[int, int]) -> None:
         """A logistic curve from the votes that each example gets of the others to its label; the
         classes count as often as in the labels, of which the examples are a sample."""
-        found = [self.index.nearest(*x, NEIGHBOURS, i) for i, x in enumerate(self.examples)]
+        found = self.nearest(self.examples, np.arange(len(self.examples)))
         none = np.array([not len(who) for _, who in found], bool)
         raw, y = np.array([self.vote(*x) for x in found]), self.labels.astype(float)
         w = np.where(y > 0, totals[1] / max(1, (y > 0).sum()), totals[0] / max(1, (y == 0).sum()))
@@ -277,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str:
         for b in batches:
             df[size] += b.num_rows
             for t in as_bytes(b.column(0)):
-                df[list({n for word in set((t or b"").translate(WORDS).split()) for n in terms.numbers(word)})] += 1
+                df[terms.counts(t)[0]] += 1
         some = np.flatnonzero(df)
         yield batch_of(["term", "n"], [some, df[some]], [pa.int32(), pa.int64()])
 
@@ -304,9 +327,9 @@ def score(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         m = get(model)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                found = [m.scored(t) for t in as_bytes(part.column(1))]
+            for lo in range(0, b.num_rows, TOGETHER):
+                part = b.slice(lo, TOGETHER)
+                found = m.scored(as_bytes(part.column(1)))
                 score_ = np.array([x[0] for x in found])
                 proof = [[{"doc_id": int(m.example_ids[i]), "cosine": float(s), "label": int(m.labels[i])} for s, i in zip(x[1], x[2], strict=True)] for x in found]
                 yield batch_of(["doc_id", "score", "predicted", "evidence"], [part.column(0), score_, (score_ >= THRESHOLD).astype(np.int32), proof], [pa.int64(), pa.float64(), pa.int32(), kind])
