@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 from menulake.llm.common import Workspace, batch_of, components, ranked, table
 
-#: Rows compared on either side of a row in a sorted pass, rows in a block, share of pairs at the
-#: threshold that the passes must find, and bits of a concatenated hash.
-WINDOW, BLOCK, TARGET, HASH_BITS = 256, 2048, 0.9999, 48
+#: Rows compared on either side of a row in a sorted pass, rows in a block of a pass, share of pairs
+#: at the threshold that the passes must find, bits of a concatenated hash, and classes in a block
+#: when links are counted.
+WINDOW, BLOCK, TARGET, HASH_BITS, COUNT_BLOCK = 512, 8192, 0.9995, 48, 4096
+#: Components of unit vectors as the passes carry them: multiples of the largest one's 32767th part.
+STEPS = 32767
+#: Vectors that are hashed in one product, and rows of a product of vectors.
+HASHED, STRIP = 1024, 512
 
 
 def passes_for(rows: int, threshold: float, window: int = WINDOW, target: float = TARGET) -> int:
@@ -27,24 +32,26 @@ def passes_for(rows: int, threshold: float, window: int = WINDOW, target: float
     return max(4, math.ceil(math.log(1 - target) / math.log(1 - min(one, 0.9))))
 
 
-def hyperplanes(p: int, dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, p, dim]).standard_normal((dim, HASH_BITS))
+def hyperplanes(passes: int, dim: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, passes, dim]).standard_normal((dim, passes * HASH_BITS))
 
 
-def unit_rows(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
-    """Positions and unit vectors (double) of the rows that can link at all."""
-    at, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if not v or None in v:
-            continue
-        x = np.array(v, np.float64)
-        top = np.abs(x).max()
-        if not np.isfinite(top) or top == 0:
-            continue
-        x = x / top  # so that the squares neither overflow nor vanish
-        at.append(i)
-        out.append(x / np.linalg.norm(x))
-    return at, out
+def unit_rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, unit vectors in double) of the rows that can link at all, for each length."""
+    column = column.cast(pa.large_list(pa.float64()))
+    ends = column.offsets.to_numpy()
+    begins, sizes = ends[:-1], np.diff(ends)
+    values = column.values.to_numpy(zero_copy_only=False)  # a null component is NaN
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    out = []
+    for dim in np.unique(sizes[valid & (sizes > 0)]).tolist():
+        at = np.flatnonzero(valid & (sizes == dim))
+        x = values[begins[at][:, None] + np.arange(dim)]
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good, None]  # so that the squares neither overflow nor vanish
+        out.append((at[good], x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]))
+    return out
 
 
 def classes(ws: Workspace, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,13 +61,57 @@ def classes(ws: Workspace, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches):
         for b in batches:
-            at, units = unit_rows(b.column(1))
-            ids = b.column(0).take(pa.array(at, pa.int64()))
-            yield batch_of(["vec_id", "unit", "dim"], [ids, [u.tobytes() for u in units], [len(u) for u in units]], [pa.int64(), pa.binary(), pa.int32()])
+            for at, units in unit_rows(b.column(1)):
+                yield batch_of(["vec_id", "unit", "dim"], [b.column(0).take(pa.array(at)), [u.tobytes() for u in units], np.full(len(at), units.shape[1])], [pa.int64(), pa.binary(), pa.int32()])
 
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, unit binary, dim int")
     rows = ws.save(usable.withColumn("key", F.sha2("unit", 256)), "vectors")
-    return rows, ws.save(rows.groupBy("key", "unit", "dim").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    return rows.select("vec_id", "key"), ws.save(rows.groupBy("key").agg(F.first("unit").alias("unit"), F.first("dim").alias("dim"), F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+
+
+def stacked(rows: pa.Array | list, kind=np.float64) -> np.ndarray:
+    """Binary rows of equal length as a matrix."""
+    data = rows.to_pylist() if isinstance(rows, pa.Array) else rows
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1)
+
+
+def hashes(ws: Workspace, one: DataFrame, passes: int, seed: int) -> DataFrame:
+    """(no, dim, pass, code): a concatenated hash of each vector for each pass, without the vector."""
+
+    def run(batches):
+        planes: dict[int, np.ndarray] = {}
+        weights = np.int64(1) << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64)
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in planes:
+                    planes[dim] = hyperplanes(passes, dim, seed)
+                of_dim = np.flatnonzero(dims == dim)
+                for lo in range(0, len(of_dim), HASHED):
+                    at = pa.array(of_dim[lo : lo + HASHED])
+                    above = stacked(b.column(1).take(at)) @ planes[dim] > 0
+                    codes = above.reshape(len(at), passes, HASH_BITS) @ weights
+                    yield batch_of(["no", "dim", "pass", "code"], [np.repeat(b.column(0).take(at).to_numpy(), passes), np.full(codes.size, dim), np.tile(np.arange(passes), len(at)), codes.ravel()], [pa.int64(), pa.int32(), pa.int32(), pa.int64()])
+
+    return one.select("no", "unit", "dim").mapInArrow(run, "no long, dim int, pass int, code long")
+
+
+def small(one: DataFrame) -> DataFrame:
+    """(no, steps, scale, off): each unit vector in 16 bits a component, and its distance from that."""
+
+    def run(batches):
+        for b in batches:
+            steps, scale, off = [], [], []
+            for data in b.column(1).to_pylist():
+                x = np.frombuffer(data, np.float64)
+                s = np.abs(x).max() / STEPS
+                q = np.rint(x / s)
+                steps.append(q.astype(np.int16).tobytes())
+                scale.append(s)
+                off.append(np.linalg.norm(x - s * q))
+            yield batch_of(["no", "steps", "scale", "off"], [b.column(0), steps, scale, off], [pa.int64(), pa.binary(), pa.float64(), pa.float64()])
+
+    return one.select("no", "unit").mapInArrow(run, "no long, steps binary, scale double, off double")
 
 
 def find_root(parent: np.ndarray, i: int) -> int:
@@ -70,104 +121,112 @@ def find_root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def forest(units: np.ndarray, first: int, window: int, threshold: float) -> list[tuple[int, int]]:
-    """Verified pairs (i, j), enough of them to connect what all verified pairs would connect.
+def forest(units: np.ndarray, off: np.ndarray, first: int, window: int, threshold: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(sure, doubtful) pairs (i, j) of rounded unit vectors, each `off` from its true one at most.
 
-    Rows from first on are compared with the `window` rows before them."""
+    Rows from first on are compared with the `window` rows before them. Of the pairs that surely
+    reach the threshold there are enough to connect what all of them would; of those too near to it
+    to tell, all that the sure ones don't connect."""
     n = len(units)
     parent = np.arange(n)
-    out = []
-    step = 512
-    for lo in range(first, n, step):
-        hi, begin = min(n, lo + step), max(0, lo - window)
-        near = units[lo:hi] @ units[begin:hi].T >= threshold
-        i, j = np.nonzero(near)
+    sure, doubtful = [], []
+    for lo in range(first, n, STRIP):
+        hi, begin = min(n, lo + STRIP), max(0, lo - window)
+        cosine = units[lo:hi] @ units[begin:hi].T
+        slack = off[lo:hi, None] + off[None, begin:hi] + off[lo:hi, None] * off[None, begin:hi] + 1e-12
+        i, j = np.nonzero(cosine + slack >= threshold)
+        certain = cosine[i, j] - slack[i, j] >= threshold
         i, j = i + lo, j + begin
         keep = (j < i) & (i - j <= window)
-        for a, b in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+        for a, b in zip(i[keep & certain].tolist(), j[keep & certain].tolist(), strict=True):
             ra, rb = find_root(parent, a), find_root(parent, b)
             if ra != rb:
                 parent[ra] = rb
-                out.append((a, b))
-    return out
-
-
-def window_edges(ws: Workspace, one: DataFrame, rows: int, threshold: float, window: int, seed: int) -> DataFrame:
-    """Edges (a, b) from all passes: rows are sorted by (pass, hash), cut into blocks of equal
-    counts, and each block also gets the window before it."""
-    passes = passes_for(rows, threshold, window)
-
-    def hashed(batches):
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        weights = 1 << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64)
+                sure.append((a, b))
+        doubtful += zip(i[keep & ~certain].tolist(), j[keep & ~certain].tolist(), strict=True)
+    return sure, [(a, b) for a, b in doubtful if find_root(parent, a) != find_root(parent, b)]
+
+
+def window_edges(ws: Workspace, one: DataFrame, rows: int, threshold: float, window: int, block: int, seed: int) -> DataFrame:
+    """Edges (a, b) from all passes: (pass, hash) is sorted without the vectors and cut into blocks of
+    equal counts, each with the window before it; then each block fetches its vectors, rounded.
+    Pairs too near to the threshold to tell are verified on the whole vectors."""
+    order = ranked(ws, hashes(ws, one, passes_for(rows, threshold, window), seed), "dim", "pass", "code", "no", name="row")
+    own = F.expr(f"row div {block}L")
+    late = F.col("row") % block >= block - window
+    dealt = order.select("no", "dim", "pass", "row", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("block")).join(small(one), "no")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        t = t.sort_by("row")
+        row, dim, turn, no = (t.column(c).to_numpy() for c in ("row", "dim", "pass", "no"))
+        edges: list[tuple[int, int, bool]] = []
+        cuts = np.flatnonzero(np.concatenate([[True], (dim[1:] != dim[:-1]) | (turn[1:] != turn[:-1]), [True]]))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first = int(np.searchsorted(row[s:e], number * block))
+            if first < e - s:
+                units = stacked(t.column("steps").slice(s, e - s).to_pylist(), np.int16) * t.column("scale").slice(s, e - s).to_numpy()[:, None]
+                sure, doubtful = forest(units, t.column("off").slice(s, e - s).to_numpy(), first, window, threshold)
+                edges += [(no[s + i], no[s + j], certain) for pairs, certain in ((sure, True), (doubtful, False)) for i, j in pairs]
+        return pa.table({"a": pa.array([x[0] for x in edges], pa.int64()), "b": pa.array([x[1] for x in edges], pa.int64()), "sure": pa.array([x[2] for x in edges], pa.bool_())})
+
+    found = ws.save(dealt.select("block", "row", "dim", "pass", "no", "steps", "scale", "off").groupBy("block").applyInArrow(compare, "a long, b long, sure boolean"), "pairs")
+    ws.delete(order._menulake_path)
+
+    def verify(batches):
         for b in batches:
-            for i, (unit, dim) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if (0, dim) not in planes:
-                    planes = {(p, dim): hyperplanes(p, dim, seed) for p in range(passes)}
-                x = np.frombuffer(unit, np.float64)
-                codes = [int(((x @ planes[p, dim]) > 0) @ weights) for p in range(passes)]
-                yield batch_of(["id", "unit", "dim", "pass", "code"], [b.column(0).take(pa.array([i] * passes)), [unit] * passes, [dim] * passes, list(range(passes)), codes], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()])
-
-    spread = ws.save(one.select("id", "unit", "dim").mapInArrow(hashed, "id long, unit binary, dim int, pass int, code long"), "hashed")
-    order = ranked(ws, spread, "dim", "pass", "code", "id", name="row")
-    ws.drop(spread)
-    block = F.expr(f"row div {BLOCK}L")
-    late = F.col("row") % BLOCK >= BLOCK - window
-    dealt = order.select("id", "unit", "dim", "pass", "row", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"))
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("row")
-        own = pdf["row"].to_numpy() >= key[0] * BLOCK
-        edges = []
-        for _, g in pdf.assign(own=own).groupby(["dim", "pass"], sort=False):
-            if g["own"].any():
-                units = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
-                ids = g["id"].to_numpy()
-                edges += [(ids[i], ids[j]) for i, j in forest(units, int(np.argmax(g["own"].to_numpy())), window, threshold)]
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+            keep = [float(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
+    unit = one.select("no", "unit")
+    doubtful = found.where("not sure").select("a", "b").distinct().join(unit.toDF("a", "x"), "a").join(unit.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return found.where("sure").select("a", "b").distinct().unionByName(doubtful.mapInArrow(verify, "a long, b long"))
 
 
-def degrees(ws: Workspace, members: DataFrame, threshold: float) -> DataFrame:
+def degrees(ws: Workspace, members: DataFrame, threshold: float, block: int = COUNT_BLOCK) -> DataFrame:
     """(id, n): rows linked to each class by comparing all classes of each component, in blocks.
 
-    members: id, unit, copies, component. A component of up to BLOCK classes is one unit of work;
+    members: id, unit, copies, component. A component of up to `block` classes is one unit of work;
     a larger one is cut into blocks, and each pair of blocks is a unit of its own."""
     order = ranked(ws, members, "component", "id", name="row")
     starts = ws.save(order.groupBy("component").agg(F.min("row").alias("start"), F.count(F.lit(1)).alias("size")), "sizes")
-    own = order.join(starts, "component").withColumn("own", F.expr(f"cast((row - start) div {BLOCK} as int)")).withColumn("last", F.expr(f"cast((size - 1) div {BLOCK} as int)"))
+    own = order.join(starts, "component").withColumn("own", F.expr(f"cast((row - start) div {block} as int)")).withColumn("last", F.expr(f"cast((size - 1) div {block} as int)"))
     others = F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi")))
-    # small components share a task's group: many of them come to one call, of about BLOCK rows
-    bins = order._menulake_rows // BLOCK + 1
+    # small components share a task's group: many of them come to one call, of about `block` rows
+    bins = order._menulake_rows // block + 1
     units = own.select("id", "unit", "copies", "component", "own", F.explode(others).alias("pair"), (F.when(F.col("last") == 0, F.pmod(F.xxhash64("component"), F.lit(bins)))).alias("bin"))
     grouped = units.withColumn("unit_of_work", F.when(F.col("bin").isNotNull(), F.concat(F.lit("s"), F.col("bin"))).otherwise(F.concat_ws("-", "component", "pair.lo", "pair.hi")))
 
+    def linked(x: np.ndarray, y: np.ndarray, mine: np.ndarray, theirs: np.ndarray, copies: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """For each row of x the copies linked in y; back gets the same the other way."""
+        out = np.zeros(len(x), np.int64)
+        for lo in range(0, len(x), STRIP):
+            near = (x[lo : lo + STRIP] @ y.T >= threshold) | (mine[lo : lo + STRIP, None] == theirs[None, :])
+            out[lo : lo + STRIP] = near @ copies[1]
+            back += copies[0][lo : lo + STRIP] @ near
+        return out
+
     def count(pdf):
         import pandas as pd
 
         out = []
         for _, g in pdf.groupby("component", sort=False):
-            x = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
-            ids, copies, block = g["id"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
-            lo, hi = block.min(), block.max()
-            left, right = (block == lo), (block == hi)
-            near = (x[left] @ x[right].T >= threshold) | (ids[left][:, None] == ids[right][None, :])
-            if lo == hi:
-                if int(g["lo"].iloc[0]) == int(g["hi"].iloc[0]):
-                    out.append(pd.DataFrame({"id": ids, "n": near @ copies}))
-                continue
-            out.append(pd.DataFrame({"id": ids[left], "n": near @ copies[right]}))
-            out.append(pd.DataFrame({"id": ids[right], "n": near.T @ copies[left]}))
+            x = stacked(g["unit"].tolist())
+            ids, copies, at = g["id"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
+            lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
+            left, right = at == lo, at == hi
+            back = np.zeros(int(right.sum()), np.int64)
+            n = linked(x[left], x[right], ids[left], ids[right], (copies[left], copies[right]), back)
+            out.append(pd.DataFrame({"id": ids[left], "n": n}))
+            if lo != hi:
+                out.append(pd.DataFrame({"id": ids[right], "n": back}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "n": []}).astype("int64")
 
     flat = grouped.select("unit_of_work", "id", "unit", "copies", "component", "own", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"))
     return flat.groupBy("unit_of_work").applyInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def embedding_components(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, seed: int = 11) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id): classes of vectors linked by cosine >= threshold.
 
     Cosines are taken in double precision; vectors of different lengths are never linked. Null,
@@ -183,7 +242,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, window: in
     rows, found = classes(ws, vectors)
     # a class needs a number of its own where its vec_id is null or repeated
     one = ranked(ws, found, "id", "key", name="no")
-    edges = window_edges(ws, one.select(F.col("no").alias("id"), "unit", "dim"), one._menulake_rows, threshold, window, seed)
+    edges = window_edges(ws, one, one._menulake_rows, threshold, window, block, seed)
     comps = ws.save(components(ws, edges).withColumnRenamed("node", "no"), "components")
     members = one.join(comps, "no").select(F.col("no").alias("id"), "unit", "copies", "component")
     counts = ws.save(degrees(ws, members, threshold), "degrees")
