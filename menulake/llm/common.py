@@ -76,17 +76,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(ws: Workspace, df: DataFrame, *keys, name: str = "rank", n: int | None = None) -> DataFrame:
+def ranked(ws: Workspace, df: DataFrame, *keys, name: str = "rank", n: int | None = None, copies: bool = False) -> DataFrame:
     """df with its global row number (from 0) in the order of keys, as a saved table.
 
     Range partitioning deals rows evenly whatever the keys' skew, as long as the keys together are
-    (nearly) unique; one count per partition, not per row, reaches the driver.
+    (nearly) unique; one count per partition, not per row, reaches the driver. copies: many rows may
+    agree in all keys; they are told apart by their place in the input, which must be read as it is
+    stored (a task that runs again must find its rows in the same places).
     """
     spark = ws.spark
     n = n or shuffle_partitions(spark)
+    ties = [F.col("_tie")] if copies else []
     out = ws.save(
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        (df.withColumn("_tie", F.monotonically_increasing_id()) if copies else df)
+        .repartitionByRange(n, *keys, *ties)
+        .sortWithinPartitions(*keys, *ties)
+        .drop("_tie")
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "ranked",
@@ -138,7 +143,8 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         edges, rnd = nxt, rnd + 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    # saved, so that the join deals out the nodes of a large component anew
+    least = ws.save(labels.groupBy("label").agg(F.min("node").alias("component")), "least")
     return labels.join(least, "label").select("node", "component")
 
 

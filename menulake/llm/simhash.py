@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menulake.llm.common import LOWER, Workspace, as_bytes, batch_of, components, ranked, table
@@ -27,9 +27,11 @@ WIDE_BITS, HIT_RATE, SHORT_HIT_RATE, SHORT = 2048, 0.99, 0.9999, 32
 #: Up to so many shingles the chance that a bit differs is computed exactly; above, the angle's
 #: formula is used, from which the exact chance is less than this away (0.0016 at 100 to 160).
 COUNTED, ANGLE_OFF = 128, 0.002
-#: Standard deviations by which a distance may exceed that of the threshold, and by which it must
-#: fall short of it for a pair that needs no second way to be linked.
-ABOVE, BELOW = 4.5, 5.0
+#: Standard deviations by which a candidate's distance may exceed that of the threshold.
+ABOVE = 4.5
+#: Classes, and bytes of their sets of shingles, that are verified with each other in one task; rows
+#: of fingerprints that are compared with all others at once.
+VERIFIED, VERIFIED_BYTES, STRIP = 512, 16 << 20, 64
 #: Constants of the SplitMix64 generator.
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -123,7 +125,8 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, seed: int =
     classes = ws.save(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     comps = components(ws, links(ws, classes.select("fp"), hot)).withColumnRenamed("node", "fp")
     grouped = classes.join(comps, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    firsts = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # saved, so that the join deals out the classes of a large component anew
+    firsts = ws.save(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "firsts")
     names = ws.save(grouped.join(firsts, "component").select("fp", "component_id"), "names")
     return each.join(names, "fp").select("doc_id", "fp", "component_id")
 
@@ -171,18 +174,17 @@ def differing(n_a: int, n_b: int, common: int) -> float:
 
 
 @functools.cache
-def chances(similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def chances(similarity: float) -> np.ndarray:
     """By two counts up to COUNTED: the chance of a differing bit with the fewest common shingles
-    that reach the similarity, and with one less; -1 where no number reaches it."""
-    at, under = np.full((2, COUNTED + 1, COUNTED + 1), -1.0)
+    that reach the similarity; -1 where no number reaches it."""
+    at = np.full((COUNTED + 1, COUNTED + 1), -1.0)
     for a in range(1, COUNTED + 1):
         for b in range(a, COUNTED + 1):
             least = math.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
             if least > a:
                 break
             at[a, b] = at[b, a] = differing(a, b, least)
-            under[a, b] = under[b, a] = differing(a, b, least - 1) if least else 0.0
-    return at, under
+    return at
 
 
 def split_blocks(rows: int, similarity: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +201,7 @@ def split_blocks(rows: int, similarity: float, seed: int) -> tuple[np.ndarray, n
     def blocks(differs: float, rate: float) -> int:
         return math.ceil(math.log(1 - rate) / math.log(1 - (1 - differs) ** bits)) if differs > 0 else 1
 
-    short = [blocks(float(x), SHORT_HIT_RATE if n <= SHORT else HIT_RATE) for n, x in enumerate(chances(similarity)[0].max(axis=1))]
+    short = [blocks(float(x), SHORT_HIT_RATE if n <= SHORT else HIT_RATE) for n, x in enumerate(chances(similarity).max(axis=1))]
     # the partners of the longest of these are longer still, and not among them
     usual = blocks(math.acos(2 * similarity / (1 + similarity)) / math.pi + ANGLE_OFF, HIT_RATE)
     limits = np.array([max(x, usual) if n > COUNTED * similarity else x for n, x in enumerate(short)] + [usual])
@@ -208,63 +210,63 @@ def split_blocks(rows: int, similarity: float, seed: int) -> tuple[np.ndarray, n
     return np.concatenate(splits)[: limits.max()], limits
 
 
-def distance_bounds(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(most, sure): fingerprints of a pair at the similarity differ in at most so many bits; those of
-    a pair below it in more than `sure`. Both are bounds by ABOVE and BELOW standard deviations."""
-    at, under = chances(similarity)
+def most_differing(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Fingerprints of a pair at the similarity differ in at most so many bits, by ABOVE standard
+    deviations; -1 if sets of these counts can't be that similar."""
+    at = chances(similarity)
     cosine = similarity / (1 + similarity) * (n_a + n_b) / np.sqrt(np.maximum(n_a * n_b, 1.0))
     angle = np.arccos(np.minimum(cosine, 1)) / np.pi
     counted = np.maximum(n_a, n_b) <= COUNTED
     a, b = np.minimum(n_a, COUNTED), np.minimum(n_b, COUNTED)
     reach = np.where(counted, at[a, b], np.where(np.minimum(n_a, n_b) < similarity * np.maximum(n_a, n_b) - 1e-9, -1, angle + ANGLE_OFF))
-    miss = np.maximum(np.where(counted, under[a, b], angle - ANGLE_OFF), 0)
-    spread = lambda q: np.sqrt(WIDE_BITS * np.maximum(q, 0) * (1 - q))
-    most = np.where(reach < 0, -1, WIDE_BITS * reach + ABOVE * spread(reach))
-    return most, np.minimum(WIDE_BITS * miss - BELOW * spread(miss), most)
+    spread = np.sqrt(WIDE_BITS * np.maximum(reach, 0) * (1 - reach))
+    return np.where(reach < 0, -1, WIDE_BITS * reach + ABOVE * spread)
 
 
-def similarities(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarities of shingle sets by the Hamming distances of their fingerprints."""
-    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-    common = np.cos(np.pi * differ / WIDE_BITS) * np.sqrt(n_a * n_b)
-    return common / np.maximum(n_a + n_b - common, 1e-9)
+class Union:
+    """Disjoint sets of numbers."""
 
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-def block_pairs(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """Candidate pairs (rows a, b) of rows with equal keys (sorted by key). Of the pairs well over the
-    similarity there are enough to connect what all those would; of the rest, all that could be
-    similar enough and aren't connected by those. Row i is compared with row i + lag, for each lag
-    that a key has."""
-    parent = {}
-
-    def root(x):
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    out, doubtful, i, lag = [], [], np.arange(len(key)), 0
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b weren't in one set before."""
+        ra, rb = self.root(a), self.root(b)
+        self.parent[ra] = rb
+        return ra != rb
+
+
+def block_pairs(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs (rows a, b) of rows with equal keys (sorted by key) that may be similar enough; as many as
+    it takes to connect what all such pairs would. Row i is compared with row i + lag, for each lag
+    that a key has, until pairs of its own have made the key's rows one set."""
+    sets, out = Union(), []
+    of = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(key) else key
+    apart = np.bincount(of) - 1 if len(key) else key
+    i, lag = np.arange(len(key)), 0
     while True:
         lag += 1
         i = i[i + lag < len(key)]
-        i = i[key[i] == key[i + lag]]
+        i = i[(of[i] == of[i + lag]) & (apart[of[i]] > 0)]
         if not len(i):
             break
         differ = np.bitwise_count(fps[i] ^ fps[i + lag]).sum(axis=1, dtype=np.int64)
-        most, sure = distance_bounds(n[i], n[i + lag], similarity)
-        for a, b in zip(ids[i[differ <= sure]].tolist(), ids[i[differ <= sure] + lag].tolist(), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
+        near = i[differ <= most_differing(n[i], n[i + lag], similarity)]
+        for k, a, b in zip(of[near].tolist(), ids[near].tolist(), ids[near + lag].tolist(), strict=True):
+            if sets.join(a, b):
                 out.append((a, b))
-        rest = i[(differ > sure) & (differ <= most)]
-        doubtful.append(np.stack([ids[rest], ids[rest + lag]], axis=1))
-    if doubtful:
-        out += {(a, b) for a, b in np.concatenate(doubtful).tolist() if root(a) != root(b)}
+                apart[k] -= 1
     return np.array(out, np.int64).reshape(-1, 2)
 
 
 def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float, seed: int, hot: int = HOT) -> DataFrame:
-    """Candidate edges (a, b) between classes (no, fp, n) that share a block and are near enough.
+    """Edges (a, b) that connect all classes (no, fp, n) that share a block and may be similar enough.
 
     Blocks that several classes share come to a task many at a time, as units of bounded size. A
     block of over `hot` classes is dealt into chunks, and each pair of chunks is a unit.
@@ -307,38 +309,88 @@ def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float,
     return dealt.groupBy("unit").applyInPandas(compare, "a long, b long")
 
 
+def exact_pairs(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, other: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (a, b) whose sets of shingles have this Jaccard similarity or more, as many as connect what
+    all such pairs would; nearest fingerprints first, as a pair that is connected needn't be looked
+    at. other: marks of two sides; with both, only pairs across are looked at."""
+    n = np.array([len(x) for x in sets], np.int64)
+    sides = np.unique(other)
+    left, right = (np.flatnonzero(other == sides[0]), np.flatnonzero(other == sides[-1]))
+    found = []
+    for lo in range(0, len(left), STRIP):
+        rows = left[lo : lo + STRIP]
+        differ = np.bitwise_count(fps[rows][:, None, :] ^ fps[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        near = differ <= most_differing(np.broadcast_to(n[rows][:, None], differ.shape), np.broadcast_to(n[right][None, :], differ.shape), similarity)
+        i, j = np.nonzero(near & ((rows[:, None] < right[None, :]) if len(sides) == 1 else True))
+        found.append(np.stack([differ[i, j], rows[i], right[j]]))
+    if not found:
+        return []
+    differ, a, b = np.concatenate(found, axis=1)
+    joined, out = Union(), []
+    for i, j in zip(*(x[np.lexsort((b, a, differ))].tolist() for x in (a, b)), strict=True):
+        if joined.root(i) != joined.root(j):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (n[i] + n[j] - common) - 1e-9:
+                joined.join(i, j)
+                out.append((int(ids[i]), int(ids[j])))
+                if len(out) == len(ids) - 1:
+                    break
+    return out
+
+
 def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, edges: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
-    """The edges (a, b) whose classes have sets of shingles of this Jaccard similarity or more."""
-    pairs = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    """Edges (a, b) between classes whose sets of shingles have this Jaccard similarity or more, as many
+    as connect what all such pairs of candidates would.
+
+    Candidate edges first give candidate components. Within each, all pairs of near enough
+    fingerprints are verified on the sets, unless links found before connect them. Small components
+    come to a task many at a time; a large one is dealt into chunks of bounded size, and each pair of
+    chunks is a unit of its own. So rows grow with the classes, and not with the pairs.
+    """
+    comps = ws.save(components(ws, edges).toDF("no", "component"), "candidates")
+    members = classes.select("no", "key", "fp").join(comps, "no")
 
     def sets(batches):
         seen = set()  # a repeated row has its copies in the same task
         for b in batches:
             for begin in range(0, b.num_rows, 200):
-                new = []
-                for no, text in zip(b.column(0).slice(begin, 200).to_pylist(), as_bytes(b.column(1).slice(begin, 200)), strict=True):
+                part = b.slice(begin, 200)
+                new, at = [], []
+                for i, (no, text) in enumerate(zip(part.column(0).to_pylist(), as_bytes(part.column(3)), strict=True)):
                     if no not in seen:
                         seen.add(no)
-                        new.append((no, np.unique(np.array(shingle_hashes(text or b"", words_per_shingle, seed), np.uint64)).tobytes()))
-                yield batch_of(["no", "hashes"], [[x[0] for x in new], [x[1] for x in new]], [pa.int64(), pa.binary()])
-
-    # texts and sets stream past the smaller side and are never sorted
-    needed = classes.join(ends, "no").select("no", "key").hint("shuffle_hash")
-    texts = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).join(needed, "key").select("no", "text")
-    hashes = ws.save(texts.mapInArrow(sets, "no long, hashes binary"), "sets")
+                        at.append(i)
+                        new.append(np.unique(np.array(shingle_hashes(text or b"", words_per_shingle, seed), np.uint64)).tobytes())
+                at = pa.array(at, pa.int64())
+                yield batch_of(["no", "component", "fp", "hashes"], [*(part.column(c).take(at) for c in range(3)), new], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    # texts stream past the members and are never sorted
+    texts = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).join(members.hint("shuffle_hash"), "key").select("no", "component", "fp", "text")
+    known = ws.save(texts.mapInArrow(sets, "no long, component long, fp binary, hashes binary").dropDuplicates(["no"]), "sets")
+    total = F.sum(F.length("hashes")).alias("bytes")
+    sizes = ws.save(known.groupBy("component").agg(F.count(F.lit(1)).alias("size"), total), "sizes")
+    whole = known.agg(F.count(F.lit(1)), total).first()
+    bins = whole[0] // (2 * VERIFIED) + (whole[1] or 0) // VERIFIED_BYTES + 1
+    chunks = F.greatest(F.ceil(F.col("size") / VERIFIED), F.ceil(F.col("bytes") / VERIFIED_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("no"), chunks).cast("int")
+    units = F.when(chunks <= 1, F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bins))))).otherwise(
+        F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.concat_ws("-", "component", F.least(o, own), F.greatest(o, own)))
+    )
+    dealt = known.join(sizes, "component").select("no", "component", "fp", "hashes", F.when(chunks <= 1, F.lit(0)).otherwise(own).alias("own"), F.explode(units).alias("unit"))
 
-    def similar(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def verify(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by([("component", "ascending"), ("no", "ascending")])
+        ids, component, own = (t.column(c).to_numpy() for c in ("no", "component", "own"))
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(ids), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        cuts = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1], [True]]))
+        alone = key[0].as_py().split("-")
+        if len(alone) == 3 and alone[1] != alone[2] and len(np.unique(own)) < 2:
+            cuts = cuts[:1]  # a chunk without rows, and so no pair across
+        out = [p for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for p in exact_pairs(ids[s:e], fps[s:e], sets[s:e], similarity, own[s:e])]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    both = hashes.toDF("a", "of_a").join(pairs.hint("shuffle_hash"), "a").join(hashes.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(similar, "a long, b long")
+    return dealt.select("unit", "no", "component", "fp", "hashes", "own").groupBy("unit").applyInArrow(verify, "a long, b long")
 
 
 def row_key():
@@ -359,7 +411,8 @@ def near_components(docs: DataFrame, words_per_shingle: int = 5, similarity: flo
     edges = wide_links(ws, classes, classes._menulake_rows, similarity, seed, hot)
     comps = components(ws, confirmed(ws, docs, classes, edges, words_per_shingle, similarity, seed)).withColumnRenamed("node", "no")
     grouped = classes.join(comps, "no", "left").select("fp", "n", "first_id", F.coalesce("component", "no").alias("component"))
-    firsts = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # saved, so that the join deals out the classes of a large component anew
+    firsts = ws.save(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "firsts")
     names = ws.save(grouped.join(firsts, "component").select("fp", "n", "component_id"), "names")
     return each.join(names, ["fp", "n"]).select("doc_id", "component_id")
 
@@ -367,16 +420,19 @@ def near_components(docs: DataFrame, words_per_shingle: int = 5, similarity: flo
 def keep_one(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs with one row of each near-duplicate class: that with the smallest doc_id.
 
-    Same columns as docs. Of rows that repeat the smallest doc_id of a class one stays. Rows with a
-    null doc_id stay as they are: nothing names them, so nothing can be chosen among them.
+    Same columns as docs. Of rows that repeat the smallest doc_id of a class one stays, that with the
+    smallest text (a null text is the largest), and of those that share it any. Rows with a null
+    doc_id stay as they are: nothing names them, so nothing can be chosen among them.
     """
+    names = docs.columns
     found = near_components(docs, words_per_shingle, similarity, seed)
     keep = found.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(keep, "doc_id", "left_semi").select(*names)
     repeats = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    again = kept.join(repeats, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
-    return kept.join(repeats, "doc_id", "left_anti").select(*docs.columns).unionByName(again).unionByName(docs.where("doc_id is null"))
+    # one aggregate, which each task begins on its own rows, however often an id repeats
+    order = F.struct(F.col("text").isNull(), "text")
+    again = kept.join(repeats, "doc_id", "left_semi").select(*names).groupBy("doc_id").agg(F.min_by(F.struct(*names), order).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
+    return kept.join(repeats, "doc_id", "left_anti").select(*names).unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
