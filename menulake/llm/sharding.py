@@ -31,7 +31,7 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = 7, stratum: str =
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
     ).withColumn("shuffled", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed)))
-    first = ranked(ws, rows, "stratum", "shuffled", "doc_id", "size", "text_crc32", name="row")
+    first = ranked(ws, rows, "stratum", "shuffled", "doc_id", "size", "text_crc32", name="row", copies=True)
     starts = ws.save(first.groupBy("stratum").agg(F.min("row").alias("start"), F.count(F.lit(1)).alias("n")), "strata")
     within = first.join(starts, first["stratum"].eqNullSafe(starts["stratum"])).drop(starts["stratum"])
     fraction = (2 * (F.col("row") - F.col("start")) + 1) / (2 * F.col("n"))
