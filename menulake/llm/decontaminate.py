@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import io
 import pickle
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,96 +29,135 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """A block of the benchmark: the different windows of its items."""
+    """A block of the benchmark: the different windows of its items, in word numbers."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
-        self.items: list[str] = []
-        vocab: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
+        self.items: list[str | None] = []
         windows: dict[tuple[int, ...], list[int]] = {}
-        for name, text in items:
-            ids = [vocab.setdefault(w, len(vocab) + 1) for w in words_of(text)]
-            if not ids:
-                continue
+        for name, ids in items:
             at = len(self.items)
             self.items.append(name)
             for i in range(max(1, len(ids) - window + 1)):
                 owners = windows.setdefault(tuple(ids[i : i + window]), [])
                 if not owners or owners[-1] != at:
                     owners.append(at)
-        self.vocab = vocab
         self.lengths = np.array([len(w) for w in windows], np.int64)
         self.words = np.zeros((len(windows), window), np.int64)
         for i, w in enumerate(windows):
             self.words[i, : len(w)] = w
         self.owners = list(windows.values())
-        self.shortest = int(self.lengths.min()) if len(windows) else 0
 
 
-def write_blocks(ws: Workspace, benchmark: DataFrame, window: int) -> list[str]:
-    """The benchmark as files of phrase blocks in the shared folder; one block at a time is held."""
-    paths, items, held = [], [], 0
+@dataclass(frozen=True)
+class Benchmark:
+    """Where the shared folder has the benchmark's words and its phrase blocks, and the fewest words
+    that a window has."""
 
-    def flush() -> None:
-        nonlocal items, held
-        if items:
-            store, path = fs.FileSystem.from_uri(ws.path("phrases"))
-            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(path) as out:
-                out.write(pickle.dumps(Phrases(items, window)))
-            paths.append(f"{ws.root}/{path.rsplit('/', 1)[1]}")
-        items, held = [], 0
+    words: str
+    blocks: tuple[str, ...]
+    shortest: int
 
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for item_id, text in rows.toLocalIterator():
-        data = text.encode()
-        items.append((item_id, data))
-        held += len(data)
-        if held >= BLOCK_BYTES:
-            flush()
-    flush()
-    return paths
 
+@functools.lru_cache(maxsize=1)
+def numbers_of(path: str) -> dict[bytes, int]:
+    """The benchmark's words, numbered from 1 in their order; read once in each Python worker."""
+    store, root = fs.FileSystem.from_uri(path)
+    words = ds.dataset(root, filesystem=store, format="parquet").to_table().column("word").to_pylist()
+    return {w: i + 1 for i, w in enumerate(sorted(words))}
 
+
+@functools.lru_cache(maxsize=1)
 def read_block(path: str) -> Phrases:
     store, at = fs.FileSystem.from_uri(path)
     with store.open_input_stream(at) as f:
-        return pickle.load(io.BytesIO(f.read()))
+        return pickle.loads(f.read())
+
 
+def write_blocks(ws: Workspace, benchmark: DataFrame, window: int) -> Benchmark:
+    """The benchmark in the shared folder: its different words, and its windows in blocks of phrases.
 
-def find(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of the phrases in a shard's documents: (document, first word, window number).
+    Tasks do both; a path and a number for each block reach the driver."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
-    An occurrence consists of the block's words only, so the index holds the maximal runs of such
-    words that are as long as the shortest window; nothing else can hold an occurrence.
+    def split(batches):
+        for b in batches:
+            yield batch_of(["word"], [sorted({w for t in as_bytes(b.column(1)) for w in words_of(t)})], [pa.binary()])
+
+    words = ws.save(rows.mapInArrow(split, "word binary").distinct(), "words")._menulake_path
+    folder = ws.path("phrases")
+
+    def number(batches):
+        known, context = numbers_of(words), TaskContext.get()
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        items, held, count = [], 0, 0
+
+        def flush():
+            nonlocal items, held, count
+            name = f"{context.partitionId()}-{context.taskAttemptId()}-{count}"
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write(pickle.dumps(Phrases(items, window)))
+            shortest = min(min(len(ids), window) for _, ids in items)
+            items, held, count = [], 0, count + 1
+            return batch_of(["name", "shortest"], [[name], [shortest]], [pa.string(), pa.int64()])
+
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                ids = [known[w] for w in words_of(text)]
+                if ids:
+                    items.append((item, ids))
+                    held += len(text)
+                    if held >= BLOCK_BYTES:
+                        yield flush()
+        if items:
+            yield flush()
+
+    found = sorted(rows.mapInArrow(number, "name string, shortest long").collect())
+    return Benchmark(words, tuple(f"{folder}/{name}" for name, _ in found), min((n for _, n in found), default=0))
+
+
+class Shard:
+    """The FM-index of a training shard's documents, given as lists of words.
+
+    An occurrence consists of the benchmark's words only. So the index holds the documents without
+    the other words, and without runs of words between those that are shorter than any window; no
+    match crosses what is left out.
     """
-    from menulake.llm.fm_index import FMIndex
-
-    none = np.zeros(0, np.int64)
-    if not phrases.shortest:
-        return none, none, none
-    runs, doc_at, word_at = [], [], []
-    known = phrases.vocab.get
-    for d, words in enumerate(docs):
-        if len(words) < phrases.shortest:
-            continue
-        ids = np.fromiter(map(known, words, repeat(0)), np.int32, len(words))
-        hole = np.concatenate([[-1], np.flatnonzero(ids == 0), [len(ids)]])
-        for h in np.flatnonzero(np.diff(hole) > phrases.shortest):
-            s, e = int(hole[h]) + 1, int(hole[h + 1])
-            runs.append(ids[s:e])
-            doc_at.append(d)
-            word_at.append(s)
-    if not runs:
-        return none, none, none
-    index = FMIndex(runs, len(phrases.vocab) + 1)
-    lo, hi = index.search(phrases.words, phrases.lengths)
-    counts = hi - lo
-    window = np.repeat(np.arange(len(lo)), counts)
-    rows = np.repeat(lo, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = index.locate(rows)
-    begins = np.cumsum([0] + [len(r) + 1 for r in runs])[:-1]
-    run = np.searchsorted(begins, at, side="right") - 1
-    return np.array(doc_at)[run], np.array(word_at)[run] + at - begins[run], window
+
+    def __init__(self, docs: list[list[bytes]], known: dict[bytes, int], shortest: int):
+        from menulake.llm.fm_index import FMIndex
+
+        runs, doc_at, word_at = [], [], []
+        for d, words in enumerate(docs):
+            if len(words) < shortest:
+                continue
+            ids = np.fromiter(map(known.get, words, repeat(0)), np.int32, len(words))
+            hole = np.concatenate([[-1], np.flatnonzero(ids == 0), [len(ids)]])
+            for h in np.flatnonzero(np.diff(hole) > shortest):
+                s, e = int(hole[h]) + 1, int(hole[h + 1])
+                runs.append(ids[s:e])
+                doc_at.append(d)
+                word_at.append(s)
+        self.doc_at, self.word_at = np.array(doc_at, np.int64), np.array(word_at, np.int64)
+        self.begins = np.cumsum([0] + [len(r) + 1 for r in runs])[:-1]
+        self.index = None
+        if runs:
+            self.used, own = np.unique(np.concatenate(runs), return_inverse=True)
+            self.index = FMIndex(np.split(own + 1, np.cumsum([len(r) for r in runs])[:-1]), len(self.used) + 1)
+
+    def find(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of the phrases: (document, first word, window number)."""
+        if self.index is None or not len(phrases.lengths):
+            return (np.zeros(0, np.int64),) * 3
+        at = np.minimum(np.searchsorted(self.used, phrases.words), len(self.used) - 1)
+        words = np.where(self.used[at] == phrases.words, at + 1, 0)  # 0: a word the shard hasn't, or none
+        lo, hi = self.index.search(words, phrases.lengths)
+        counts = hi - lo
+        window = np.repeat(np.arange(len(lo)), counts)
+        rows = np.repeat(lo, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = self.index.locate(rows)
+        run = np.searchsorted(self.begins, at, side="right") - 1
+        return self.doc_at[run], self.word_at[run] + at - self.begins[run], window
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -130,14 +172,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def scan_shard(texts: list[bytes | None], paths: list[str]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """For each document of a shard: its words, the removal spans in words, and the items found."""
+def scan_shard(texts: list[bytes | None], benchmark: Benchmark) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """For each document of a shard: its words, the removal spans in words, and the items found. One
+    index answers all blocks of the benchmark."""
     docs = [words_of(t) for t in texts]
     spans: dict[int, list[np.ndarray]] = {}
     items: dict[int, set[str]] = {}
-    for path in paths:
+    shard = Shard(docs, numbers_of(benchmark.words), benchmark.shortest) if benchmark.blocks else None
+    for path in benchmark.blocks:
         phrases = read_block(path)
-        doc, start, window = find(docs, phrases)
+        doc, start, window = shard.find(phrases)
         order = np.argsort(doc, kind="stable")
         doc, start, window = doc[order], start[order], window[order]
         for lo, hi in _groups(doc):
@@ -145,7 +189,7 @@ def scan_shard(texts: list[bytes | None], paths: list[str]) -> list[tuple[int, l
             spans.setdefault(d, []).append(np.stack([start[lo:hi], start[lo:hi] + phrases.lengths[window[lo:hi]]]))
             found = items.setdefault(d, set())
             for w in np.unique(window[lo:hi]).tolist():
-                found.update(phrases.items[o] for o in phrases.owners[w])
+                found.update(name for o in phrases.owners[w] if (name := phrases.items[o]) is not None)
     return [(len(w), merged(*np.concatenate(spans[d], axis=1)) if d in spans else [], sorted(items.get(d, ()))) for d, w in enumerate(docs)]
 
 
@@ -180,21 +224,23 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     """(doc_id, n_words, spans array<struct<start,end>> in words, items array<string>) per document.
 
     A word is a run of A-Z, a-z, 0-9 and non-ASCII characters, A-Z lowered. An item of the benchmark
-    gives its windows of `window` words, or all its words if it has fewer; an item without words,
-    without an id or with a null text gives none. Occurrences are exact. Null and empty texts have
+    gives its windows of `window` words, or all its words if it has fewer; an item without words or
+    with a null text gives none. Windows of an item without an id count as any, but no item is
+    named for them; an id that repeats is one item. Occurrences are exact. Null and empty texts have
     no words. Repeated rows and repeated ids each give a row; other columns are ignored. An empty
     benchmark leaves every document clean.
 
     The benchmark lies in the shared folder in blocks of bounded size; each training shard, a run
-    of consecutive rows, gets an FM-index per block. Nothing is shuffled.
+    of consecutive rows, gets one FM-index, in which all blocks are looked up. Documents aren't
+    shuffled.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
-    paths = write_blocks(ws, benchmark, window)
+    found_in = write_blocks(ws, benchmark, window)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for rows, texts in shards(batches, 1):
-            found = scan_shard(texts, paths)
+            found = scan_shard(texts, found_in)
             spans = [[{"start": s, "end": e} for s, e in x[1]] for x in found]
             yield batch_of(["doc_id", "n_words", "spans", "items"], [rows.column(0).combine_chunks(), [x[0] for x in found], spans, [x[2] for x in found]], [pa.int64(), pa.int64(), kind, pa.list_(pa.string())])
 
@@ -220,13 +266,13 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     Documents that are nothing but benchmark keep an empty text; clean documents keep theirs.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
-    paths = write_blocks(ws, benchmark, window)
+    found_in = write_blocks(ws, benchmark, window)
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
         for rows, texts in shards(batches, at):
-            found = scan_shard(texts, paths)
+            found = scan_shard(texts, found_in)
             new = [t if not x[1] else without_spans(t, x[1]) for t, x in zip(texts, found, strict=True)]
             text = pa.array(new, type=pa.binary()).cast(pa.string())
             yield from rows.set_column(at, "text", text).combine_chunks().to_batches()
