@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import gc
-import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.llm.common import Workspace, as_bytes, batch_of, table
+from menulake.llm.common import Workspace, as_bytes, batch_of, shuffle_partitions, table
 from menulake.llm.suffix_index import K, LEFT_WORDS, MIN, PLACES, RIGHT_WORDS, Family, Level, anchors_of, kmer_hashes, lanes, places, sides
 
-#: Bytes of text in a batch, anchors for which there is a bucket, buckets at least, and contexts
-#: that enter the index family at once.
-BATCH_BYTES, BUCKET_ANCHORS, MIN_BUCKETS, ADD_CONTEXTS = 4 << 20, 100_000, 256, 1 << 16
+#: Bytes of text in a batch, anchors for which there is a bucket, bits of the hash that name a bucket
+#: at least, and contexts that enter the index family at once.
+BATCH_BYTES, BUCKET_ANCHORS, MIN_BITS, ADD_CONTEXTS = 4 << 20, 100_000, 8, 1 << 16
+#: Bits of the hash that one hop of an exchange goes by at most, bits of the hops before the last, and
+#: members that are packed together between hops.
+LAST_BITS, HOP_BITS, PACKET = 10, 8, 256
 #: A null doc_id counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 FRONT, BACK = LEFT_WORDS * 8, RIGHT_WORDS * 8 + 64
@@ -65,14 +69,6 @@ class Batch:
         get = lambda name, kind: unpack(b.column(b.schema.get_field_index(name))[i].as_py(), kind)
         return cls(get("ids", np.int64), get("lens", np.int64), get("text", np.uint8), np.cumsum(get("gaps", np.uint32), dtype=np.int64))
 
-    def buckets(self, count: int) -> np.ndarray:
-        """Where each bucket's keys begin; buckets are ranges of hashes."""
-        shift = np.uint64(64 - (count.bit_length() - 1))
-        return np.searchsorted(self.keys >> shift, np.arange(count + 1, dtype=np.uint64))
-
-    def contexts(self, shared: np.ndarray) -> Contexts:
-        return Contexts(self, shared)
-
 
 class Contexts:
     """The different contexts of a batch's anchors whose hash also occurs in another document.
@@ -99,9 +95,8 @@ class Contexts:
         self.doc = np.minimum.reduceat(batch.doc[at][kind], heads) if len(heads) else np.zeros(0, np.int64)
         self.left, self.right, self.h = left[one], right[one], batch.h[at][one]
         self.first, self.last = batch.first[at][one], batch.last[at][one]
-
-    def buckets(self, count: int) -> np.ndarray:
-        return np.searchsorted(self.h >> np.uint64(64 - (count.bit_length() - 1)), np.arange(count + 1, dtype=np.uint64))
+        # the texts as they stand, from the anchor on and reversed before it
+        self.text = np.concatenate([self.right.astype(">u8").view(np.uint8), self.left.astype(">u8").view(np.uint8)], axis=1)
 
 
 def removed(batch: Batch, found: Contexts, hits: np.ndarray) -> np.ndarray:
@@ -121,7 +116,7 @@ def removed(batch: Batch, found: Contexts, hits: np.ndarray) -> np.ndarray:
 
 def make_batches(docs: DataFrame, keep_rows: bool) -> DataFrame:
     names = docs.columns
-    id_at, text_at = names.index("doc_id"), names.index("text")
+    id_at, text_at, limit = names.index("doc_id"), names.index("text"), BATCH_BYTES
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -149,7 +144,7 @@ def make_batches(docs: DataFrame, keep_rows: bool) -> DataFrame:
             for i, t in enumerate(column):
                 texts.append(t or b"")
                 held += len(t or b"")
-                if held >= BATCH_BYTES:
+                if held >= limit:
                     parts.append(b.slice(begin, i + 1 - begin))
                     yield flush()
                     parts, texts, held, begin, number = [], [], 0, i + 1, number + 1
@@ -161,66 +156,188 @@ def make_batches(docs: DataFrame, keep_rows: bool) -> DataFrame:
     return docs.mapInArrow(run, _STORE)
 
 
-def shared_keys(store: DataFrame, buckets: int) -> DataFrame:
-    """(batch, bits): for each key of each batch in order, a bit that tells whether another batch
-    has it. A batch sends a key once, however often it occurs there."""
+def parts_of(sorted_hashes: np.ndarray, done: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of the filled buckets: those of the next `bits` bits of hashes that agree in
+    the `done` bits before."""
+    if not len(sorted_hashes):
+        return
+    bucket = (sorted_hashes << np.uint64(done)) >> np.uint64(64 - bits)
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+    for s, e in zip(heads, [*heads[1:], len(bucket)], strict=True):
+        yield int(bucket[s]), s, e
 
-    def send(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                batch = Batch.read(b, i)
-                cut = batch.buckets(buckets)
-                keys = [batch.keys[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                yield batch_of(["bucket", "batch", "keys"], [list(range(buckets)), [b.column(0)[i].as_py()] * buckets, keys], [pa.int32(), pa.int64(), pa.binary()])
-
-    def meet(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-        sizes = [len(k) for k in keys]
-        everything = np.concatenate(keys)
-        order = np.argsort(everything, kind="stable")
-        s = everything[order]
-        same = s[1:] == s[:-1]
-        many = np.empty(len(s), bool)
-        many[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(s) else False
-        bits, at = [], 0
-        for n in sizes:
-            bits.append(np.packbits(many[at : at + n]).tobytes())
-            at += n
-        return pa.table({"batch": t.column("batch").cast(pa.int64()), "bucket": t.column("bucket").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-    sent = store.select("batch", "ids", "lens", "gaps", "text").mapInArrow(send, "bucket int, batch long, keys binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, bits binary")
-    return met.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("shared"))
-
-
-def flags(batch: Batch, shared: list[dict], buckets: int) -> np.ndarray:
-    cut = batch.buckets(buckets)
-    sizes = np.diff(cut).tolist()
-    return np.concatenate([np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=sizes[x["bucket"]]) for x in shared]).astype(bool) if len(batch.keys) else np.zeros(0, bool)
-
-
-def found_hits(store: DataFrame, buckets: int) -> DataFrame:
-    """(batch, hits): for each context of each batch in order, which of its windows begin in a
-    smaller document too. Each bucket's contexts pass through an index family."""
 
-    def send(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                batch = Batch.read(b, i)
-                c = batch.contexts(flags(batch, b.column(b.schema.get_field_index("shared"))[i].as_py(), buckets))
-                cut = c.buckets(buckets)
-                out = [[], [], [], []]
-                for s, e in zip(cut[:-1], cut[1:], strict=True):
-                    text = np.concatenate([c.right[s:e].astype(">u8").view(np.uint8), c.left[s:e].astype(">u8").view(np.uint8)], axis=1)
-                    for column, value in zip(out, (text, c.first[s:e].astype(np.uint8), c.last[s:e].astype(np.uint8), c.doc[s:e]), strict=True):
-                        column.append(pack(value))
-                yield batch_of(["bucket", "batch", "text", "first", "last", "doc"], [list(range(buckets)), [b.column(0)[i].as_py()] * buckets, *out], [pa.int32(), pa.int64(), *[pa.binary()] * 4])
-
-    def meet(t: pa.Table) -> pa.Table:
-        family, waiting, size = Family(), [], 0
-        order = np.argsort(t.column("batch").to_numpy(), kind="stable").tolist()
-        counts = {}
-        begin = 0
+class Exchange:
+    """How members (batches, or packets of them) ask buckets of hashes a question, in their order of
+    hashes, and get as many answers.
+
+    A hop sends rows (node, member, payload), only where there is anything to send. Where all buckets
+    together are more than LAST_BITS can name, a hop goes by HOP_BITS of the hash only; packets of
+    about PACKET members of a node then join their payloads into one, in which equal entries are one,
+    and ask in turn. So a member sends a bounded number of rows at each hop, however many buckets
+    there are, and a hash that many batches have shrinks by the packet at each hop.
+    """
+
+    payload: str  # type of the payload in SQL
+    arrow = pa.binary()
+
+    def hashes(self, payload) -> np.ndarray:
+        """The hashes of a payload's entries, sorted."""
+        raise NotImplementedError
+
+    def slice(self, payload, begin: int, end: int):
+        raise NotImplementedError
+
+    def join(self, payloads: list) -> tuple[object, object]:
+        """(the different entries of several payloads, sorted by hash; what `split` needs)."""
+        raise NotImplementedError
+
+    def split(self, kept, answers: bytes) -> list[bytes]:
+        """Each payload's answers from those of the joined one."""
+        raise NotImplementedError
+
+    def cat(self, answers: list[tuple[int, bytes, int]]) -> bytes:
+        """The answers of parts, in order of their buckets, as one."""
+        raise NotImplementedError
+
+    def answer(self, payloads: list) -> list[bytes]:
+        """The answers of a last bucket to all its members."""
+        raise NotImplementedError
+
+    def sent(self, member: int, payload, done: int, bits: int, node: int = 0) -> pa.RecordBatch:
+        found = list(parts_of(self.hashes(payload), done, bits))
+        return batch_of(["node", "member", "payload", "n"], [[node << bits | b for b, *_ in found], [member] * len(found), [self.pack(self.slice(payload, s, e)) for _, s, e in found], [e - s for _, s, e in found]], [pa.int64(), pa.int64(), pa.binary(), pa.int64()])
+
+    def pack(self, payload) -> bytes:
+        raise NotImplementedError
+
+    def unpack(self, data: bytes):
+        raise NotImplementedError
+
+    def answers(self, sent: DataFrame, members: int, done: int, rest: int) -> DataFrame:
+        """(node, member, answer, n) for the rows of sent, whose nodes are of the first `done` bits, with
+        `rest` bits to go."""
+        kind = "node long, member long, answer binary, n long"
+        if not rest:
+
+            def meet(t: pa.Table) -> pa.Table:
+                t = t.sort_by("member")  # the same order whenever a task runs
+                data = self.answer([self.unpack(x) for x in t.column("payload").to_pylist()])
+                return pa.table({"node": t.column("node"), "member": t.column("member"), "answer": pa.array(data, pa.binary()), "n": t.column("n")})
+
+            return sent.groupBy("node").applyInArrow(meet, kind)
+        bits = rest if rest <= LAST_BITS else HOP_BITS
+        packets = members // PACKET + 1
+        dealt = sent.withColumn("packet", F.pmod(F.xxhash64("member"), F.lit(packets)))
+
+        def joined(t: pa.Table) -> tuple[pa.Table, object, object]:
+            t = t.sort_by("member")
+            return t, *self.join([self.unpack(x) for x in t.column("payload").to_pylist()])
+
+        def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            _, payload, _ = joined(t)
+            out = self.sent(key[1].as_py(), payload, done, bits, key[0].as_py())
+            return pa.Table.from_batches([out])
+
+        def tell(key: tuple[pa.Scalar, ...], t: pa.Table, found: pa.Table) -> pa.Table:
+            t, _, kept = joined(t)
+            found = found.sort_by("node")
+            got = self.cat(list(zip(found.column("node").to_pylist(), found.column("answer").to_pylist(), found.column("n").to_pylist(), strict=True)))
+            return pa.table({"node": t.column("node"), "member": t.column("member"), "answer": pa.array(self.split(kept, got), pa.binary()), "n": t.column("n")})
+
+        asked = dealt.groupBy("node", "packet").applyInArrow(ask, "node long, member long, payload binary, n long")
+        below = self.answers(asked, packets, done + bits, rest - bits).withColumn("up", F.shiftright("node", bits))
+        return dealt.groupBy("node", "packet").cogroup(below.groupBy("up", "member")).applyInArrow(tell, kind)
+
+
+class SharedKeys(Exchange):
+    """Asks for each hash of a member whether another one has it; a bit each."""
+
+    def hashes(self, payload):
+        return payload
+
+    def slice(self, payload, begin, end):
+        return payload[begin:end]
+
+    def pack(self, payload):
+        return payload.tobytes()
+
+    def unpack(self, data):
+        return np.frombuffer(data, np.uint64)
+
+    def join(self, payloads):
+        keys, at, count = np.unique(np.concatenate(payloads), return_inverse=True, return_counts=True)
+        return keys, (at, count > 1, [len(p) for p in payloads])
+
+    def split(self, kept, answers):
+        at, here, sizes = kept
+        many = (self.bits(answers, len(here)) | here)[at]
+        return [np.packbits(x).tobytes() for x in np.split(many, np.cumsum(sizes)[:-1])]
+
+    @staticmethod
+    def bits(data: bytes, n: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+    def cat(self, answers):
+        return np.packbits(np.concatenate([np.zeros(0, bool), *(self.bits(data, n) for _, data, n in answers)])).tobytes()
+
+    def answer(self, payloads):
+        _, (at, here, sizes) = self.join(payloads)
+        return [np.packbits(x).tobytes() for x in np.split(here[at], np.cumsum(sizes)[:-1])]
+
+
+class ContextHits(Exchange):
+    """Asks for each context of a member which of its windows begin in a smaller document too; a bit
+    for each place of the anchor, in 64 bits. A payload is (text, first, last, doc) of its contexts."""
+
+    FIELDS = (("text", np.uint8), ("first", np.uint8), ("last", np.uint8), ("doc", np.int64))
+
+    def hashes(self, payload):
+        return kmer_hashes(np.ascontiguousarray(payload[0][:, :K]).view("<u8"), (slice(None), 0), (slice(None), 1)) if len(payload[3]) else np.zeros(0, np.uint64)
+
+    def slice(self, payload, begin, end):
+        return tuple(x[begin:end] for x in payload)
+
+    def pack(self, payload):
+        return pack(np.int64(len(payload[3])).tobytes() + b"".join(np.ascontiguousarray(x, kind).tobytes() for x, (_, kind) in zip(payload, self.FIELDS, strict=True)))
+
+    def unpack(self, data):
+        raw = unpack(data)
+        n, at, out = int(raw[:8].view(np.int64)[0]), 8, []
+        for name, kind in self.FIELDS:
+            size = n * ((RIGHT_WORDS + LEFT_WORDS) * 8 if name == "text" else np.dtype(kind).itemsize)
+            part = np.frombuffer(raw[at : at + size].tobytes(), kind)
+            out.append(part.reshape(n, -1) if name == "text" else part)
+            at += size
+        return tuple(out)
+
+    def join(self, payloads):
+        text, first, last, doc = (np.concatenate(x) for x in zip(*payloads, strict=True))
+        h = self.hashes((text, first, last, doc))
+        words = text.view(">u8").astype(np.uint64)
+        limits = first.astype(np.uint64) << np.uint64(8) | last
+        order = np.lexsort([limits, *words.T[::-1], h])
+        same = np.zeros(len(order), bool)
+        same[1:] = (words[order][1:] == words[order][:-1]).all(axis=1) & (limits[order][1:] == limits[order][:-1])
+        heads = np.flatnonzero(~same)
+        least = np.minimum.reduceat(doc[order], heads) if len(heads) else doc
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(~same) - 1
+        one = order[heads]
+        return (text[one], first[one], last[one], least), (at, doc > least[at] if len(doc) else np.zeros(0, bool), [len(p[3]) for p in payloads])
+
+    def split(self, kept, answers):
+        at, later, sizes = kept
+        found = unpack(answers, np.uint64)
+        hits = np.where(later, ~np.uint64(0), found[at])  # a smaller document has the whole context
+        return [pack(x) for x in np.split(hits, np.cumsum(sizes)[:-1])]
+
+    def cat(self, answers):
+        return pack(np.concatenate([np.zeros(0, np.uint64), *(unpack(data, np.uint64) for _, data, _ in answers)]))
+
+    def answer(self, payloads):
+        """All contexts of the bucket pass through an index family, as many at a time as come together."""
+        family, waiting, size, begin, sizes = Family(), [], 0, 0, []
 
         def add():
             nonlocal waiting, size
@@ -228,12 +345,10 @@ def found_hits(store: DataFrame, buckets: int) -> DataFrame:
                 family.add(Level(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
             waiting, size = [], 0
 
-        for r in order:
-            text, first, last, doc = (t.column(c)[r].as_py() for c in ("text", "first", "last", "doc"))
-            doc = unpack(doc, np.int64)
-            words = unpack(text).reshape(len(doc), -1).view(">u8").astype(np.uint64) if len(doc) else np.zeros((0, RIGHT_WORDS + LEFT_WORDS), np.uint64)
-            counts[r] = (begin, len(doc))
-            waiting.append((words[:, RIGHT_WORDS:], words[:, :RIGHT_WORDS], unpack(first).astype(np.int64), unpack(last).astype(np.int64), doc, np.arange(begin, begin + len(doc))))
+        for text, first, last, doc in payloads:
+            words = text.view(">u8").astype(np.uint64) if len(doc) else np.zeros((0, RIGHT_WORDS + LEFT_WORDS), np.uint64)
+            waiting.append((words[:, RIGHT_WORDS:], words[:, :RIGHT_WORDS], first.astype(np.int64), last.astype(np.int64), doc, np.arange(begin, begin + len(doc))))
+            sizes.append(len(doc))
             begin, size = begin + len(doc), size + len(doc)
             if size >= ADD_CONTEXTS:
                 add()
@@ -242,12 +357,49 @@ def found_hits(store: DataFrame, buckets: int) -> DataFrame:
         hits = np.zeros(begin, np.uint64)
         if level is not None:
             hits[level.name] = level.hit
-        data = [pack(hits[s : s + n]) for s, n in (counts[r] for r in range(t.num_rows))]
-        return pa.table({"batch": t.column("batch").cast(pa.int64()), "bucket": t.column("bucket").cast(pa.int32()), "hits": pa.array(data, pa.binary())})
+        return [pack(x) for x in np.split(hits, np.cumsum(sizes)[:-1])]
+
+
+_READ = ("batch", "ids", "lens", "gaps", "text")
 
-    sent = store.select("batch", "ids", "lens", "gaps", "text", "shared").mapInArrow(send, "bucket int, batch long, text binary, first binary, last binary, doc binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, hits binary")
-    return met.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "hits"))).alias("hits"))
+
+def asked(ws: Workspace, store: DataFrame, exchange: Exchange, question: Callable, members: int, bits: int, label: str) -> str:
+    """The folder of the answers to what `question(batch, number)` asks for each batch of the store."""
+    first = bits if bits <= LAST_BITS else HOP_BITS
+
+    def send(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                number = b.column(0)[i].as_py()
+                yield exchange.sent(number, question(Batch.read(b, i), number), 0, first)
+
+    sent = store.select(*_READ).mapInArrow(send, "node long, member long, payload binary, n long")
+    found = exchange.answers(sent, members, first, bits - first)
+    # by the partition that has the batch, whose tasks read them there
+    path = ws.path(label)
+    part = F.shiftright("member", 32)
+    found.select(part.alias("part"), "member", "node", "answer", "n").repartition(shuffle_partitions(ws.spark), "part").sortWithinPartitions("part", "member", "node").write.partitionBy("part").parquet(path)
+    return path
+
+
+class Answers:
+    """The answers to one batch after another, from the folder of the batch's partition."""
+
+    def __init__(self, path: str, exchange: Exchange):
+        self.path, self.exchange, self.part = path, exchange, None
+
+    def __call__(self, number: int) -> bytes:
+        if self.part != number >> 32:
+            self.part = number >> 32
+            store, root = fs.FileSystem.from_uri(f"{self.path}/part={self.part}")
+            found = store.get_file_info(root).type != fs.FileType.NotFound  # else no batch there asked anything
+            self.table = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["member", "node", "answer", "n"]).sort_by([("member", "ascending"), ("node", "ascending")]) if found else None
+        if self.table is None:
+            return self.exchange.cat([])
+        members = self.table.column("member").to_numpy()
+        lo, hi = np.searchsorted(members, [number, number + 1])
+        rows = self.table.slice(int(lo), int(hi - lo))
+        return self.exchange.cat(list(zip(rows.column("node").to_pylist(), rows.column("answer").to_pylist(), rows.column("n").to_pylist(), strict=True)))
 
 
 def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -258,43 +410,45 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 def each_document(docs: DataFrame, finish, schema: str, keep_rows: bool = False) -> DataFrame:
     """finish(batch, removed bytes, other columns) gives the result's record batch of each batch.
 
-    1. Documents are stored in batches with their anchors. 2. Batches send their anchors' hashes to
-    buckets (ranges of hashes) and learn which of them other batches have. 3. They send the contexts
-    of such anchors, each different one once, and the buckets' index families tell which windows
-    smaller documents have. 4. Each batch marks its bytes. Buckets grow in number with the anchors,
-    so that each holds a bounded count of different hashes; what travels is one blob for each batch
-    and bucket, and a passage that many documents share counts once a batch.
+    1. Documents are stored in batches with their anchors. 2. Batches ask buckets of hashes which of
+    their anchors' hashes other batches have. 3. They ask them with the contexts of such anchors,
+    each different one once, and the buckets' index families tell which windows smaller documents
+    have. 4. Each batch marks its bytes. Buckets grow in number with the anchors, so that each holds
+    a bounded count of different hashes; the texts never move, and answers are read from the shared
+    folder, by the partition that asked.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "suffix")
+    ws = Workspace(docs.sparkSession, "suffix")
     store = ws.save(make_batches(docs, keep_rows), "batches")
-    anchors = store.agg(F.sum("anchors")).first()[0] or 0
-    buckets = MIN_BUCKETS
-    while buckets * BUCKET_ANCHORS < anchors:
-        buckets *= 2
-    shared = ws.save(shared_keys(store, buckets), "shared")
-    release(spark)
-    hits = ws.save(found_hits(store.join(shared, "batch"), buckets), "hits")
-    release(spark)
+    count, anchors = store.agg(F.count(F.lit(1)), F.sum("anchors")).first()
+    bits = max(MIN_BITS, ((anchors or 0) // BUCKET_ANCHORS).bit_length())
+    keys, hits = SharedKeys(), ContextHits()
+    shared = asked(ws, store, keys, lambda batch, _: batch.keys, count, bits, "shared")
+
+    def contexts() -> Callable[[Batch, int], Contexts]:
+        answers = Answers(shared, keys)
+        return lambda batch, number: Contexts(batch, keys.bits(answers(number), len(batch.keys)))
+
+    def question() -> Callable:
+        of: list = []
+
+        def ask(batch: Batch, number: int):
+            of[:] = of or [contexts()]
+            c = of[0](batch, number)
+            return c.text, c.first, c.last, c.doc
+
+        return ask
+
+    found = asked(ws, store, hits, question(), count, bits, "hits")
 
     def apply(batches):
+        own, answers = contexts(), Answers(found, hits)
         for b in batches:
             for i in range(b.num_rows):
-                get = lambda name: b.column(b.schema.get_field_index(name))[i].as_py()  # noqa: B023, E731
-                batch = Batch.read(b, i)
-                c = batch.contexts(flags(batch, get("shared"), buckets))
-                hit = np.concatenate([unpack(x["hits"], np.uint64) for x in get("hits")])
-                yield from finish(batch, removed(batch, c, hit), get("rows"))
-
-    return store.join(shared, "batch").join(hits, "batch").select("batch", "ids", "lens", "gaps", "text", "rows", "shared", "hits").mapInArrow(apply, schema)
-
+                batch, number = Batch.read(b, i), b.column(0)[i].as_py()
+                c = own(batch, number)
+                yield from finish(batch, removed(batch, c, unpack(answers(number), np.uint64)), b.column(5)[i].as_py())
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)  # the cleaner works beside the driver
+    return store.select(*_READ, "rows").mapInArrow(apply, schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -88,12 +88,14 @@ def sides(padded: np.ndarray, front: int, pos: np.ndarray, first: np.ndarray, la
     return left.view(">u8").astype(np.uint64), right.view(">u8").astype(np.uint64)
 
 
-def sorted_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sorted_order(words: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The lexicographic order of rows, and each sorted row's common bytes with the one before.
 
-    Word by word; only rows that are still tied are sorted further."""
+    Word by word; only rows that are still tied are sorted further. start: rows in an order that is
+    made of sorted runs, which the stable sort merges in one pass instead of sorting anew."""
     n, width = words.shape
-    order = np.argsort(words[:, 0], kind="stable") if n else np.zeros(0, np.int64)
+    start = np.arange(n) if start is None else start
+    order = start[np.argsort(words[start, 0], kind="stable")] if n else np.zeros(0, np.int64)
     lcp = np.zeros(n, np.int64)
     if not n:
         return order, lcp
@@ -131,33 +133,38 @@ def _common_bytes(x: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """Contexts of anchors in suffix order. doc: the smallest document that a context occurs in;
-    name: numbers its creator gives; hit: bit a is set if the window from a bytes before the anchor
-    begins in a smaller document too, so far as merged."""
+    """Contexts of anchors, with their suffix orders. doc: the smallest document that a context occurs
+    in; name: numbers its creator gives; hit: bit a is set if the window from a bytes before the
+    anchor begins in a smaller document too, so far as merged; by_right, by_left: the orders of the
+    text from the anchor on and, reversed, before it."""
 
     def __init__(self, left, right, first, last, doc, name, batches: int = 1):
         self.left, self.right, self.first, self.last = left, right, first, last
         self.doc, self.name, self.batches = doc, name, batches
         self.hit = np.zeros(len(doc), np.uint64)
+        self.by_right = self.by_left = None
 
     @classmethod
     def merged(cls, parts: list[Level]) -> Level:
         out = cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("left", "right", "first", "last", "doc", "name")), sum(p.batches for p in parts))
         out.hit = np.concatenate([p.hit for p in parts])
+        begins = np.cumsum([0, *(len(p.doc) for p in parts)]).tolist()
+        out.by_right, out.by_left = (np.concatenate([getattr(p, f) + b for p, b in zip(parts, begins, strict=False)]) for f in ("by_right", "by_left"))
         return out
 
     def scan(self) -> None:
-        """Finds equal windows among the contexts by both orders and their common prefixes."""
+        """Finds equal windows among the contexts by both orders and their common prefixes. A level
+        merged from others merges their orders."""
         n = len(self.doc)
-        by_right, right_lcp = sorted_order(self.right)
-        by_left, left_lcp = sorted_order(self.left)
+        self.by_right, right_lcp = sorted_order(self.right, self.by_right)
+        self.by_left, left_lcp = sorted_order(self.left, self.by_left)
         for a in range(PLACES):
             rows = np.flatnonzero((self.first <= a) & (a <= self.last))
             if len(rows) < 2:
                 continue
             right, left = np.empty(n, np.int64), np.empty(n, np.int64)
-            right[by_right] = np.cumsum(right_lcp < MIN - a)
-            left[by_left] = np.cumsum(left_lcp < a) if a else 0
+            right[self.by_right] = np.cumsum(right_lcp < MIN - a)
+            left[self.by_left] = np.cumsum(left_lcp < a) if a else 0
             key = left[rows] << 32 | right[rows]
             order = np.argsort(key, kind="stable")
             key = key[order]
