@@ -85,8 +85,19 @@ def test_op1_odd_rows(spark, odd, none):
     assert len(got) == 10 and [r["items"] for r in got if r.doc_id == 4 and r.n_words == 3] == [["4"]]
     assert decontaminate.benchmark_spans(none, bench).count() == 0
     assert all(not r.spans for r in decontaminate.benchmark_spans(odd, bench.limit(0)).collect())
-    clean = decontaminate.remove_benchmark(odd, bench)
+    clean = decontaminate.remove_benchmark(odd, bench.where("item_id is not null"))
     assert clean.columns == odd.columns and "other" in [r.text for r in clean.where("doc_id = 4").collect()]
+    # an item without an id takes part, but isn't named
+    assert sorted(r.text for r in decontaminate.remove_benchmark(odd, bench).where("doc_id = 4").collect())[0] == ""
+    twice = spark.createDataFrame([(1, "haus mit"), (1, "garten steht"), (2, "haus mit")], "item_id long, text string")
+    assert {tuple(r["items"]) for r in decontaminate.benchmark_spans(odd.where("doc_id = 3"), twice).collect()} == {("1", "2")}
+
+
+def test_op1_in_many_blocks_and_shards_is_the_same(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {r.doc_id: (r.n_words, r.spans, r["items"]) for r in decontaminate.benchmark_spans(docs, bench).collect()}
+    got = decontaminate.benchmark_spans(docs.repartition(5), bench.repartition(7)).collect()  # a block a task
+    assert {r.doc_id: (r.n_words, r.spans, r["items"]) for r in got} == want
 
 
 def test_op2_law_mixture_and_odd_rows(spark, odd, none):
@@ -182,17 +193,82 @@ def test_op6_padding_does_not_follow_the_layout(spark):
     assert all(r[1] <= 2048 for r in rows) and sum(r[1] for r in rows) > 0.99 * 2048 * len(rows)
 
 
+def shape(body):
+    return f"<html><head><title>t</title></head><body><nav><a>Home</a></nav>{body}<footer>&copy; x</footer></body></html>"
+
+
+PAGES = "page_id long, url string, html string"
+
+
 def test_op4(spark):
-    page = lambda body: f"<html><head><title>t</title></head><body><nav><a>Home</a></nav>{body}<footer>&copy; x</footer></body></html>"
+    other = shape("<div>Shared line</div><p>Own line</p><p>Tail</p>")
     rows = [
-        (1, "http://h.x/a/1", page("<div class='ad'>Buy</div><article><h1>One &amp; two</h1><p>a\n b<br>c<p>d<script>var t='</p>';</script></article><section id=comments><p>nice</p></section>")),
-        (2, "http://h.x/a/2", page("<div>Shared line</div><p>Own line</p><p>Tail</p>")),
-        (3, "http://h.x/a/3", page("<div>Shared line</div><p>Third</p><p>Tail</p>")),
-        (4, None, None), (5, "http://[bad", ""), (2, "http://h.x/a/2", page("<div>Shared line</div><p>Own line</p><p>Tail</p>")),
+        (1, "http://h.x/a/1", shape("<div class='ad'>Buy</div><article><h1>One &amp; two</h1><p>a\n b<br>c<p>d<script>var t='</p>';</script></article><section id=comments><p>nice</p></section>")),
+        (2, "http://h.x/a/2", other), (3, "http://h.x/a/3", shape("<div>Shared line</div><p>Third</p><p>Tail</p>")), (4, None, None), (5, "http://[bad", ""), (2, "http://h.x/a/2", other), (None, "http://h.x/a/2", other),
     ]
-    got = sorted((r.page_id, r.text) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    assert got == [(1, "One & two\na b c\nd"), (2, "Own line"), (2, "Own line"), (3, "Third"), (4, ""), (5, "")]
-    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    # other columns, also of names that the operator uses, are ignored
+    pages = spark.createDataFrame([(*r, "x", 1, None) for r in rows], f"{PAGES}, host string, list int, text string")
+    got = sorted(((r.page_id or 0, r.text) for r in html_text.main_text(pages).collect()))
+    assert got == [(0, "Own line"), (1, "One & two\na b c\nd"), (2, "Own line"), (2, "Own line"), (3, "Third"), (4, ""), (5, "")]
+    assert html_text.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<div class='layout with-sidebar'><article><h1>T</h1><p>a</p></article></div>", "T\na"),
+        ("<div id=page class=menu-closed><article><p>a</p></article></div>", "a"),
+        ("<article class='post has-comments'><p>a</p></article>", "a"),
+        ("<article><div class='article-header'><h1>T</h1></div><p class=notice>n</p><p class='search-engines'>s</p></article>", "T\nn\ns"),
+        ("<div class=sidebar>links<div class=ad>Buy</div><article><h1>One</h1><p>b<p>c</article></div><section id=comments><article class=comment><p>nice</article></section>", "One\nb\nc"),
+        ("<article><p>x</p><div id=comments><p>c</p></div><section class='comment-list'>q</section><div class='ad-slot'>z</div><footer>tags</footer></article>", "x"),
+        ("<form id=f><div class=header><h1>T</h1></div><p>text &lt;b&gt; <span class=ad>buy</span>now</p><div class=footer>f</div></form>", "T\ntext <b> now"),
+        ("<main><h1>T</h1><article><p>x</article><div class=related>r</div></main>", "T\nx"),
+        ("<nav><ul><li>open for ever<h1>T</h1><p>text</p>", "Home\nopen for ever\nT\ntext"),
+        ("<article><p>" + "very long " * 200_000 + "</p></article>", ("very long " * 200_000).strip()),
+        ("<p>" * 2000 + "<div class=ad>" * 3000 + "x", ""),
+    ],
+)
+def test_op4_structure(body, text):
+    page = shape(body) if "for ever" not in body else "<p>Home</p>" + body
+    assert html_text.text_of(*(lambda found: (html_text.zstandard.compress(bytes(r for _, r in found) + "\n".join(x for x, _ in found).encode()), bytes(len(found))))(html_text.lines_of(page))) == text
+
+
+def test_op4_differencing_decides_equals_brute_force(spark):
+    """Pages with and without article elements, hosts of one path, and runs of copies."""
+    rng = random.Random(13)
+    rows = []
+    for h in range(6):
+        menu = [f"menu {h} {i}" for i in range(6)]
+        for i in range(40):
+            own = [f"text {h} {i} {j}" for j in range(rng.randint(0, 5))]
+            lines = [x for x in menu[:3] if rng.random() < 0.9] + own + [x for x in menu[3:] if rng.random() < 0.9]
+            body = "".join(f"<p class='{rng.choice(['', 'lead', 'notice'])}'>{x}</p>" for x in lines)
+            url = f"http://h{h}/index.php?id={i:03d}" if h % 2 else f"http://h{h}/{rng.choice('abc')}/{i}"
+            page = shape(f"<article>{body}</article>" if h > 3 and i % 3 else f"<div>{body}</div>")
+            rows += [(len(rows) + n, f"{url}{'x' * n}", page) for n in range(rng.choice([1, 1, 1, 4]))]
+    first = {}
+    found = {}
+    for page_id, url, page in rows:
+        host, path = html_text.address(url)
+        lines = html_text.lines_of(page)
+        name = (host, tuple(x for x, _ in lines))
+        found[page_id] = (name, lines)
+        first[name] = min(first.get(name, "~"), path)
+    want = {}
+    for page_id, (name, lines) in found.items():
+        def digest(n):
+            return html_text.xxhash.xxh3_128_digest(n[0].encode() + b"\0" + np.array([html_text.key_of(x) for x in n[1]], np.int64).tobytes())
+
+        order = sorted((n for n in first if n[0] == name[0]), key=lambda n: (first[n], digest(n)))
+        i = order.index(name)
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(order)]
+        best = max(near, key=lambda j: (html_text.common(first[name], first[order[j]]), len(set(name[1]) & set(order[j][1])), -j))
+        there = set(order[best][1])  # lines are different within a page and in one order, so all shared ones align
+        stay = [x for x, rule in lines if rule == 0 or rule == 1 and x not in there]
+        want[page_id] = "\n".join(stay or [x for x, rule in lines if rule != 2])
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGES).repartition(7)).collect()}
+    assert got == want and sum("menu" not in t and t != "" for t in got.values()) > 100
 
 
 def test_lcs_is_longest():
@@ -203,7 +279,11 @@ def test_lcs_is_longest():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert len(html_text.shared_lines(a, b)) == t[-1][-1]
+        for held in (1 << 27, 6):  # whole, and cut in two
+            found = html_text.shared_lines(a, b, held)
+            assert len(found) == t[-1][-1]
+            rest = iter(b)
+            assert all(a[i] in rest for i in sorted(found))
 
 
 def test_op5_held_out(spark, odd, none):
@@ -284,19 +364,24 @@ def test_op7_scores_equal_brute_force(spark):
         assert abs(r.score - want) < 1e-9
 
 
-def test_block_max_is_exact():
+def test_block_max_is_exact(monkeypatch):
     rng = np.random.default_rng(3)
     make = lambda n: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(rng.random((n, 30)) * (rng.random((n, 30)) < 0.15))
     x, q = make(500), make(80)
     sparse = lambda m: [(np.flatnonzero(v), v[v > 0]) for v in m]
-    index = toxicity.BlockMaxIndex(sparse(x), 30)
-    for v, (terms, weights) in zip(q, sparse(q), strict=True):
-        cosines = x @ v
-        order = np.lexsort((np.arange(500), -cosines.round(12)))[:8]
-        found, who = index.nearest(terms, weights, 8)
-        np.testing.assert_allclose(found, cosines[order][cosines[order] > 0], atol=1e-12)
-        other, _ = index.nearest(terms, weights, 8, without=int(who[0])) if len(who) else ([], [])
-        np.testing.assert_allclose(other, np.sort(np.delete(cosines, who[:1]))[::-1][:8][: len(other)], atol=1e-12)
+    for frequent in (4, 16, 10**6):  # most terms as lists, some, none
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        index = toxicity.BlockMaxIndex(sparse(x), 30)
+        found = index.nearest(sparse(q), 8)
+        others = index.nearest(sparse(q), 8, np.array([who[0] if len(who) else 0 for _, who in found]))
+        for v, (got, who), (rest, _) in zip(q, found, others, strict=True):
+            cosines = x @ v
+            best = -np.sort(-cosines)[:8]
+            np.testing.assert_allclose(got, best[best > 0], atol=1e-12)
+            np.testing.assert_allclose(got, cosines[who], atol=1e-12)
+            if len(who):
+                best = -np.sort(-np.delete(cosines, who[0]))[:8]
+                np.testing.assert_allclose(rest, best[best > 0], atol=1e-12)
 
 
 def brute_spans(rows):
@@ -310,26 +395,49 @@ def brute_spans(rows):
         for i in range(len(t) - 49):
             if first[t[i : i + 50]] < d:
                 gone[i : i + 50] = True
-        out[d] = (len(t), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
+        runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+        out[d] = (len(t), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
     return out
 
 
 def test_op8_equals_brute_force(spark, texts, odd, none):
     want = brute_spans([(d, t.encode()) for d, t in texts])
     for r in suffix_dedup.op8_suffix_array_dedup(spark, SF).collect():
-        assert (r.n_bytes, r.n_removed, r.kept_sha256) == want[r.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
     rng = random.Random(6)
     base = ["".join(rng.choice("ab ") for _ in range(400)) for _ in range(3)]
     rows = [(i, "".join(rng.choice(base)[(s := rng.randint(0, 300)) : s + rng.randint(20, 100)] for _ in range(6)) + "a" * rng.choice([0, 120])) for i in range(30)]
     want = brute_spans([(d, t.encode()) for d, t in rows])
     for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
-        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
+        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
     got = {r.doc_id: r for r in suffix_dedup.repeated_spans(odd).collect()}
     assert got[8].spans[0].end == 160 and not got[3].spans and suffix_dedup.repeated_spans(none).count() == 0
     kept = suffix_dedup.remove_repeats(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 8").first().text == "z"
 
 
+def test_op8_exchange_in_several_hops_equals_brute_force(spark, monkeypatch):
+    """Small batches, many buckets, and packets between the hops."""
+    for name, value in {"BATCH_BYTES": 2000, "BUCKET_ANCHORS": 8, "LAST_BITS": 2, "HOP_BITS": 2, "PACKET": 3, "MIN_BITS": 5}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(16)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(6)]
+    rows = [(i, "".join(rng.choice(base)[(s := rng.randint(0, 400)) : s + rng.randint(20, 120)] for _ in range(8)) + "z" * rng.choice([0, 0, 150])) for i in range(80)]
+    want = brute_spans([(d, t.encode()) for d, t in rows])
+    for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect():
+        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
+
+
+def test_exchange_rows_follow_the_members():
+    """What a member sends at a hop is bounded, whatever the number of buckets."""
+    keys, rng = suffix_dedup.SharedKeys(), np.random.default_rng(17)
+    for bits in (8, suffix_dedup.LAST_BITS):
+        sent = keys.sent(7, np.unique(rng.integers(1 << 63, size=200_000, dtype=np.uint64) * np.uint64(2)), 0, bits)
+        assert sent.num_rows == 1 << bits and sum(sent.column("n").to_pylist()) == 200_000
+    few = keys.sent(7, np.array([5, 6, 1 << 63], np.uint64), 0, 10)  # only filled buckets get a row
+    assert few.column("node").to_pylist() == [0, 512] and few.column("n").to_pylist() == [2, 1]
+
+
 def test_family_merges_geometrically():
     from menulake.llm.suffix_index import Family, Level
 
@@ -444,39 +552,100 @@ def test_near_components_of_short_texts_equal_brute_force(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
-def test_similarity_estimates_follow_the_shingles(spark):
-    rng = random.Random(11)
-    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
-    for n in (0, 4, 8, 12, 20):
-        a, b = (" ".join(w).encode() for w in (base, edited(rng, base, n)))
-        shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a.split(), b.split())]
-        exact = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
-        (fa, na), (fb, nb) = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
-        found = simhash.similarities(*(np.frombuffer(f, np.uint64)[None] for f in (fa, fb)), np.array([na]), np.array([nb]))[0]
-        assert abs(found - exact) < 0.09
-
-
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 299)]
     got = {r.node: r.component for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(30)) and got[300] == 299
 
 
-def test_op10_equals_brute_force(spark, monkeypatch):
+def units_of(rows):
+    """Unit vectors of the rows that can link, by number of row."""
+    out = {}
+    for i, (_, v, *_) in enumerate(rows):
+        x = np.array([np.nan if y is None else y for y in v or []], np.float64)
+        if len(x) and np.isfinite(x).all() and x.any():
+            x = x / np.abs(x).max()
+            out[i] = x / np.linalg.norm(x)
+    return out
+
+
+def links_by_hand(rows):
+    """Links and the smallest id reachable, of each row, by all pairs."""
+    unit = units_of(rows)
+    near = lambda a, b: a in unit and b in unit and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95
+    ids = [r[0] for r in rows]
+    own = closure(range(len(rows)), near)
+    first = {}
+    for i, c in own.items():
+        if ids[i] is not None:
+            first[c] = min(first.get(c, ids[i]), ids[i])
+    return [(ids[i], sum(near(i, j) for j in unit if j != i), first.get(c)) for i, c in own.items()]
+
+
+def test_op10_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((6, 16))
     x = np.concatenate([c + 0.08 * rng.standard_normal((20, 16)) for c in centres] + [rng.standard_normal((60, 16))])
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, x[0].tolist(), 1), (901, None, 1), (902, [], 1), (903, [0.0] * 16, 1), (904, [float("nan")] * 16, 1), (905, [None] * 16, 1), (906, [1e300] * 16, 1)]
-    unit = {i: np.array(v) / max(abs(np.array(v))) for i, v, _ in rows if i < 901 or i == 906}
-    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
-    near = lambda a, b: a in unit and b in unit and unit[a] @ unit[b] >= 0.95
-    want = closure([i for i, *_ in rows], near)
-    got = embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
-    assert {r.vec_id: r.component_id for r in got} == want
-    assert {r.vec_id: r.n_links for r in got} == {i: sum(near(i, j) for j in unit if j != i) for i, *_ in rows}
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, x[0].tolist()), (901, None), (902, []), (903, [0.0] * 16), (904, [float("nan")] * 16), (905, [None] * 16), (906, [1e300] * 16), (907, [float("inf")] * 16), (908, [*x[0].tolist()[:8]])]
+    rows += [(5, x[25].tolist()), (5, x[5].tolist()), (None, x[45].tolist()), (None, x[46].tolist()), (None, None)]  # repeated and null ids
+    vectors = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "vec_id long, embedding array<double>, unit string, no int, id double")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    got = [(r.vec_id, r.n_links, r.component_id) for r in embeddings.embedding_components(vectors).collect()]
+    assert sorted(got, key=key) == sorted(links_by_hand(rows), key=key)
     assert embeddings.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_op10_finds_pairs_in_many_more_rows_than_a_window(spark):
+    """Planted pairs and clusters near the threshold, 9,000 rows, windows of 16 and blocks of 64."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((9000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def beside(v, cosine):
+        side = rng.standard_normal(24)
+        side -= (side @ v) * v
+        return cosine * v + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+    for i in range(400):  # pairs just over and just under 0.95
+        x[2 * i + 1] = beside(x[2 * i], 0.955 if i % 4 else 0.945)
+    for i in range(20):  # clusters of 30, with many cosines on either side of it
+        for j in range(1, 30):
+            x[1000 + 30 * i + j] = beside(x[1000 + 30 * i], 0.975)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    cosine = x @ x.T
+    linked = cosine >= 0.95
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    got = {r.vec_id: r for r in embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), window=16, block=64).collect()}
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
+    assert all(got[2 * i + 1].component_id == 2 * i + 1 for i in range(0, 400, 4) if want[2 * i + 1] == 0)
+
+
+def test_op10_counts_links_of_a_large_component_in_blocks(spark):
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal(12)
+    x = base + 0.16 * rng.standard_normal((120, 12))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    members = spark.createDataFrame([(i, bytes(unit[i].tobytes()), i % 3 + 1, 0) for i in range(120)], "id long, unit binary, copies long, component long")
+    got = {r.id: r.n for r in embeddings.degrees(Workspace(spark, "t"), members, 0.95, block=32).collect()}
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, True)
+    assert got == {i: int(near[i] @ (np.arange(120) % 3 + 1)) for i in range(120)}
+
+
+def test_near_components_of_a_large_group_around_the_threshold(spark, monkeypatch):
+    """Copies whose similarities lie on either side of 0.8, in chunks of 8 that are verified pair by pair."""
+    monkeypatch.setattr(simhash, "VERIFIED", 8)
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    texts = [edited(rng, base, rng.choice((1, 2, 3, 4))) for _ in range(90)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = closure(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_components(df).collect()} == want
+
+
 def test_pipeline_takes_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before, ws = docs, Workspace(spark, "t")
