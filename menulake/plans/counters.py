@@ -17,8 +17,9 @@ def counters_period(d: Dialect) -> str:
 def counters_report_resolved(d: Dialect) -> str:
     """Names looked up, unknown keys kept; totals over all keys, the list capped at 500."""
     return f"""WITH g AS (SELECT dish_key, CAST(sum(shared) AS BIGINT) AS shared, CAST(sum(saved) AS BIGINT) AS saved FROM counters WHERE day >= {AS_OF} - 29 GROUP BY dish_key),
-        r AS (SELECT dish_key, coalesce(c_name, 'unknown') AS name, shared, saved, CAST(sum(saved) OVER () AS BIGINT) AS total_saved, row_number() OVER (ORDER BY saved DESC, dish_key) AS pos
-        FROM g LEFT JOIN customer ON c_custkey = dish_key) SELECT dish_key, name, shared, saved, total_saved, CAST(pos AS BIGINT) AS pos FROM r WHERE pos <= 500"""
+        top AS (SELECT * FROM g ORDER BY saved DESC, dish_key LIMIT 500), t AS (SELECT CAST(sum(saved) AS BIGINT) AS total_saved FROM g)
+        SELECT dish_key, coalesce(c_name, 'unknown') AS name, shared, saved, (SELECT total_saved FROM t) AS total_saved, CAST(row_number() OVER (ORDER BY saved DESC, dish_key) AS BIGINT) AS pos
+        FROM top LEFT JOIN customer ON c_custkey = dish_key"""
 
 
 def buckets(x: str) -> str:
@@ -36,8 +37,10 @@ def week_over_week(d: Dialect) -> str:
 
 @plan
 def top_keys_bar(d: Dialect) -> str:
+    """The four largest, with bars in percent of the first."""
     return f"""SELECT dish_key, n, CAST(pos AS BIGINT) AS pos, {half_up('100 * CAST(n AS DOUBLE) / top')} AS bar FROM (
-        SELECT dish_key, n, max(n) OVER () AS top, row_number() OVER (ORDER BY n DESC, dish_key) AS pos FROM (SELECT dish_key, CAST(sum(shared + saved + reservations) AS BIGINT) AS n FROM counters GROUP BY dish_key) c) t WHERE pos <= 4"""
+        SELECT dish_key, n, max(n) OVER () AS top, row_number() OVER (ORDER BY n DESC, dish_key) AS pos FROM
+        (SELECT dish_key, CAST(sum(shared + saved + reservations) AS BIGINT) AS n FROM counters GROUP BY dish_key ORDER BY n DESC, dish_key LIMIT 4) c) t"""
 
 
 @plan

@@ -205,6 +205,22 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 PLANS: dict[str, Callable[[Dialect], str]] = {}
 
 
+#: Of plans whose rows are numbered over the whole table: the order, and the number's name.
+ORDERED: dict[str, tuple[str, str]] = {}
+
+
 def plan(fn: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     PLANS[fn.__name__] = fn
     return fn
+
+
+def numbered(order: str, name: str = "pos") -> Callable:
+    """A plan whose rows get their number in an order of the whole table, which leaves no ties: a range
+    partitioned rank in Spark, a window in the other dialect. The order's columns are the plan's."""
+
+    def wrap(fn: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+        ORDERED[fn.__name__] = (order, name)
+        PLANS[fn.__name__] = lambda d: fn(d) if d.spark else f"SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS {name} FROM ({fn(d)}) rows_"
+        return fn
+
+    return wrap

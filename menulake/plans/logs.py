@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from menulake.plans.dialect import AS_OF, Dialect, half_up, plan
+from menulake.plans.dialect import AS_OF, Dialect, half_up, numbered, plan
 
 
 def latest(rows: str, keys: str, order: str, columns: str = "*") -> str:
@@ -86,11 +86,11 @@ def triage_filters(d: Dialect) -> str:
     return "SELECT id, candidate_id FROM reviews WHERE status = 'deferred' AND reason LIKE '2%'"
 
 
-@plan
+@numbered("prio, ts, host")
 def workqueue_rows(d: Dialect) -> str:
     """The latest usable observation decides; ordered by priority, oldest check, name."""
     last = latest("SELECT * FROM jobs WHERE status IN ('succeeded', 'failed')", "host", "ts DESC, job_id DESC")
-    return f"""SELECT host, job_id, action, CAST(row_number() OVER (ORDER BY prio, ts, host) AS BIGINT) AS pos FROM (SELECT host, job_id, ts, CASE WHEN status = 'failed' AND attempts >= 3 THEN 'find source' WHEN status = 'failed' THEN 'retry' WHEN attempts = 0 THEN 'review' ELSE 'none' END AS action,
+    return f"""SELECT host, job_id, action, CAST(prio AS BIGINT) AS prio, ts FROM (SELECT host, job_id, ts, CASE WHEN status = 'failed' AND attempts >= 3 THEN 'find source' WHEN status = 'failed' THEN 'retry' WHEN attempts = 0 THEN 'review' ELSE 'none' END AS action,
         CASE WHEN status = 'failed' AND attempts >= 3 THEN 0 WHEN status = 'failed' THEN 1 WHEN attempts = 0 THEN 2 ELSE 3 END AS prio FROM ({last}) t) u"""
 
 
@@ -103,7 +103,7 @@ def workqueue_filters(d: Dialect) -> str:
 def task_union(d: Dialect) -> str:
     """An open proposal beats a result for the same owner."""
     return """WITH p AS (SELECT DISTINCT candidate_id AS owner FROM reviews WHERE status = 'deferred'), r AS (SELECT DISTINCT host AS owner FROM jobs WHERE status = 'succeeded')
-        SELECT 'proposal' AS kind, owner FROM p UNION ALL SELECT 'result', owner FROM r WHERE owner NOT IN (SELECT owner FROM p)"""
+        SELECT 'proposal' AS kind, owner FROM p UNION ALL SELECT 'result', owner FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.owner = r.owner)"""
 
 
 @plan
@@ -142,12 +142,16 @@ def retention(d: Dialect) -> str:
 
 @plan
 def queue_claim(d: Dialect) -> str:
-    """The next job of each host: under five attempts, none running on the host, none of its jobs
-    finished in the minute before the claim."""
+    """The next job of each host: under five attempts, its back-off of 2, 10, then 30 minutes over,
+    none running on the host under a lease of 3 minutes, none of its jobs finished in the minute
+    before the claim, which is made 50 minutes after the last event."""
     t = d.seconds("ts")
-    claim = "(SELECT max(" + t + ") FROM jobs)"
-    return f"""WITH now_ AS (SELECT max({t}) AS s FROM jobs), busy AS (SELECT DISTINCT host FROM jobs, now_ WHERE status = 'running' AND {t} > s - 180), recent AS (SELECT DISTINCT host FROM jobs, now_ WHERE status IN ('succeeded', 'failed') AND {t} > s - 60)
-        SELECT host, job_id FROM ({latest('''SELECT * FROM jobs WHERE status IN ('pending', 'queued') AND attempts < 5 AND host NOT IN (SELECT host FROM busy) AND host NOT IN (SELECT host FROM recent)''', 'host', 'ts, job_id')}) t""".replace(claim, "")
+    wait = "CASE WHEN attempts <= 0 THEN 0 WHEN attempts = 1 THEN 120 WHEN attempts = 2 THEN 600 ELSE 1800 END"
+    now = "(SELECT s FROM now_)"
+    claimable = f"SELECT * FROM jobs j WHERE status IN ('pending', 'queued') AND attempts < 5 AND {t} + {wait} <= {now} AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.host = j.host)"
+    return f"""WITH now_ AS (SELECT max({t}) + 3000 AS s FROM jobs),
+        busy AS (SELECT DISTINCT host FROM jobs WHERE (status = 'running' AND {t} + 180 > {now}) OR (status IN ('succeeded', 'failed') AND {t} + 60 > {now}))
+        SELECT host, job_id FROM ({latest(claimable, 'host', 'ts, job_id')}) t"""
 
 
 @plan
@@ -174,7 +178,7 @@ def constraint_violations(d: Dialect) -> str:
 @plan
 def promote(d: Dialect) -> str:
     """May be promoted: latest status approved, no later draft of its lineage."""
-    return f"SELECT candidate_id, status = 'approved' AND candidate_id NOT IN (SELECT host FROM jobs WHERE status = 'running') AS may FROM ({LATEST_REVIEW}) t"
+    return f"SELECT t.candidate_id, status = 'approved' AND j.host IS NULL AS may FROM ({LATEST_REVIEW}) t LEFT JOIN (SELECT DISTINCT host FROM jobs WHERE status = 'running') j ON j.host = t.candidate_id"
 
 
 @plan
@@ -218,7 +222,7 @@ def job_attribution(d: Dialect) -> str:
 
 @plan
 def proposal_orphans(d: Dialect) -> str:
-    return "SELECT CAST(count(*) AS BIGINT) AS orphans, CAST(count(DISTINCT user_id) AS BIGINT) AS keys FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)"
+    return "SELECT CAST(count(*) AS BIGINT) AS orphans, CAST(count(DISTINCT user_id) AS BIGINT) AS keys FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_custkey % 3 = 0)"
 
 
 @plan
@@ -227,9 +231,10 @@ def update_from(d: Dialect) -> str:
     return "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN late.l_orderkey IS NULL THEN 'closed' ELSE o_orderstatus END AS status FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45) late ON late.l_orderkey = o_orderkey"
 
 
-@plan
+@numbered("n DESC, id")
 def correlated_order(d: Dialect) -> str:
-    return "SELECT id, n, CAST(row_number() OVER (ORDER BY n DESC, id) AS BIGINT) AS pos FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders) t"
+    """Orders by their number of lines; one without lines has none."""
+    return "SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(coalesce(l.n, 0) AS BIGINT) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o_orderkey"
 
 
 @plan
@@ -258,7 +263,7 @@ def array_validate(d: Dialect) -> str:
 def single_feature_assert(d: Dialect) -> str:
     """The one row that a rule selects, with a hash of its canonical form."""
     form = "concat('{\"key\":', CAST(n_nationkey AS STRING), ',\"name\":\"', n_name, '\"}')"
-    return f"SELECT CAST(n_nationkey AS BIGINT) AS id, {d.sha(form)} AS content_hash, count(*) OVER () = 1 AS single FROM nation WHERE n_name = 'NATION_7'"
+    return f"WITH n AS (SELECT * FROM nation WHERE n_name = 'NATION_7'), c AS (SELECT count(*) AS n FROM n) SELECT CAST(n_nationkey AS BIGINT) AS id, {d.sha(form)} AS content_hash, (SELECT n FROM c) = 1 AS single FROM n"
 
 
 @plan

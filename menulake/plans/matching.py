@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from menulake.plans.dialect import Dialect, half_up, metres, plan, share
+from menulake.plans.dialect import Dialect, half_up, metres, numbered, plan, share
 
 POSTCODE = "([0-9]{4})"
 
@@ -32,7 +32,7 @@ def staged_match(d: Dialect) -> str:
 
 @plan
 def unknown_anti(d: Dialect) -> str:
-    return "SELECT candidate_id, name FROM candidates WHERE candidate_id NOT IN (SELECT restaurant_id FROM restaurants) AND candidate_id NOT IN (SELECT CAST(o_custkey AS BIGINT) FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL)"
+    return "SELECT candidate_id, name FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM restaurants r WHERE r.restaurant_id = c.candidate_id) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.candidate_id AND o.o_orderstatus = 'F')"
 
 
 @plan
@@ -54,11 +54,11 @@ def first_duplicate_draft(d: Dialect) -> str:
     return "SELECT a.candidate_id, CAST(min(b.candidate_id) AS BIGINT) AS duplicate_of FROM candidates a JOIN candidates b ON a.name_key = b.name_key AND a.lat = b.lat AND a.nation_id = b.nation_id AND b.candidate_id < a.candidate_id GROUP BY a.candidate_id"
 
 
-@plan
+@numbered("score, candidate_id")
 def rank_with_bonus(d: Dialect) -> str:
     """Nearest first, 500 metres off where the kind is missing so far; unknown distances last."""
     score = f"{metres('lat', 'lon', 'CAST(51.52 AS DOUBLE)', 'CAST(4.72 AS DOUBLE)')} - CASE WHEN name_key = 'BUILDING' THEN 500 ELSE 0 END"
-    return f"SELECT candidate_id, {score} AS score, CAST(row_number() OVER (ORDER BY {score}, candidate_id) AS BIGINT) AS pos FROM candidates"
+    return f"SELECT candidate_id, {score} AS score FROM candidates"
 
 
 @plan
@@ -108,18 +108,6 @@ def osm_rows(d: Dialect) -> str:
         FROM candidates WHERE lat BETWEEN 51.505 AND 51.53 AND lon BETWEEN 4.705 AND 4.73 AND name_key IN ('BUILDING', 'HOUSEHOLD', 'FURNITURE')"""
 
 
-@plan
-def host_match_cardinality(d: Dialect) -> str:
-    """How many owners a page's host has: exactly one, none or several.
-
-    Hosts are whole, and owners are all restaurants: a restaurant's host is that of its number among
-    the pages' hosts, where two of three restaurants in a row share one. A page without a host has
-    no owner."""
-    return """WITH hosts AS (SELECT host, row_number() OVER (ORDER BY host) AS nr FROM (SELECT DISTINCT host FROM page_urls WHERE host <> '') h),
-        owners AS (SELECT nr, count(*) AS n FROM (SELECT CASE WHEN restaurant_id % 3 = 2 THEN restaurant_id - 1 ELSE restaurant_id END AS nr FROM restaurants) r GROUP BY nr)
-        SELECT p.page_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'exact' ELSE 'multiple' END AS class FROM page_urls p LEFT JOIN (SELECT host, n FROM hosts JOIN owners ON owners.nr = hosts.nr) o ON o.host = p.host"""
-
-
 @plan
 def email_domain(d: Dialect) -> str:
     return "SELECT r.restaurant_id FROM restaurants r JOIN customer ON c_custkey = restaurant_id WHERE concat('www.', lower(replace(c_name, 'Customer#', 'supplier-')), '.example') = replace(r.website, 'https://', '')"
@@ -143,8 +131,28 @@ def three_passes(select: str) -> str:
     return f"WITH {', '.join(text)} {select}"
 
 
+PASSES = (("matched", "source, name, price, path"), ("category", "source, name, price"), ("price", "source, name, path"))
+
+
+def marked_passes() -> str:
+    """(source, side, line, class, other): the three passes over the rows of both sides at once.
+
+    All keys begin with the source, so one shuffle by it serves every window. In a pass the open rows
+    of a key are numbered on either side; a number that both sides have is a pair."""
+    rows = "(SELECT * FROM (SELECT source, 'e' AS side, line, name, price, path, CAST(NULL AS STRING) AS class, CAST(NULL AS BIGINT) AS other FROM expected UNION ALL SELECT source, 'a', line, name, price, path, NULL, NULL FROM actual) b DISTRIBUTE BY source)"
+    for name, keys in PASSES:
+        counted = f"(SELECT *, class IS NULL AS open_, row_number() OVER (PARTITION BY {keys}, class IS NULL, side ORDER BY line) AS k FROM {rows} r)"
+        paired = f"(SELECT *, max(CASE WHEN side = 'e' THEN line END) OVER w AS e_line, max(CASE WHEN side = 'a' THEN line END) OVER w AS a_line FROM {counted} n WINDOW w AS (PARTITION BY {keys}, open_, k))"
+        found = "open_ AND e_line IS NOT NULL AND a_line IS NOT NULL"
+        rows = f"(SELECT source, side, line, name, price, path, CASE WHEN {found} THEN '{name}' ELSE class END AS class, CASE WHEN {found} THEN CASE WHEN side = 'e' THEN a_line ELSE e_line END ELSE other END AS other FROM {paired} p)"
+    return rows
+
+
 @plan
 def bag_match_3pass(d: Dialect) -> str:
+    if d.spark:
+        return f"""SELECT source, CASE WHEN side = 'e' THEN line END AS e_line, CASE WHEN side = 'e' THEN other ELSE line END AS a_line, coalesce(class, CASE WHEN side = 'e' THEN 'missing' ELSE 'extra' END) AS class
+            FROM {marked_passes()} m WHERE side = 'e' OR class IS NULL"""
     return three_passes("""SELECT source, e_line, a_line, class FROM (SELECT source, e_line, a_line, 'matched' AS class FROM m0 UNION ALL SELECT source, e_line, a_line, 'category' FROM m1 UNION ALL SELECT source, e_line, a_line, 'price' FROM m2
         UNION ALL SELECT source, line, CAST(NULL AS BIGINT), 'missing' FROM le2 UNION ALL SELECT source, CAST(NULL AS BIGINT), line, 'extra' FROM ri2) t""")
 
@@ -152,6 +160,10 @@ def bag_match_3pass(d: Dialect) -> str:
 @plan
 def reference_precision_recall(d: Dialect) -> str:
     """Over captured sources only."""
+    if d.spark:
+        count = lambda side, more="true": f"CAST(count_if(side = '{side}' AND {more}) AS BIGINT)"
+        matched = count("e", "class = 'matched'")
+        return f"SELECT expected_n, actual_n, matched_n, {share('matched_n', 'actual_n', 10000)} AS precision_pct, {share('matched_n', 'expected_n', 10000)} AS recall_pct FROM (SELECT {count('e')} AS expected_n, {count('a')} AS actual_n, {matched} AS matched_n FROM {marked_passes()} m WHERE source % 5 <> 0) c"
     return three_passes(f"""SELECT CAST(e.n AS BIGINT) AS expected_n, CAST(a.n AS BIGINT) AS actual_n, CAST(m.n AS BIGINT) AS matched_n, {share('m.n', 'a.n', 10000)} AS precision_pct, {share('m.n', 'e.n', 10000)} AS recall_pct
         FROM (SELECT count(*) AS n FROM expected WHERE source % 5 <> 0) e, (SELECT count(*) AS n FROM actual WHERE source % 5 <> 0) a, (SELECT count(*) AS n FROM m0 WHERE source % 5 <> 0) m""")
 

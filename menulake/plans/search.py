@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from menulake.plans.dialect import AS_OF, Dialect, half_up, plan, share
+from menulake.plans.dialect import AS_OF, Dialect, half_up, numbered, plan, share
 
 WHITELIST = "dish_id, restaurant_id, name, category, meal, price_cents"
 
@@ -24,9 +24,12 @@ def hits(q: str, more: str = "true") -> str:
 
 @plan
 def dish_search_ranked(d: Dialect) -> str:
-    """A page of 20 from the 10th hit, with the total and whether more follow."""
-    return f"""WITH h AS ({hits('ring')}), r AS (SELECT *, row_number() OVER (ORDER BY tier, restaurant, name, dish_id) AS pos, count(*) OVER () AS total FROM h)
-        SELECT CAST(pos AS BIGINT) AS pos, dish_id, name, restaurant, tier, CAST(total AS BIGINT) AS total, total > 30 AS has_more FROM r WHERE pos > 10 AND pos <= 30"""
+    """A page of 20 from the 10th hit, with the total and whether more follow.
+
+    Only the first 30 hits are sorted and numbered; the total is an aggregate of its own."""
+    return f"""WITH h AS ({hits('ring')}), top AS (SELECT * FROM h ORDER BY tier, restaurant, name, dish_id LIMIT 30), n AS (SELECT CAST(count(*) AS BIGINT) AS total FROM h)
+        SELECT CAST(pos AS BIGINT) AS pos, dish_id, name, restaurant, tier, (SELECT total FROM n) AS total, (SELECT total FROM n) > 30 AS has_more
+        FROM (SELECT *, row_number() OVER (ORDER BY tier, restaurant, name, dish_id) AS pos FROM top) r WHERE pos > 10"""
 
 
 @plan
@@ -37,12 +40,13 @@ def dish_search_filters(d: Dialect) -> str:
         AND (contains(lower(category), 'promo') OR contains(lower(tag), '3')) AND opens <= 720 AND 720 < closes AND meal IN ('A', 'N')"""
 
 
-@plan
+@numbered("tier, restaurant, first_name, first_dish", "group_pos")
 def dish_search_grouped(d: Dialect) -> str:
-    """Per restaurant and menu: hits, three examples, groups in the order of their best hit."""
-    return f"""WITH h AS ({hits('gear')}), r AS (SELECT *, row_number() OVER (ORDER BY tier, restaurant, name, dish_id) AS pos FROM h),
-        g AS (SELECT *, row_number() OVER (PARTITION BY restaurant_id, meal ORDER BY pos) AS k FROM r)
-        SELECT restaurant_id, meal, CAST(min(pos) AS BIGINT) AS first_pos, CAST(count(*) AS BIGINT) AS n,
+    """Per restaurant and menu: hits, three examples, groups in the order of their best hit.
+
+    The groups are numbered, and not the hits."""
+    return f"""WITH h AS ({hits('gear')}), g AS (SELECT *, row_number() OVER (PARTITION BY restaurant_id, meal ORDER BY tier, restaurant, name, dish_id) AS k FROM h)
+        SELECT restaurant_id, meal, min(tier) AS tier, min(restaurant) AS restaurant, max(CASE WHEN k = 1 THEN name END) AS first_name, max(CASE WHEN k = 1 THEN dish_id END) AS first_dish, CAST(count(*) AS BIGINT) AS n,
         concat_ws('|', max(CASE WHEN k = 1 THEN dish_id END), max(CASE WHEN k = 2 THEN dish_id END), max(CASE WHEN k = 3 THEN dish_id END)) AS examples
         FROM g GROUP BY restaurant_id, meal"""
 
@@ -76,13 +80,12 @@ def low_coverage_anti(d: Dialect) -> str:
         AND NOT EXISTS (SELECT 1 FROM dishes x WHERE x.restaurant_id = r.restaurant_id AND x.price_cents > 185000)"""
 
 
-@plan
+@numbered("tier, name, restaurant_id")
 def restaurant_search(d: Dialect) -> str:
     """Tier 0 exact, 1 in the name, 2 in the neighbourhood, 3 in an address that is none but the name."""
     valid = "lower(trim(address)) <> lower(concat(name, ' Breda'))"
     tier = f"CASE WHEN lower(name) = 'ch' THEN 0 WHEN contains(lower(name), '00001') THEN 1 WHEN contains(lower(buurt), 'an') THEN 2 WHEN {valid} AND contains(lower(address), '9') THEN 3 END"
-    return f"""SELECT restaurant_id, name, buurt, tier, CAST(row_number() OVER (ORDER BY tier, name, restaurant_id) AS BIGINT) AS pos
-        FROM (SELECT *, CAST({tier} AS BIGINT) AS tier FROM restaurants) r WHERE tier IS NOT NULL"""
+    return f"""SELECT restaurant_id, name, buurt, tier FROM (SELECT *, CAST({tier} AS BIGINT) AS tier FROM restaurants) r WHERE tier IS NOT NULL"""
 
 
 @plan
@@ -90,7 +93,7 @@ def restaurant_token_unique(d: Dialect) -> str:
     """Names whose words of three letters and more hold all of the query's; unique ones are flagged."""
     words = d.keep(d.words("lower(name)", "[^a-z0-9]+"), "w", "length(w) >= 3")
     missing = d.size(d.minus(d.array("'supplier'", "'000000007'"), words))
-    return f"SELECT restaurant_id, name, count(*) OVER () = 1 AS is_unique FROM restaurants WHERE {missing} = 0"
+    return f"WITH h AS (SELECT restaurant_id, name FROM restaurants WHERE {missing} = 0), n AS (SELECT count(*) AS n FROM h) SELECT restaurant_id, name, (SELECT n FROM n) = 1 AS is_unique FROM h"
 
 
 @plan
@@ -99,11 +102,9 @@ def claim_search(d: Dialect) -> str:
         WHERE tier IS NOT NULL ORDER BY tier, name, restaurant_id LIMIT 20"""
 
 
-@plan
+@numbered("has_menu DESC, name, restaurant_id")
 def browse_sort(d: Dialect) -> str:
-    return """SELECT r.restaurant_id, r.name, m.restaurant_id IS NOT NULL AS has_menu,
-        CAST(row_number() OVER (ORDER BY CASE WHEN m.restaurant_id IS NOT NULL THEN 0 ELSE 1 END, r.name, r.restaurant_id) AS BIGINT) AS pos
-        FROM restaurants r LEFT JOIN (SELECT DISTINCT restaurant_id FROM dishes WHERE price_cents > 180000) m ON r.restaurant_id = m.restaurant_id"""
+    return """SELECT r.restaurant_id, r.name, m.restaurant_id IS NOT NULL AS has_menu FROM restaurants r LEFT JOIN (SELECT DISTINCT restaurant_id FROM dishes WHERE price_cents > 180000) m ON r.restaurant_id = m.restaurant_id"""
 
 
 @plan
@@ -170,8 +171,9 @@ def opening_state(d: Dialect) -> str:
 def saved_list_resolve(d: Dialect) -> str:
     """Saved dish ids in order, each once; unknown ones are skipped and counted."""
     return """WITH saved AS (SELECT concat(CAST(event_id % 100 + 1 AS STRING), '-N-', CAST(event_id * 7 % 2000 + 1 AS STRING)) AS dish_id, event_id AS ord FROM events WHERE event_type = 'view'),
-        firsts AS (SELECT dish_id, CAST(min(ord) AS BIGINT) AS ord FROM saved GROUP BY dish_id)
-        SELECT f.dish_id, f.ord, x.name, x.price_cents, CAST(count_if(x.dish_id IS NULL) OVER () AS BIGINT) AS skipped, x.dish_id IS NOT NULL AS known FROM firsts f LEFT JOIN dishes x ON f.dish_id = x.dish_id"""
+        firsts AS (SELECT dish_id, CAST(min(ord) AS BIGINT) AS ord FROM saved GROUP BY dish_id),
+        n AS (SELECT CAST(count(*) AS BIGINT) AS skipped FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM dishes x WHERE x.dish_id = f.dish_id))
+        SELECT f.dish_id, f.ord, x.name, x.price_cents, (SELECT skipped FROM n) AS skipped, x.dish_id IS NOT NULL AS known FROM firsts f LEFT JOIN dishes x ON f.dish_id = x.dish_id"""
 
 
 @plan
@@ -246,10 +248,10 @@ def daily_seeded_rank(d: Dialect) -> str:
     return f"SELECT p_partkey AS item, CAST({h} AS BIGINT) AS hash FROM part"
 
 
-@plan
+@numbered("n DESC, dish_key")
 def sorted_report(d: Dialect) -> str:
     """A stable sort by one column and direction: ties keep the order of ids."""
-    return "SELECT dish_key, n, CAST(row_number() OVER (ORDER BY n DESC, dish_key) AS BIGINT) AS pos FROM (SELECT dish_key, CAST(sum(saved) AS BIGINT) AS n FROM counters GROUP BY dish_key) c"
+    return "SELECT dish_key, CAST(sum(saved) AS BIGINT) AS n FROM counters GROUP BY dish_key"
 
 
 @plan
