@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.operators import extract, pick, state
+from menulake.functions import arrays, canonical, decisions, keys
+from menulake.operators import coverage, diagnosis, extract, pick, search, state
 from menulake.operators.match import staged_bag_match
+from menulake.operators.order import global_rank
 from menulake.operators.reduce import latest_by
 from menulake.plans.dialect import load, run_sql
-from menulake.sources import catalog
+from menulake.sources import catalog, checked
 from menulake.streaming import counters
 
 
@@ -25,8 +27,77 @@ def jsonld_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.jsonld_items(load(spark, sf_dir, "pages"))
 
 
+def html_menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.menu_items(load(spark, sf_dir, "pages"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(source_id, text) of each restaurant's printed card, a section for each category, where one of
+    five items has its price on the next line; and the items (source_id, item_id, label, price)."""
+    code = F.translate(F.lpad(F.col("item_id").cast("string"), 7, "0"), "0123456789", "abcdefghij")
+    items = run_sql(spark, sf_dir, "SELECT restaurant_id AS source_id, item_id, name, category, CAST(floor(price_cents / 10) AS BIGINT) AS price FROM dishes").withColumn("label", F.concat_ws(" ", "name", code))
+    printed = F.concat(F.floor(F.col("price") / 100), F.lit(","), F.lpad((F.col("price") % 100).cast("string"), 2, "0"))
+    line = F.concat("label", F.when(F.col("item_id") % 5 == 0, "\n").otherwise("  "), printed)
+    joined = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["line"]), "\n")
+    sections = items.groupBy("source_id", "category").agg(joined(F.struct("item_id", line.alias("line"))).alias("lines")).withColumn("line", F.concat_ws("\n", "category", "lines"))
+    return sections.groupBy("source_id").agg(joined(F.struct("category", "line")).alias("text")), items
+
+
 def price_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.priced_lines(load(spark, sf_dir, "documents"))
+    lines = coverage.priced_lines(captures(spark, sf_dir)[0])
+    return lines.select("source_id", "section", "name", F.col("cents")[0].alias("price"), "paired", "loose")
+
+
+def toned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the cards, where three of four items are dishes that quote their name, some at another
+    price, and some of the rest are rejected passages or accounted for."""
+    sources, items = captures(spark, sf_dir)
+    dish, other = F.col("item_id") % 4 != 0, F.col("item_id") % 7 == 0
+    quotes = items.where(dish | (F.col("item_id") % 11 == 0)).select("source_id", F.when(dish, "dish").otherwise("rejected").alias("kind"), F.col("item_id").cast("string").alias("row_id"), F.col("label").alias("quote"), F.array(F.col("price") + F.when(other, 50).otherwise(0)).alias("amounts"))
+    done = items.where(~dish & (F.col("item_id") % 13 == 0)).select("source_id", F.lit(None).cast("long").alias("line"), F.upper("label").alias("text"))
+    return coverage.tones(coverage.priced_lines(sources), quotes, done)
+
+
+def line_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toned_lines(spark, sf_dir).select("source_id", "name", "tone", F.col("row_id").cast("long").alias("item_id"))
+
+
+def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 lines that no dish covers, as a review shows them."""
+    return coverage.uncovered(toned_lines(spark, sf_dir))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
+
+
+def uncovered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"available": "boolean", "total": "long", "shown": "long", "omitted": "long"}
+    return coverage.uncovered(toned_lines(spark, sf_dir))[1].select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def coverage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.diagnosis(toned_lines(spark, sf_dir))
+
+
+def answer_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each quote stands in the document with the window that is most like it."""
+    docs, quotes = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")
+    near = diagnosis.quote_nearest(docs, quotes, 1)
+    asked = quotes.select("item_id", F.col("text").alias("quote")).join(near, "item_id", "left").join(docs, "doc_id", "left")
+    return asked.select("item_id", "doc_id", "score", diagnosis.quote_class(F.col("quote"), F.col("text")).alias("class"))
+
+
+def mismatch_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of what differs between expected and actual rows, names as words."""
+    rows = run_sql(spark, sf_dir, "SELECT * FROM expected"), run_sql(spark, sf_dir, "SELECT * FROM actual")
+    e, a = (r.select("source", "line", F.concat(F.lit("dish number "), F.col("name")).alias("name"), F.split("path", "").alias("path")) for r in rows)
+    found = bag_match(spark, sf_dir)
+    left = e.withColumnsRenamed({"line": "l_line", "name": "e_name", "path": "e_path"})
+    right = a.withColumnsRenamed({"line": "r_line", "name": "a_name", "path": "a_path"})
+    of = lambda c: found.where(F.col("class") == c)
+    both = of("category").select(F.col("l_source").alias("source"), "l_line", "r_line").join(left, ["source", "l_line"]).join(right, ["source", "r_line"])
+    price = of("price").select(F.col("l_source").alias("source"), "l_line").join(left, ["source", "l_line"])
+    missing = of("missing").select(F.col("l_source").alias("source"), "l_line").join(left, ["source", "l_line"])
+    extra = of("extra").select(F.col("r_source").alias("source"), "r_line").join(right, ["source", "r_line"])
+    name = lambda df, c: df.select("source", F.col(c).alias("name"))
+    return diagnosis.mismatch_rows(both.select("source", F.col("e_name").alias("name"), F.col("e_path").alias("expected_path"), F.col("a_path").alias("actual_path")), name(price, "e_name"), name(missing, "e_name"), name(extra, "a_name")).select(F.col("source").cast("string").alias("source"), "classification", "reason", "expected", "actual")
 
 
 def token_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +109,13 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.quote_nearest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return diagnosis.quote_nearest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the smaller parts of a type paired with those of the larger ones."""
     names = load(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name"), "p_size")
-    return extract.name_variants(names.where("p_size <= 10").drop("p_size"), names.where("p_size > 40").drop("p_size"), "kind")
+    return diagnosis.name_variants(names.where("p_size <= 25").drop("p_size"), names.where("p_size > 25").drop("p_size"), "kind")
 
 
 def throttle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +128,122 @@ def spend_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.ledger(e, "user_id", "us", "event_id", "cents", 5_000, 100_000)
 
 
+def call_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views reserve, purchases settle what the user reserved last, errors abandon it."""
+    e = load(spark, sf_dir, "events").where("event_type IN ('view', 'purchase', 'error')")
+    rows = e.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.expr("CASE event_type WHEN 'view' THEN 'reserve' WHEN 'purchase' THEN 'settle' ELSE 'abandon' END").alias("kind"), F.lit("call").alias("ref"), F.floor(F.col("value") * 100).alias("cents"))
+    return state.reservations(rows, "user_id", "us", "event_id", "kind", "ref", "cents", 5_000, 100_000, 50)
+
+
 def diversified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run_sql(spark, sf_dir, "SELECT r.cuisine AS grp, x.item_id AS item, x.restaurant_id AS owner, x.category AS kind, CAST(floor(x.price_cents / 20000) AS BIGINT) AS bucket, CAST(row_number() OVER (PARTITION BY r.cuisine ORDER BY x.price_cents, x.dish_id) AS BIGINT) AS rank FROM dishes x JOIN restaurants r ON r.restaurant_id = x.restaurant_id")
-    return pick.diversified_pick(rows, "grp")
+    rows = run_sql(spark, sf_dir, "SELECT r.cuisine AS grp, x.item_id AS item, x.restaurant_id AS owner, x.category AS kind, CAST(floor(x.price_cents / 20000) AS BIGINT) AS bucket, x.price_cents * 100000 + x.item_id AS rank, x.allergen_a = 3 AS seasonal FROM dishes x JOIN restaurants r ON r.restaurant_id = x.restaurant_id")
+    return pick.diversified_pick(rows, "grp", wanted="seasonal")
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    dishes = run_sql(spark, sf_dir, "SELECT * FROM dishes").withColumn("allergens", F.array("allergen_a", "allergen_b"))
+    return dishes, run_sql(spark, sf_dir, "SELECT restaurant_id, name AS restaurant, buurt, cuisine, address, opens, closes FROM restaurants")
+
+
+def dish_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of ten of a filtered search, with its summary."""
+    page = search.dish_search(*catalogue(spark, sf_dir), q="ring", meal="N", meals=("N", "A", "R"), max_price=150_000, without_allergens=(1, 7), cursor=10, limit=10)
+    return page.rows.select("pos", "dish_id", "name", "restaurant", F.col("tier").cast("long").alias("tier"))
+
+
+def dish_search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = search.dish_search(*catalogue(spark, sf_dir), q="ring", meal="N", meals=("N", "A", "R"), max_price=150_000, without_allergens=(1, 7), cursor=10, limit=10)
+    return page.summary.select("total", "has_more", F.col("next_cursor").cast("long").alias("next_cursor"))
+
+
+def dish_group_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = search.dish_groups(*catalogue(spark, sf_dir), q="gear", cuisines=("asia", "europe"), cursor=1, limit=5)
+    return page.rows.select("pos", "restaurant_id", "restaurant", "n")
+
+
+def restaurant_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = search.restaurant_search(catalogue(spark, sf_dir)[1], "1", cursor=2, limit=7)
+    return page.rows.select("pos", "restaurant_id", "restaurant", F.col("tier").cast("long").alias("tier"))
+
+
+def day_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dishes of a day in their seeded order; those of one size go a tenth before."""
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), "p_size")
+    score = search.seeded_day_order(parts, "2024-01-30", ["item"], "tonight", F.when(F.col("p_size") == 7, 0.1).otherwise(0.0))
+    return global_rank(parts.withColumn("score", score), [F.asc("score"), F.asc("item")]).select("item", "pos")
+
+
+def source_workqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last usable job of each host tells, and the action that follows."""
+    jobs = run_sql(spark, sf_dir, "SELECT host, job_id, ts, status, attempts, CASE attempts WHEN 0 THEN 'fetch_failed' WHEN 1 THEN 'robots_disallowed' WHEN 2 THEN 'pdf_extraction_failed' ELSE 'internal_error' END AS reason FROM jobs")
+    told = decisions.observe_job(F.col("status"), F.col("reason"), F.col("attempts") < 5, F.col("attempts") % 3, F.col("attempts") > 0)
+    usable = jobs.withColumn("told", told).where("told IS NOT NULL")
+    last = latest_by(usable, ["host"], [F.desc("ts"), F.desc("job_id")])
+    rows = last.withColumn("row", decisions.classify_source(F.col("told.source"), F.col("told.menu"))).select("host", "job_id", "row.*")
+    return rows.withColumn("priority", F.col("priority").cast("long"))
+
+
+def inbox_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each nation's inbox: customers are candidates, those over a balance pass the filter."""
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"))
+    c = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.count_if(F.col("c_acctbal") > 9900).alias("found"), F.count(F.lit(1)).alias("runs"))
+    status = F.when(F.col("nation") % 4 == 0, "failed").when(F.col("nation") % 4 == 1, "partial").otherwise("done")
+    state_ = decisions.inbox_state(F.coalesce("runs", F.lit(0)), status, F.coalesce("found", F.lit(0)), F.col("nation") % 2 == 0)
+    return n.join(c, "nation", "left").select("nation", state_.alias("s")).select("nation", "s.*")
+
+
+def host_match_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many owners a page's host has: exactly one, none or several.
+
+    Hosts are whole, and owners are all restaurants: a restaurant's host is that of its number among
+    the pages' hosts, where two of three restaurants in a row share one. A page without a host has
+    no owner."""
+    pages = run_sql(spark, sf_dir, "SELECT page_id, host FROM page_urls")
+    hosts = global_rank(pages.where("host <> ''").select("host").distinct(), [F.asc("host")], "nr")
+    owners = run_sql(spark, sf_dir, "SELECT CASE WHEN restaurant_id % 3 = 2 THEN restaurant_id - 1 ELSE restaurant_id END AS nr FROM restaurants").groupBy("nr").agg(F.count(F.lit(1)).alias("n"))
+    found = pages.join(hosts.join(owners, "nr").select("host", "n"), "host", "left")
+    return found.select("page_id", F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "exact").otherwise("multiple").alias("class"))
+
+
+def source_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page is surely the source of the restaurant of its number."""
+    p = run_sql(spark, sf_dir, "SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN concat('www.', host, '/menu') WHEN page_id % 3 = 1 THEN url ELSE 'other.example/' END AS website FROM page_urls")
+    menu = F.when(F.col("page_id") % 5 == 0, "not_assessed").otherwise("ready_for_review")
+    return p.select("page_id", decisions.certainty(F.when(F.col("page_id") % 7 != 0, F.col("page_id")), menu, F.col("page_id") % 11 == 0, F.col("url"), F.col("website")).alias("certainty"))
+
+
+def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asking for each host's address again gives, by the jobs that it has."""
+    jobs = run_sql(spark, sf_dir, "SELECT host, count_if(status IN ('pending', 'running')) AS open, count(*) AS used FROM jobs GROUP BY host")
+    url = F.concat(F.when(F.col("host") % 5 == 0, "ftp://h").otherwise("https://h"), F.col("host"), F.lit(".example/menu"))
+    return jobs.select("host", decisions.retry_outcome(url, F.col("host") % 7 == 0, F.col("open") > 30, F.col("used"), 100).alias("outcome"))
+
+
+def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = load(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").cast("long").alias("id"), canonical.content_hash(n, ["n_regionkey", "n_name", "n_nationkey"]).alias("content_hash"))
+
+
+def single_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one nation of a name, which must be one."""
+    n = load(spark, sf_dir, "nation").where("n_name = 'NATION_7'")
+    return checked.single_row(n).select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+
+
+def offer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select("event_id", F.concat(F.when(F.col("event_id") % 4 == 0, "dish").otherwise("daghap"), F.lit("-r"), F.col("user_id"), F.when(F.col("event_id") % 3 == 0, "-west").otherwise(""), F.lit("-"), F.col("event_id") % 6).alias("key"))
+    return e.select(F.col("event_id").cast("long").alias("event_id"), keys.offer_key(F.col("key")).alias("k")).select("event_id", "k.*")
+
+
+def saved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's clicked sizes as an ordered set of twenty, one of them toggled, and the viewed ones
+    added."""
+    e = load(spark, sf_dir, "events").where("event_type IN ('click', 'view')").withColumn("k", F.get_json_object("props", "$.k"))
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("event_type") == kind, F.struct("event_id", "k")))), lambda x: x["k"])
+    lists = e.groupBy("user_id").agg(of("click").alias("clicked"), of("view").alias("viewed"))
+    entries = arrays.ordered_set(F.col("clicked"), 20)
+    more = arrays.added(entries, F.col("viewed"), 20)
+    return lists.select("user_id", F.array_join(arrays.toggled(entries, F.lit("7"), 20), ",").alias("toggled"), F.array_join(more["entries"], ",").alias("entries"), more["added"].cast("long").alias("added"))
 
 
 def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +263,13 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.drain(counters.throttled(counters.event_stream(spark, sf_dir), 3_600_000_000))
 
 
-def bag_match_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, a = (run_sql(spark, sf_dir, f"SELECT * FROM {v}") for v in ("expected", "actual"))
-    found = staged_bag_match(e, a, ["source", "line"], [("matched", ["source", "name", "price", "path"]), ("category", ["source", "name", "price"]), ("price", ["source", "name", "path"])])
-    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return staged_bag_match(e, a, ["source", "line"], [("matched", ["source", "name", "price", "path"]), ("category", ["source", "name", "price"]), ("price", ["source", "name", "path"])])
+
+
+def bag_match_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_match(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def latest_review_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +277,13 @@ def latest_review_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by(r, ["candidate_id"], [F.desc("decided_at"), F.desc("id")]).select("candidate_id", "id", "status")
 
 
-CUSTOM = (html_extract, html_plain_text, jsonld_items, price_pairing, token_reasons, text_windows, quote_nearest, name_variants, throttle_events, spend_ledger, diversified_pick, random_pick, catalog_round_trip, stream_day_counters, stream_throttle, bag_match_frames, latest_review_frames)
+def stream_session_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.drain(counters.session_firsts(counters.event_stream(spark, sf_dir)))
+
+
+CUSTOM = (
+    html_extract, html_menu_items, html_plain_text, jsonld_items, price_pairing, line_tones, uncovered_lines, uncovered_summary, coverage_diagnosis, token_reasons, text_windows, quote_nearest, answer_diagnosis,
+    mismatch_diagnosis, name_variants, throttle_events, spend_ledger, call_reservations, diversified_pick, random_pick, catalog_round_trip, stream_day_counters, stream_throttle,
+    stream_session_firsts, bag_match_frames, latest_review_frames, dish_search_page, dish_search_summary, dish_group_page, restaurant_search_page, day_order, source_workqueue, inbox_states,
+    source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
+)

@@ -1,4 +1,4 @@
-"""Rows out of documents: HTML blocks, JSON-LD menus, priced lines, quotes."""
+"""Rows out of pages and documents: HTML blocks and priced items, JSON-LD menus, refused numbers."""
 
 from __future__ import annotations
 
@@ -13,50 +13,97 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from menulake.functions.prices import price_tokens, refusal
-
-#: Work limits for one page, so that no page can hold up a task.
-MAX_BYTES, MAX_NODES = 2 << 20, 50_000
-HEADINGS, ITEMS, HIDDEN = {"h1", "h2", "h3", "h4"}, {"li", "p", "tr", "dd", "dt"}, {"script", "style", "template", "noscript"}
+from menulake.functions.prices import number_tokens, prices
+from menulake.operators.coverage import letters, name_of
+from menulake.operators.diagnosis import windows
+
+#: Work limits for one page, so that no page can hold up a task; priced items that make a menu; and
+#: characters and different words that make a block spam.
+MAX_BYTES, MAX_NODES, LEAST_ITEMS, SPAM_CHARS, SPAM_WORDS = 2 << 20, 50_000, 3, 80, 2
+HEADINGS, ITEMS = {"h1", "h2", "h3", "h4"}, {"li", "p", "tr", "dd", "dt"}
+UNSEEN, VOID = {"script", "style", "template", "noscript"}, {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+# Words of injected text, each a sign of it.
+SPAM = re.compile(r"\b(unibet|bet365|1xbet|20bet|bwin|betway|casinos?|sportwetten|apuestas|bookmakers?|betting|viagra|cialis|payday(?:\s+loans?)?|forex)\b", re.I)
 LD = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.S | re.I)
 TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+# Words in a menu's name that tell its context, in the order in which they are tried.
+CONTEXTS = (("lunch", "lunch"), ("diner", "diner dinner avond"), ("borrel", "borrel"), ("dranken", "drank drink beverage wijn bier"), ("specialiteiten", "specialiteit special"), ("ontbijt", "ontbijt breakfast brunch"))
+
+
+class TooMuchWork(Exception):
+    pass
+
+
+class Blocks(HTMLParser):
+    """(section, text, cells, place) of the list items, paragraphs and rows that are to be seen.
 
+    What is hidden by an attribute or an inline style is left out with all in it. The number of nodes
+    is counted while they are read, and reading ends at the limit."""
 
-class _Blocks(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, limit: int = MAX_NODES) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, str, str]] = []
-        self.section, self.kind, self.text, self.hidden, self.nodes = "", "", [], 0, 0
+        self.rows: list[tuple[str, str, list[str], str]] = []
+        self.section, self.kind, self.text, self.cells = "", "", [], []
+        self.open: list[tuple[str, bool]] = []
+        self.limit, self.nodes = limit, 0
 
     def flush(self) -> None:
-        line = " ".join("".join(self.text).split())
-        self.text = []
+        self.cell()
+        line = " ".join(self.cells)
         if line and self.kind == "heading":
             self.section = line
         elif line and self.kind == "item":
-            self.rows.append((self.section, line, f"{len(self.rows)}"))
+            self.rows.append((self.section, line, self.cells, str(len(self.rows))))
+        self.cells = []
+
+    def cell(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.cells.append(text)
+        self.text = []
 
     def handle_starttag(self, tag, attrs):
         self.nodes += 1
-        style = dict(attrs).get("style") or ""
-        if tag in HIDDEN or "display:none" in style.replace(" ", ""):
-            self.hidden += tag in HIDDEN
+        if self.nodes > self.limit:
+            raise TooMuchWork
+        given = dict(attrs)
         if tag in HEADINGS or tag in ITEMS:
             self.flush()
             self.kind = "heading" if tag in HEADINGS else "item"
+        elif tag in ("td", "th"):
+            self.cell()
+        if tag not in VOID:
+            hidden = tag in UNSEEN or "hidden" in given or HIDDEN_STYLE.search(given.get("style") or "") is not None
+            self.open.append((tag, hidden or bool(self.open and self.open[-1][1])))
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
         if tag in HEADINGS or tag in ITEMS:
             self.flush()
             self.kind = ""
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.hidden and self.kind:
+        if self.kind and not (self.open and self.open[-1][1]):
             self.text.append(data)
 
 
+def blocks(page: str | None, limit: int = MAX_NODES) -> tuple[list[tuple[str, str, list[str], str]], str | None]:
+    """(rows, why there are none)."""
+    if page is None or len(page.encode(errors="replace")) > MAX_BYTES:
+        return [], "empty" if page is None else "too large"
+    reader = Blocks(limit)
+    try:
+        reader.feed(page)
+        reader.close()
+    except TooMuchWork:
+        return [], "too many nodes"
+    reader.flush()
+    return reader.rows, None
+
+
 def html_items(pages: DataFrame) -> DataFrame:
     """(page_id, section, item, locator, reason): list items, paragraphs and rows under the heading
     they follow. Pages beyond the work limits give one row with a reason."""
@@ -65,21 +112,60 @@ def html_items(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for page_id, page in zip(pdf["page_id"], pdf["html"], strict=True):
-                if page is None or len(page.encode()) > MAX_BYTES:
-                    out.append((page_id, "", "", "", "empty" if page is None else "too large"))
-                    continue
-                p = _Blocks()
-                p.feed(page)
-                p.flush()
-                if p.nodes > MAX_NODES:
-                    out.append((page_id, "", "", "", "too many nodes"))
-                else:
-                    out += [(page_id, *r, None) for r in p.rows]
+                rows, reason = blocks(page)
+                out += [(page_id, "", "", "", reason)] if reason else [(page_id, section, text, at, None) for section, text, _, at in rows]
             yield pd.DataFrame(out, columns=["page_id", "section", "item", "locator", "reason"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, section string, item string, locator string, reason string")
 
 
+def pairs_of_cells(cells: list[str]) -> list[tuple[str, int]]:
+    """(name, cents) of a row's cells: a cell of prices alone belongs to the nearest named cell before
+    it that none other took; a cell with both is a pair of its own."""
+    out, name = [], None
+    for cell in cells:
+        found = prices(cell) or ([t for t in number_tokens(cell) if t.reason == "no_name"] if name else [])
+        own = name_of(cell, found) if found else (cell if letters(cell) >= 2 else None)
+        if not found:
+            name = own or name
+        elif own:
+            out.append((own, found[0].cents))
+            name = None
+        elif name:
+            out.append((name, found[0].cents))
+            name = None
+    return out
+
+
+def menu_items(pages: DataFrame, least: int = LEAST_ITEMS) -> DataFrame:
+    """(page_id, section, name, cents, locator, reason): the priced items of a page's blocks, several of
+    a row where it has several names and prices.
+
+    Refused with a reason: blocks of injected text (`spam`), blocks without a price (`no price`), and
+    the items of pages with fewer than `least` of them (`too few`); a page beyond the work limits is
+    one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for page_id, page in zip(pdf["page_id"], pdf["html"], strict=True):
+                rows, reason = blocks(page)
+                if reason:
+                    out.append((page_id, "", "", None, "", reason))
+                good: list[tuple] = []
+                for section, text, cells, at in rows:
+                    spam = len(text) >= SPAM_CHARS and len({m.lower() for m in SPAM.findall(text)}) >= SPAM_WORDS
+                    pairs = [] if spam else pairs_of_cells(cells if len(cells) > 1 else [text])
+                    if pairs:
+                        good += [(page_id, section, name, cents, f"{at}.{i}", None) for i, (name, cents) in enumerate(pairs)]
+                    else:
+                        out.append((page_id, section, text, None, at, "spam" if spam else "no price"))
+                out += good if len(good) >= least else [(*r[:5], "too few") for r in good]
+            yield pd.DataFrame(out, columns=["page_id", "section", "name", "cents", "locator", "reason"]).astype({"cents": "Int64"})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, section string, name string, cents long, locator string, reason string")
+
+
 def strip_tags(text: str) -> str:
     return " ".join(html.unescape(TAG.sub(" ", text)).split())
 
@@ -114,75 +200,56 @@ def sections(node: object, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[s
                 yield from sections(node.get(field, []), here)
 
 
+def context_slugs(names: list[str]) -> list[str]:
+    """A slug of small letters for each menu of a page, all different: the context that its name tells,
+    else the letters of its name, else `menu` with a letter for its place; a letter more where taken."""
+    used: set[str] = set()
+    out = []
+    for i, name in enumerate(names):
+        lower = (name or "").lower()
+        base = next((slug for slug, words in CONTEXTS if any(w in lower for w in words.split())), None) or re.sub("[^a-z]", "", lower) or f"menu{chr(97 + i % 26)}"
+        slug, n = base, 0
+        while slug in used:
+            n += 1
+            slug = base + chr(97 + n % 26) * (1 + n // 26)
+        used.add(slug)
+        out.append(slug)
+    return out
+
+
 def jsonld_items(pages: DataFrame) -> DataFrame:
-    """(page_id, path, item, price) of the menus in a page's JSON-LD; bad JSON is skipped."""
+    """(page_id, context, path, item, price) of the menus in a page's JSON-LD; bad JSON is skipped. The
+    context is the slug of the item's menu, the first part of its path."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for page_id, page in zip(pdf["page_id"], pdf["html"], strict=True):
+                rows = []
                 for block in LD.findall(page or ""):
                     try:
-                        node = json.loads(block)
-                    except ValueError:
+                        rows += list(sections(json.loads(block)))
+                    except (ValueError, RecursionError):
                         continue
-                    out += [(page_id, " / ".join(p), item, price) for p, item, price in sections(node)]
-            yield pd.DataFrame(out, columns=["page_id", "path", "item", "price"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, path string, item string, price string")
+                menus = list(dict.fromkeys(p[0] if p else "" for p, *_ in rows))
+                slug = dict(zip(menus, context_slugs(menus), strict=True))
+                out += [(page_id, slug[p[0] if p else ""], " / ".join(p), item, price) for p, item, price in rows]
+            yield pd.DataFrame(out, columns=["page_id", "context", "path", "item", "price"])
 
-
-def priced_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, section, name, cents, paired): lines with a price; a price alone on its line
-    takes the nearest unused text line up to three before."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                section, free = "", []
-                for n, line in enumerate((text or "").splitlines()):
-                    tokens = [t for t in price_tokens(line) if refusal(line, *t) is None]
-                    name = line[: tokens[0][0]].strip(" .:-€") if tokens else line.strip()
-                    if not tokens:
-                        if name and len(name) < 40:
-                            section = name
-                        if name:
-                            free.append((n, name))
-                        continue
-                    paired = not name and bool(free) and n - free[-1][0] <= 3
-                    if paired:
-                        name = free.pop()[1]
-                    out.append((doc_id, n, section, name, tokens[-1][1], paired))
-            yield pd.DataFrame(out, columns=["doc_id", "line", "section", "name", "cents", "paired"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line long, section string, name string, cents long, paired boolean")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, context string, path string, item string, price string")
 
 
 def token_reasons(docs: DataFrame) -> DataFrame:
-    """How many number tokens were refused, by reason."""
+    """How many number tokens were refused, by reason; `price` counts those that weren't."""
 
     def run(batches):
         for pdf in batches:
-            seen = Counter(refusal(line, *t) or "price" for text in pdf["text"] for line in (text or "").splitlines() for t in price_tokens(line))
+            seen = Counter(t.reason or "price" for text in pdf["text"] for line in (text or "").splitlines() for t in number_tokens(line))
             yield pd.DataFrame(list(seen.items()), columns=["reason", "n"])
 
     return docs.select("text").mapInPandas(run, "reason string, n long").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
-def windows(text: str, size: int = 240) -> list[tuple[int, str]]:
-    """(offset, part) of overlapping parts; each keeps the last third of the one before."""
-    step = size - size // 3
-    return [(at, text[at : at + size]) for at in range(0, max(1, len(text) - size // 3), step)]
-
-
-def dice(a: str, b: str) -> float:
-    """Similarity of the bags of letter pairs."""
-    x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a.lower(), b.lower()))
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if total else 0.0
-
-
 def text_windows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
@@ -190,33 +257,3 @@ def text_windows(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "offset", "part"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, offset long, part string")
-
-
-def quote_nearest(docs: DataFrame, quotes: DataFrame, top: int = 3) -> DataFrame:
-    """(item_id, doc_id, offset, score): the three windows most like a quote, by letter pairs.
-
-    Windows that share none of a quote's words of seven letters and more aren't compared."""
-    parts = text_windows(docs).withColumn("word", F.explode(F.array_distinct(F.expr("filter(split(lower(part), '[^a-z]+'), w -> length(w) >= 7)"))))
-    asked = quotes.select("item_id", F.col("text").alias("quote")).withColumn("word", F.explode(F.array_distinct(F.expr("filter(split(lower(quote), '[^a-z]+'), w -> length(w) >= 7)"))))
-    pairs = parts.join(asked, "word").groupBy("item_id", "doc_id", "offset").agg(F.first("quote").alias("quote"), F.first("part").alias("part"), F.count(F.lit(1)).alias("common")).where("common >= 2")
-    score = F.pandas_udf(lambda a, b: pd.Series([dice(x, y) for x, y in zip(a, b, strict=True)]), "double")
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "offset")
-    return pairs.withColumn("score", score("quote", "part")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= top).select("item_id", "doc_id", "offset", "score")
-
-
-def name_variants(left: DataFrame, right: DataFrame, group: str, least: float = 0.75) -> DataFrame:
-    """(group, l, r, score): names paired one to one within a group, most alike first."""
-
-    def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        scored = sorted(((-dice(x, y), x, y) for x in set(a["name"]) for y in set(b["name"]) if x != y))
-        used_l, used_r, out = set(), set(), []
-        for s, x, y in scored:
-            if -s >= least and x not in used_l and y not in used_r:
-                used_l.add(x)
-                used_r.add(y)
-                out.append((key[0], x, y, -s))
-        return pd.DataFrame(out, columns=[group, "l", "r", "score"])
-
-    return left.distinct().groupBy(group).cogroup(right.distinct().groupBy(group)).applyInPandas(pair, f"{group} string, l string, r string, score double")

@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 def staged_bag_match(left: DataFrame, right: DataFrame, row_id: list[str], passes: list[tuple[str, list[str]]]) -> DataFrame:
     """Pairs of rows, each used once: row_id columns as l_* and r_*, and the pass that paired them.
 
-    In each pass the k-th row of a key meets the k-th row of that key on the other side (in the
-    order of row_id); what is left goes on. Unpaired rows follow with class `missing` or `extra`.
-    Every step is an equality join on the key and k, so no key is expanded into pairs.
+    In each pass the k-th open row of a key meets the k-th open one of that key on the other side (in
+    the order of row_id). Unpaired rows follow with class `missing` or `extra`. Both sides are one
+    table, with a column that says what a row was paired with, so nothing is joined; a shuffle by the
+    columns that all keys have in common serves every pass.
     """
-    out = None
+    common = [c for c in passes[0][1] if all(c in keys for _, keys in passes)]
+    names = list(dict.fromkeys([*row_id, *(c for _, keys in passes for c in keys)]))
+    own = F.struct(*row_id)
+    rows = left.select(*names, F.lit(True).alias("_left")).unionByName(right.select(*names, F.lit(False).alias("_left")))
+    rows = (rows.repartition(*common) if common else rows).withColumns({"_class": F.lit(None).cast("string"), "_other": F.lit(None).cast(rows.select(own.alias("x")).schema["x"].dataType)})
     for name, keys in passes:
-        w = Window.partitionBy(*keys).orderBy(*row_id)
-        a = left.withColumn("_k", F.row_number().over(w))
-        b = right.withColumn("_k", F.row_number().over(w))
-        l_names, r_names = [f"l_{c}" for c in row_id], [f"r_{c}" for c in row_id]
-        pick = lambda df, to: df.select(*keys, "_k", *[F.col(c).alias(t) for c, t in zip(row_id, to, strict=True)])
-        pairs = pick(a, l_names).join(pick(b, r_names), [*keys, "_k"]).select(*l_names, *r_names, F.lit(name).alias("class"))
-        out = pairs if out is None else out.unionByName(pairs)
-        left = left.join(pairs.select(*[F.col(n).alias(c) for n, c in zip(l_names, row_id, strict=True)]), row_id, "left_anti")
-        right = right.join(pairs.select(*[F.col(n).alias(c) for n, c in zip(r_names, row_id, strict=True)]), row_id, "left_anti")
-    missing = left.select(*[F.col(c).alias(f"l_{c}") for c in row_id], F.lit("missing").alias("class"))
-    extra = right.select(*[F.col(c).alias(f"r_{c}") for c in row_id], F.lit("extra").alias("class"))
-    return out.unionByName(missing, allowMissingColumns=True).unionByName(extra, allowMissingColumns=True)
+        open_ = F.col("_class").isNull()
+        counted = rows.withColumn("_open", open_).withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_open", "_left").orderBy(*row_id)))
+        pair = Window.partitionBy(*keys, "_open", "_k")
+        l_row, r_row = (F.max(F.when(F.col("_left") == side, own)).over(pair) for side in (True, False))
+        found = counted.withColumns({"_l": l_row, "_r": r_row}).withColumn("_hit", F.col("_open") & F.col("_l").isNotNull() & F.col("_r").isNotNull())
+        rows = found.withColumns({"_class": F.when(F.col("_hit"), name).otherwise(F.col("_class")), "_other": F.when(F.col("_hit"), F.when(F.col("_left"), F.col("_r")).otherwise(F.col("_l"))).otherwise(F.col("_other"))}).select(*names, "_left", "_class", "_other")
+    shown = rows.where(F.col("_left") | F.col("_class").isNull())
+    l_side = [F.when(F.col("_left"), F.col(c)).alias(f"l_{c}") for c in row_id]
+    r_side = [F.when(F.col("_left"), F.col("_other")[c]).otherwise(F.col(c)).alias(f"r_{c}") for c in row_id]
+    return shown.select(*l_side, *r_side, F.coalesce("_class", F.when(F.col("_left"), "missing").otherwise("extra")).alias("class"))
