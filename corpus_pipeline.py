@@ -17,30 +17,48 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known; it is learned from the stage's own input."""
+    """Keeps documents whose language is known; it is learned from the stage's own input.
+
+    Texts that are null, empty or without a letter go. Where no row has a lang to learn from, all
+    others stay. Repeated rows and rows with a null doc_id are judged by their text like any other;
+    columns named like the stage's own results are kept as they are; an empty table gives none."""
+    model = fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
-    found = identify(docs.withColumnsRenamed(own), fit(docs))
+    found = identify(docs.withColumnsRenamed(own), model)
     sure = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
     return sure.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class: five-word shingles, a similarity of 0.8 or more."""
+    """Keeps one document of each near-duplicate class: five-word shingles, a similarity of 0.8 or more.
+
+    The one with the smallest doc_id stays; of rows that repeat it the one with the smallest text. All
+    null and blank texts are one class. Rows with a null doc_id stay; an empty table gives none."""
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 bytes and more that a document with a smaller id has."""
+    """Cuts passages of 50 bytes and more that a document with a smaller id has.
+
+    Null and empty texts are empty afterwards; a document that had words and keeps none goes. Rows
+    that repeat a doc_id don't affect each other, and a null doc_id counts as the largest; n_chars
+    follows the text; an empty table gives none."""
     return remove_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the benchmark's windows of ten words out of each text."""
+    """Cuts the benchmark's windows of ten words out of each text.
+
+    A document that is nothing but benchmark keeps an empty text, and a null text stays null; every
+    row stays, with its own id and columns, and n_chars follows the text."""
     return remove_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of 2048 tokens."""
+    """The pieces of all documents, in sequences of 2048 tokens. A null or empty text is its end id
+    alone; repeated rows and rows with a null doc_id are packed each; an empty table gives none."""
     return packed(docs)
 
 
