@@ -20,7 +20,7 @@ def plain_words(text: str | None, ampersand: str = " en ") -> str:
     """Lower case without accents (by compatible decomposition); what is no ASCII letter or digit is a
     space, and & the word that is given for it. Null is empty."""
     decomposed = unicodedata.normalize("NFKD", text or "")
-    bare = re.sub("[̀-ͯ]", "", decomposed).replace("&", ampersand)
+    bare = re.sub("[\u0300-\u036f]", "", decomposed).replace("&", ampersand)
     return " ".join(re.findall("[a-z0-9]+", bare.lower()))
 
 
@@ -45,6 +45,13 @@ def _column(fn):
     return run
 
 
+def without_accents(text: str | None) -> str:
+    """Lower case without accents, white space as one space; other signs stay."""
+    decomposed = unicodedata.normalize("NFD", (text or "").lower())
+    return " ".join(re.sub("[\u0300-\u036f]", "", decomposed).split())
+
+
+bare_letters = _column(without_accents)
 name_key = _column(plain_words)
 menu_key = _column(lambda v: plain_words(v, " "))
 composed_key = _column(composed)

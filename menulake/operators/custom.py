@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.functions import arrays, canonical, decisions, keys
-from menulake.operators import coverage, diagnosis, extract, pick, search, state
+from menulake.functions import arrays, canonical, content, dates, decisions, geo, keys
+from menulake.operators import coverage, diagnosis, extract, menus, pick, search, state
 from menulake.operators.match import staged_bag_match
 from menulake.operators.order import global_rank
 from menulake.operators.reduce import latest_by
 from menulake.plans.dialect import load, run_sql
-from menulake.sources import catalog, checked
+from menulake.plans.matching import HOLE, RING
+from menulake.sources import catalog, checked, places
 from menulake.streaming import counters
 
 
@@ -277,6 +278,76 @@ def latest_review_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by(r, ["candidate_id"], [F.desc("decided_at"), F.desc("id")]).select("candidate_id", "id", "status")
 
 
+def offer_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When an offer made at an event's time expires, as text in UTC."""
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'daghap' WHEN 'click' THEN 'dagmenu' WHEN 'error' THEN 'x' ELSE 'seizoensgerecht' END")
+    day = F.date_add(e["ts"].cast("date"), (F.col("event_id") % 100).cast("int"))
+    closes = F.when(F.col("event_id") % 3 != 0, 1200 + F.col("event_id") % 200)
+    at = dates.expiry(kind, F.col("ts"), closes, day, F.when(F.col("event_id") % 5 == 0, day))
+    return e.select(F.col("event_id").cast("long").alias("event_id"), F.date_format(at, "yyyy-MM-dd HH:mm").alias("expires"))
+
+
+def confirmation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    x = dates.confirmation(F.col("ts"), F.lit("2024-04-15 10:00:00").cast("timestamp"))
+    return e.select(F.col("event_id").cast("long").alias("event_id"), x["active"].alias("active"), x["days_left"].cast("long").alias("days_left"), F.array_join(dates.seasons(F.add_months(F.col("ts").cast("date"), (F.col("event_id") % 12).cast("int"))), ",").alias("seasons"))
+
+
+def text_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(content.text_problems(F.col("text")), ",").alias("problems"))
+
+
+def menu_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards by restaurant and meal, a tenth of the price; some prices are missing."""
+    rows = run_sql(spark, sf_dir, "SELECT concat_ws('-', CAST(restaurant_id AS STRING), meal) AS menu, category, item_id % 97 = 0 AS uncertain, name, CAST(NULL AS STRING) AS description, CASE WHEN item_id % 41 <> 0 THEN CAST(floor(price_cents / 10) AS BIGINT) END AS cents, item_id % 43 = 0 AS supplement FROM dishes")
+    return menus.completeness(rows).select("menu", "ok", F.array_join("reasons", ",").alias("reasons"), "dishes", "priced")
+
+
+def menu_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the actual rows of a source may replace the expected ones."""
+    items = run_sql(spark, sf_dir, "SELECT source AS menu, CASE WHEN name % 50 <> 0 THEN 'q' END AS quote, true AS source_ok FROM actual")
+    return menus.replacement(items, run_sql(spark, sf_dir, "SELECT source AS menu, count(*) AS n FROM expected GROUP BY source"))
+
+
+def place_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restaurants with the candidates of their name, postcode and place; the name of a candidate is that
+    of one of a hundred restaurants, behind a word of its kind."""
+    r = run_sql(spark, sf_dir, "SELECT restaurant_id, concat('Restaurant Nr ', CAST(restaurant_id AS STRING)) AS name, CASE WHEN restaurant_id % 3 <> 0 THEN concat('Straat 1, ', CAST(4800 + restaurant_id % 90 AS STRING), ' AB Breda') END AS address, lat, lon FROM restaurants")
+    c = run_sql(spark, sf_dir, "SELECT candidate_id AS place_id, concat('Café nr. ', CAST(candidate_id % 100 AS STRING)) AS name, address, lat, lon FROM candidates").withColumn("postcode", places.postcode(F.col("address")))
+    return places.matched(r, c)
+
+
+def polygon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in a multipolygon: one with a hole, and a triangle beside it."""
+    ring = lambda points: F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in points])
+    shape = F.array(F.array(ring(RING), ring(HOLE)), F.array(ring(((4.7, 51.5), (4.703, 51.5), (4.7, 51.503)))))
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, lat, lon FROM candidates")
+    return c.where(geo.in_multipolygon(F.col("lon"), F.col("lat"), shape)).select("candidate_id")
+
+
+def triage_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = source_workqueue(spark, sf_dir)
+    step = places.next_step(F.col("source"), F.col("host") % 9 == 0, F.col("host") % 4 != 0, F.col("host") % 50 != 0)
+    return w.select("host", step.alias("next_step"))
+
+
+def period_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four totals of a user's last week: viewed, saved, shared, and votes that were yes."""
+    week = "CAST(ts AS DATE) > DATE '2024-01-30' - 7"
+    return run_sql(spark, sf_dir, f"SELECT user_id, count_if(event_type = 'view') AS viewed, count_if(event_type = 'purchase') AS saved, count_if(event_type = 'click') AS shared, count_if(event_type IN ('click', 'error') AND value > 50) AS favourite FROM events WHERE {week} GROUP BY user_id")
+
+
+def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By bucket: how many rows there are, the share that is right, the median amount, errors by kind."""
+    l, o = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    errors = rows.where("l_returnflag <> 'N'").groupBy("o_orderpriority", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    kinds = errors.groupBy("o_orderpriority").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_returnflag", "n"))), lambda x: F.concat_ws(":", x["l_returnflag"], x["n"].cast("string"))), ",").alias("errors"))
+    score = rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "N").alias("right"), F.median("l_quantity").alias("median"))
+    return score.join(kinds, "o_orderpriority", "left").select(F.col("o_orderpriority").alias("bucket"), "n", (F.floor(F.col("right") / F.col("n") * 10000 + 0.5) / 10000).alias("ratio"), "median", F.coalesce("errors", F.lit("")).alias("errors"))
+
+
 def stream_session_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.drain(counters.session_firsts(counters.event_stream(spark, sf_dir)))
 
@@ -285,5 +356,5 @@ CUSTOM = (
     html_extract, html_menu_items, html_plain_text, jsonld_items, price_pairing, line_tones, uncovered_lines, uncovered_summary, coverage_diagnosis, token_reasons, text_windows, quote_nearest, answer_diagnosis,
     mismatch_diagnosis, name_variants, throttle_events, spend_ledger, call_reservations, diversified_pick, random_pick, catalog_round_trip, stream_day_counters, stream_throttle,
     stream_session_firsts, bag_match_frames, latest_review_frames, dish_search_page, dish_search_summary, dish_group_page, restaurant_search_page, day_order, source_workqueue, inbox_states,
-    source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
+    offer_expiry, confirmation_days, text_problems, menu_completeness, menu_replacement, place_match, polygon_hits, triage_steps, period_totals, field_accuracy, source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from menulake.plans.matching import inside
+
 _DISHES = """SELECT dish_id, dishes.name AS name, restaurants.name AS restaurant, restaurant_id, cuisine,
     CASE WHEN lower(dishes.name) = '{q}' THEN 0 WHEN contains(lower(dishes.name), '{q}') THEN 1 WHEN contains(lower(category), '{q}') THEN 2 WHEN contains(lower(tag), '{q}') THEN 3 END AS tier
     FROM dishes JOIN restaurants USING (restaurant_id)"""
@@ -11,7 +13,38 @@ _CARDS = "SELECT restaurant_id AS source_id, item_id, name || ' ' || translate(l
 _TONES = f"""SELECT source_id, label AS name, CASE WHEN item_id % 4 <> 0 THEN CASE WHEN item_id % 7 = 0 THEN 'price_mismatch' ELSE 'covered' END WHEN item_id % 11 = 0 OR item_id % 13 = 0 THEN 'not_dish' ELSE 'uncovered' END AS tone,
     CASE WHEN item_id % 4 <> 0 THEN item_id END AS item_id, item_id % 5 = 0 AS paired FROM ({_CARDS}) c"""
 
+_NOW = "CAST(ts AS TIMESTAMP)"
+_TODAY = f"CAST(timezone('Europe/Amsterdam', timezone('UTC', {_NOW})) AS DATE)"
+_UNTIL = f"(CAST({_NOW} AS DATE) + CAST(event_id % 100 AS INTEGER))"
+_SHUT = "CASE WHEN event_id % 3 <> 0 THEN 1200 + event_id % 200 ELSE 1439 END"
+
+
+def _instant(day: str, minute: str) -> str:
+    return f"strftime(timezone('UTC', timezone('Europe/Amsterdam', CAST({day} AS TIMESTAMP) + to_minutes(CAST({minute} AS BIGINT)))), '%Y-%m-%d %H:%M')"
+
+
 ORACLES = {
+    "offer_expiry": f"""SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 5 = 0 THEN CASE WHEN {_UNTIL} - {_TODAY} BETWEEN 0 AND 90 THEN {_instant(_UNTIL, _SHUT)} END WHEN event_type IN ('view', 'click') THEN {_instant(_TODAY, _SHUT)}
+        WHEN event_type <> 'error' AND {_UNTIL} - {_TODAY} BETWEEN 0 AND 90 THEN {_instant(_UNTIL, '1439')} END AS expires FROM events""",
+    "confirmation_days": """WITH e AS (SELECT CAST(event_id AS BIGINT) AS event_id, epoch_us(CAST(ts AS TIMESTAMP)) + 90 * 86400000000 - epoch_us(TIMESTAMP '2024-04-15 10:00:00') AS rest, month(CAST(CAST(ts AS TIMESTAMP) AS DATE) + to_months(CAST(event_id % 12 AS INTEGER))) AS m FROM events)
+        SELECT event_id, rest > 0 AS active, CAST(CASE WHEN rest > 0 THEN ceil(rest / 86400000000) ELSE 0 END AS BIGINT) AS days_left,
+        concat_ws(',', CASE WHEN m IN (4, 5, 6) THEN 'asperges' END, CASE WHEN m >= 9 OR m <= 3 THEN 'mosselen' END, CASE WHEN m >= 10 THEN 'wild' END, CASE WHEN m BETWEEN 9 AND 11 THEN 'pompoen' END) AS seasons FROM e""",
+    "menu_completeness": """WITH d AS (SELECT restaurant_id || '-' || meal AS menu, item_id, name, category, CASE WHEN item_id % 41 <> 0 THEN floor(price_cents / 10) END AS cents FROM dishes),
+        r AS (SELECT menu, category, lower(name) AS k, coalesce(CAST(cents AS STRING), 'x') AS c, count(*) AS n FROM d GROUP BY ALL), x AS (SELECT menu, sum(n - 1) AS repeats FROM r GROUP BY menu),
+        g AS (SELECT menu, count(*) AS dishes, count(cents) AS priced, count_if(item_id % 97 = 0) AS unsure, count_if((cents < 100 OR cents > 15000) AND item_id % 43 <> 0) AS odd FROM d GROUP BY menu),
+        t AS (SELECT menu, dishes, priced, concat_ws(',', CASE WHEN unsure > 0 THEN 'uncertain_sections' END, CASE WHEN priced < dishes THEN 'unpriced_dishes' END, CASE WHEN odd > 0 THEN 'price_out_of_bounds' END, CASE WHEN repeats > 0 THEN 'duplicate_dishes' END, CASE WHEN dishes < 8 THEN 'too_few_dishes' END) AS reasons FROM g JOIN x USING (menu))
+        SELECT menu, reasons = '' AS ok, reasons, CAST(dishes AS BIGINT) AS dishes, CAST(priced AS BIGINT) AS priced FROM t""",
+    "menu_replacement": """SELECT e.source AS menu, CASE WHEN coalesce(found, 0) = 0 THEN 'no_items' WHEN found < ceil(n * 0.8) THEN 'coverage_below' WHEN bare > 0 THEN 'missing_evidence' ELSE 'ok' END AS reason
+        FROM (SELECT source, count(*) AS n FROM expected GROUP BY source) e LEFT JOIN (SELECT source, count(*) AS found, count_if(name % 50 = 0) AS bare FROM actual GROUP BY source) a ON a.source = e.source""",
+    "place_match": """WITH p AS (SELECT r.restaurant_id, r.restaurant_id % 3 = 0 OR regexp_extract(c.address, '([0-9]{4})ab$', 1) = CAST(4800 + r.restaurant_id % 90 AS STRING) AS post, c.candidate_id,
+        2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - r.lon) / 2), 2)))) <= 150 AS near FROM restaurants r JOIN candidates c ON c.candidate_id % 100 = r.restaurant_id),
+        n AS (SELECT restaurant_id, count_if(coalesce(post, false)) AS posts, count_if(coalesce(post, false) AND near) AS rest, min(CASE WHEN post AND near THEN candidate_id END) AS place FROM p GROUP BY restaurant_id)
+        SELECT r.restaurant_id, CASE WHEN rest = 1 THEN place END AS place_id, CASE WHEN posts IS NULL THEN 'no_name_match' WHEN posts = 0 THEN 'postcode_mismatch' WHEN rest = 0 THEN 'too_far' WHEN rest > 1 THEN 'several' ELSE 'exact' END AS reason FROM restaurants r LEFT JOIN n ON n.restaurant_id = r.restaurant_id""",
+    "polygon_hits": f"SELECT candidate_id FROM candidates WHERE {inside('lon', 'lat')} OR (lon >= 4.7 AND lat >= 51.5 AND (lon - 4.7) + (lat - 51.5) < 0.003)",
+    "period_totals": """SELECT user_id, CAST(count_if(event_type = 'view') AS BIGINT) AS viewed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS saved, CAST(count_if(event_type = 'click') AS BIGINT) AS shared,
+        CAST(count_if(event_type IN ('click', 'error') AND value > 50) AS BIGINT) AS favourite FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY user_id""",
+    "field_accuracy": """WITH j AS (SELECT o_orderpriority AS bucket, l_returnflag AS flag, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT bucket, string_agg(flag || ':' || n, ',' ORDER BY flag) AS errors FROM (SELECT bucket, flag, count(*) AS n FROM j WHERE flag <> 'N' GROUP BY ALL) x GROUP BY bucket)
+        SELECT j.bucket, CAST(count(*) AS BIGINT) AS n, floor(CAST(count_if(flag = 'N') AS DOUBLE) / count(*) * 10000 + CAST(0.5 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS ratio, median(l_quantity) AS median, coalesce(any_value(errors), '') AS errors FROM j LEFT JOIN e ON e.bucket = j.bucket GROUP BY j.bucket""",
     "price_pairing": f"SELECT source_id, section, label AS name, price, item_id % 5 = 0 AS paired, false AS loose FROM ({_CARDS}) c",
     "line_tones": f"SELECT source_id, name, tone, item_id FROM ({_TONES}) t",
     "uncovered_summary": f"SELECT count(*) > 0 AS available, CAST(count_if(tone = 'uncovered') AS BIGINT) AS total, CAST(least(count_if(tone = 'uncovered'), 200) AS BIGINT) AS shown, CAST(greatest(count_if(tone = 'uncovered') - 200, 0) AS BIGINT) AS omitted FROM ({_TONES}) t",
@@ -54,3 +87,5 @@ ORACLES = {
     "text_windows": "SELECT doc_id, CAST(at_ AS BIGINT) AS \"offset\", substring(text, CAST(at_ + 1 AS BIGINT), 240) AS part FROM (SELECT doc_id, text, unnest(range(0, greatest(1, length(text) - 80), 160)) AS at_ FROM documents) w",
     "stream_session_firsts": "SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'view'",
 }
+ORACLES["triage_steps"] = f"""SELECT host, CASE WHEN host % 50 = 0 THEN 'proposals_unknown' WHEN host % 9 = 0 THEN 'review_proposal' WHEN host % 4 = 0 THEN 'add_candidate' WHEN source = 'unreachable' THEN 'replace_or_mark'
+    WHEN source = 'access_limited' THEN 'inspect_or_mark' ELSE 'check_via_onboarding' END AS next_step FROM ({ORACLES['source_workqueue']}) w"""
