@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,25 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = "file://" + tempfile.mkdtemp(prefix="menulake-")
     spark.conf.set("spark.checkpoint.dir", base)
-    import atexit
-
     atexit.register(shutil.rmtree, base[len("file://") :], ignore_errors=True)
     return base
 
 
-#: Rows that travel to Python at once at most; they are held on both sides, with their whole texts.
+#: Rows that travel to Python at once at most while a table is saved; they are held on both sides,
+#: with their whole texts. (Their bytes are bounded by the session's own setting.)
 ARROW_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Workspace:
-    """Intermediate tables in the shared folder. A saved table survives the loss of executors."""
+    """Intermediate tables in the shared folder. A saved table survives the loss of executors.
+
+    Results read from the workspace, so its folder stays while the session lives, and is deleted when
+    the driver ends. Settings of the session are as before after each call."""
+
+    open: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/menulake-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        if not Workspace.open:
+            atexit.register(Workspace.clean)
+        Workspace.open.append(self)
+
+    @classmethod
+    def clean(cls) -> None:
+        """Deletes the folders of all workspaces; nothing may read from them any more."""
+        while cls.open:
+            ws = cls.open.pop()
+            with contextlib.suppress(Exception):  # the session may have ended before
+                ws.delete(ws.root)
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -56,7 +74,12 @@ class Workspace:
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write df as Parquet and read it again; the result has no lineage beyond the files."""
         path = self.path(label)
-        df.write.parquet(path)
+        rows = int(self.spark.conf.get(_ROWS_KEY))
+        try:
+            self.spark.conf.set(_ROWS_KEY, str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_ROWS_KEY, str(rows))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._menulake_path = path
         return out
@@ -72,6 +95,30 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Answers:
+    """Small rows for tasks that read a saved table again, in a folder for each partition that wrote it,
+    so that the table itself isn't shuffled: `write` files them by `part`, and a task that comes upon
+    rows of a part reads its answers, sorted by `order`."""
+
+    def __init__(self, path: str, order: list[str]):
+        self.path, self.order, self.part = path, order, None
+
+    @classmethod
+    def write(cls, ws: Workspace, answers: DataFrame, order: list[str], label: str) -> Answers:
+        path = ws.path(label)
+        answers.repartition(shuffle_partitions(ws.spark), "part").sortWithinPartitions("part", *order).write.partitionBy("part").parquet(path)
+        return cls(path, order)
+
+    def of(self, part: int) -> pa.Table | None:
+        """The answers of a part; None if it has none."""
+        if self.part != part:
+            store, root = fs.FileSystem.from_uri(f"{self.path}/part={part}")
+            there = store.get_file_info(root).type != fs.FileType.NotFound
+            self.table = ds.dataset(root, filesystem=store, format="parquet").to_table().sort_by([(c, "ascending") for c in self.order]) if there else None
+            self.part = part
+        return self.table
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

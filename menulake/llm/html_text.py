@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.llm.common import Workspace, batch_of, ranked, table
+from menulake.llm.common import Answers, Workspace, batch_of, ranked, table
 
 # Names of HTML elements by what they do to text.
 RAW = frozenset("script style noscript template textarea iframe svg canvas object title".split())
@@ -287,12 +288,13 @@ def key_of(line: str) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, list, keys, body) of each page. list names the host and its lines'
-    keys; body is the lines and what becomes of them, compressed."""
-    names = ["page_id", "url", "host", "path", "list", "keys", "body"]
+    """(part, nr, page_id, url, host, path, list, keys, body) of each page. part and nr are its place;
+    list names the host and its lines' keys; body is the lines and what becomes of them, compressed."""
+    names = ["part", "nr", "page_id", "url", "host", "path", "list", "keys", "body"]
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3)
+        part_no, nr = TaskContext.get().partitionId(), 0
         for b in batches:
             for begin in range(0, b.num_rows, 128):
                 part = b.slice(begin, 128)
@@ -303,10 +305,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                     keys = np.array([key_of(x) for x, _ in lines], np.int64)
                     name = xxhash.xxh3_128_digest(host.encode("utf-8", "surrogatepass") + b"\0" + keys.tobytes())
                     body = bytes(rule for _, rule in lines) + "\n".join(x for x, _ in lines).encode("utf-8", "replace")
-                    out.append((page_id, url, host, path, name, keys, packer.compress(body)))
-                yield batch_of(names, [list(c) for c in zip(*out, strict=True)], [pa.int64(), *[pa.string()] * 3, pa.binary(), pa.list_(pa.int64()), pa.binary()])
+                    out.append((part_no, nr, page_id, url, host, path, name, keys, packer.compress(body)))
+                    nr += 1
+                yield batch_of(names, [list(c) for c in zip(*out, strict=True)], [*[pa.int64()] * 3, *[pa.string()] * 3, pa.binary(), pa.list_(pa.int64()), pa.binary()])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, host string, path string, list binary, keys array<long>, body binary")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "part long, nr long, page_id long, url string, host string, path string, list binary, keys array<long>, body binary")
 
 
 def common(a: str, b: str) -> int:
@@ -374,13 +377,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     ws = Workspace(pages.sparkSession, "html")
     lines = ws.save(parsed(pages), "lines")
     shared = differences(ws, lines.select("list", "host", "path", "keys"))
+    answers = Answers.write(ws, lines.select("part", "nr", "list").join(shared, "list").drop("list"), ["nr"], "shared")
 
     def run(batches):
         for b in batches:
-            text = [text_of(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield batch_of(["page_id", "url", "text"], [b.column(0), b.column(1), text], [pa.int64(), pa.string(), pa.string()])
+            text = []
+            for part, nr, body in zip(*(b.column(c).to_pylist() for c in (0, 1, 4)), strict=True):
+                text.append(text_of(body, answers.of(part).column("shared")[nr].as_py()))
+            yield batch_of(["page_id", "url", "text"], [b.column(2), b.column(3), text], [pa.int64(), pa.string(), pa.string()])
 
-    return lines.select("page_id", "url", "body", "list").join(shared, "list").select("page_id", "url", "body", "shared").mapInArrow(run, "page_id long, url string, text string")
+    return lines.select("part", "nr", "page_id", "url", "body").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op4_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

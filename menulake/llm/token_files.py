@@ -143,7 +143,8 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, length: in
 
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("doc_id", "text")
+    crc = F.crc32(F.col("text").cast("binary"))
+    ordered = rows.repartitionByRange(n, "doc_id", crc).sortWithinPartitions("doc_id", crc, "text")
     return ordered.mapInArrow(run, "part int, file string, docs long, tokens long")
 
 
@@ -176,7 +177,7 @@ def token_files(docs: DataFrame, path: str | None = None, end_id: int = 2, folde
     back from them, doc_id, start, n_tokens, ids_crc32 per document.
 
     A null or empty text is its end id alone. Rows are ordered by doc_id (nulls first), rows that
-    repeat an id by text; other columns are ignored; an empty table gives no rows. Rows of one
+    repeat an id by the crc32 of their text and the text; other columns are ignored; an empty table gives no rows. Rows of one
     doc_id are spread by their text, so no id can fill a partition unless its rows are equal.
     """
     spark = docs.sparkSession
