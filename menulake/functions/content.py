@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from menulake.functions.keys import bare_letters, menu_key
+from menulake.functions.keys import bare_letters, menu_key, name_key
 
 #: Emoji that a text may have.
 MOST_EMOJI = 3
@@ -89,3 +92,40 @@ def cuisine_family(cuisine: Column) -> Column:
 
 def dish_key(name: Column) -> Column:
     return menu_key(name)
+
+
+def likely_same_name(a: Column, b: Column) -> Column:
+    """Whether the keys of two names are equal or one holds the other; null where either is empty."""
+    x, y = name_key(a), name_key(b)
+    empty = (F.coalesce(F.length(x), F.lit(0)) == 0) | (F.coalesce(F.length(y), F.lit(0)) == 0)
+    return F.when(~empty, F.contains(x, y) | F.contains(y, x))
+
+
+def price_label(price: Column, on_request: Column, value: Column, notes: Column, from_: Column) -> Column:
+    """A price as its source names it, with the notes that it doesn't hold already, each once whatever
+    its case, and `vanaf` in front where it is the lowest. Null without one sure price."""
+    known = F.filter(F.transform(F.coalesce(notes, F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: F.length(n) > 0)
+    label = F.aggregate(known, F.trim(price), lambda text, n: F.when(F.contains(F.lower(text), F.lower(n)), text).otherwise(F.concat(text, F.lit(" · "), n)))
+    shown = F.when(from_ & ~label.rlike(r"(?i)^vanaf\b"), F.concat(F.lit("vanaf "), label)).otherwise(label)
+    return F.when((F.length(F.trim(price)) > 0) & ~F.coalesce(on_request, F.lit(False)) & value.isNotNull(), shown)
+
+
+def field_confidence(has_hash: Column, status: Column, plausible: Column) -> Column:
+    """hoog, middel or laag: only a field that was compared with another sighting, agrees with it and is
+    plausible is high; a conflict is low. An unknown status is an error."""
+    known = F.when(status.isin("conflict", "unverified", "consistent"), status).otherwise(F.raise_error(F.concat(F.lit("unknown context status: "), F.coalesce(status, F.lit("null")))).cast("string"))
+    return F.when(~has_hash & known.isNotNull(), "middel").when(known == "conflict", "laag").when((known == "consistent") & F.coalesce(plausible, F.lit(False)), "hoog").otherwise("middel")
+
+
+@F.pandas_udf(StringType())
+def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    """A link's address as seen from its page; null if it can't be read, or isn't an http one."""
+
+    def one(b, h):
+        try:
+            whole = urljoin(b or "", h.strip())
+            return whole if urlsplit(whole).scheme in ("http", "https") and urlsplit(whole).hostname else None
+        except (ValueError, AttributeError):
+            return None
+
+    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])

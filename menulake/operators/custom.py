@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menulake.functions import arrays, canonical, content, dates, decisions, geo, keys
-from menulake.operators import coverage, diagnosis, extract, menus, pick, search, state
+from menulake.operators import coverage, diagnosis, extract, menus, pick, records, search, state
 from menulake.operators.match import staged_bag_match
 from menulake.operators.order import global_rank
 from menulake.operators.reduce import latest_by
@@ -348,6 +348,41 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.join(kinds, "o_orderpriority", "left").select(F.col("o_orderpriority").alias("bucket"), "n", (F.floor(F.col("right") / F.col("n") * 10000 + 0.5) / 10000).alias("ratio"), "median", F.coalesce("errors", F.lit("")).alias("errors"))
 
 
+def restaurant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.restaurant_fields(load(spark, sf_dir, "pages"))
+
+
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = run_sql(spark, sf_dir, "SELECT page_id, CAST(nr AS BIGINT) AS nr, url, href FROM links")
+    return links.select("page_id", "nr", content.resolved("url", "href").alias("link"))
+
+
+def enqueue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of batches of page addresses without their queries, against jobs of some of them."""
+    pages = run_sql(spark, sf_dir, "SELECT page_id, host, path FROM page_urls")
+    url = F.when(F.col("page_id") % 17 == 0, F.lit("no address")).otherwise(F.concat(F.lit("https://"), "host"))
+    items = pages.select((F.col("page_id") % 3).alias("batch_id"), F.col("page_id").alias("position"), url.alias("url"))
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    status = F.expr("CASE page_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'succeeded' ELSE 'failed' END")
+    jobs = pages.where("page_id % 4 = 1").select(F.col("page_id").alias("job_id"), F.concat(F.lit("https://"), "host").alias("url"), status.alias("status"), F.lit(99).alias("batch_id"), (F.col("page_id") % 10 == 5).alias("expired"), F.timestamp_add("DAY", -(F.col("page_id") % 12).cast("int"), now).alias("finished_at"))
+    return records.enqueue(items, jobs, now).select("batch_id", "position", "url", "outcome", "reused_job_id")
+
+
+def unknown_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose name, comparable name, core name and host no restaurant has; a candidate's
+    name is a restaurant's with another kind of word, for those of a hundred that there are."""
+    r = run_sql(spark, sf_dir, "SELECT concat('Restaurant Nr ', CAST(restaurant_id AS STRING)) AS name, website FROM restaurants")
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, concat(CASE WHEN candidate_id % 2 = 0 THEN 'Café nr. ' ELSE 'Lokaal Nr ' END, CAST(candidate_id % 150 AS STRING)) AS name, CASE WHEN candidate_id % 7 = 0 THEN concat('http://supplier-', lpad(CAST(candidate_id % 200 AS STRING), 9, '0'), '.example/x') END AS website FROM candidates")
+    return records.unknown(c, records.baseline(r)).select("candidate_id")
+
+
+def duplicate_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first candidate of the same kind within 400 metres, with a smaller number."""
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, name_key AS name, lat, lon FROM candidates")
+    d = c.where("candidate_id % 3 = 0").select(F.col("candidate_id").alias("draft_id"), F.col("candidate_id").alias("ordinal"), "name", "lat", "lon")
+    return records.first_duplicate_draft(c, d, 400.0)
+
+
 def stream_session_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.drain(counters.session_firsts(counters.event_stream(spark, sf_dir)))
 
@@ -356,5 +391,5 @@ CUSTOM = (
     html_extract, html_menu_items, html_plain_text, jsonld_items, price_pairing, line_tones, uncovered_lines, uncovered_summary, coverage_diagnosis, token_reasons, text_windows, quote_nearest, answer_diagnosis,
     mismatch_diagnosis, name_variants, throttle_events, spend_ledger, call_reservations, diversified_pick, random_pick, catalog_round_trip, stream_day_counters, stream_throttle,
     stream_session_firsts, bag_match_frames, latest_review_frames, dish_search_page, dish_search_summary, dish_group_page, restaurant_search_page, day_order, source_workqueue, inbox_states,
-    offer_expiry, confirmation_days, text_problems, menu_completeness, menu_replacement, place_match, polygon_hits, triage_steps, period_totals, field_accuracy, source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
+    restaurant_fields, resolved_links, enqueue_batch, unknown_candidates, duplicate_drafts, offer_expiry, confirmation_days, text_problems, menu_completeness, menu_replacement, place_match, polygon_hits, triage_steps, period_totals, field_accuracy, source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
 )

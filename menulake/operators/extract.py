@@ -239,6 +239,58 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, context string, path string, item string, price string")
 
 
+TEL = re.compile(r"""<a[^>]+href\s*=\s*["']tel:([^"']+)["'][^>]*>.*?</a>""", re.I | re.S)
+ADDRESS = re.compile(r"<address[^>]*>.*?</address>", re.I | re.S)
+BUSINESS = ("Restaurant", "FoodEstablishment", "LocalBusiness", "CafeOrCoffeeShop", "BarOrPub", "Bakery", "FastFoodRestaurant", "IceCreamShop")
+
+
+def business(node: object) -> dict | None:
+    """The first node of a JSON-LD document that is a business, at any depth of lists and graphs."""
+    if isinstance(node, list):
+        return next((found for n in node if (found := business(n))), None)
+    if not isinstance(node, dict):
+        return None
+    kind = node.get("@type")
+    return node if any(k in BUSINESS for k in (kind if isinstance(kind, list) else [kind])) else business(node.get("@graph", []))
+
+
+def fields_of(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(field, value, method, fragment): what JSON-LD says of the business, then what only a tel: link
+    or an address element does."""
+    found: dict[str, tuple[str, str, str]] = {}
+    for m in LD.finditer(page):
+        try:
+            node = business(json.loads(m[1]))
+        except (ValueError, RecursionError):
+            continue
+        if node is None:
+            continue
+        kind, place = node.get("@type"), node.get("address")
+        if isinstance(place, dict):
+            parts = [str(place.get(k) or "").strip() for k in ("streetAddress", "postalCode", "addressLocality")]
+            place = ", ".join(x for x in (parts[0], " ".join(p for p in parts[1:] if p)) if x)
+        values = {"name": node.get("name"), "category": kind[0] if isinstance(kind, list) else kind, "address": place, "phone": node.get("telephone"), "website": node.get("url")}
+        found = {k: (v.strip(), "json_ld", m[0]) for k, v in values.items() if isinstance(v, str) and v.strip()}
+        break
+    for name, m, value in (("phone", (t := TEL.search(page)), t and t[1].strip()), ("address", (a := ADDRESS.search(page)), a and strip_tags(a[0]))):
+        if m and value and name not in found:
+            found[name] = (value, "html", m[0])
+    for name, rest in found.items():
+        yield name, *rest
+
+
+def restaurant_fields(pages: DataFrame) -> DataFrame:
+    """(page_id, field, value, method, fragment): a page's facts about its restaurant, with the piece of
+    the page that says so. A field that nothing says is missing."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [(page_id, *row) for page_id, page in zip(pdf["page_id"], pdf["html"], strict=True) for row in fields_of(page or "")]
+            yield pd.DataFrame(out, columns=["page_id", "field", "value", "method", "fragment"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, field string, value string, method string, fragment string")
+
+
 def token_reasons(docs: DataFrame) -> DataFrame:
     """How many number tokens were refused, by reason; `price` counts those that weren't."""
 

@@ -83,6 +83,21 @@ def first_sightings(rows: DataFrame, keys: list[str], page: str) -> DataFrame:
     return rows.join(first, [*keys, page], "left_semi").select(*rows.columns)
 
 
+def overlaid(nested: DataFrame, edits: DataFrame) -> DataFrame:
+    """nested (menu_key, categories: array<struct<name, items: array<struct<..., price_cents>>>>) with
+    edits by place (menu_key, c, i from 0, price_cents, available): a price that is given replaces the
+    item's, and every item gets `available`. Edits of places that aren't there change nothing."""
+    place = F.concat_ws("-", "c", "i")
+    by = edits.groupBy("menu_key").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), F.struct("price_cents", "available").alias("v")))).alias("_edits"))
+    edit = lambda c, i: F.try_element_at("_edits", F.concat_ws("-", c, i))
+
+    def item(x, c, i):
+        return x.withField("price_cents", F.coalesce(edit(c, i)["price_cents"], x["price_cents"])).withField("available", F.coalesce(edit(c, i)["available"], F.lit(True)))
+
+    new = F.transform("categories", lambda cat, c: cat.withField("items", F.transform(cat["items"], lambda x, i: item(x, c, i))))
+    return nested.join(by, "menu_key", "left").withColumn("categories", new).drop("_edits")
+
+
 def shared_opening(names: DataFrame, group: str, name: str) -> DataFrame:
     """(group, opening, n): the opening that most different names of a group share, two at least; of
     equal ones the longest, then the first."""

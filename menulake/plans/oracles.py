@@ -40,6 +40,16 @@ ORACLES = {
         2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(c.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - r.lon) / 2), 2)))) <= 150 AS near FROM restaurants r JOIN candidates c ON c.candidate_id % 100 = r.restaurant_id),
         n AS (SELECT restaurant_id, count_if(coalesce(post, false)) AS posts, count_if(coalesce(post, false) AND near) AS rest, min(CASE WHEN post AND near THEN candidate_id END) AS place FROM p GROUP BY restaurant_id)
         SELECT r.restaurant_id, CASE WHEN rest = 1 THEN place END AS place_id, CASE WHEN posts IS NULL THEN 'no_name_match' WHEN posts = 0 THEN 'postcode_mismatch' WHEN rest = 0 THEN 'too_far' WHEN rest > 1 THEN 'several' ELSE 'exact' END AS reason FROM restaurants r LEFT JOIN n ON n.restaurant_id = r.restaurant_id""",
+    "resolved_links": "SELECT page_id, CAST(nr AS BIGINT) AS nr, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS link FROM links",
+    "enqueue_batch": """WITH i AS (SELECT page_id % 3 AS batch_id, page_id AS position, CASE WHEN page_id % 17 <> 0 AND host <> '' THEN 'https://' || host END AS url FROM page_urls), n AS (SELECT *, row_number() OVER (PARTITION BY batch_id, url ORDER BY position) AS k FROM i),
+        j AS (SELECT page_id AS job_id, 'https://' || host AS url, page_id % 5 AS s, page_id % 12 AS age, page_id % 10 = 5 AS expired FROM page_urls WHERE page_id % 4 = 1),
+        r AS (SELECT url, arg_max(job_id, -age * 1000000 + job_id) AS job FROM j WHERE s = 1 AND age <= 7 GROUP BY url), t AS (SELECT n.*, job, EXISTS (SELECT 1 FROM j WHERE j.url = n.url AND s = 0 AND NOT expired) AS active FROM n LEFT JOIN r ON r.url = n.url),
+        o AS (SELECT *, CASE WHEN url IS NULL THEN 'invalid' WHEN k > 1 THEN 'duplicate' WHEN active THEN 'already_active' WHEN job IS NOT NULL THEN 'recent' ELSE 'queued' END AS outcome FROM t)
+        SELECT batch_id, position, url, outcome, CASE WHEN outcome = 'recent' THEN job END AS reused_job_id FROM o""",
+    "unknown_candidates": """SELECT candidate_id FROM candidates c WHERE NOT (candidate_id % 2 = 0 AND EXISTS (SELECT 1 FROM restaurants r WHERE r.restaurant_id = c.candidate_id % 150))
+        AND NOT (candidate_id % 7 = 0 AND EXISTS (SELECT 1 FROM restaurants r WHERE r.website LIKE '%supplier-' || lpad(CAST(c.candidate_id % 200 AS STRING), 9, '0') || '.example'))""",
+    "duplicate_drafts": """SELECT a.candidate_id, min(b.candidate_id) AS draft_id FROM candidates a JOIN candidates b ON a.name_key = b.name_key AND b.candidate_id % 3 = 0
+        AND 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 400 GROUP BY a.candidate_id""",
     "polygon_hits": f"SELECT candidate_id FROM candidates WHERE {inside('lon', 'lat')} OR (lon >= 4.7 AND lat >= 51.5 AND (lon - 4.7) + (lat - 51.5) < 0.003)",
     "period_totals": """SELECT user_id, CAST(count_if(event_type = 'view') AS BIGINT) AS viewed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS saved, CAST(count_if(event_type = 'click') AS BIGINT) AS shared,
         CAST(count_if(event_type IN ('click', 'error') AND value > 50) AS BIGINT) AS favourite FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY user_id""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.functions.geo import metres
+from menulake.functions.geo import in_multipolygon, metres
 from menulake.functions.keys import name_key
 
 # Kinds of places that serve food, and words of a kind before a name.
@@ -43,6 +43,36 @@ def places(answer: DataFrame) -> DataFrame:
     return kept.groupBy("place_id").agg(*[F.min_by(F.struct(c), "at")[c].alias(c) for c in names])
 
 
+def is_chain(tags: Column) -> Column:
+    """A brand's tag that isn't empty."""
+    return F.exists(F.array(F.lit("brand"), F.lit("brand:wikidata")), lambda k: F.length(F.trim(F.coalesce(F.try_element_at(tags, k), F.lit("")))) > 0)
+
+
+def is_gone(tags: Column) -> Column:
+    """A tag of something that was, or opening hours that say closed."""
+    was = F.exists(F.map_keys(tags), lambda k: k.rlike("^(?:disused|abandoned|was|removed|demolished)(?::|$)"))
+    return was | F.coalesce(F.try_element_at(tags, F.lit("opening_hours")).rlike("(?i)closed"), F.lit(False))
+
+
+def classified(features: DataFrame, polygons: Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(ordinal, osm_id, outcome, reason) of each feature (ordinal, osm_id, lat, lon, tags): stored,
+    skipped (outside the boundary), or errored with a reason. Of features that share an id the first
+    that is sound counts; errored ones don't take an id."""
+    kind = F.try_element_at("tags", F.lit("amenity"))
+    wrong = (
+        F.when(F.coalesce(F.length("osm_id"), F.lit(0)) == 0, "missing-osm-id")
+        .when(~F.coalesce(kind.isin(*kinds), F.lit(False)), "amenity-not-allowed")
+        .when(F.col("lat").isNull() | F.col("lon").isNull() | F.isnan("lat") | F.isnan("lon"), "non-numeric-coordinates")
+    )
+    rows = features.withColumn("_wrong", wrong)
+    first = rows.where("_wrong IS NULL").groupBy("osm_id").agg(F.min("ordinal").alias("_first"))
+    inside = in_multipolygon(F.col("lon"), F.col("lat"), polygons)
+    seen = F.when(F.col("ordinal") > F.col("_first"), "duplicate-osm-node-id")
+    late = rows.join(first, "osm_id", "left").withColumn("_error", F.when(F.col("_wrong") == "missing-osm-id", F.col("_wrong")).otherwise(F.coalesce(seen, "_wrong")))
+    outcome = F.when(F.col("_error").isNotNull(), "errored").when(inside, "stored").otherwise("skipped")
+    return late.select("ordinal", "osm_id", outcome.alias("outcome"), F.coalesce("_error", F.when(outcome == "skipped", "outside-boundary")).alias("reason"))
+
+
 def postcode(address: Column) -> Column:
     """Four digits and two letters without a space, in capitals; null if an address has none."""
     found = F.regexp_extract(address, r"(?i)\b([1-9][0-9]{3})\s?([a-z]{2})\b", 0)
