@@ -6,15 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menulake.llm.common import Workspace, as_bytes, batch_of, shuffle_partitions, table
-from menulake.llm.suffix_index import K, LEFT_WORDS, MIN, PLACES, RIGHT_WORDS, Family, Level, anchors_of, kmer_hashes, lanes, places, sides
+from menulake.llm.common import Answers, Workspace, as_bytes, batch_of, table
+from menulake.llm.suffix_index import K, LEFT_WORDS, MIN, PLACES, RIGHT_WORDS, Family, Level, anchors_of, kmer_hashes, lanes, mix, places, sides
 
 #: Bytes of text in a batch, anchors for which there is a bucket, bits of the hash that name a bucket
 #: at least, and contexts that enter the index family at once.
@@ -22,6 +20,8 @@ BATCH_BYTES, BUCKET_ANCHORS, MIN_BITS, ADD_CONTEXTS = 4 << 20, 100_000, 8, 1 <<
 #: Bits of the hash that one hop of an exchange goes by at most, bits of the hops before the last, and
 #: members that are packed together between hops.
 LAST_BITS, HOP_BITS, PACKET = 10, 8, 256
+#: Entries that join at once in a last bucket.
+JOINED = 1 << 16
 #: A null doc_id counts as larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 FRONT, BACK = LEFT_WORDS * 8, RIGHT_WORDS * 8 + 64
@@ -200,10 +200,29 @@ class Exchange:
         """The answers of parts, in order of their buckets, as one."""
         raise NotImplementedError
 
-    def answer(self, payloads: list) -> list[bytes]:
-        """The answers of a last bucket to all its members."""
+    def answer(self, payload) -> bytes:
+        """The answers of a last bucket to the different entries of all its members."""
         raise NotImplementedError
 
+    def together(self, packed: pa.ChunkedArray, counts: list[int]) -> list[bytes]:
+        """The answers of a last bucket to all its members: entries that many have count once. Members
+        join in groups of a bounded number of entries, and then the groups with each other."""
+        groups, size = [[]], 0
+        for i, n in enumerate(counts):
+            if size and size + n > JOINED:
+                groups.append([])
+                size = 0
+            groups[-1].append(i)
+            size += n
+        joined = [self.join([self.unpack(packed[i].as_buffer()) for i in g]) for g in groups]
+        if len(joined) == 1:
+            whole, kept = joined[0]
+            return self.split(kept, self.answer(whole))
+        whole, kept = self.join([payload for payload, _ in joined])
+        rests = [k for _, k in joined]
+        del joined
+        return [x for k, got in zip(rests, self.split(kept, self.answer(whole)), strict=True) for x in self.split(k, got)]
+
     def sent(self, member: int, payload, done: int, bits: int, node: int = 0) -> pa.RecordBatch:
         found = list(parts_of(self.hashes(payload), done, bits))
         return batch_of(["node", "member", "payload", "n"], [[node << bits | b for b, *_ in found], [member] * len(found), [self.pack(self.slice(payload, s, e)) for _, s, e in found], [e - s for _, s, e in found]], [pa.int64(), pa.int64(), pa.binary(), pa.int64()])
@@ -222,7 +241,7 @@ class Exchange:
 
             def meet(t: pa.Table) -> pa.Table:
                 t = t.sort_by("member")  # the same order whenever a task runs
-                data = self.answer([self.unpack(x) for x in t.column("payload").to_pylist()])
+                data = self.together(t.column("payload"), t.column("n").to_pylist())
                 return pa.table({"node": t.column("node"), "member": t.column("member"), "answer": pa.array(data, pa.binary()), "n": t.column("n")})
 
             return sent.groupBy("node").applyInArrow(meet, kind)
@@ -281,9 +300,8 @@ class SharedKeys(Exchange):
     def cat(self, answers):
         return np.packbits(np.concatenate([np.zeros(0, bool), *(self.bits(data, n) for _, data, n in answers)])).tobytes()
 
-    def answer(self, payloads):
-        _, (at, here, sizes) = self.join(payloads)
-        return [np.packbits(x).tobytes() for x in np.split(here[at], np.cumsum(sizes)[:-1])]
+    def answer(self, payload):
+        return np.packbits(np.zeros(len(payload), bool)).tobytes()  # nobody else is left to have them
 
 
 class ContextHits(Exchange):
@@ -314,11 +332,16 @@ class ContextHits(Exchange):
     def join(self, payloads):
         text, first, last, doc = (np.concatenate(x) for x in zip(*payloads, strict=True))
         h = self.hashes((text, first, last, doc))
-        words = text.view(">u8").astype(np.uint64)
+        words = text.view(np.uint64)  # only compared, so in any byte order
         limits = first.astype(np.uint64) << np.uint64(8) | last
-        order = np.lexsort([limits, *words.T[::-1], h])
+        whole = mix(limits + h)
+        for column in range(words.shape[1]):
+            whole = mix(whole ^ words[:, column])
+        order = np.lexsort([whole, h])
         same = np.zeros(len(order), bool)
-        same[1:] = (words[order][1:] == words[order][:-1]).all(axis=1) & (limits[order][1:] == limits[order][:-1])
+        same[1:] = whole[order[1:]] == whole[order[:-1]]
+        at = np.flatnonzero(same)  # equal by hash; they must be equal
+        same[at] = (words[order[at]] == words[order[at - 1]]).all(axis=1) & (limits[order[at]] == limits[order[at - 1]])
         heads = np.flatnonzero(~same)
         least = np.minimum.reduceat(doc[order], heads) if len(heads) else doc
         at = np.empty(len(order), np.int64)
@@ -335,36 +358,26 @@ class ContextHits(Exchange):
     def cat(self, answers):
         return pack(np.concatenate([np.zeros(0, np.uint64), *(unpack(data, np.uint64) for _, data, _ in answers)]))
 
-    def answer(self, payloads):
+    def answer(self, payload):
         """All contexts of the bucket pass through an index family, as many at a time as come together."""
-        family, waiting, size, begin, sizes = Family(), [], 0, 0, []
-
-        def add():
-            nonlocal waiting, size
-            if waiting:
-                family.add(Level(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
-            waiting, size = [], 0
-
-        for text, first, last, doc in payloads:
-            words = text.view(">u8").astype(np.uint64) if len(doc) else np.zeros((0, RIGHT_WORDS + LEFT_WORDS), np.uint64)
-            waiting.append((words[:, RIGHT_WORDS:], words[:, :RIGHT_WORDS], first.astype(np.int64), last.astype(np.int64), doc, np.arange(begin, begin + len(doc))))
-            sizes.append(len(doc))
-            begin, size = begin + len(doc), size + len(doc)
-            if size >= ADD_CONTEXTS:
-                add()
-        add()
+        text, first, last, doc = payload
+        family = Family()
+        for lo in range(0, len(doc), ADD_CONTEXTS):
+            part = slice(lo, lo + ADD_CONTEXTS)
+            words = text[part].view(">u8").astype(np.uint64)
+            family.add(Level(words[:, RIGHT_WORDS:], words[:, :RIGHT_WORDS], first[part].astype(np.int64), last[part].astype(np.int64), doc[part], np.arange(lo, lo + len(words))))
         level = family.finish()
-        hits = np.zeros(begin, np.uint64)
+        hits = np.zeros(len(doc), np.uint64)
         if level is not None:
             hits[level.name] = level.hit
-        return [pack(x) for x in np.split(hits, np.cumsum(sizes)[:-1])]
+        return pack(hits)
 
 
 _READ = ("batch", "ids", "lens", "gaps", "text")
 
 
-def asked(ws: Workspace, store: DataFrame, exchange: Exchange, question: Callable, members: int, bits: int, label: str) -> str:
-    """The folder of the answers to what `question(batch, number)` asks for each batch of the store."""
+def asked(ws: Workspace, store: DataFrame, exchange: Exchange, question: Callable, members: int, bits: int, label: str) -> Answers:
+    """The answers to what `question(batch, number)` asks for each batch of the store."""
     first = bits if bits <= LAST_BITS else HOP_BITS
 
     def send(batches):
@@ -375,31 +388,17 @@ def asked(ws: Workspace, store: DataFrame, exchange: Exchange, question: Callabl
 
     sent = store.select(*_READ).mapInArrow(send, "node long, member long, payload binary, n long")
     found = exchange.answers(sent, members, first, bits - first)
-    # by the partition that has the batch, whose tasks read them there
-    path = ws.path(label)
-    part = F.shiftright("member", 32)
-    found.select(part.alias("part"), "member", "node", "answer", "n").repartition(shuffle_partitions(ws.spark), "part").sortWithinPartitions("part", "member", "node").write.partitionBy("part").parquet(path)
-    return path
-
+    return Answers.write(ws, found.select(F.shiftright("member", 32).alias("part"), "member", "node", "answer", "n"), ["member", "node"], label)
 
-class Answers:
-    """The answers to one batch after another, from the folder of the batch's partition."""
 
-    def __init__(self, path: str, exchange: Exchange):
-        self.path, self.exchange, self.part = path, exchange, None
-
-    def __call__(self, number: int) -> bytes:
-        if self.part != number >> 32:
-            self.part = number >> 32
-            store, root = fs.FileSystem.from_uri(f"{self.path}/part={self.part}")
-            found = store.get_file_info(root).type != fs.FileType.NotFound  # else no batch there asked anything
-            self.table = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["member", "node", "answer", "n"]).sort_by([("member", "ascending"), ("node", "ascending")]) if found else None
-        if self.table is None:
-            return self.exchange.cat([])
-        members = self.table.column("member").to_numpy()
-        lo, hi = np.searchsorted(members, [number, number + 1])
-        rows = self.table.slice(int(lo), int(hi - lo))
-        return self.exchange.cat(list(zip(rows.column("node").to_pylist(), rows.column("answer").to_pylist(), rows.column("n").to_pylist(), strict=True)))
+def answer_to(exchange: Exchange, answers: Answers, number: int) -> bytes:
+    """The answer to one batch."""
+    table = answers.of(number >> 32)
+    if table is None:  # no batch there asked anything
+        return exchange.cat([])
+    lo, hi = np.searchsorted(table.column("member").to_numpy(), [number, number + 1])
+    rows = table.slice(int(lo), int(hi - lo))
+    return exchange.cat(list(zip(rows.column("node").to_pylist(), rows.column("answer").to_pylist(), rows.column("n").to_pylist(), strict=True)))
 
 
 def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -424,29 +423,21 @@ def each_document(docs: DataFrame, finish, schema: str, keep_rows: bool = False)
     keys, hits = SharedKeys(), ContextHits()
     shared = asked(ws, store, keys, lambda batch, _: batch.keys, count, bits, "shared")
 
-    def contexts() -> Callable[[Batch, int], Contexts]:
-        answers = Answers(shared, keys)
-        return lambda batch, number: Contexts(batch, keys.bits(answers(number), len(batch.keys)))
-
-    def question() -> Callable:
-        of: list = []
-
-        def ask(batch: Batch, number: int):
-            of[:] = of or [contexts()]
-            c = of[0](batch, number)
-            return c.text, c.first, c.last, c.doc
+    def contexts(batch: Batch, number: int) -> Contexts:
+        return Contexts(batch, keys.bits(answer_to(keys, shared, number), len(batch.keys)))
 
-        return ask
+    def question(batch: Batch, number: int) -> tuple:
+        c = contexts(batch, number)
+        return c.text, c.first, c.last, c.doc
 
-    found = asked(ws, store, hits, question(), count, bits, "hits")
+    found = asked(ws, store, hits, question, count, bits, "hits")
 
     def apply(batches):
-        own, answers = contexts(), Answers(found, hits)
         for b in batches:
             for i in range(b.num_rows):
                 batch, number = Batch.read(b, i), b.column(0)[i].as_py()
-                c = own(batch, number)
-                yield from finish(batch, removed(batch, c, unpack(answers(number), np.uint64)), b.column(5)[i].as_py())
+                c = contexts(batch, number)
+                yield from finish(batch, removed(batch, c, unpack(answer_to(hits, found, number), np.uint64)), b.column(5)[i].as_py())
 
     return store.select(*_READ, "rows").mapInArrow(apply, schema)
 

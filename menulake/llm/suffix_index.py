@@ -154,26 +154,49 @@ class Level:
 
     def scan(self) -> None:
         """Finds equal windows among the contexts by both orders and their common prefixes. A level
-        merged from others merges their orders."""
+        merged from others merges their orders.
+
+        What a context shares with any other is what it shares with its neighbours in an order, so
+        contexts whose two neighbours' shares don't make a window are left out first."""
         n = len(self.doc)
         self.by_right, right_lcp = sorted_order(self.right, self.by_right)
         self.by_left, left_lcp = sorted_order(self.left, self.by_left)
+        shared = []
+        for order, lcp in ((self.by_right, right_lcp), (self.by_left, left_lcp)):
+            most = np.empty(n, np.int64)
+            most[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+            shared.append(most)
+        low, high = np.maximum(self.first, MIN - shared[0]), np.minimum(self.last, shared[1])
+        some = low <= high
+        kept = np.flatnonzero(some)
+        if len(kept) < 2:
+            return
+        low, high, doc = low[kept], high[kept], self.doc[kept]
+        place = np.cumsum(some) - 1
+        (by_right, right_lcp), (by_left, left_lcp) = (_only(order, lcp, some, place) for order, lcp in ((self.by_right, right_lcp), (self.by_left, left_lcp)))
+        right, left = np.empty(len(kept), np.int64), np.empty(len(kept), np.int64)
         for a in range(PLACES):
-            rows = np.flatnonzero((self.first <= a) & (a <= self.last))
+            rows = np.flatnonzero((low <= a) & (a <= high))
             if len(rows) < 2:
                 continue
-            right, left = np.empty(n, np.int64), np.empty(n, np.int64)
-            right[self.by_right] = np.cumsum(right_lcp < MIN - a)
-            left[self.by_left] = np.cumsum(left_lcp < a) if a else 0
+            right[by_right] = np.cumsum(right_lcp < MIN - a)
+            left[by_left] = np.cumsum(left_lcp < a) if a else 0
             key = left[rows] << 32 | right[rows]
             order = np.argsort(key, kind="stable")
             key = key[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             if len(starts) == len(rows):
                 continue
-            docs = self.doc[rows][order]
+            docs = doc[rows][order]
             least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(rows))))
-            self.hit[rows[order[docs > least]]] |= np.uint64(1 << a)
+            self.hit[kept[rows[order[docs > least]]]] |= np.uint64(1 << a)
+
+
+def _only(order: np.ndarray, lcp: np.ndarray, some: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order and its common prefixes over some of the rows, which are numbered by place."""
+    at = np.flatnonzero(some[order])
+    between = np.minimum.reduceat(lcp[: at[-1] + 1], np.append(0, at[:-1] + 1)) if len(at) else lcp
+    return place[order[at]], between
 
 
 class Family:
