@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from menulake.llm import decontaminate, embeddings, html_text, language, packing, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
@@ -646,12 +647,145 @@ def test_near_components_of_a_large_group_around_the_threshold(spark, monkeypatc
     assert {r.doc_id: r.component_id for r in simhash.near_components(df).collect()} == want
 
 
-def test_pipeline_takes_effect(spark):
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def test_pipeline_equals_brute_force_stage_by_stage(spark):
+    """Each stage over what its predecessor kept, against the plain rule on whole texts."""
+    ws = Workspace(spark, "t")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before, ws = docs, Workspace(spark, "t")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: ws.save(stages[name](spark, df, SF), name)
+    rows = lambda df: {r.doc_id: r.asDict() for r in df.collect()}
+
+    kept = run("language", docs)
+    before, after = rows(docs), rows(kept)
+    assert kept.columns == docs.columns and all(after[d] == before[d] for d in after) and len(after) > 0.95 * len(before)
+    assert all(any(map(str.isalpha, r["text"])) for r in after.values())
+
+    one = run("near_duplicates", kept)
+    ids = sorted(after)
+    sets = dict(zip(ids, five_word_sets([after[d]["text"] for d in ids]), strict=True))
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    classes = closure(ids, similar)
+    assert one.columns == docs.columns and rows(one) == {d: after[d] for d in ids if classes[d] == d}
+
+    cut = run("repeated_passages", one)
+    before, after = rows(one), rows(cut)
+    first = {}
+    for d in sorted(before):
+        t = before[d]["text"].encode()
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for d, r in before.items():
+        t = r["text"].encode()
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        at, text = 0, ""
+        for c in r["text"]:
+            n = len(c.encode())
+            text += "" if gone[at : at + n].all() else c
+            at += n
+        assert after[d] == r | {"text": text, "n_chars": len(text)} if text.strip() or not gone.any() else d not in after
+
+    clean = run("benchmark_passages", cut)
+    before, after = after, rows(clean)
+    windows = {}
+    for r in ds.dataset(f"{SF}/benchmark.parquet").to_table().to_pylist():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))
+        for i in range(max(1, len(words) - 9)):
+            windows.setdefault(tuple(words[i : i + 10]), set()).add(str(r["item_id"]))
+    assert set(before) == set(after)
+    for d, r in before.items():
+        n, hit, _ = hits(r["text"], windows)
+        left, _, _ = hits(after[d]["text"], {})
+        assert left == n - hit and (hit or after[d] == r) and after[d]["n_chars"] == len(after[d]["text"])
+
+    pieces = run("packing", clean).collect()
+    plain = tokens.Encoder(tokens.default_path()).tokenizer
+    got = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == len(got.setdefault(p.doc_id, [])) and p.length == len(p.ids) // 4
+        got[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert got == {d: [*plain.encode(r["text"], add_special_tokens=False).ids, 1] for d, r in after.items()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES:
-        after = ws.save(stage(spark, before, SF), name)
+        assert stage(spark, none, SF).count() == 0
+        out = stage(spark, odd.withColumn("lang_pred", F.lit("own")), SF)
         if name != "packing":
-            assert after.columns == docs.columns and 0 < after.count() <= before.count()
-        before = after
-    assert before.select("doc_id").distinct().count() > 100
+            assert out.columns == [*odd.columns, "lang_pred"] and all(r.lang_pred == "own" for r in out.collect()), name
+    texts = lambda name, df=odd: sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)[name](spark, df, SF).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    base = [(r.doc_id, r.text) for r in odd.collect()]
+    assert all(t and any(map(str.isalpha, t)) for _, t in texts("language"))
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert Counter(texts("language", unlabelled)) == Counter((d, t) for d, t in base if t and any(map(str.isalpha, t)))
+    kept = texts("near_duplicates")  # nulls and blanks are one class; of the rows of 4 the smallest text stays
+    assert [d for d, _ in kept] == [1, 3, 4, 6, 8, None] and dict(kept)[4] == "der die und das Haus mit Garten steht am Weg nach Hause und wartet "
+    cut = dict(texts("repeated_passages"))
+    assert cut[1] == "" and cut[2] == "" and cut[7] == " \n\t " and cut[8] == "z" and cut[None] == "x"  # the rest of the last is in row 3
+    assert Counter(texts("benchmark_passages")) == Counter(base)
+
+
+def test_op2_op3_op6_op9_values_on_odd_rows(spark, odd, none):
+    rows = [(r.doc_id, r.text or "") for r in odd.collect()]
+    placed = sharding.interleaved(odd, shards=3).collect()
+    size = lambda t: len(t.encode()) + 1
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in placed) == Counter((d, size(t), zlib.crc32(t.encode())) for d, t in rows)
+    assert sorted((r.shard, r.slot) for r in placed) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    plain = tokens.Encoder(tokens.default_path()).tokenizer
+    ids = lambda t, end: np.array([*plain.encode(t, add_special_tokens=False).ids, end], "<u4")
+    got = token_files.token_files(odd).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(ids(t, 2)), zlib.crc32(ids(t, 2).tobytes())) for d, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 1, 2, 3, 4, 4, 4, 6, 7, 8]
+    pieces = packing.packed(odd).collect()
+    assert Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == Counter((d, len(ids(t, 1))) for d, t in rows)
+    assert sum(p.length for p in pieces) == sum(len(ids(t, 1)) for _, t in rows) and all(p.ids_crc32 == zlib.crc32(p.ids) for p in pieces)
+    fps = {t: slow_fingerprint(t) for _, t in rows}
+    near = closure(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    first = {}
+    for d, t in rows:
+        if d is not None:
+            first[near[t]] = min(first.get(near[t], d), d)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    assert Counter((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(odd).collect()) == Counter((d, signed(fps[t]), first.get(near[t])) for d, t in rows)
+
+
+def test_op2_equals_the_rule(spark, texts):
+    """Rank in the seeded shuffle of a source, fraction, cut; over plain lists."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hashed = docs.select("doc_id", "source", F.octet_length("text").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc")).withColumn("h", F.xxhash64("doc_id", (F.col("n") + 1).cast("long"), "crc", F.lit(7))).collect()
+    by = {}
+    for r in sorted(hashed, key=lambda r: (r.h, r.doc_id)):
+        by.setdefault(r.source, []).append(r.doc_id)
+    order = [d for _, _, _, d in sorted(((2 * i + 1) / (2 * len(rows)), src, i, d) for src, rows in by.items() for i, d in enumerate(rows))]
+    n = len(order)
+    want, slots = {}, Counter()
+    for rank, d in enumerate(order):
+        shard = rank * 16 // n
+        want[d] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.op2_stratified_interleaving(spark, SF).collect()} == want
+
+
+def test_settings_stay_and_folders_go(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    ws = Workspace(spark, "t")
+    path = ws.save(spark.range(3), "x")._menulake_path
+    assert spark.conf.get(key) == before and spark.read.parquet(path).count() == 3
+    ws.delete(ws.root)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
