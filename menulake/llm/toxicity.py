@@ -163,6 +163,9 @@ class ToxicityModel:
     def __post_init__(self):
         self.index = BlockMaxIndex(self.examples, len(self.weight))
 
+    def __reduce__(self):  # the index is built anew where the model is read
+        return ToxicityModel, (self.vocabulary, self.weight, self.examples, self.labels, self.example_ids, self.line, self.blank)
+
     def vote(self, cosines: np.ndarray, who: np.ndarray) -> float:
         """Share of label 1 among the neighbours, by the inverse of their cosine distance."""
         w = cosines / (1.05 - np.minimum(cosines, 1.0))
@@ -289,10 +292,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str:
         terms = np.array([numbers.setdefault(t, len(numbers)) for t in bytes(r[3]).split()], np.int64)
         order = np.argsort(terms)
         found.append((terms[order], np.frombuffer(r[4], np.int32).astype(np.float64)[order]))
-    y = np.array([r[1] for r in drawn], np.int64)
+    y, own_ids = (np.array([r[c] for r in drawn], np.int64) for c in (1, 0))
+    del drawn
     size, toxic = len(numbers), int(y.sum())
     hits = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for (t, _), own in zip(found, y, strict=True) if own == label)]), minlength=size) for label in (1, 0)]
     vocabulary = Vocabulary(list(numbers))
+    del numbers
     url = put(ws, vocabulary, "terms")
 
     def frequencies(batches):
@@ -307,12 +312,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> str:
     each = plain.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each term of the examples
     df = np.zeros(size + 1, np.float64)
     df[each.column("term").to_numpy()] = each.column("n").to_numpy()
-    weight = (np.log((1 + df[size]) / (1 + df[:size])) + 1) * association(*hits, toxic, len(drawn) - toxic)
+    weight = (np.log((1 + df[size]) / (1 + df[:size])) + 1) * association(*hits, toxic, len(y) - toxic)
     vectors = [unit(*x, weight) for x in found]
     # examples of one class and one heaviest term share blocks, so that blocks' maxima tell them apart
     heaviest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
-    order = np.lexsort((heaviest, y)) if drawn else np.zeros(0, np.int64)
-    model = ToxicityModel(vocabulary, weight, [vectors[i] for i in order], y[order], np.array([drawn[i][0] for i in order], np.int64))
+    order = np.lexsort((heaviest, y)) if len(y) else np.zeros(0, np.int64)
+    del found
+    model = ToxicityModel(vocabulary, weight, [vectors[i] for i in order], y[order], own_ids[order])
     model.calibrate(total)
     return put(ws, model, "model")
 
