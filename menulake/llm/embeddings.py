@@ -261,3 +261,10 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, window: in
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_components(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: The same for DuckDB, over all pairs.
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ok AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95), r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+    n AS (SELECT a, count(*) AS n FROM e GROUP BY a), c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.b AS component_id, vec_id = c.b AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""

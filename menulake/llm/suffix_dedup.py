@@ -501,3 +501,12 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same for DuckDB, over all strings of 50 bytes as hexadecimal digits.
+ORACLE = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM h) u),
+    f AS (SELECT g, min(doc_id) AS first_doc FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)), c AS (SELECT s.doc_id, i FROM s JOIN f ON f.g = s.g WHERE first_doc < s.doc_id),
+    m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new_ FROM c), r AS (SELECT doc_id, i, sum(new_) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+    e AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM r GROUP BY doc_id, run), k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM e),
+    a AS (SELECT k.doc_id, count(*) AS spans, sum(hi - lo) AS gone, max(hi) AS last, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY k.doc_id)
+    SELECT h.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256 FROM h LEFT JOIN a ON a.doc_id = h.doc_id"""

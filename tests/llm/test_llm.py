@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from menulake.llm import decontaminate, embeddings, html_text, language, packing, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
+from menulake.llm import decontaminate, embeddings, html_text, language, packing, registry, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
 from menulake.llm.common import Workspace, components
 from menulake.llm.fm_index import FMIndex
 
@@ -763,21 +764,38 @@ def test_op2_op3_op6_op9_values_on_odd_rows(spark, odd, none):
     assert Counter((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(odd).collect()) == Counter((d, signed(fps[t]), first.get(near[t])) for d, t in rows)
 
 
-def test_op2_equals_the_rule(spark, texts):
-    """Rank in the seeded shuffle of a source, fraction, cut; over plain lists."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    hashed = docs.select("doc_id", "source", F.octet_length("text").alias("n"), F.crc32(F.col("text").cast("binary")).alias("crc")).withColumn("h", F.xxhash64("doc_id", (F.col("n") + 1).cast("long"), "crc", F.lit(7))).collect()
+def test_op2_equals_the_rule_and_its_sql(spark, texts):
+    """Rank in the seeded shuffle of a source, fraction, cut; over plain lists, and in SQL."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    source = dict(con.sql("select doc_id, source from documents").fetchall())
     by = {}
-    for r in sorted(hashed, key=lambda r: (r.h, r.doc_id)):
-        by.setdefault(r.source, []).append(r.doc_id)
-    order = [d for _, _, _, d in sorted(((2 * i + 1) / (2 * len(rows)), src, i, d) for src, rows in by.items() for i, d in enumerate(rows))]
+    for d, t in texts:
+        data = t.encode()
+        key = hashlib.md5(f"{d}|{len(data) + 1}|{zlib.crc32(data)}|7".encode()).hexdigest()[:16]
+        by.setdefault(source[d], []).append((key, d))
+    order = [d for _, _, _, d in sorted(((2 * i + 1) / (2 * len(rows)), src, i, d) for src, rows in by.items() for i, (_, d) in enumerate(sorted(rows)))]
     n = len(order)
     want, slots = {}, Counter()
     for rank, d in enumerate(order):
         shard = rank * 16 // n
         want[d] = (shard, slots[shard])
         slots[shard] += 1
-    assert {r.doc_id: (r.shard, r.slot) for r in sharding.op2_stratified_interleaving(spark, SF).collect()} == want
+    got = sharding.op2_stratified_interleaving(spark, SF)
+    rows = got.collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == want
+    sql = con.sql(registry.oracle_sql()["op2_stratified_interleaving"])
+    assert sql.columns == got.columns and sorted(sql.fetchall()) == sorted(map(tuple, rows))
+
+
+@pytest.mark.parametrize("key", ["op1_benchmark_decontamination", "op8_suffix_array_dedup", "op10_embedding_near_dedup"])
+def test_queries_equal_their_sql(spark, key):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, sql = registry.queries()[key](spark, SF), con.sql(registry.oracle_sql()[key])
+    names = sorted(got.columns)
+    assert names == sorted(sql.columns) and sorted(map(tuple, got.select(*names).collect())) == sorted(sql.select(*names).fetchall())
 
 
 def test_settings_stay_and_folders_go(spark):
