@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from menulake.functions import arrays, canonical, content, dates, decisions, geo, keys
 from menulake.operators import coverage, diagnosis, extract, menus, pick, records, search, state
@@ -167,7 +168,7 @@ def restaurant_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.rows.select("pos", "restaurant_id", "restaurant", F.col("tier").cast("long").alias("tier"))
 
 
-def day_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_seeded_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dishes of a day in their seeded order; those of one size go a tenth before."""
     parts = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), "p_size")
     score = search.seeded_day_order(parts, "2024-01-30", ["item"], "tonight", F.when(F.col("p_size") == 7, 0.1).otherwise(0.0))
@@ -357,7 +358,7 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("page_id", "nr", content.resolved("url", "href").alias("link"))
 
 
-def enqueue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enqueue_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of batches of page addresses without their queries, against jobs of some of them."""
     pages = run_sql(spark, sf_dir, "SELECT page_id, host, path FROM page_urls")
     url = F.when(F.col("page_id") % 17 == 0, F.lit("no address")).otherwise(F.concat(F.lit("https://"), "host"))
@@ -368,6 +369,30 @@ def enqueue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.enqueue(items, jobs, now).select("batch_id", "position", "url", "outcome", "reused_job_id")
 
 
+def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.quote_contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def quote_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How quotes of five words and more stand in their source that were changed in one of seven ways, by
+    the item's number; shorter ones are as they were."""
+    ways = (
+        F.col("text"), F.regexp_replace("text", " ", " \t "), F.regexp_replace("text", " ", ""), F.regexp_replace("text", " ", ", "), F.concat(F.lit("zzqx "), "text"),
+        F.regexp_replace("text", r"^(\S+ \S+) ", "$1 | "), F.regexp_replace("text", r"(?s)^(\S+ \S+) (.*)$", "$2 | $1"),
+    )
+    long = F.col("text").rlike(r"^\S+ \S+ \S+ \S+ \S+")
+    quote = F.coalesce(*[F.when(long & (F.col("item_id") % len(ways) == n), way) for n, way in enumerate(ways)], F.col("text"))
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), diagnosis.quote_class(quote, F.col("text")).alias("class"))
+
+
+def paged_scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a week by type, with a column that their file hasn't yet."""
+    events = load(spark, sf_dir, "events")
+    rows = checked.with_missing(events, StructType([*events.schema, StructField("added_later", StringType())]))
+    rows = rows.where("user_id >= 20 AND event_type <> 'error' AND CAST(ts AS DATE) >= DATE '2024-01-24'")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("added_later").alias("added_later"))
+
+
 def unknown_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates whose name, comparable name, core name and host no restaurant has; a candidate's
     name is a restaurant's with another kind of word, for those of a hundred that there are."""
@@ -390,6 +415,6 @@ def stream_session_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUSTOM = (
     html_extract, html_menu_items, html_plain_text, jsonld_items, price_pairing, line_tones, uncovered_lines, uncovered_summary, coverage_diagnosis, token_reasons, text_windows, quote_nearest, answer_diagnosis,
     mismatch_diagnosis, name_variants, throttle_events, spend_ledger, call_reservations, diversified_pick, random_pick, catalog_round_trip, stream_day_counters, stream_throttle,
-    stream_session_firsts, bag_match_frames, latest_review_frames, dish_search_page, dish_search_summary, dish_group_page, restaurant_search_page, day_order, source_workqueue, inbox_states,
-    restaurant_fields, resolved_links, enqueue_batch, unknown_candidates, duplicate_drafts, offer_expiry, confirmation_days, text_problems, menu_completeness, menu_replacement, place_match, polygon_hits, triage_steps, period_totals, field_accuracy, source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
+    stream_session_firsts, bag_match_frames, latest_review_frames, dish_search_page, dish_search_summary, dish_group_page, restaurant_search_page, daily_seeded_rank, source_workqueue, inbox_states,
+    restaurant_fields, resolved_links, enqueue_outcome, quote_containment, quote_class, paged_scan_filters, unknown_candidates, duplicate_drafts, offer_expiry, confirmation_days, text_problems, menu_completeness, menu_replacement, place_match, polygon_hits, triage_steps, period_totals, field_accuracy, source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
 )

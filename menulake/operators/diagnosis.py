@@ -123,6 +123,38 @@ def quote_nearest(docs: DataFrame, quotes: DataFrame, top: int = 3, block: int =
     return first.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("k") <= top).select("item_id", "doc_id", "offset", "score")
 
 
+def quote_contained(docs: DataFrame, quotes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(item_id, doc_id): which quotes stand in which documents, both as evidence, from any place in a
+    word on. Quotes that are null or have no sign are in none.
+
+    The quotes are a query set, which tasks read from the shared folder in blocks; an automaton finds
+    all quotes of a block in one pass over a text."""
+    path = fresh_path(docs.sparkSession, "quotes")
+    quotes.select("item_id", F.col("text").alias("quote")).write.parquet(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        store, root = fs.FileSystem.from_uri(path)
+        for pdf in batches:
+            texts = [(d, evidence(t)) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t]
+            for rows in ds.dataset(root, filesystem=store, format="parquet").to_batches(batch_size=block):
+                items: dict[str, list] = {}
+                for item, quote in zip(rows.column("item_id").to_pylist(), rows.column("quote").to_pylist(), strict=True):
+                    if key := evidence(quote):
+                        items.setdefault(key, []).append(item)
+                if not items:
+                    continue
+                find = ahocorasick.Automaton()
+                for key in items:
+                    find.add_word(key, key)
+                find.make_automaton()
+                out = [(item, d) for d, text in texts for key in {k for _, k in find.iter(text)} for item in items[key]]
+                yield pd.DataFrame(out, columns=["item_id", "doc_id"]).astype("int64")
+
+    return docs.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long")
+
+
 def variant_candidates(left: DataFrame, right: DataFrame, group: str, least: float) -> DataFrame:
     """(group, l, r, score) of all pairs of different names in a group that are as similar as `least`.
 

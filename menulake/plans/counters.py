@@ -215,11 +215,6 @@ def run_summary(d: Dialect) -> str:
         FROM (SELECT o_custkey, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders) t LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey, coalesce(c_name, 'unknown')"""
 
 
-@plan
-def paged_scan_filters(d: Dialect) -> str:
-    return f"SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS STRING) AS added_later FROM events WHERE user_id >= 20 AND event_type <> 'error' AND CAST(ts AS DATE) >= {AS_OF} - 6 GROUP BY event_type"
-
-
 @plan
 def props_gate(d: Dialect) -> str:
     """A typed value out of JSON, gated by its kind; how complete the metric is."""

@@ -160,13 +160,6 @@ def requeue(d: Dialect) -> str:
     return "SELECT job_id, CASE WHEN attempts >= 5 THEN 'failed' ELSE 'pending' END AS status, CAST(CASE WHEN attempts >= 5 THEN NULL WHEN attempts <= 1 THEN 120 WHEN attempts = 2 THEN 600 ELSE 1800 END AS BIGINT) AS wait_s FROM jobs WHERE status = 'failed'"
 
 
-@plan
-def enqueue_outcome(d: Dialect) -> str:
-    """Outcome of each page's address in a batch, by the first rule that holds."""
-    return f"""SELECT page_id, CASE WHEN host = '' THEN 'invalid' WHEN k > 1 THEN 'duplicate' WHEN page_id % 9 = 0 THEN 'already_active' WHEN page_id % 7 = 0 THEN 'recent' ELSE 'queued' END AS outcome
-        FROM (SELECT page_id, host, row_number() OVER (PARTITION BY host, {d.gsub('path', '/+$', '')} ORDER BY page_id) AS k FROM page_urls) t"""
-
-
 @plan
 def constraint_violations(d: Dialect) -> str:
     return """SELECT 'open per owner' AS rule, CAST(count(*) AS BIGINT) AS n FROM (SELECT candidate_id FROM reviews WHERE status = 'deferred' GROUP BY candidate_id HAVING count(*) > 1) a

@@ -13,6 +13,8 @@ _CARDS = "SELECT restaurant_id AS source_id, item_id, name || ' ' || translate(l
 _TONES = f"""SELECT source_id, label AS name, CASE WHEN item_id % 4 <> 0 THEN CASE WHEN item_id % 7 = 0 THEN 'price_mismatch' ELSE 'covered' END WHEN item_id % 11 = 0 OR item_id % 13 = 0 THEN 'not_dish' ELSE 'uncovered' END AS tone,
     CASE WHEN item_id % 4 <> 0 THEN item_id END AS item_id, item_id % 5 = 0 AS paired FROM ({_CARDS}) c"""
 
+# typographic quotes, dashes and the hard space as plain ones
+_EVIDENCE = "trim(regexp_replace(lower(translate(text, chr(8216) || chr(8217) || chr(8218) || chr(8242) || chr(8220) || chr(8221) || chr(8222) || chr(8243) || chr(8211) || chr(8212) || chr(160), repeat(chr(39), 4) || repeat(chr(34), 4) || '-- ')), '\\s+', ' ', 'g'))"
 _NOW = "CAST(ts AS TIMESTAMP)"
 _TODAY = f"CAST(timezone('Europe/Amsterdam', timezone('UTC', {_NOW})) AS DATE)"
 _UNTIL = f"(CAST({_NOW} AS DATE) + CAST(event_id % 100 AS INTEGER))"
@@ -41,7 +43,7 @@ ORACLES = {
         n AS (SELECT restaurant_id, count_if(coalesce(post, false)) AS posts, count_if(coalesce(post, false) AND near) AS rest, min(CASE WHEN post AND near THEN candidate_id END) AS place FROM p GROUP BY restaurant_id)
         SELECT r.restaurant_id, CASE WHEN rest = 1 THEN place END AS place_id, CASE WHEN posts IS NULL THEN 'no_name_match' WHEN posts = 0 THEN 'postcode_mismatch' WHEN rest = 0 THEN 'too_far' WHEN rest > 1 THEN 'several' ELSE 'exact' END AS reason FROM restaurants r LEFT JOIN n ON n.restaurant_id = r.restaurant_id""",
     "resolved_links": "SELECT page_id, CAST(nr AS BIGINT) AS nr, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS link FROM links",
-    "enqueue_batch": """WITH i AS (SELECT page_id % 3 AS batch_id, page_id AS position, CASE WHEN page_id % 17 <> 0 AND host <> '' THEN 'https://' || host END AS url FROM page_urls), n AS (SELECT *, row_number() OVER (PARTITION BY batch_id, url ORDER BY position) AS k FROM i),
+    "enqueue_outcome": """WITH i AS (SELECT page_id % 3 AS batch_id, page_id AS position, CASE WHEN page_id % 17 <> 0 AND host <> '' THEN 'https://' || host END AS url FROM page_urls), n AS (SELECT *, row_number() OVER (PARTITION BY batch_id, url ORDER BY position) AS k FROM i),
         j AS (SELECT page_id AS job_id, 'https://' || host AS url, page_id % 5 AS s, page_id % 12 AS age, page_id % 10 = 5 AS expired FROM page_urls WHERE page_id % 4 = 1),
         r AS (SELECT url, arg_max(job_id, -age * 1000000 + job_id) AS job FROM j WHERE s = 1 AND age <= 7 GROUP BY url), t AS (SELECT n.*, job, EXISTS (SELECT 1 FROM j WHERE j.url = n.url AND s = 0 AND NOT expired) AS active FROM n LEFT JOIN r ON r.url = n.url),
         o AS (SELECT *, CASE WHEN url IS NULL THEN 'invalid' WHEN k > 1 THEN 'duplicate' WHEN active THEN 'already_active' WHEN job IS NOT NULL THEN 'recent' ELSE 'queued' END AS outcome FROM t)
@@ -50,6 +52,9 @@ ORACLES = {
         AND NOT (candidate_id % 7 = 0 AND EXISTS (SELECT 1 FROM restaurants r WHERE r.website LIKE '%supplier-' || lpad(CAST(c.candidate_id % 200 AS STRING), 9, '0') || '.example'))""",
     "duplicate_drafts": """SELECT a.candidate_id, min(b.candidate_id) AS draft_id FROM candidates a JOIN candidates b ON a.name_key = b.name_key AND b.candidate_id % 3 = 0
         AND 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 400 GROUP BY a.candidate_id""",
+    "quote_containment": f"SELECT CAST(item_id AS BIGINT) AS item_id, doc_id FROM (SELECT item_id, {_EVIDENCE} AS quote FROM benchmark) q JOIN (SELECT doc_id, {_EVIDENCE} AS body FROM documents) d ON contains(body, quote) WHERE quote <> ''",
+    "quote_class": "SELECT CAST(item_id AS BIGINT) AS item_id, CASE WHEN regexp_matches(text, '^\\S+ \\S+ \\S+ \\S+ \\S+') THEN ['present', 'present', 'whitespace_only', 'changed_characters', 'invented_text', 'added_separator', 'merged_lines'][item_id % 7 + 1] ELSE 'present' END AS class FROM benchmark",
+    "paged_scan_filters": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS STRING) AS added_later FROM events WHERE user_id >= 20 AND event_type <> 'error' AND CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY event_type",
     "polygon_hits": f"SELECT candidate_id FROM candidates WHERE {inside('lon', 'lat')} OR (lon >= 4.7 AND lat >= 51.5 AND (lon - 4.7) + (lat - 51.5) < 0.003)",
     "period_totals": """SELECT user_id, CAST(count_if(event_type = 'view') AS BIGINT) AS viewed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS saved, CAST(count_if(event_type = 'click') AS BIGINT) AS shared,
         CAST(count_if(event_type IN ('click', 'error') AND value > 50) AS BIGINT) AS favourite FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY user_id""",
@@ -70,7 +75,7 @@ ORACLES = {
     "restaurant_search_page": """WITH t AS (SELECT restaurant_id, name AS restaurant, CASE WHEN lower(name) = '1' THEN 0 WHEN contains(lower(name), '1') THEN 1 WHEN contains(lower(buurt), '1') THEN 2
         WHEN lower(trim(address)) <> lower(concat(name, ' Breda')) AND contains(lower(address), '1') THEN 3 END AS tier FROM restaurants),
         r AS (SELECT *, row_number() OVER (ORDER BY tier, restaurant, restaurant_id) AS pos FROM t WHERE tier IS NOT NULL) SELECT CAST(pos AS BIGINT) AS pos, restaurant_id, restaurant, CAST(tier AS BIGINT) AS tier FROM r WHERE pos BETWEEN 3 AND 9""",
-    "day_order": """WITH k AS (SELECT CAST(p_partkey AS BIGINT) AS item, p_size, '2024-01-30|' || p_partkey || '|tonight' AS key FROM part),
+    "daily_seeded_rank": """WITH k AS (SELECT CAST(p_partkey AS BIGINT) AS item, p_size, '2024-01-30|' || p_partkey || '|tonight' AS key FROM part),
         h AS (SELECT item, p_size, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM k)
         SELECT item, CAST(row_number() OVER (ORDER BY CAST(h AS DOUBLE) / 4294967296 - CASE WHEN p_size = 7 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, item) AS BIGINT) AS pos FROM h""",
     "source_workqueue": """WITH told AS (SELECT host, job_id, ts,

@@ -235,19 +235,6 @@ def price_share(d: Dialect) -> str:
     return f"SELECT restaurant_id, {share('count_if(NOT on_request)', 'count(*)')} AS priced_pct FROM dishes GROUP BY restaurant_id"
 
 
-@plan
-def daily_seeded_rank(d: Dialect) -> str:
-    """FNV-1a (32 bit) of the day and the id, as a fraction of 2^32, orders the dishes of a day."""
-    key = "concat('2024-01-30', CAST(p_partkey AS STRING))"
-    if d.spark:
-        codes = f"transform(split({key}, ''), c -> CAST(ascii(c) AS BIGINT))"
-        h = f"aggregate({codes}, 2166136261L, (h, c) -> ((h ^ c) * 16777619L) % 4294967296L)"
-    else:
-        codes = f"list_transform(range(1, CAST(length({key}) AS BIGINT) + 1), lambda i: CAST(ascii(substr({key}, i, 1)) AS BIGINT))"
-        h = f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {codes}), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
-    return f"SELECT p_partkey AS item, CAST({h} AS BIGINT) AS hash FROM part"
-
-
 @numbered("n DESC, dish_key")
 def sorted_report(d: Dialect) -> str:
     """A stable sort by one column and direction: ties keep the order of ids."""

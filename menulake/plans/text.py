@@ -125,33 +125,6 @@ def content_flags(d: Dialect) -> str:
     return "SELECT doc_id, " + ", ".join(f"{d.matches('text', p)} AS {n}" for n, p in flags.items()) + f", ({spam}) >= 2 AS spam FROM documents"
 
 
-def evidence(d: Dialect, x: str) -> str:
-    """Lower case, white space as one space."""
-    return f"trim({d.gsub(f'lower({x})', '[ \t\r\n]+', ' ')})"
-
-
-@plan
-def quote_containment(d: Dialect) -> str:
-    """Which quotes stand in which documents, first by a shared run of three words, then in full.
-
-    A quote is looked up by its first three words among all such runs of a document, an equality
-    instead of a comparison of all pairs."""
-    words = d.words("body", " ")
-    body = f"SELECT doc_id, {evidence(d, 'text')} AS body FROM documents"
-    tokens = d.unnest(f"SELECT doc_id, {words} AS w FROM ({body}) s", "w", "doc_id", "word", "nr")
-    grams = f"SELECT DISTINCT doc_id, concat_ws(' ', word, lead(word) OVER (PARTITION BY doc_id ORDER BY nr), lead(word, 2) OVER (PARTITION BY doc_id ORDER BY nr)) AS gram FROM {tokens} t0"
-    first = f"concat_ws(' ', {d.at('w', 0)}, {d.at('w', 1)}, {d.at('w', 2)})"
-    quotes = f"SELECT item_id, quote, {first} AS gram FROM (SELECT item_id, quote, {d.words('quote', ' ')} AS w FROM (SELECT item_id, {evidence(d, 'text')} AS quote FROM benchmark) q0) q1"
-    near = f"SELECT DISTINCT g.doc_id, q.item_id, q.quote FROM ({grams}) g JOIN ({quotes}) q ON g.gram = q.gram"
-    return f"SELECT n.item_id, n.doc_id FROM ({near}) n JOIN ({body}) t ON t.doc_id = n.doc_id WHERE contains(t.body, n.quote)"
-
-
-@plan
-def quote_class(d: Dialect) -> str:
-    """Where a quote differs from what stands there: not at all, in white space, in case, or more."""
-    return f"SELECT item_id, CASE WHEN text = {evidence(d, 'text')} THEN 'same' WHEN lower(text) = {evidence(d, 'text')} THEN 'case' WHEN {d.gsub('lower(text)', '[ \t\r\n]+', '')} = {d.gsub(evidence(d, 'text'), ' ', '')} THEN 'whitespace' ELSE 'characters' END AS class FROM benchmark"
-
-
 @plan
 def edge_trim(d: Dialect) -> str:
     return f"SELECT item_id, {d.gsub(d.gsub('text', '^[ .,;:!?-]+', ''), '[ .,;:!?-]+$', '')} AS trimmed FROM benchmark"

@@ -198,6 +198,15 @@ def test_quote_nearest_equals_all_pairs(spark):
     assert got == sorted(want)
 
 
+def test_quotes_in_documents_equal_all_pairs(spark):
+    rng = random.Random(12)
+    words = ["soep", "“Vis”", "kaas–ui", "a", "Brood"]
+    docs = [(i, "  ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(99, None)]
+    quotes = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))) for i in range(20)] + [(50, None), (51, " "), (52, "oep"), (53, '"vis"')]
+    got = diagnosis.quote_contained(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(quotes, "item_id long, text string"), block=7).collect()
+    assert sorted(map(tuple, got)) == sorted((i, d) for i, q in quotes for d, t in docs if t and keys.evidence(q) and keys.evidence(q) in keys.evidence(t))
+
+
 def test_name_variants_equal_all_pairs(spark):
     rng = random.Random(6)
     names = lambda n: [(rng.choice("xy"), "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 9)))) for _ in range(n)]

@@ -15,7 +15,7 @@ from menulake.plans.dialect import DUCK, PLANS, SPARK, TABLES, run_sql, with_vie
 from menulake.sources import catalog
 
 SF = "/root/testdata/sf0.001"
-KEYS = "dish_search_ranked dish_search_grouped dish_overlay_search counters_period week_over_week poll_result latest_with_condition active_and_discarded price_change_log near_duplicates staged_match point_in_polygon bag_match_3pass menu_diff local_calendar name_keys phone_address_url url_canonical heading_fill quote_containment daily_seeded_rank constraint_violations latest_review_frames strict_dates queue_claim promote task_union proposal_orphans unknown_anti reference_precision_recall browse_sort workqueue_rows correlated_order restaurant_search saved_list_resolve counters_report_resolved top_keys_bar price_pairing line_tones uncovered_summary coverage_diagnosis dish_search_page dish_search_summary dish_group_page restaurant_search_page day_order source_workqueue inbox_states source_certainty retry_outcomes record_hashes offer_keys catalog_round_trip text_windows stream_session_firsts stream_day_counters".split()
+KEYS = "dish_search_ranked dish_search_grouped dish_overlay_search counters_period week_over_week poll_result latest_with_condition active_and_discarded price_change_log near_duplicates staged_match point_in_polygon bag_match_3pass menu_diff local_calendar name_keys phone_address_url url_canonical heading_fill quote_containment daily_seeded_rank constraint_violations latest_review_frames strict_dates queue_claim promote task_union proposal_orphans unknown_anti reference_precision_recall browse_sort workqueue_rows correlated_order restaurant_search saved_list_resolve counters_report_resolved top_keys_bar price_pairing line_tones uncovered_summary coverage_diagnosis dish_search_page dish_search_summary dish_group_page restaurant_search_page enqueue_outcome quote_class unknown_candidates duplicate_drafts place_match menu_completeness offer_expiry source_workqueue inbox_states source_certainty retry_outcomes record_hashes offer_keys catalog_round_trip text_windows stream_session_firsts stream_day_counters".split()
 
 
 
