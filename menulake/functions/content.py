@@ -28,6 +28,13 @@ FAMILIES = (
     ("Midden-Oosters", "midden-oosters midden-oosten middle-eastern noord-afrikaans halal"), ("Nederlands", "nederlands hollands grand_café grand_cafe"), ("Modern Europees", "modern_europees scandinavisch seizoensgebonden"), ("Fusion", "fusion oosterse"),
 )
 
+# An icon for a dish by what its name or category holds, the first that fits.
+ICONS = (
+    ("🍲", "soep|bouillon|bisque"), ("🍝", "pasta|spaghetti|penne|lasagne|tagliatelle|risotto"), ("🍕", "pizza"), ("🍖", "burger|biefstuk|steak|entrecote|tartaar|spare ?ribs|lams|kalf|varken|kip|eend"),
+    ("🐟", "vis|zalm|tonijn|garnalen|kabeljauw|mossel|homard|kreeft|sushi"), ("🥗", "salade|groente|vega"), ("🍰", "taart|gebak|dessert|ijs|chocolade|tiramisu|panna"), ("🥪", "brood|sandwich|toast|bagel"), ("🧀", "kaas"),
+)
+NO_ICON = "🍽️"
+
 
 def text_problems(text: Column) -> Column:
     """What is wrong with a text, in a fixed order: a link, an e-mail address, a phone number, nothing
@@ -94,6 +101,15 @@ def dish_key(name: Column) -> Column:
     return menu_key(name)
 
 
+def dish_icon(name: Column, category: Column) -> Column:
+    """The icon of the first rule that fits the name and category together; a plate otherwise."""
+    text = F.lower(F.concat_ws(" ", name, category))
+    out = F.lit(NO_ICON)
+    for icon, pattern in reversed(ICONS):
+        out = F.when(text.rlike(pattern), F.lit(icon)).otherwise(out)
+    return out
+
+
 def likely_same_name(a: Column, b: Column) -> Column:
     """Whether the keys of two names are equal or one holds the other; null where either is empty."""
     x, y = name_key(a), name_key(b)

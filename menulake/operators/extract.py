@@ -8,11 +8,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from menulake.functions.keys import plain_words
 from menulake.functions.prices import number_tokens, prices
 from menulake.operators.coverage import letters, name_of
 from menulake.operators.diagnosis import windows
@@ -291,6 +293,55 @@ def restaurant_fields(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, field string, value string, method string, fragment string")
 
 
+# Words that name a menu, and ones of links that never are a card.
+MENU_WORDS = frozenset("menu menus menukaart menukaarten kaart kaarten gerechten eten lunch lunchkaart diner dinerkaart borrel borrelkaart dranken drankenkaart spijskaart carte dishes food".split())
+OTHER_LINKS = re.compile(r"cadeaukaart|cadeaubon|geschenk|gift\s?card|voucher|tegoedbon|\b(?:blogs?|nieuws|news|artikel|articles?|events?|vacatures?|privacy|contact)\b", re.I)
+ANCHOR = re.compile(r"""<a\b[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a>""", re.I | re.S)
+
+
+def link_score(text: str, path: str) -> int:
+    """0 if a link surely or likely isn't a card; else 2 for its own words, 1 for its path, 1 for a pdf."""
+    if OTHER_LINKS.search(text) or OTHER_LINKS.search(path):
+        return 0
+    holds = [bool(MENU_WORDS & set(plain_words(x).split())) for x in (text, path)]
+    return 2 * holds[0] + holds[1] + bool(re.search(r"\.pdf$", path, re.I)) if any(holds) else 0
+
+
+def menu_links(pages: DataFrame, most: int = 5) -> DataFrame:
+    """(page_id, pos, link, matched_on): the links of a page to its own host that may lead to a menu, best
+    first, ties in page order; one for each address, never the page itself."""
+
+    def key(url: str) -> tuple[str, str, str]:
+        u = urlsplit(url)
+        return re.sub(r"^www\.", "", (u.hostname or "").lower()), u.path.rstrip("/") or "/", u.query
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for page_id, base, page in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+                found = []
+                try:
+                    seen = {key(base or "")}
+                    host = key(base or "")[0]
+                except ValueError:
+                    continue
+                for n, m in enumerate(ANCHOR.finditer(page or "")):
+                    try:
+                        url = urljoin(base, html.unescape(m[1] or m[2] or m[3] or "").strip())
+                        own = key(url)
+                    except ValueError:
+                        continue
+                    text = strip_tags(m[4])
+                    score = link_score(text, urlsplit(url).path)
+                    if host and own[0] == host and urlsplit(url).scheme in ("http", "https") and own not in seen and score:
+                        seen.add(own)
+                        found.append((-score, n, url.split("#")[0], text or urlsplit(url).path))
+                out += [(page_id, pos, url, text) for pos, (_, _, url, text) in enumerate(sorted(found)[:most], 1)]
+            yield pd.DataFrame(out, columns=["page_id", "pos", "link", "matched_on"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos long, link string, matched_on string")
+
+
 def token_reasons(docs: DataFrame) -> DataFrame:
     """How many number tokens were refused, by reason; `price` counts those that weren't."""
 

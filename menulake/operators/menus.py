@@ -83,6 +83,25 @@ def first_sightings(rows: DataFrame, keys: list[str], page: str) -> DataFrame:
     return rows.join(first, [*keys, page], "left_semi").select(*rows.columns)
 
 
+def item_flags(items: DataFrame, gating: tuple[str, ...] = ("section_marker", "long_name", "supplement_as_item", "unresolved_price")) -> DataFrame:
+    """(menu, flags, ok) of each menu's rows (menu, category, name, priced): the different flags that its
+    items raise, in a fixed order, and whether none of them is a gating one.
+
+    section_marker: // in a name; long_name: over 80 characters or 14 words; supplement_as_item;
+    unresolved_price; unheaded_items; duplicate_in_category, by the name's key."""
+    name, key = F.trim(F.coalesce("name", F.lit(""))), F.coalesce(dish_key(F.col("name")), F.lit(""))
+    rows = items.withColumns({"_name": name, "_key": key, "_plain": F.length(F.trim(F.coalesce("category", F.lit("")))) == 0})
+    each = rows.groupBy("menu", F.coalesce("category", F.lit("")).alias("category"), "_key").agg(
+        F.bool_or(F.contains("_name", F.lit("//"))).alias("section_marker"), F.bool_or((F.length("_name") > 80) | (F.size(F.split("_name", r"\s+")) > 14)).alias("long_name"),
+        F.bool_or(F.col("_name").rlike(r"(?i)^(?:\+|supplement(?:en)?\b)")).alias("supplement_as_item"), F.bool_or(~F.coalesce("priced", F.lit(False))).alias("unresolved_price"),
+        F.bool_or("_plain").alias("unheaded_items"), (F.count(F.lit(1)) > 1).alias("_twice"),
+    )
+    codes = ("section_marker", "long_name", "supplement_as_item", "unresolved_price", "unheaded_items")
+    g = each.groupBy("menu").agg(*[F.bool_or(c).alias(c) for c in codes], F.bool_or(F.col("_twice") & (F.col("_key") != "")).alias("duplicate_in_category"))
+    flags = F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in (*codes, "duplicate_in_category")]), lambda x: x.isNotNull())
+    return g.select("menu", flags.alias("flags"), (~F.arrays_overlap(flags, F.array(*map(F.lit, gating)))).alias("ok"))
+
+
 def overlaid(nested: DataFrame, edits: DataFrame) -> DataFrame:
     """nested (menu_key, categories: array<struct<name, items: array<struct<..., price_cents>>>>) with
     edits by place (menu_key, c, i from 0, price_cents, available): a price that is given replaces the

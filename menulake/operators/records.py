@@ -119,3 +119,93 @@ def first_duplicate_draft(candidates: DataFrame, drafts: DataFrame, within: floa
 def unsure_names(pairs: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with same: whether the names may be one business, null if either is empty."""
     return pairs.withColumn("same", likely_same_name(F.col("a"), F.col("b")))
+
+
+def enriched(candidates: DataFrame, enrichments: DataFrame, fields: tuple[str, ...] = ("address", "phone", "website")) -> DataFrame:
+    """candidates (candidate_id, ...) whose fields have the value of their last enrichment (candidate_id,
+    field, value, recorded_at, id), where there is one; the raw table stays as it is."""
+    last = latest_by(enrichments.where(F.col("field").isin(*fields)), ["candidate_id", "field"], [F.desc("recorded_at"), F.desc("id")])
+    by = last.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_new"))
+    new = {f: F.coalesce(F.try_element_at("_new", F.lit(f)), F.col(f)) for f in fields}
+    return candidates.join(by, "candidate_id", "left").withColumns(new).select(*candidates.columns)
+
+
+def inbox(candidates: DataFrame, run_id=None, category: str | None = None, name: str | None = None, duplicate: bool | None = None, quality: str | None = None, review: str | None = None) -> DataFrame:
+    """Candidates that pass all filters that are given; filters look at enriched rows (run_id, category,
+    name, possible_duplicate, quality, review)."""
+    conditions = []
+    if name:
+        conditions.append(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit(name.lower())))
+    if duplicate is not None:
+        conditions.append(F.coalesce("possible_duplicate", F.lit(False)) == duplicate)
+    for column, wanted in (("run_id", run_id), ("category", category), ("quality", quality), ("review", review)):
+        if wanted:
+            conditions.append(F.col(column) == wanted)
+    for c in conditions:
+        candidates = candidates.where(c)
+    return candidates
+
+
+def promote(candidates: DataFrame, reviews: DataFrame, drafts: DataFrame, enrichments: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcome of each request (draft_id, candidate_id, restarted_from); the facts of the new drafts).
+
+    A candidate (candidate_id, name, category, address, phone, website) may become a draft if its last
+    review (candidate_id, decided_at, id, status) is approved_internal, no draft of it (draft_id,
+    candidate_id, status) is active, and a draft that it restarts from is a discarded one of its own.
+    Of several requests for a candidate the smallest draft_id counts. A fact is a field's value, with
+    its origin: `enrichment` where one was recorded, else `import`."""
+    status = latest_by(reviews, ["candidate_id"], [F.desc("decided_at"), F.desc("id")]).select("candidate_id", F.col("status").alias("_status"))
+    active = drafts.where("status = 'draft'").select("candidate_id").distinct().withColumn("_active", F.lit(True))
+    gone = drafts.where("status = 'discarded'").select(F.col("draft_id").alias("restarted_from"), "candidate_id").distinct().withColumn("_gone", F.lit(True))
+    first = Window.partitionBy("candidate_id").orderBy("draft_id")
+    rows = requests.withColumn("_nr", F.row_number().over(first)).join(candidates.select("candidate_id", F.lit(True).alias("_known")), "candidate_id", "left")
+    rows = rows.join(status, "candidate_id", "left").join(active, "candidate_id", "left").join(gone, ["restarted_from", "candidate_id"], "left")
+    outcome = (
+        F.when(F.col("_known").isNull(), "not_found").when(~F.col("_status").eqNullSafe("approved_internal"), "not_approved").when(F.col("_active") | (F.col("_nr") > 1), "already_active")
+        .when(F.col("restarted_from").isNotNull() & F.col("_gone").isNull(), "bad_restart").otherwise("promoted")
+    )
+    told = rows.select("draft_id", "candidate_id", outcome.alias("outcome"))
+    fixed = latest_by(enrichments, ["candidate_id", "field"], [F.desc("recorded_at"), F.desc("id")]).select("candidate_id", "field", F.col("value").alias("_new"))
+    names = ("name", "category", "address", "phone", "website")
+    raw = candidates.select("candidate_id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in names])).alias("x")).select("candidate_id", "x.*")
+    facts = told.where("outcome = 'promoted'").join(raw, "candidate_id").join(fixed, ["candidate_id", "field"], "left")
+    return told, facts.select("draft_id", "field", F.coalesce("_new", "value").alias("value"), F.when(F.col("_new").isNotNull(), "enrichment").otherwise("import").alias("origin")).where("value IS NOT NULL")
+
+
+def decide_proposals(proposals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(proposals (id, status, note) with the open ones decided; an event for each; refused decisions
+    (id, reason)). A decision (id, decision, note, at) is accepted or rejected, a rejection needs a note,
+    and of several for a proposal the first in time counts."""
+    note = F.nullif(F.trim("note"), F.lit(""))
+    rows = decisions.withColumn("note", note).join(proposals.select("id", F.col("status").alias("_was")), "id", "left")
+    good = F.when(~F.coalesce(F.col("decision").isin("accepted", "rejected"), F.lit(False)), "unknown_decision").when((F.col("decision") == "rejected") & F.col("note").isNull(), "reason_needed").when(~F.col("_was").eqNullSafe("open"), "not_open")
+    judged = rows.withColumn("reason", good)
+    first = Window.partitionBy("id", F.col("reason").isNull()).orderBy("at", "decision")
+    judged = judged.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(first) > 1), "not_open").otherwise(F.col("reason")))
+    done = judged.where("reason IS NULL").select("id", F.col("decision").alias("event"), "note", "at")
+    new = proposals.join(done.select("id", F.col("event").alias("_new"), F.col("note").alias("_note")), "id", "left")
+    after = new.withColumns({"status": F.coalesce("_new", "status"), "note": F.coalesce("_note", "note")}).select(*proposals.columns)
+    return after, done, judged.where("reason IS NOT NULL").select("id", "reason")
+
+
+def inserted(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """table with the rows whose key it hasn't; of new rows that share a key any one. Inserting again
+    changes nothing."""
+    return table.unionByName(rows.dropDuplicates(key).join(table.select(*key).distinct(), key, "left_anti").select(*table.columns))
+
+
+def usage_export(rows: DataFrame, most: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names with their concepts, models with concepts, cost and unknown costs, one row of totals) of
+    usage rows (id, kind, name, provider, model, cents, at); rows without a kind, and repeats of an id,
+    are ignored. Names beyond the first `most` are one row without a name, with how many they are."""
+    used = rows.where("kind IS NOT NULL")
+    seen = used.where("id IS NOT NULL").groupBy("id").agg(*[F.min_by(c, F.struct("at", "kind", "name", "cents")).alias(c) for c in ("kind", "name", "provider", "model", "cents", "at")])
+    used = seen.unionByName(used.where("id IS NULL").select(*seen.columns))
+    names = used.where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("concepts"))
+    top = names.orderBy(F.desc("concepts"), F.asc("name")).limit(most)
+    rest = names.join(top.select("name"), "name", "left_anti").agg(F.count(F.lit(1)).alias("names"), F.sum("concepts").alias("concepts")).where("names > 0")
+    per_name = top.select("name", "concepts", F.lit(1).cast("long").alias("names")).unionByName(rest.select(F.lit(None).cast("string").alias("name"), "concepts", "names"))
+    unknown = F.lit("onbekend")
+    models = used.where("kind = 'ai_read'").groupBy(F.coalesce("provider", unknown).alias("provider"), F.coalesce("model", unknown).alias("model")).agg(F.count(F.lit(1)).alias("concepts"), F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"), F.count_if(F.col("cents").isNull()).alias("unknown_costs"))
+    totals = used.agg(F.count(F.lit(1)).alias("used"), F.count_if(F.col("name").isNull()).alias("unattributed"), F.count_if(F.col("at").isNull()).alias("timestamps_missing"), F.min("at").alias("from_at"), F.max("at").alias("to_at"))
+    return per_name, models, totals

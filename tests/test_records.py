@@ -102,3 +102,54 @@ def test_restaurant_fields(spark):
     rows = [(1, ld + rest), (2, rest), (3, "<p>076 1234567</p>"), (4, None), (5, '<script type="application/ld+json">{bad</script>' + ld.replace("CafeOrCoffeeShop", "Person"))]
     got = [(r.page_id, r.field, r.value, r.method) for r in extract.restaurant_fields(spark.createDataFrame(rows, "page_id long, html string")).collect()]
     assert sorted(got) == [(1, "address", "Markt 1, 4811 AB Breda", "json_ld"), (1, "category", "CafeOrCoffeeShop", "json_ld"), (1, "name", "Zon", "json_ld"), (1, "phone", "+31761234567", "html"), (1, "website", "https://zon.nl", "json_ld"), (2, "address", "Markt 2 Breda", "html"), (2, "phone", "+31761234567", "html")]
+
+
+def test_promotion(spark):
+    cands = spark.createDataFrame([(1, "Zon", "bar", "a", None, "w"), (2, "Maan", None, None, None, None), (3, "Ster", None, None, None, None), (4, "Mars", None, None, None, None)], "candidate_id long, name string, category string, address string, phone string, website string")
+    reviews = spark.createDataFrame([(1, ago(days=2), 1, "rejected"), (1, ago(days=1), 2, "approved_internal"), (2, ago(days=1), 3, "approved_internal"), (2, ago(days=1), 4, "deferred"), (3, NOW, 5, "approved_internal"), (4, NOW, 6, "approved_internal")], "candidate_id long, decided_at timestamp, id long, status string")
+    drafts = spark.createDataFrame([("x", 1, "discarded"), ("y", 3, "draft"), ("z", 4, "draft2")], "draft_id string, candidate_id long, status string")
+    fixes = spark.createDataFrame([(1, "phone", "old", ago(days=3), 1), (1, "phone", "new", ago(days=1), 2), (1, "address", "b", NOW, 3)], "candidate_id long, field string, value string, recorded_at timestamp, id long")
+    asked = spark.createDataFrame([("d1", 1, "x"), ("d2", 1, None), ("d3", 2, None), ("d4", 3, None), ("d5", 4, "z"), ("d6", 99, None)], "draft_id string, candidate_id long, restarted_from string")
+    told, facts = records.promote(cands, reviews, drafts, fixes, asked)
+    assert {r.draft_id: r.outcome for r in told.collect()} == {"d1": "promoted", "d2": "already_active", "d3": "not_approved", "d4": "already_active", "d5": "bad_restart", "d6": "not_found"}
+    assert sorted(tuple(r) for r in facts.collect()) == [("d1", "address", "b", "enrichment"), ("d1", "category", "bar", "import"), ("d1", "name", "Zon", "import"), ("d1", "phone", "new", "enrichment"), ("d1", "website", "w", "import")]
+    got = records.enriched(cands, fixes)
+    assert got.columns == cands.columns and {r.candidate_id: (r.address, r.phone, r.website) for r in got.collect()} == {1: ("b", "new", "w"), 2: (None, None, None), 3: (None, None, None), 4: (None, None, None)}
+
+
+def test_inbox_filters(spark):
+    rows = [(1, "r1", "bar", "De Zon", True, "ok", "new"), (2, "r1", "cafe", None, None, "bad", "new"), (3, "r2", "bar", "Zonnig", False, "ok", "later")]
+    df = spark.createDataFrame(rows, "id long, run_id string, category string, name string, possible_duplicate boolean, quality string, review string")
+    found = lambda **x: sorted(r.id for r in records.inbox(df, **x).collect())
+    assert found() == [1, 2, 3] and found(name="ZON") == [1, 3] and found(duplicate=False) == [2, 3] and found(duplicate=True) == [1] and found(run_id="r1", category="bar") == [1] and found(quality="ok", review="later") == [3]
+
+
+def test_proposals_and_inserts(spark):
+    proposals = spark.createDataFrame([(1, "open", None), (2, "open", None), (3, "accepted", "x"), (4, "open", None)], "id long, status string, note string")
+    asked = spark.createDataFrame([(1, "accepted", " ", NOW), (1, "rejected", "late", NOW + dt.timedelta(seconds=1)), (2, "rejected", " ", NOW), (3, "rejected", "n", NOW), (4, "maybe", "n", NOW), (4, "rejected", "bad", NOW), (9, "accepted", None, NOW)], "id long, decision string, note string, at timestamp")
+    after, events, refused = records.decide_proposals(proposals, asked)
+    assert {r.id: (r.status, r.note) for r in after.collect()} == {1: ("accepted", None), 2: ("open", None), 3: ("accepted", "x"), 4: ("rejected", "bad")}
+    assert sorted((r.id, r.event, r.note) for r in events.collect()) == [(1, "accepted", None), (4, "rejected", "bad")] or sorted((r.id, r.event) for r in events.collect()) == [(1, "accepted"), (4, "rejected")]
+    assert sorted((r.id, r.reason) for r in refused.collect()) == [(1, "not_open"), (2, "reason_needed"), (3, "not_open"), (4, "unknown_decision"), (9, "not_open")]
+    table, rows = spark.createDataFrame([(1, "a")], "id long, v string"), spark.createDataFrame([("b", 1), ("c", 2), ("c", 2)], "v string, id long")
+    once = records.inserted(table, rows, ["id"])
+    assert sorted(map(tuple, once.collect())) == [(1, "a"), (2, "c")] and sorted(map(tuple, records.inserted(once, rows, ["id"]).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_usage_export(spark):
+    rows = [("1", "ai_read", "Claudius", "p", "m", 5, ago(days=1)), ("1", "ai_read", "Claudius", "p", "m", 5, NOW), ("2", "ai_read", None, "p", "m", None, None), ("3", "manual", "Bo", None, None, None, ago(days=2)), (None, "manual", "Bo", None, None, None, NOW), ("4", None, "x", None, None, 9, NOW), ("5", "ai_read", "Zed", None, None, 7, NOW)]
+    df = spark.createDataFrame(rows, "id string, kind string, name string, provider string, model string, cents long, at timestamp")
+    names, models, totals = records.usage_export(df, 1)
+    assert sorted(map(tuple, names.collect()), key=str) == sorted([("Bo", 2, 1), (None, 2, 2)], key=str)
+    assert sorted(map(tuple, models.collect())) == [("onbekend", "onbekend", 1, 7, 0), ("p", "m", 2, 5, 1)] and totals.first()[:] == (5, 1, 1, ago(days=2), NOW)
+
+
+def test_menu_links_icons_and_flags(spark):
+    html = "<a href='/menu'>Onze <b>menukaart</b></a><a href=/x/menu.pdf>Kaart (pdf)</a><a href='/menu/'>nog eens</a><a href='https://www.h.nl/lunch?x=1#a'>eten</a><a href='/cadeaukaart'>menu cadeaukaart</a><a href='https://andere.nl/menu'>menu</a><a href='/over'>over ons</a><a href='/kaart'>hier</a><a href='/start'>menu</a><a href='mailto:menu@h.nl'>menu</a>"
+    got = extract.menu_links(spark.createDataFrame([(1, "https://h.nl/start", html), (2, None, html), (3, "https://[bad", html), (4, "https://h.nl", None)], "page_id long, url string, html string"), 4).collect()
+    assert [(r.page_id, r.pos, r.link, r.matched_on) for r in got] == [(1, 1, "https://h.nl/x/menu.pdf", "Kaart (pdf)"), (1, 2, "https://h.nl/menu", "Onze menukaart"), (1, 3, "https://www.h.nl/lunch?x=1", "eten"), (1, 4, "https://h.nl/kaart", "hier")]
+    icons = [("Uiensoep met kaas", None, "🍲"), ("Planken", "Kaas", "🧀"), ("Bier", "", content.NO_ICON), (None, None, content.NO_ICON)]
+    assert all(r.i == r.w for r in spark.createDataFrame(icons, "n string, c string, w string").select("w", content.dish_icon(F.col("n"), F.col("c")).alias("i")).collect())
+    rows = [("a", "Vooraf", "Soep", True), ("a", "Hoofd", "soep!", True), ("b", "Vooraf", "Soep", True), ("b", "Vooraf", "SOEP", True), ("c", None, "+ Friet", False), ("c", "X", "A // B", True), ("c", "X", "w " * 15, True), ("d", "X", None, True), ("d", "X", "", True)]
+    got = {r.menu: (r.flags, r.ok) for r in menus.item_flags(spark.createDataFrame(rows, "menu string, category string, name string, priced boolean")).collect()}
+    assert got == {"a": ([], True), "b": (["duplicate_in_category"], True), "c": (["section_marker", "long_name", "supplement_as_item", "unresolved_price", "unheaded_items"], False), "d": ([], True)}
