@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes what was written; called when the driver ends, as results read from it until then."""
+    while _made:
+        with contextlib.suppress(Exception):  # it may never have been written
+            store, path = fs.FileSystem.from_uri(_made.pop())
+            store.delete_dir(path)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a single-process session without it gets a folder of its own."""
@@ -25,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/menulake-{label}-{uuid.uuid4().hex[:12]}"
+    """A new folder's name in the shared folder; it goes when the driver ends."""
+    _made.append(f"{shared_dir(spark)}/menulake-{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def saved(df: DataFrame, label: str = "table") -> DataFrame:
