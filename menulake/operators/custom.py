@@ -408,6 +408,125 @@ def duplicate_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.first_duplicate_draft(c, d, 400.0)
 
 
+def nested_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits by place on nested menus: the first item of a first category, or the second one's being
+    available."""
+    dishes = run_sql(spark, sf_dir, "SELECT restaurant_id, meal, category, name, dish_id, price_cents FROM dishes")
+    edits = run_sql(spark, sf_dir, "SELECT concat(CAST(restaurant_id AS STRING), '-N') AS menu_key, 0 AS c, restaurant_id % 2 AS i, CASE WHEN restaurant_id % 2 = 0 THEN 12345 END AS price_cents, CASE WHEN restaurant_id % 2 = 1 THEN false END AS available FROM restaurants WHERE restaurant_id % 3 <> 0")
+    edited = menus.overlaid(catalog.nested(dishes), edits.withColumn("price_cents", F.col("price_cents").cast("long")))
+    return edited.select(F.explode("categories").alias("c")).select(F.explode("c.items").alias("x")).select("x.dish_id", "x.price_cents", "x.available")
+
+
+def menu_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories under their meal for every other restaurant; some routes aren't trusted."""
+    rows = run_sql(spark, sf_dir, "SELECT DISTINCT concat_ws('-', CAST(restaurant_id AS STRING), meal) AS menu, restaurant_id, meal, category FROM dishes")
+    path = F.when(F.col("restaurant_id") % 2 == 0, F.array("meal", "category")).otherwise(F.array("category"))
+    sections = rows.select("menu", F.col("category").alias("position"), path.alias("path"), ((F.col("restaurant_id") % 5 == 0) & (F.col("category") == "PROMO")).alias("untrusted"))
+    return menus.hierarchy(sections).select("menu", F.col("position").alias("category"), "title", F.array_join("path", "/").alias("path"), "uncertain")
+
+
+def menu_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, "SELECT restaurant_id AS menu, category, CASE WHEN item_id % 50 = 0 THEN concat('+ ', name) WHEN item_id % 61 = 0 THEN concat(name, ' // ', category) ELSE concat(name, ' ', CAST(item_id AS STRING)) END AS name, item_id % 401 <> 0 AS priced FROM dishes")
+    return menus.item_flags(rows).select("menu", F.array_join("flags", ",").alias("flags"), "ok")
+
+
+def removed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected lines that the actual ones lack, by name in their path, or anywhere where the path is new."""
+    of = lambda v: run_sql(spark, sf_dir, f"SELECT source AS menu, path, concat('Dish ', CAST(name AS STRING)) AS name FROM {v}")
+    return menus.removed(of("expected"), of("actual"))
+
+
+def effective_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, address, phone, website FROM candidates")
+    e = run_sql(spark, sf_dir, "SELECT candidate_id, CASE id % 3 WHEN 0 THEN 'phone' WHEN 1 THEN 'website' ELSE 'address' END AS field, concat('new ', CAST(id AS STRING)) AS value, decided_at AS recorded_at, id FROM reviews WHERE status = 'approved'")
+    return records.enriched(c, e)
+
+
+def inbox_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, nation_id AS run_id, name_key AS category, name, candidate_id % 2 = 0 AS possible_duplicate, CASE WHEN phone IS NULL THEN 'poor' ELSE 'good' END AS quality, 'new' AS review FROM candidates")
+    return records.inbox(c, category="BUILDING", name="CUSTOMER#", duplicate=True, quality="good", review="new").select("candidate_id")
+
+
+def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of asking for a draft of each candidate, and of some unknown ones."""
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, name, name_key AS category, address, phone, website FROM candidates")
+    reviews = run_sql(spark, sf_dir, "SELECT candidate_id, decided_at, id, CASE status WHEN 'approved' THEN 'approved_internal' ELSE status END AS status FROM reviews")
+    drafts = run_sql(spark, sf_dir, "SELECT concat('old', CAST(candidate_id AS STRING)) AS draft_id, candidate_id, CASE WHEN candidate_id % 5 = 0 THEN 'draft' ELSE 'discarded' END AS status FROM candidates WHERE candidate_id % 2 = 0")
+    asked = run_sql(spark, sf_dir, "SELECT concat('d', CAST(candidate_id AS STRING)) AS draft_id, CASE WHEN candidate_id % 50 = 0 THEN -candidate_id - 1 ELSE candidate_id END AS candidate_id, CASE WHEN candidate_id % 3 = 0 THEN concat('old', CAST(candidate_id AS STRING)) END AS restarted_from FROM candidates")
+    fixes = run_sql(spark, sf_dir, "SELECT candidate_id, 'phone' AS field, 'x' AS value, decided_at AS recorded_at, id FROM reviews")
+    return records.promote(c, reviews, drafts, fixes, asked)[0]
+
+
+def proposal_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, "SELECT id, CASE WHEN id % 3 = 0 THEN 'accepted' ELSE 'open' END AS status, CAST(NULL AS STRING) AS note, CASE id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'maybe' END AS decision, CASE WHEN id % 5 <> 0 THEN ' why ' ELSE ' ' END AS why, decided_at AS at FROM reviews")
+    after = records.decide_proposals(rows.select("id", "status", "note"), rows.select("id", "decision", F.col("why").alias("note"), "at"))[0]
+    return after.select("id", "status", "note")
+
+
+def swept_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a sweep over purchases that were offers of seven days."""
+    e = load(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").cast("long").alias("offer_id"), F.when(F.col("event_id") % 4 == 0, "draft").otherwise("online").alias("status"), F.timestamp_add("DAY", F.lit(7), F.col("ts").cast("timestamp")).alias("expires_at"))
+    return records.sweep(e, F.lit("2024-01-30 00:00:00").cast("timestamp"))[1].select("offer_id", "before", "after")
+
+
+def idle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs left when the batches of users that were silent for a day are closed."""
+    batches = run_sql(spark, sf_dir, "SELECT host AS batch_id, CASE WHEN host % 4 = 0 THEN max(ts) END AS closed_at, CAST(NULL AS STRING) AS close_reason, max(ts) AS last_activity_at FROM jobs GROUP BY host")
+    jobs = run_sql(spark, sf_dir, "SELECT job_id, host AS batch_id, status, CAST(NULL AS TIMESTAMP) AS expired_at, ts AS lease_expires_at FROM jobs")
+    _, swept = records.close_idle(batches, jobs, F.lit("2024-01-31 12:00:00").cast("timestamp"))
+    return swept.select("job_id", F.col("expired_at").isNotNull().alias("expired"), F.col("lease_expires_at").isNotNull().alias("leased"))
+
+
+def usage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by their rows, twenty of them, and the rest as one."""
+    rows = run_sql(spark, sf_dir, "SELECT CAST(event_id % 9000 AS STRING) AS id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 'ai_read' ELSE 'manual' END AS kind, CASE WHEN user_id % 7 <> 0 THEN concat('user ', CAST(user_id % 40 AS STRING)) END AS name, CAST(NULL AS STRING) AS provider, CAST(NULL AS STRING) AS model, CAST(event_id AS BIGINT) AS cents, CAST(ts AS TIMESTAMP) AS at FROM events")
+    return records.usage_export(rows)[0]
+
+
+def dish_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Icons of parts that got a dish's word by their number."""
+    word = F.element_at(F.array(*map(F.lit, ("Uiensoep", "pizza met kaas", "Biefstuk", "zalm", "groentetaart", "Toast", "kaas", "thee"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item"), content.dish_icon(F.concat_ws(" ", word, "p_brand"), F.lit("")).alias("icon"))
+
+
+def price_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, "SELECT dish_id, concat('€ ', CAST(price_cents DIV 100 AS STRING), CASE WHEN size % 3 = 0 THEN ' per stuk' ELSE '' END) AS price, on_request, price_cents, array('per stuk', 'Per Stuk', CASE WHEN size % 2 = 0 THEN ' met friet ' END) AS notes, multiple FROM dishes")
+    return rows.select("dish_id", content.price_label(F.col("price"), F.col("on_request"), F.col("price_cents"), F.col("notes"), F.col("multiple")).alias("label"))
+
+
+def field_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, phone, CASE candidate_id % 3 WHEN 0 THEN 'conflict' WHEN 1 THEN 'consistent' ELSE 'unverified' END AS status FROM candidates")
+    return c.select("candidate_id", content.field_confidence(F.col("candidate_id") % 10 != 0, F.col("status"), content.phone(F.col("phone"))["valid"]).alias("confidence"))
+
+
+def phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = run_sql(spark, sf_dir, "SELECT candidate_id, CASE candidate_id % 4 WHEN 0 THEN concat('+31 ', substr(phone, 2)) WHEN 1 THEN concat('0031(', substr(phone, 2, 2), ') ', substr(phone, 4)) WHEN 2 THEN substr(phone, 2) ELSE concat('06-', substr(phone, 3)) END AS phone FROM candidates")
+    return c.select("candidate_id", content.phone(F.col("phone")).alias("p")).select("candidate_id", "p.*")
+
+
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "pages").select("page_id", content.canonical_url(F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("ftp:"), "url")).otherwise(F.upper("url"))).alias("u"))
+    return p.select("page_id", "u.url", "u.host")
+
+
+def feature_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as features, of which some share an id, are of another kind, or lack a place."""
+    c = run_sql(spark, sf_dir, "SELECT candidate_id AS ordinal, CASE WHEN candidate_id % 31 <> 0 THEN CAST(candidate_id % 1000 AS STRING) END AS osm_id, CASE WHEN candidate_id % 13 <> 0 THEN lat END AS lat, lon, map('amenity', CASE WHEN candidate_id % 7 = 0 THEN 'bank' ELSE 'bar' END) AS tags FROM candidates")
+    ring = lambda points: F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in points])
+    return places.classified(c, F.array(F.array(ring(RING), ring(HOLE))))
+
+
+def word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = {"scheldwoord": ["idiot", "moron", "scum"], "reclame": ["gratis", "free", "1+1"]}
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(content.word_reasons(F.col("text"), words), ",").alias("reasons"))
+
+
+def shared_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening that most names of a type of part share: its brand."""
+    p = load(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.concat("p_brand", F.lit(" - "), "p_name").alias("name"))
+    return menus.shared_opening(p, "kind", "name")
+
+
 def stream_session_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.drain(counters.session_firsts(counters.event_stream(spark, sf_dir)))
 
@@ -416,5 +535,6 @@ CUSTOM = (
     html_extract, html_menu_items, html_plain_text, jsonld_items, price_pairing, line_tones, uncovered_lines, uncovered_summary, coverage_diagnosis, token_reasons, text_windows, quote_nearest, answer_diagnosis,
     mismatch_diagnosis, name_variants, throttle_events, spend_ledger, call_reservations, diversified_pick, random_pick, catalog_round_trip, stream_day_counters, stream_throttle,
     stream_session_firsts, bag_match_frames, latest_review_frames, dish_search_page, dish_search_summary, dish_group_page, restaurant_search_page, daily_seeded_rank, source_workqueue, inbox_states,
+    nested_overlay, menu_headings, menu_flags, removed_lines, effective_candidates, inbox_page, promotions, proposal_decisions, swept_offers, idle_batches, usage_names, dish_icons, price_labels, field_certainty, phone_numbers, canonical_urls, feature_classes, word_filter, shared_openings,
     restaurant_fields, resolved_links, enqueue_outcome, quote_containment, quote_class, paged_scan_filters, unknown_candidates, duplicate_drafts, offer_expiry, confirmation_days, text_problems, menu_completeness, menu_replacement, place_match, polygon_hits, triage_steps, period_totals, field_accuracy, source_certainty, host_match_cardinality, single_nation, retry_outcomes, record_hashes, offer_keys, saved_lists,
 )

@@ -55,6 +55,40 @@ ORACLES = {
     "quote_containment": f"SELECT CAST(item_id AS BIGINT) AS item_id, doc_id FROM (SELECT item_id, {_EVIDENCE} AS quote FROM benchmark) q JOIN (SELECT doc_id, {_EVIDENCE} AS body FROM documents) d ON contains(body, quote) WHERE quote <> ''",
     "quote_class": "SELECT CAST(item_id AS BIGINT) AS item_id, CASE WHEN regexp_matches(text, '^\\S+ \\S+ \\S+ \\S+ \\S+') THEN ['present', 'present', 'whitespace_only', 'changed_characters', 'invented_text', 'added_separator', 'merged_lines'][item_id % 7 + 1] ELSE 'present' END AS class FROM benchmark",
     "paged_scan_filters": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS STRING) AS added_later FROM events WHERE user_id >= 20 AND event_type <> 'error' AND CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY event_type",
+    "nested_overlay": """WITH p AS (SELECT *, dense_rank() OVER (PARTITION BY restaurant_id, meal ORDER BY category) - 1 AS c, row_number() OVER (PARTITION BY restaurant_id, meal, category ORDER BY name, dish_id, price_cents) - 1 AS i FROM dishes),
+        q AS (SELECT *, meal = 'N' AND restaurant_id % 3 <> 0 AND c = 0 AND i = restaurant_id % 2 AS hit FROM p)
+        SELECT dish_id, CAST(CASE WHEN hit AND i = 0 THEN 12345 ELSE price_cents END AS BIGINT) AS price_cents, NOT (hit AND i = 1) AS available FROM q""",
+    "menu_headings": """SELECT DISTINCT restaurant_id || '-' || meal AS menu, category, CASE WHEN restaurant_id % 2 = 0 THEN meal END AS title, category AS path, restaurant_id % 5 = 0 AND category = 'PROMO' AS uncertain FROM dishes""",
+    "menu_flags": """SELECT restaurant_id AS menu, concat_ws(',', CASE WHEN count_if(item_id % 50 <> 0 AND item_id % 61 = 0) > 0 THEN 'section_marker' END, CASE WHEN count_if(item_id % 50 = 0) > 0 THEN 'supplement_as_item' END, CASE WHEN count_if(item_id % 401 = 0) > 0 THEN 'unresolved_price' END,
+        CASE WHEN bool_or(twice) THEN 'duplicate_in_category' END) AS flags, count_if(item_id % 50 = 0 OR item_id % 61 = 0 OR item_id % 401 = 0) = 0 AS ok
+        FROM (SELECT *, count(*) OVER (PARTITION BY restaurant_id, category, CASE WHEN item_id % 50 = 0 OR item_id % 61 = 0 THEN lower(name) || CASE WHEN item_id % 50 <> 0 THEN lower(category) ELSE '' END ELSE name || item_id END) > 1 AS twice FROM dishes) x GROUP BY restaurant_id""",
+    "removed_lines": """SELECT source AS menu, path, 'Dish ' || name AS name FROM expected e WHERE CASE WHEN EXISTS (SELECT 1 FROM actual a WHERE a.source = e.source AND a.path = e.path) THEN NOT EXISTS (SELECT 1 FROM actual a WHERE a.source = e.source AND a.path = e.path AND a.name = e.name)
+        ELSE NOT EXISTS (SELECT 1 FROM actual a WHERE a.source = e.source AND a.name = e.name) END""",
+    "effective_candidates": """WITH l AS (SELECT candidate_id, id % 3 AS f, arg_max(id, CAST(epoch_us(decided_at) AS HUGEINT) * 1000000 + id) AS id FROM reviews WHERE status = 'approved' GROUP BY ALL)
+        SELECT c.candidate_id, coalesce('new ' || a.id, address) AS address, coalesce('new ' || p.id, phone) AS phone, coalesce('new ' || w.id, website) AS website FROM candidates c LEFT JOIN l a ON a.candidate_id = c.candidate_id AND a.f = 2 LEFT JOIN l p ON p.candidate_id = c.candidate_id AND p.f = 0 LEFT JOIN l w ON w.candidate_id = c.candidate_id AND w.f = 1""",
+    "inbox_page": "SELECT candidate_id FROM candidates WHERE name_key = 'BUILDING' AND name ILIKE '%customer#%' AND candidate_id % 2 = 0 AND phone IS NOT NULL",
+    "promotions": """WITH s AS (SELECT candidate_id, arg_max(status, CAST(epoch_us(decided_at) AS HUGEINT) * 1000000 + id) AS status FROM reviews GROUP BY candidate_id)
+        SELECT 'd' || c.candidate_id AS draft_id, CASE WHEN c.candidate_id % 50 = 0 THEN -c.candidate_id - 1 ELSE c.candidate_id END AS candidate_id, CASE WHEN c.candidate_id % 50 = 0 THEN 'not_found' WHEN coalesce(status, '') <> 'approved' THEN 'not_approved'
+        WHEN c.candidate_id % 10 = 0 THEN 'already_active' WHEN c.candidate_id % 3 = 0 AND c.candidate_id % 2 = 1 THEN 'bad_restart' ELSE 'promoted' END AS outcome FROM candidates c LEFT JOIN s ON s.candidate_id = c.candidate_id""",
+    "proposal_decisions": """SELECT id, CASE WHEN id % 3 = 0 THEN 'accepted' WHEN id % 4 = 0 THEN 'accepted' WHEN id % 4 = 1 AND id % 5 <> 0 THEN 'rejected' ELSE 'open' END AS status, CASE WHEN id % 3 <> 0 AND id % 4 < 2 AND id % 5 <> 0 THEN 'why' END AS note FROM reviews""",
+    "swept_offers": "SELECT CAST(event_id AS BIGINT) AS offer_id, 'online' AS before, 'expired' AS after FROM events WHERE event_type = 'purchase' AND event_id % 4 <> 0 AND CAST(ts AS TIMESTAMP) <= TIMESTAMP '2024-01-23 00:00:00'",
+    "idle_batches": """SELECT job_id, hit AS expired, NOT hit AS leased FROM (SELECT job_id, host % 4 <> 0 AND status IN ('pending', 'running') AND max(ts) OVER (PARTITION BY host) < TIMESTAMP '2024-01-30 12:00:00' AS hit FROM jobs) x""",
+    "usage_names": """WITH u AS (SELECT event_id % 9000 AS id, CASE event_type WHEN 'view' THEN 'ai_read' ELSE 'manual' END AS kind, CASE WHEN user_id % 7 <> 0 THEN 'user ' || user_id % 40 END AS name, event_id, ts FROM events WHERE event_type <> 'error'),
+        f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, kind, name NULLS FIRST, event_id) AS k FROM u), n AS (SELECT name, count(*) AS concepts FROM f WHERE k = 1 AND name IS NOT NULL GROUP BY name), r AS (SELECT *, row_number() OVER (ORDER BY concepts DESC, name) AS pos FROM n)
+        SELECT CASE WHEN pos <= 20 THEN name END AS name, CAST(sum(concepts) AS BIGINT) AS concepts, CAST(count(*) AS BIGINT) AS names FROM r GROUP BY CASE WHEN pos <= 20 THEN name END""",
+    "dish_icons": "SELECT CAST(p_partkey AS BIGINT) AS item, ['🍲', '🍕', '🍖', '🐟', '🥗', '🥪', '🧀', '🍽️'][p_partkey % 8 + 1] AS icon FROM part",
+    "price_labels": """SELECT dish_id, CASE WHEN NOT on_request THEN CASE WHEN multiple THEN 'vanaf ' ELSE '' END || '€ ' || (price_cents // 100) || CASE WHEN size % 3 = 0 THEN ' per stuk' ELSE ' · per stuk' END || CASE WHEN size % 2 = 0 THEN ' · met friet' ELSE '' END END AS label FROM dishes""",
+    "field_certainty": "SELECT candidate_id, CASE WHEN candidate_id % 10 = 0 THEN 'middel' WHEN candidate_id % 3 = 0 THEN 'laag' WHEN candidate_id % 3 = 1 AND phone IS NOT NULL THEN 'hoog' ELSE 'middel' END AS confidence FROM candidates",
+    "phone_numbers": """WITH n AS (SELECT candidate_id, substr(phone, 2) AS nine, candidate_id % 4 AS w FROM candidates), m AS (SELECT candidate_id, nine, w, CASE w WHEN 3 THEN '6' || substr(nine, 2) ELSE nine END AS own FROM n)
+        SELECT candidate_id, CASE WHEN w = 2 THEN nine ELSE '+31' || own END AS normalized, CASE WHEN w = 2 THEN nine WHEN own LIKE '6%' THEN '06 ' || substr(own, 2) ELSE '0' || own END AS display, nine IS NOT NULL AND w <> 2 AS valid FROM m""",
+    "canonical_urls": """WITH u AS (SELECT page_id, upper(url) AS u FROM pages WHERE page_id % 9 <> 0), x AS (SELECT page_id, regexp_extract(u, '^(HTTPS?)://', 1) AS s, lower(regexp_extract(u, '^HTTPS?://([^/?#:]+)', 1)) AS h, regexp_extract(u, '^HTTPS?://[^/?#]+([^?#]*)', 1) AS p FROM u)
+        SELECT p.page_id, lower(s) || '://' || h || CASE WHEN x.p = '' THEN '/' ELSE x.p END AS url, h AS host FROM pages p LEFT JOIN x ON x.page_id = p.page_id""",
+    "feature_classes": f"""WITH f AS (SELECT candidate_id AS ordinal, CASE WHEN candidate_id % 31 <> 0 THEN CAST(candidate_id % 1000 AS STRING) END AS osm_id, candidate_id % 7 <> 0 AND candidate_id % 13 <> 0 AS sound, lat, lon FROM candidates), m AS (SELECT *, min(CASE WHEN sound THEN ordinal END) OVER (PARTITION BY osm_id) AS first_ FROM f),
+        r AS (SELECT *, CASE WHEN osm_id IS NULL THEN 'missing-osm-id' WHEN ordinal > first_ THEN 'duplicate-osm-node-id' WHEN ordinal % 7 = 0 THEN 'amenity-not-allowed' WHEN ordinal % 13 = 0 THEN 'non-numeric-coordinates' END AS error, {inside('lon', 'lat')} AS within FROM m)
+        SELECT ordinal, osm_id, CASE WHEN error IS NOT NULL THEN 'errored' WHEN within THEN 'stored' ELSE 'skipped' END AS outcome, CASE WHEN error IS NOT NULL THEN error WHEN NOT within THEN 'outside-boundary' END AS reason FROM r""",
+    "word_filter": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(strip_accents(lower(text)), '(^|[^\\p{{L}}\\p{{N}}]){w.replace('+', '[+]')}([^\\p{{L}}\\p{{N}}]|$)') THEN '{g}:{w}' END" for g, w in (("scheldwoord", "idiot"), ("scheldwoord", "moron"), ("scheldwoord", "scum"), ("reclame", "gratis"), ("reclame", "free"), ("reclame", "1+1"))) + ", CASE WHEN contains(text, '%') THEN 'reclame:%' END) AS reasons FROM documents",
+    "shared_openings": """WITH n AS (SELECT p_type AS kind, p_brand || ' - ' AS opening, count(DISTINCT p_name) AS n FROM part GROUP BY ALL HAVING count(DISTINCT p_name) > 1)
+        SELECT kind, opening, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, length(opening) DESC, opening) AS k FROM n) r WHERE k = 1""",
     "polygon_hits": f"SELECT candidate_id FROM candidates WHERE {inside('lon', 'lat')} OR (lon >= 4.7 AND lat >= 51.5 AND (lon - 4.7) + (lat - 51.5) < 0.003)",
     "period_totals": """SELECT user_id, CAST(count_if(event_type = 'view') AS BIGINT) AS viewed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS saved, CAST(count_if(event_type = 'click') AS BIGINT) AS shared,
         CAST(count_if(event_type IN ('click', 'error') AND value > 50) AS BIGINT) AS favourite FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-24' GROUP BY user_id""",
