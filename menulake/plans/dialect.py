@@ -139,12 +139,11 @@ def views(d: Dialect) -> dict[str, str]:
             CASE WHEN s_suppkey % 5 <> 0 THEN concat('https://www.', lower(replace(s_name, '#', '-')), '.example') END AS website,
             CAST(51.5 + (s_suppkey % 97) * 0.0004 AS DOUBLE) AS lat, CAST(4.7 + (s_suppkey % 89) * 0.0004 AS DOUBLE) AS lon
             FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-        "dishes": f"""SELECT CAST(l_suppkey AS BIGINT) AS restaurant_id, CAST(l_partkey AS BIGINT) AS item_id,
-            concat(CAST(l_suppkey AS STRING), '-', min(l_returnflag), '-', CAST(l_partkey AS STRING)) AS dish_id,
-            min(l_returnflag) AS meal, min(p_name) AS name, min(p_type) AS category, min(p_brand) AS tag, CAST(min(p_size) AS BIGINT) AS size,
-            {half_up('min(p_retailprice) * 100')} AS price_cents, min(l_partkey) % 13 = 0 AS on_request, min(l_partkey) % 17 = 0 AS multiple,
-            CAST(min(l_partkey) % 14 + 1 AS BIGINT) AS allergen_a, CAST(min(p_size) % 14 + 1 AS BIGINT) AS allergen_b
-            FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 10 <> 0 GROUP BY l_suppkey, l_partkey""",
+        # lines are reduced to dishes on their keys and one number, before the parts' texts join
+        "dishes": f"""SELECT CAST(l_suppkey AS BIGINT) AS restaurant_id, CAST(l_partkey AS BIGINT) AS item_id, concat(CAST(l_suppkey AS STRING), '-', chr(flag), '-', CAST(l_partkey AS STRING)) AS dish_id,
+            chr(flag) AS meal, p_name AS name, p_type AS category, p_brand AS tag, CAST(p_size AS BIGINT) AS size, {half_up('p_retailprice * 100')} AS price_cents, l_partkey % 13 = 0 AS on_request,
+            l_partkey % 17 = 0 AS multiple, CAST(l_partkey % 14 + 1 AS BIGINT) AS allergen_a, CAST(p_size % 14 + 1 AS BIGINT) AS allergen_b
+            FROM (SELECT l_suppkey, l_partkey, min(ascii(l_returnflag)) AS flag FROM lineitem GROUP BY l_suppkey, l_partkey) l JOIN part ON l_partkey = p_partkey WHERE p_size % 10 <> 0""",
         "counters": """SELECT user_id AS dish_key, CAST(ts AS DATE) AS day, CAST(count_if(event_type = 'click') AS BIGINT) AS shared,
             CAST(count_if(event_type = 'view') AS BIGINT) AS saved, CAST(count_if(event_type = 'purchase') AS BIGINT) AS reservations
             FROM events GROUP BY user_id, CAST(ts AS DATE)""",

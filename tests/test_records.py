@@ -137,7 +137,7 @@ def test_proposals_and_inserts(spark):
 
 
 def test_usage_export(spark):
-    rows = [("1", "ai_read", "Claudius", "p", "m", 5, ago(days=1)), ("1", "ai_read", "Claudius", "p", "m", 5, NOW), ("2", "ai_read", None, "p", "m", None, None), ("3", "manual", "Bo", None, None, None, ago(days=2)), (None, "manual", "Bo", None, None, None, NOW), ("4", None, "x", None, None, 9, NOW), ("5", "ai_read", "Zed", None, None, 7, NOW)]
+    rows = [("1", "ai_read", "Aad", "p", "m", 5, ago(days=1)), ("1", "ai_read", "Aad", "p", "m", 5, NOW), ("2", "ai_read", None, "p", "m", None, None), ("3", "manual", "Bo", None, None, None, ago(days=2)), (None, "manual", "Bo", None, None, None, NOW), ("4", None, "x", None, None, 9, NOW), ("5", "ai_read", "Zed", None, None, 7, NOW)]
     df = spark.createDataFrame(rows, "id string, kind string, name string, provider string, model string, cents long, at timestamp")
     names, models, totals = records.usage_export(df, 1)
     assert sorted(map(tuple, names.collect()), key=str) == sorted([("Bo", 2, 1), (None, 2, 2)], key=str)
