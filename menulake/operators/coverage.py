@@ -143,6 +143,36 @@ def priced_lines(sources: DataFrame, source_id: str = "source_id", text: str = "
     return sources.select(F.col(source_id).cast("long").alias("source_id"), F.col(text).alias("text")).mapInPandas(run, LINE)
 
 
+def holders(texts: list[str], parts: list[str]) -> Iterator[tuple[int, int]]:
+    """(text, part) of all texts that hold a part, by numbers; empty ones hold nothing and are in nothing.
+    One automaton finds the parts in a pass over each text."""
+    import ahocorasick
+
+    where: dict[str, list[int]] = {}
+    for i, p in enumerate(parts):
+        where.setdefault(p, []).append(i)
+    where.pop("", None)
+    if where:
+        find = ahocorasick.Automaton()
+        for p in where:
+            find.add_word(p, p)
+        find.make_automaton()
+        for n, text in enumerate(texts):
+            for p in {p for _, p in find.iter(text)}:
+                for i in where[p]:
+                    yield n, i
+
+
+def overlaps(lines: list[str], passages: list[str]) -> list[list[int]]:
+    """For each line the passages that it holds, or that hold it, in their order."""
+    out: list[set[int]] = [set() for _ in lines]
+    for n, i in holders(lines, passages):
+        out[n].add(i)
+    for i, n in holders(passages, lines):
+        out[n].add(i)
+    return [sorted(x) for x in out]
+
+
 def tones(lines: DataFrame, evidence: DataFrame, accounted: DataFrame) -> DataFrame:
     """lines with tone and row_id: covered (a dish's quote overlaps the line at the same price),
     price_mismatch (at another price), not_dish (a rejected passage, or one a human accounted for), or
@@ -170,10 +200,11 @@ def tones(lines: DataFrame, evidence: DataFrame, accounted: DataFrame) -> DataFr
             store, root = fs.FileSystem.from_uri(path)
             anywhere.append(passages_of(ds.dataset(root, filesystem=store, format="parquet").to_table().to_pylist()))
         passages = sorted(passages_of(b.to_dict("records")) + anywhere[0], key=lambda p: (p[0] != "dish", p[1] or "", p[2]))
+        own = [evidence_key(t) for t in a["text"]]
+        met = overlaps(own, [p[2] for p in passages])
         out = []
-        for line, text, cents in zip(a["line"], a["text"], a["cents"], strict=True):
-            own = evidence_key(text)
-            over = [p for p in passages if own and (p[2] in own or own in p[2])]
+        for n, (line, cents) in enumerate(zip(a["line"], a["cents"], strict=True)):
+            over = [passages[i] for i in met[n]]
             dish = next((p for p in over if p[0] == "dish"), None)
             if dish is not None:
                 same = not dish[3] or bool(set(dish[3]) & set(cents))

@@ -167,6 +167,14 @@ def test_tones_and_uncovered(spark):
     assert {r.source_id: (r.lines, r.uncovered, r.paired, r.loose) for r in coverage.diagnosis(toned).collect()} == {1: (9, 4, 2, 2), 3: (2, 1, 0, 0)}
 
 
+def test_overlaps_equal_all_pairs():
+    rng = random.Random(15)
+    texts = lambda n: ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 6))) for _ in range(n)]
+    for _ in range(30):
+        lines, passages = texts(20), texts(20)
+        assert coverage.overlaps(lines, passages) == [[i for i, p in enumerate(passages) if x and p and (x in p or p in x)] for x in lines]
+
+
 def test_layout_lines(spark):
     items = [(1, 10.0, 700.4, 2, "6,50"), (1, 5.0, 699.6, 1, "Soep"), (1, 5.0, 650.0, 3, "Brood"), (1, 1.0, 1.0, 4, None)]
     got = coverage.layout_lines(spark.createDataFrame(items, "page int, x double, y double, seq int, str string")).orderBy(F.desc("y")).collect()
