@@ -32,7 +32,7 @@ QUARTER = r"(?:[01]?\d|2[0-4])[.:](?:00|15|30|45)"
 TIME = re.compile(rf"(?:\b(?:{HOURS})\s+(?:ca\.?\s*)?)?\b{QUARTER}\s*(?:-|–|tot|t/m|to|until)\s*{QUARTER}\b|\b(?:{HOURS})\s+(?:ca\.?\s*)?{CLOCK}(?![\d.,]*\d)|\b{CLOCK}\s*(?:uur|u|h|hrs?|am|pm)\b", re.I)
 DATE = re.compile(rf"\b(?:[0-2]?\d|3[01])\s*(?:{MONTHS})\b|\b(?:{MONTHS})\s+(?:[0-2]?\d|3[01])\b|\bop\s+(?:0?[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])(?![\d.,]*\d)", re.I)
 CELL = re.compile(r"\t|  |\s*[|·•]|\s*$")
-LETTER = re.compile(r"[^\W\d_]")
+LETTER, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 
 
 @dataclass(frozen=True)
@@ -94,6 +94,8 @@ REFUSALS: tuple[tuple[str, str, Callable[[str, Token], bool]], ...] = (
 def _found(line: str) -> list[Token]:
     """All number tokens, none overlapping another, in order."""
     found: list[Token] = []
+    if not DIGIT.search(line):
+        return found
     for kind, pattern in KINDS:
         for m in pattern.finditer(line):
             if all(m.end() <= t.start or t.end <= m.start() for t in found):

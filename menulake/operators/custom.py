@@ -14,6 +14,7 @@ from menulake.operators.reduce import latest_by
 from menulake.plans.dialect import load, run_sql
 from menulake.plans.matching import HOLE, RING
 from menulake.sources import catalog, checked, places
+from menulake.storage import saved
 from menulake.streaming import counters
 
 
@@ -87,10 +88,11 @@ def answer_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mismatch_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes of what differs between expected and actual rows, names as words."""
+    """The classes of what differs between expected and actual rows, the digits of names as letters."""
     rows = run_sql(spark, sf_dir, "SELECT * FROM expected"), run_sql(spark, sf_dir, "SELECT * FROM actual")
-    e, a = (r.select("source", "line", F.concat(F.lit("dish number "), F.col("name")).alias("name"), F.split("path", "").alias("path")) for r in rows)
-    found = bag_match(spark, sf_dir)
+    code = F.translate(F.col("name").cast("string"), "0123456789", "abcdefghij")
+    e, a = (r.select("source", "line", F.concat(code, F.lit(" "), F.reverse(code)).alias("name"), F.split("path", "").alias("path")) for r in rows)
+    found = saved(bag_match(spark, sf_dir), "matched")  # read four times below
     left = e.withColumnsRenamed({"line": "l_line", "name": "e_name", "path": "e_path"})
     right = a.withColumnsRenamed({"line": "r_line", "name": "a_name", "path": "a_path"})
     of = lambda c: found.where(F.col("class") == c)

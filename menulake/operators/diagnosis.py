@@ -87,6 +87,22 @@ class QuoteBlock:
         return 2 * np.minimum(self.counts[rows], counts[:, None]).sum(axis=0) / (self.sizes + sum(bag.values()))
 
 
+def best_different(scores: np.ndarray, parts: list[tuple], top: int) -> list[int]:
+    """The `top` parts (doc, offset, text) of different texts with the largest scores above 0, ties by doc
+    and offset. As many of the best are looked at as that takes, ties whole."""
+    positive, look = int((scores > 0).sum()), 4 * top
+    while True:
+        least = np.partition(scores, len(scores) - look)[len(scores) - look] if look < positive else 0.0
+        chosen: dict[str, int] = {}
+        for i in sorted(np.flatnonzero((scores >= least) & (scores > 0)).tolist(), key=lambda i: (-scores[i], parts[i][0], parts[i][1])):
+            chosen.setdefault(parts[i][2], i)
+            if len(chosen) == top:
+                break
+        if len(chosen) == top or look >= positive:
+            return list(chosen.values())
+        look *= 4
+
+
 def quote_nearest(docs: DataFrame, quotes: DataFrame, top: int = 3, block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id, offset, score): the `top` windows of different texts most like each quote, by
     letter pairs of their evidence forms; ties go to the smaller doc_id and offset.
@@ -108,13 +124,7 @@ def quote_nearest(docs: DataFrame, quotes: DataFrame, top: int = 3, block: int =
                 scores = np.array([of.scores(text) for *_, text in parts])
                 out = []
                 for n, item in enumerate(of.ids):
-                    seen: set[str] = set()
-                    for i in sorted(np.flatnonzero(scores[:, n] > 0).tolist(), key=lambda i: (-scores[i, n], parts[i][0], parts[i][1])):  # noqa: B023
-                        if parts[i][2] not in seen:
-                            seen.add(parts[i][2])
-                            out.append((item, parts[i][0], parts[i][1], float(scores[i, n]), parts[i][2]))
-                            if len(seen) == top:
-                                break
+                    out += [(item, *parts[i][:2], float(scores[i, n]), parts[i][2]) for i in best_different(scores[:, n], parts, top)]
                 yield pd.DataFrame(out, columns=["item_id", "doc_id", "offset", "score", "part"])
 
     near = docs.select("doc_id", "text").mapInPandas(run, "item_id long, doc_id long, offset long, score double, part string")
