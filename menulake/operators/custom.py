@@ -269,7 +269,7 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, a = (run_sql(spark, sf_dir, f"SELECT * FROM {v}") for v in ("expected", "actual"))
-    return staged_bag_match(e, a, ["source", "line"], [("matched", ["source", "name", "price", "path"]), ("category", ["source", "name", "price"]), ("price", ["source", "name", "path"])])
+    return staged_bag_match(e, a, ["source", "line"], [("matched", ["source", "name", "price", "path"]), ("category", ["source", "name", "price"]), ("price", ["source", "name", "path"])], repeats=True)
 
 
 def bag_match_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def test_staged_match_uses_each_row_once(spark):
     assert sum(x["class"] == "exact" for x in got) == sum(min(l[k], r.get(k, 0)) for k in l)
 
 
-@pytest.mark.parametrize("key", ["bag_match_3pass", "reference_precision_recall"])
+@pytest.mark.parametrize("key", ["bag_match_3pass", "bag_match_frames", "reference_precision_recall"])
 def test_bag_match_with_repeated_lines_equals_sql(spark, key, tmp_path):
     """Rows of one source that share a line number go together once one of them is paired."""
     rng = random.Random(7)
