@@ -104,16 +104,20 @@ def unknown(candidates: DataFrame, known: DataFrame) -> DataFrame:
 def first_duplicate_draft(candidates: DataFrame, drafts: DataFrame, within: float = SAME_METRES) -> DataFrame:
     """(candidate_id, draft_id): the first draft (by ordinal) with a candidate's name, within 100 metres.
 
-    Without a name or a place nothing is compared. Places meet by their name and grid cells that are
-    larger than the distance, so a frequent name isn't paired with all its drafts."""
+    Without a name or a place nothing is compared. Candidates of one name and place are compared once,
+    and of the drafts there only the first is looked at. Places meet by their name and grid cells that
+    are larger than the distance, so a frequent name isn't paired with all its drafts. No side is small
+    whatever its file's size says, so none is sent to the driver."""
     cell = within / 111_000 * 2  # degrees; east-west ones are shorter, by less than 2 up to 60 degrees
     at = lambda c: F.floor(F.col(c) / cell)
     near = F.sequence(F.lit(-1), F.lit(1))
     c = candidates.select("candidate_id", name_key(F.col("name")).alias("key"), "lat", "lon").where("key <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
-    c = c.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).withColumns({"cy": at("lat") + F.col("dy"), "cx": at("lon") + F.col("dx")})
-    d = drafts.select("draft_id", "ordinal", name_key(F.col("name")).alias("key"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).withColumns({"cy": at("lat2"), "cx": at("lon2")})
-    pairs = c.join(d, ["key", "cy", "cx"]).where(metres(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= within)
-    return pairs.groupBy("candidate_id").agg(F.min_by("draft_id", F.struct("ordinal", "draft_id")).alias("draft_id"))
+    d = drafts.select(F.struct("ordinal", "draft_id").alias("first"), name_key(F.col("name")).alias("key"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).where("key <> '' AND lat2 IS NOT NULL AND lon2 IS NOT NULL")
+    firsts = d.groupBy("key", "lat2", "lon2").agg(F.min("first").alias("first")).withColumns({"cy": at("lat2"), "cx": at("lon2")})
+    places = c.select("key", "lat", "lon").distinct().withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).withColumns({"cy": at("lat") + F.col("dy"), "cx": at("lon") + F.col("dx")})
+    pairs = places.join(firsts.hint("merge"), ["key", "cy", "cx"]).where(metres(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= within)
+    found = pairs.groupBy("key", "lat", "lon").agg(F.min("first").alias("first"))
+    return c.join(found.hint("merge"), ["key", "lat", "lon"]).groupBy("candidate_id").agg(F.min("first").alias("first")).select("candidate_id", F.col("first.draft_id").alias("draft_id"))
 
 
 def unsure_names(pairs: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def test_approvals(spark):
     assert {r.id: r.status for r in done.collect()} == {1: "approved", 2: "approved", 3: "rejected", 4: "approved"} and sorted(tuple(r) for r in after.collect()) == [(10, "owner", 7), (12, "owner", 8)]
 
 
+def test_drafts_of_one_place_are_compared_once_and_not_sent_to_the_driver(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS candidate_id", "'De Zon' AS name", "51.5 + id % 3 * 0.0005 AS lat", "4.7D AS lon").write.parquet(f"{tmp_path}/c")
+    crowd = spark.read.parquet(f"{tmp_path}/c")  # a file that looks small
+    found = records.first_duplicate_draft(crowd, crowd.selectExpr("candidate_id AS draft_id", "-candidate_id AS ordinal", "name", "lat", "lon"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.candidate_id % 3, r.draft_id) for r in found.collect()} == {(0, 2998), (1, 2999), (2, 2999)} and found.count() == 3000
+
+
 def test_known_candidates_and_drafts(spark):
     known = records.baseline(spark.createDataFrame([("Restaurant De Zon", "https://www.zon.nl/menu"), ("Café Maan & Ster", None), (None, "x")], "name string, website string"))
     assert {(r.kind, r.key) for r in known.collect()} == {("name", "restaurant de zon"), ("comparable", "de zon"), ("core", "zon"), ("host", "zon.nl"), ("name", "cafe maan en ster"), ("comparable", "maan en ster"), ("core", "maan ster")}
