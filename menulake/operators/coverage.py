@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 import pyarrow.dataset as ds
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from menulake.functions.keys import evidence as evidence_key
 from menulake.functions.prices import LETTER, Token, prices
-from menulake.storage import fresh_path
+from menulake.storage import TEXT_BYTES, fresh_path, saved
 
 #: A longer line is a flattened one, of several printed rows; characters of a name and of a section's
 #: name; lines above a price that may name it; uncovered lines that are listed.
 LONG, NAME, SECTION, LOOK_BACK, LISTED = 400, 160, 80, 3, 200
+#: Lines that a task gives at once.
+AT_ONCE = 10_000
 #: What stays of a line without its prices that isn't part of a name.
 EDGES = " \t.,|·•*–—-"
 
@@ -131,16 +134,23 @@ def priced_records(text: str) -> list[tuple]:
     return [r for r in out if not r[10] or len(rows[r[4], r[1]]) > 1]
 
 
+def frames(rows: Iterator[tuple], at_once: int = AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The rows (COLUMNS) as tables of a bounded size."""
+    for part in batched(rows, at_once):
+        yield pd.DataFrame(part, columns=COLUMNS).astype({"name_line": "Int64"})
+
+
 def priced_lines(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
-    """The priced lines of each source (LINE). Null and empty texts have none. A source is read by one
-    task; it is a single captured page or document."""
+    """The priced lines of each source (LINE), as a saved table. Null and empty texts have none. A source
+    is read by one task; it is a single captured page or document. A task holds a few sources' texts and
+    AT_ONCE of their lines, and not the many thousands that a usual batch of sources has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(sid, *r) for sid, t in zip(pdf["source_id"], pdf["text"], strict=True) for r in priced_records(t or "")]
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"name_line": "Int64"})
+            yield from frames((sid, *r) for sid, t in zip(pdf["source_id"], pdf["text"], strict=True) for r in priced_records(t or ""))
 
-    return sources.select(F.col(source_id).cast("long").alias("source_id"), F.col(text).alias("text")).mapInPandas(run, LINE)
+    rows = sources.select(F.col(source_id).cast("long").alias("source_id"), F.col(text).alias("text")).mapInPandas(run, LINE)
+    return saved(rows, "lines", TEXT_BYTES)
 
 
 def holders(texts: list[str], parts: list[str]) -> Iterator[tuple[int, int]]:

@@ -43,9 +43,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def saved(df: DataFrame, label: str = "table") -> DataFrame:
-    """df written as Parquet and read again: it survives lost executors, and has no lineage but files."""
+#: Bytes that travel to Python at once while a table is saved whose rows are whole texts; they are held
+#: several times over, on both sides.
+TEXT_BYTES = 4 << 20
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def saved(df: DataFrame, label: str = "table", batch_bytes: int | None = None) -> DataFrame:
+    """df written as Parquet and read again: it survives lost executors, and has no lineage but files.
+
+    batch_bytes: what Python functions of df get at once, at most; the session's own setting is as before
+    afterwards."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    own = spark.conf.get(_BYTES_KEY, None)
+    try:
+        if batch_bytes:
+            spark.conf.set(_BYTES_KEY, str(batch_bytes))
+        df.write.parquet(path)
+    finally:
+        if batch_bytes:
+            spark.conf.unset(_BYTES_KEY) if own is None else spark.conf.set(_BYTES_KEY, own)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import json
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from menulake.operators import coverage, diagnosis, extract, pick, search, state
 from menulake.operators.order import global_rank
 from menulake.sinks import report
 from menulake.sources import catalog, checked
+from menulake.storage import TEXT_BYTES, saved
 from menulake.streaming import counters
 
 
@@ -150,6 +152,23 @@ def test_priced_lines_of_a_card():
     assert len(rows) == 52 and rows[3][2] == 4 and rows[3][5] == "Gerecht dd" and rows[3][6] == [450]
 
 
+def test_priced_lines_are_given_in_bounded_tables(spark):
+    rows = ((1, n, 1, 0, None, "Soep", "ui", [450], "ui 4,50", False, False, False) for n in range(25))
+    assert [len(x) for x in coverage.frames(rows, 10)] == [10, 10, 5]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)]})
+
+    assert max(r.n for r in saved(texts.mapInPandas(sizes, "n long"), "sizes", TEXT_BYTES).collect()) <= 6
+    assert spark.conf.get(key) == before
+    lines = coverage.priced_lines(spark.createDataFrame([(i, "Soep\nUi  4,50\n") for i in range(7)], "source_id long, text string"))
+    assert lines.count() == 7 and "MapInPandas" not in lines._jdf.queryExecution().toString()
+
+
 def test_tones_and_uncovered(spark):
     sources = spark.createDataFrame([(1, CARD), (2, None), (3, "Soep van de dag  6,50\nBrood  3,00")], "source_id long, text string")
     lines = coverage.priced_lines(sources)
