@@ -242,6 +242,22 @@ class Union:
         return ra != rb
 
 
+def stars(pairs: np.ndarray, side: dict[int, int]) -> np.ndarray:
+    """Pairs (a, b) that connect what the given ones do: on each side the smallest of a connected set with
+    each of its others, and the smallest of both sides. Tasks that see the same members name the same
+    pairs, however they came to be connected, so distinct pairs grow with the members and not with the
+    tasks or blocks that see them."""
+    sets, least = Union(), {}
+    for a, b in pairs.tolist():
+        sets.join(a, b)
+    nodes = sorted(sets.parent)
+    for x in nodes:
+        least.setdefault((sets.root(x), side[x]), x)
+        least.setdefault(sets.root(x), x)
+    out = {(least[sets.root(x), side[x]], x) for x in nodes} | {(least[sets.root(x)], least[sets.root(x), side[x]]) for x in nodes}
+    return np.array(sorted((a, b) for a, b in out if a != b), np.int64).reshape(-1, 2)
+
+
 def block_pairs(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
     """Pairs (rows a, b) of rows with equal keys (sorted by key) that may be similar enough; as many as
     it takes to connect what all such pairs would. Row i is compared with row i + lag, for each lag
@@ -303,9 +319,11 @@ def wide_links(ws: Workspace, classes: DataFrame, rows: int, similarity: float,
         pdf = pdf.sort_values(["block", "value", "no"])
         key = pdf.groupby(["block", "value"], sort=False).ngroup().to_numpy()
         fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
-        return pd.DataFrame(block_pairs(key, pdf["no"].to_numpy(), fps, pdf["n"].to_numpy(), similarity), columns=["a", "b"])
+        pairs = block_pairs(key, pdf["no"].to_numpy(), fps, pdf["n"].to_numpy(), similarity)
+        return pd.DataFrame(stars(pairs, dict(zip(pdf["no"].tolist(), pdf["own"].tolist(), strict=True))), columns=["a", "b"])
 
-    dealt = shared.join(classes.select("no", "fp", "n"), "no").select("no", "fp", "n", "block", "value", F.explode(units).alias("unit"))
+    side = F.when(F.col("size") <= hot, F.lit(0)).otherwise(own).alias("own")
+    dealt = shared.join(classes.select("no", "fp", "n"), "no").select("no", "fp", "n", "block", "value", side, F.explode(units).alias("unit"))
     return dealt.groupBy("unit").applyInPandas(compare, "a long, b long")
 
 
@@ -338,6 +356,14 @@ def exact_pairs(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], simila
     return out
 
 
+def least_neighbours(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what the given ones do: each node with its smallest smaller neighbour, and
+    the others of those with that one, which nodes of a set mostly have in common."""
+    known = ws.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    first = known.groupBy("b").agg(F.min("a").alias("m"))
+    return known.join(first, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
 def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, edges: DataFrame, words_per_shingle: int, similarity: float, seed: int) -> DataFrame:
     """Edges (a, b) between classes whose sets of shingles have this Jaccard similarity or more, as many
     as connect what all such pairs of candidates would.
@@ -347,7 +373,7 @@ def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, edges: DataFra
     come to a task many at a time; a large one is dealt into chunks of bounded size, and each pair of
     chunks is a unit of its own. So rows grow with the classes, and not with the pairs.
     """
-    comps = ws.save(components(ws, edges).toDF("no", "component"), "candidates")
+    comps = ws.save(components(ws, least_neighbours(ws, edges)).toDF("no", "component"), "candidates")
     members = classes.select("no", "key", "fp").join(comps, "no")
 
     def sets(batches):
@@ -388,7 +414,8 @@ def confirmed(ws: Workspace, docs: DataFrame, classes: DataFrame, edges: DataFra
         if len(alone) == 3 and alone[1] != alone[2] and len(np.unique(own)) < 2:
             cuts = cuts[:1]  # a chunk without rows, and so no pair across
         out = [p for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for p in exact_pairs(ids[s:e], fps[s:e], sets[s:e], similarity, own[s:e])]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        found = stars(np.array(out, np.int64).reshape(-1, 2), dict(zip(ids.tolist(), own.tolist(), strict=True)))
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     return dealt.select("unit", "no", "component", "fp", "hashes", "own").groupBy("unit").applyInArrow(verify, "a long, b long")
 

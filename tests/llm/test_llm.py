@@ -807,3 +807,22 @@ def test_settings_stay_and_folders_go(spark):
     ws.delete(ws.root)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_stars_connect_the_same_with_pairs_that_many_tasks_share():
+    from menulake.llm.simhash import Union, stars
+
+    rng = np.random.default_rng(5)
+    group, seen, all_pairs = np.arange(400), set(), 0
+    for _ in range(60):  # a task sees some of the group, connected in an order of its own
+        some = rng.permutation(rng.choice(group, 200, replace=False))
+        pairs = np.stack([some[:-1], some[1:]], axis=1)
+        got = stars(pairs, {int(x): int(x) % 2 for x in some})
+        sets = Union()
+        for a, b in got.tolist():
+            sets.join(a, b)
+        assert len({sets.root(int(x)) for x in some}) == 1 and len(got) == len(some) - 1
+        seen |= set(map(tuple, got.tolist()))
+        all_pairs += len(pairs)
+    assert all_pairs == 60 * 199 and len(seen) < 10 * len(group)
+    assert stars(np.empty((0, 2), np.int64), {}).shape == (0, 2)
