@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 # Typographic characters that a quote may print in place of the plain one.
 TYPOGRAPHIC = {"‘": "'", "’": "'", "‚": "'", "′": "'", "“": '"', "”": '"', "„": '"', "″": '"', "–": "-", "—": "-", " ": " "}
+PLAIN = str.maketrans(TYPOGRAPHIC)
 #: Prefix of an offer's key, and its longest length and that of the restaurant's id in it.
 OFFER, OFFER_LENGTH, OWNER_LENGTH = "daghap", 96, 64
 
@@ -32,7 +33,8 @@ def composed(text: str | None) -> str:
 def evidence(text: str | None) -> str:
     """A quote or a source as they are compared: typographic characters as plain ones, white space as
     one space, lower case."""
-    return " ".join((text or "").translate(str.maketrans(TYPOGRAPHIC)).split()).lower()
+    text = text or ""
+    return " ".join((text if text.isascii() else text.translate(PLAIN)).split()).lower()
 
 
 def _column(fn):

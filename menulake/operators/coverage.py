@@ -6,14 +6,15 @@ import re
 from collections.abc import Iterator
 from itertools import batched
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from menulake.functions.keys import evidence as evidence_key
-from menulake.functions.prices import LETTER, Token, prices
+from menulake.functions.prices import DIGIT, LETTER, Token, prices
 from menulake.storage import TEXT_BYTES, fresh_path, saved
 
 #: A longer line is a flattened one, of several printed rows; characters of a name and of a section's
@@ -25,18 +26,21 @@ AT_ONCE = 10_000
 EDGES = " \t.,|·•*–—-"
 
 LINE = "source_id long, line long, page long, segment long, name_line long, section string, name string, cents array<long>, text string, paired boolean, loose boolean, whole boolean"
-COLUMNS = [x.split()[0] for x in LINE.split(", ")]
+ENDS = re.compile(r"(\r\n|\r|\n|\f)")
+ARROW = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[kind]) for name, kind in (x.split() for x in LINE.split(", "))])
+LETTERS = re.compile(rf"{LETTER.pattern}[\W\d_]*{LETTER.pattern}")
 
 
-def letters(text: str) -> int:
-    return len(LETTER.findall(text))
+def named(text: str) -> bool:
+    """Whether a text has two letters or more."""
+    return LETTERS.search(text) is not None
 
 
 def printed_lines(text: str) -> Iterator[tuple[int, int, str]]:
     """(number, page, line) of the lines that print anything, numbered with the empty ones from 1. A
     form feed ends a line and a page."""
     page, number = 1, 0
-    for part in re.split(r"(\r\n|\r|\n|\f)", text):
+    for part in ENDS.split(text):
         if part == "\f":
             page += 1
         elif part not in ("\r\n", "\r", "\n"):
@@ -48,7 +52,7 @@ def printed_lines(text: str) -> Iterator[tuple[int, int, str]]:
 def is_heading(line: str) -> bool:
     """A short line that reads as the name of a section: no price, no sentence, no address."""
     text = line.strip()
-    short = 2 <= len(text) <= SECTION and letters(text) >= 2 and len(text.split()) <= 8
+    short = 2 <= len(text) <= SECTION and named(text) and len(text.split()) <= 8
     return short and not re.search(r"[.,;:!?]$|\d\d|[@/\\]", text) and not text[0].islower() and not prices(line)
 
 
@@ -61,7 +65,7 @@ def without(line: str, found: list[Token]) -> str:
 
 def only_prices(line: str, found: list[Token]) -> bool:
     rest = without(line, found)
-    return bool(found) and letters(rest) < 2 and not re.search(r"\d", rest)
+    return bool(found) and not named(rest) and not DIGIT.search(rest)
 
 
 def cells(text: str) -> list[str]:
@@ -73,10 +77,10 @@ def name_of(line: str, found: list[Token]) -> str | None:
     """The name a line prints beside its prices; of a whole amount, the cell just before it."""
     if len(found) == 1 and found[0].kind == "whole":
         before = cells(line[: found[0].start])
-        if before and letters(before[-1]) >= 2:
+        if before and named(before[-1]):
             return before[-1][:NAME]
     name = " ".join(without(line, found).strip(EDGES).split())
-    return name[:NAME] if letters(name) >= 2 else None
+    return name[:NAME] if named(name) else None
 
 
 def fragments(line: str, section: str | None) -> Iterator[tuple[int, str, Token, str | None]]:
@@ -86,7 +90,7 @@ def fragments(line: str, section: str | None) -> Iterator[tuple[int, str, Token,
     for n, t in enumerate(prices(line), 1):
         before, end = cells(line[end : t.start]), t.end
         section = next((c for c in reversed(before[:-1]) if is_heading(c)), section)
-        if before and letters(before[-1]) >= 2:
+        if before and named(before[-1]):
             yield n, before[-1][:NAME], t, section
 
 
@@ -109,16 +113,16 @@ def priced_records(text: str) -> list[tuple]:
                 out.append((number, page, segment, None, section, name, [t.cents], f"{name} {raw[t.start : t.end]}", False, False, t.kind == "whole"))
             above = [("priced", number, "")]
             continue
-        follows = lines[i + 1] if i + 1 < len(lines) else None
-        names_next = follows is not None and len(follows[3]) == 1 and only_prices(follows[2], follows[3])
         if not found:
+            follows = lines[i + 1] if i + 1 < len(lines) else None
+            names_next = follows is not None and len(follows[3]) == 1 and only_prices(follows[2], follows[3])
             if is_heading(raw) and not names_next:
                 section, above = plain[:SECTION], [("heading", number, plain)]
             else:
                 above.append(("text", number, plain))
             continue
         alone = only_prices(raw, found)
-        partner = next((x for x in reversed(above[-LOOK_BACK:]) if x[0] != "text" or letters(x[2]) >= 2), None) if alone and len(found) == 1 else None
+        partner = next((x for x in reversed(above[-LOOK_BACK:]) if x[0] != "text" or named(x[2])), None) if alone and len(found) == 1 else None
         cents, whole = [t.cents for t in found], all(t.kind == "whole" for t in found)
         if partner is not None and partner[0] == "text":
             name = partner[2][:NAME]
@@ -134,10 +138,10 @@ def priced_records(text: str) -> list[tuple]:
     return [r for r in out if not r[10] or len(rows[r[4], r[1]]) > 1]
 
 
-def frames(rows: Iterator[tuple], at_once: int = AT_ONCE) -> Iterator[pd.DataFrame]:
-    """The rows (COLUMNS) as tables of a bounded size."""
+def frames(rows: Iterator[tuple], at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows (LINE) as tables of a bounded size."""
     for part in batched(rows, at_once):
-        yield pd.DataFrame(part, columns=COLUMNS).astype({"name_line": "Int64"})
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
 def priced_lines(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
@@ -145,17 +149,18 @@ def priced_lines(sources: DataFrame, source_id: str = "source_id", text: str = "
     is read by one task; it is a single captured page or document. A task holds a few sources' texts and
     AT_ONCE of their lines, and not the many thousands that a usual batch of sources has."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from frames((sid, *r) for sid, t in zip(pdf["source_id"], pdf["text"], strict=True) for r in priced_records(t or ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from frames((sid.as_py(), *r) for sid, t in zip(*batch.columns, strict=True) for r in priced_records(t.as_py() or ""))
 
-    rows = sources.select(F.col(source_id).cast("long").alias("source_id"), F.col(text).alias("text")).mapInPandas(run, LINE)
+    rows = sources.select(F.col(source_id).cast("long").alias("source_id"), F.col(text).alias("text")).mapInArrow(run, LINE)
     return saved(rows, "lines", TEXT_BYTES)
 
 
 def holders(texts: list[str], parts: list[str]) -> Iterator[tuple[int, int]]:
-    """(text, part) of all texts that hold a part, by numbers; empty ones hold nothing and are in nothing.
-    One automaton finds the parts in a pass over each text."""
+    """(text, part) of all texts that hold a part, by numbers, as often as they do; empty ones hold nothing
+    and are in nothing. None has a line break, as evidence hasn't. One automaton finds the parts in one
+    pass over the texts."""
     import ahocorasick
 
     where: dict[str, list[int]] = {}
@@ -164,13 +169,16 @@ def holders(texts: list[str], parts: list[str]) -> Iterator[tuple[int, int]]:
     where.pop("", None)
     if where:
         find = ahocorasick.Automaton()
-        for p in where:
-            find.add_word(p, p)
+        for p, own in where.items():
+            find.add_word(p, own)
         find.make_automaton()
-        for n, text in enumerate(texts):
-            for p in {p for _, p in find.iter(text)}:
-                for i in where[p]:
-                    yield n, i
+        n, last = -1, -1  # a text, and where it ends
+        for at, own in find.iter("\n".join(texts)):
+            while at > last:
+                n += 1
+                last += len(texts[n]) + 1
+            for i in own:
+                yield n, i
 
 
 def overlaps(lines: list[str], passages: list[str]) -> list[list[int]]:
@@ -183,15 +191,29 @@ def overlaps(lines: list[str], passages: list[str]) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
+def strings(column: pa.ChunkedArray) -> list[str | None]:
+    return column.to_numpy().tolist()
+
+
+def amounts(column: pa.ChunkedArray) -> list[list[int]]:
+    """The lists of a column, null ones as empty; a whole column at once, as a value at a time is slow."""
+    a = column.combine_chunks()
+    if a.values.null_count:
+        return [x or [] for x in a.to_pylist()]
+    values, ends, there = a.values.to_numpy().tolist(), a.offsets.to_numpy().tolist(), a.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [values[i:j] if ok else [] for i, j, ok in zip(ends, ends[1:], there, strict=False)]
+
+
 def tones(lines: DataFrame, evidence: DataFrame, accounted: DataFrame) -> DataFrame:
     """lines with tone and row_id: covered (a dish's quote overlaps the line at the same price),
     price_mismatch (at another price), not_dish (a rejected passage, or one a human accounted for), or
     uncovered.
 
-    evidence: source_id (null: any source), kind ('dish' or 'rejected'), row_id, quote, amounts.
-    accounted: source_id (null: any), line (null: any), text. Two texts overlap if one contains the
-    other, compared as evidence. Lines meet the evidence of their source; what holds for any source is
-    a file in the shared folder, which tasks read.
+    lines: source_id, line, text, cents, and what else is to stay: all of it goes through the tasks, so
+    callers select what they need. evidence: source_id (null: any source), kind ('dish' or 'rejected'),
+    row_id, quote, amounts. accounted: source_id (null: any), line (null: any), text. Two texts overlap
+    if one contains the other, compared as evidence. Lines meet the evidence of their source; what holds
+    for any source is a file in the shared folder, which tasks read.
     """
     none = F.lit(None)
     rows = evidence.select("source_id", "kind", "row_id", F.col("quote").alias("passage"), F.col("amounts").cast("array<long>").alias("amounts"), none.cast("long").alias("at")).unionByName(
@@ -199,34 +221,36 @@ def tones(lines: DataFrame, evidence: DataFrame, accounted: DataFrame) -> DataFr
     )
     path = fresh_path(lines.sparkSession, "evidence")
     rows.where("source_id is null").drop("source_id").write.parquet(path)
-    schema = f"{LINE}, tone string, row_id string"
+    schema = StructType([*lines.schema.fields, StructField("tone", StringType()), StructField("row_id", StringType())])
     anywhere: list[list[tuple]] = []  # read once in each task
 
-    def passages_of(rows: list[dict]) -> list[tuple]:
-        return [(r["kind"], r["row_id"], text, list(r["amounts"]) if r["amounts"] is not None else [], None if pd.isna(r["at"]) else r["at"]) for r in rows if (text := evidence_key(r["passage"]))]
+    def passages_of(rows: pa.Table) -> list[tuple]:
+        """(kind, row_id, text, amounts, line) of the passages that have any text."""
+        at = rows.column("at")
+        numbers = at.to_pylist() if at.null_count < len(at) else [None] * len(at)
+        columns = zip(*(strings(rows.column(c)) for c in ("kind", "row_id", "passage")), amounts(rows.column("amounts")), numbers, strict=True)
+        return [(kind, row, text, cents, at) for kind, row, passage, cents, at in columns if (text := evidence_key(passage))]
 
-    def decide(key, a, b):
+    def decide(a: pa.Table, b: pa.Table) -> pa.Table:
         if not anywhere:
             store, root = fs.FileSystem.from_uri(path)
-            anywhere.append(passages_of(ds.dataset(root, filesystem=store, format="parquet").to_table().to_pylist()))
-        passages = sorted(passages_of(b.to_dict("records")) + anywhere[0], key=lambda p: (p[0] != "dish", p[1] or "", p[2]))
-        own = [evidence_key(t) for t in a["text"]]
-        met = overlaps(own, [p[2] for p in passages])
+            anywhere.append(passages_of(ds.dataset(root, filesystem=store, format="parquet").to_table()))
+        passages = sorted(passages_of(b) + anywhere[0], key=lambda p: (p[0] != "dish", p[1] or "", p[2])) if a.num_rows else []
+        met = overlaps([evidence_key(t) for t in strings(a.column("text"))], [p[2] for p in passages])
         out = []
-        for n, (line, cents) in enumerate(zip(a["line"], a["cents"], strict=True)):
-            over = [passages[i] for i in met[n]]
-            dish = next((p for p in over if p[0] == "dish"), None)
-            if dish is not None:
-                same = not dish[3] or bool(set(dish[3]) & set(cents))
-                out.append(("covered" if same else "price_mismatch", dish[1]))
-            elif any(p[0] == "rejected" or p[0] == "accounted" and p[4] in (None, line) for p in over):
+        for over, line, cents in zip(met, a.column("line").to_pylist(), amounts(a.column("cents")), strict=True):
+            first = passages[over[0]] if over else None  # dishes come before other passages
+            if first is not None and first[0] == "dish":
+                same = not first[3] or not set(first[3]).isdisjoint(cents)
+                out.append(("covered" if same else "price_mismatch", first[1]))
+            elif any(passages[i][0] == "rejected" or passages[i][0] == "accounted" and passages[i][4] in (None, line) for i in over):
                 out.append(("not_dish", None))
             else:
                 out.append(("uncovered", None))
-        return a.assign(tone=[t for t, _ in out], row_id=[r for _, r in out])
+        return a.append_column("tone", pa.array([t for t, _ in out], pa.string())).append_column("row_id", pa.array([r for _, r in out], pa.string()))
 
     placed = rows.where("source_id is not null")
-    return lines.groupBy("source_id").cogroup(placed.groupBy("source_id")).applyInPandas(decide, schema)
+    return lines.groupBy("source_id").cogroup(placed.groupBy("source_id")).applyInArrow(decide, schema)
 
 
 def uncovered(toned: DataFrame, limit: int = LISTED) -> tuple[DataFrame, DataFrame]:

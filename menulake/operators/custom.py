@@ -51,32 +51,32 @@ def price_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("source_id", "section", "name", F.col("cents")[0].alias("price"), "paired", "loose")
 
 
-def toned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the cards, where three of four items are dishes that quote their name, some at another
+def toned_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Lines of the cards, with the columns that are asked for besides the texts and prices, where three of four items are dishes that quote their name, some at another
     price, and some of the rest are rejected passages or accounted for."""
     sources, items = captures(spark, sf_dir)
     dish, other = F.col("item_id") % 4 != 0, F.col("item_id") % 7 == 0
     quotes = items.where(dish | (F.col("item_id") % 11 == 0)).select("source_id", F.when(dish, "dish").otherwise("rejected").alias("kind"), F.col("item_id").cast("string").alias("row_id"), F.col("label").alias("quote"), F.array(F.col("price") + F.when(other, 50).otherwise(0)).alias("amounts"))
     done = items.where(~dish & (F.col("item_id") % 13 == 0)).select("source_id", F.lit(None).cast("long").alias("line"), F.upper("label").alias("text"))
-    return coverage.tones(coverage.priced_lines(sources), quotes, done)
+    return coverage.tones(coverage.priced_lines(sources).select("source_id", "line", "text", "cents", *columns), quotes, done)
 
 
 def line_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toned_lines(spark, sf_dir).select("source_id", "name", "tone", F.col("row_id").cast("long").alias("item_id"))
+    return toned_lines(spark, sf_dir, "name").select("source_id", "name", "tone", F.col("row_id").cast("long").alias("item_id"))
 
 
 def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 lines that no dish covers, as a review shows them."""
-    return coverage.uncovered(toned_lines(spark, sf_dir))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
+    return coverage.uncovered(toned_lines(spark, sf_dir, "segment", "section", "name"))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
 
 
 def uncovered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"available": "boolean", "total": "long", "shown": "long", "omitted": "long"}
-    return coverage.uncovered(toned_lines(spark, sf_dir))[1].select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    return coverage.uncovered(toned_lines(spark, sf_dir, "segment"))[1].select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def coverage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.diagnosis(toned_lines(spark, sf_dir))
+    return coverage.diagnosis(toned_lines(spark, sf_dir, "paired", "loose"))
 
 
 def answer_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from menulake.functions.keys import plain_words
 from menulake.functions.prices import number_tokens, prices
-from menulake.operators.coverage import letters, name_of
+from menulake.operators.coverage import name_of, named
 from menulake.operators.diagnosis import windows
 
 #: Work limits for one page, so that no page can hold up a task; priced items that make a menu; and
@@ -127,7 +127,7 @@ def pairs_of_cells(cells: list[str]) -> list[tuple[str, int]]:
     out, name = [], None
     for cell in cells:
         found = prices(cell) or ([t for t in number_tokens(cell) if t.reason == "no_name"] if name else [])
-        own = name_of(cell, found) if found else (cell if letters(cell) >= 2 else None)
+        own = name_of(cell, found) if found else (cell if named(cell) else None)
         if not found:
             name = own or name
         elif own:

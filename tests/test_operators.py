@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from menulake.functions import arrays, canonical, decisions, keys, robots
-from menulake.functions.prices import cents_of, number_tokens, prices
+from menulake.functions.prices import USUAL, cents_of, number_tokens, prices
 from menulake.operators import coverage, diagnosis, extract, pick, search, state
 from menulake.operators.order import global_rank
 from menulake.sinks import report
@@ -186,6 +186,28 @@ def test_tones_and_uncovered(spark):
     assert {r.source_id: (r.lines, r.uncovered, r.paired, r.loose) for r in coverage.diagnosis(toned).collect()} == {1: (9, 4, 2, 2), 3: (2, 1, 0, 0)}
 
 
+def test_tones_pass_on_the_columns_they_get(spark):
+    lines = coverage.priced_lines(spark.createDataFrame([(i, "Soep  6,50\nBrood  3,00\n“Vis”  9,00") for i in range(3)], "source_id long, text string"))
+    evidence = spark.createDataFrame([(1, "dish", "a", "soep", [650, None]), (1, "dish", "b", "brood", [1]), (1, "rejected", None, '"VIS" 9,00', None), (2, "dish", "c", "SOEP", None), (7, "dish", "d", "soep", [650])], "source_id long, kind string, row_id string, quote string, amounts array<int>")
+    accounted = spark.createDataFrame([(0, 2, "Brood"), (0, 2, "Soep")], "source_id long, line long, text string")
+    toned = coverage.tones(lines.select("source_id", "line", "text", "cents", "paired"), evidence, accounted)
+    assert toned.columns == ["source_id", "line", "text", "cents", "paired", "tone", "row_id"]
+    assert {(r.source_id, r.line): (r.cents, r.tone, r.row_id) for r in toned.collect()} == {
+        (0, 1): ([650], "uncovered", None), (0, 2): ([300], "not_dish", None), (0, 3): ([900], "uncovered", None), (1, 1): ([650], "covered", "a"), (1, 2): ([300], "price_mismatch", "b"),
+        (1, 3): ([900], "not_dish", None), (2, 1): ([650], "covered", "c"), (2, 2): ([300], "uncovered", None), (2, 3): ([900], "uncovered", None),
+    }
+    assert "name_line" not in toned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usual_prices_equal_all_tokens():
+    rng = random.Random(21)
+    parts = ["Soep", "ui", " ", "  ", "\t", "1", "12", "1234", ",", ".", ",50", "12,50", "4,5", "€", "€ 4", "uur", "gram", "%", "–", "-", "tot", "12.30", "|", "٣", "_"]
+    for _ in range(5000):
+        line = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        assert prices(line) == [t for t in number_tokens(line) if t.reason is None]
+    assert USUAL.fullmatch("Soep van de dag  6,50") and not USUAL.fullmatch("Soep 2 6,50")
+
+
 def test_overlaps_equal_all_pairs():
     rng = random.Random(15)
     texts = lambda n: ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 6))) for _ in range(n)]

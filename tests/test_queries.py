@@ -176,3 +176,11 @@ def test_host_match_counts_all_restaurants(spark):
     want = {p: name(owners.count(number[h]) if h else 0) for p, h in zip(pages.page_id, hosts, strict=True)}
     got = {r.page_id: r["class"] for r in core.queries()["host_match_cardinality"](spark, sf).collect()}
     assert got == want and set(got.values()) == {"none", "exact", "multiple"}
+
+
+def test_listed_lines_are_the_first_that_are_uncovered(spark):
+    got = core.queries()["uncovered_lines"](spark, SF).collect()
+    tones = core.queries()["line_tones"](spark, SF).where("tone = 'uncovered'").collect()
+    at = [(r.source_id, r.line) for r in got]
+    assert len(got) == min(len(tones), 200) == core.queries()["uncovered_summary"](spark, SF).first().shown and at == sorted(set(at))
+    assert {(r.source_id, r.name) for r in got} <= {(r.source_id, r.name) for r in tones}
