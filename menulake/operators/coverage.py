@@ -27,7 +27,9 @@ EDGES = " \t.,|·•*–—-"
 
 LINE = "source_id long, line long, page long, segment long, name_line long, section string, name string, cents array<long>, text string, paired boolean, loose boolean, whole boolean"
 ENDS = re.compile(r"(\r\n|\r|\n|\f)")
-ARROW = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[kind]) for name, kind in (x.split() for x in LINE.split(", "))])
+KINDS = dict(x.split() for x in LINE.split(", "))
+LINES = list(KINDS)
+ARROW = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[kind]) for name, kind in KINDS.items()])
 LETTERS = re.compile(rf"{LETTER.pattern}[\W\d_]*{LETTER.pattern}")
 
 
@@ -138,10 +140,10 @@ def priced_records(text: str) -> list[tuple]:
     return [r for r in out if not r[10] or len(rows[r[4], r[1]]) > 1]
 
 
-def frames(rows: Iterator[tuple], at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+def frames(rows: Iterator[tuple], at_once: int = AT_ONCE, schema: pa.Schema = ARROW) -> Iterator[pa.RecordBatch]:
     """The rows (LINE) as tables of a bounded size."""
     for part in batched(rows, at_once):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), ARROW, strict=True)], schema=ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
 def priced_lines(sources: DataFrame, source_id: str = "source_id", text: str = "text") -> DataFrame:
@@ -182,12 +184,18 @@ def holders(texts: list[str], parts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def overlaps(lines: list[str], passages: list[str]) -> list[list[int]]:
-    """For each line the passages that it holds, or that hold it, in their order."""
+    """For each line the passages that it holds, or that hold it, in their order. A text that is shorter
+    than all parts holds none, and a part that is longer than all texts is in none: most lines are longer
+    than any passage, and are looked for in none."""
     out: list[set[int]] = [set() for _ in lines]
     for n, i in holders(lines, passages):
         out[n].add(i)
-    for i, n in holders(passages, lines):
-        out[n].add(i)
+    least, most = min(map(len, filter(None, lines)), default=0), max(map(len, passages), default=0)
+    long = [i for i, p in enumerate(passages) if p and len(p) >= least]
+    short = [n for n, x in enumerate(lines) if x and len(x) <= most]
+    if long and short:
+        for i, n in holders([passages[i] for i in long], [lines[n] for n in short]):
+            out[short[n]].add(long[i])
     return [sorted(x) for x in out]
 
 
@@ -204,6 +212,28 @@ def amounts(column: pa.ChunkedArray) -> list[list[int]]:
     return [values[i:j] if ok else [] for i, j, ok in zip(ends, ends[1:], there, strict=False)]
 
 
+def known(rows: Iterator[tuple]) -> list[tuple]:
+    """(kind, row_id, text, amounts, line) of the passages that have any text, as they are compared."""
+    return [(kind, row, text, cents, at) for kind, row, passage, cents, at in rows if (text := evidence_key(passage))]
+
+
+def decided(lines: list[tuple[str | None, int | None, list[int]]], passages: list[tuple]) -> list[tuple[str, str | None]]:
+    """(tone, row_id) of each line, a text with its number and prices, by the passages (`known`) that hold
+    for its source."""
+    passages = sorted(passages, key=lambda p: (p[0] != "dish", p[1] or "", p[2])) if lines else []
+    out: list[tuple[str, str | None]] = []
+    for over, (_, line, cents) in zip(overlaps([evidence_key(x[0]) for x in lines], [p[2] for p in passages]), lines, strict=True):
+        first = passages[over[0]] if over else None  # dishes come before other passages
+        if first is not None and first[0] == "dish":
+            same = not first[3] or not set(first[3]).isdisjoint(cents)
+            out.append(("covered" if same else "price_mismatch", first[1]))
+        elif any(passages[i][0] == "rejected" or passages[i][0] == "accounted" and passages[i][4] in (None, line) for i in over):
+            out.append(("not_dish", None))
+        else:
+            out.append(("uncovered", None))
+    return out
+
+
 def tones(lines: DataFrame, evidence: DataFrame, accounted: DataFrame) -> DataFrame:
     """lines with tone and row_id: covered (a dish's quote overlaps the line at the same price),
     price_mismatch (at another price), not_dish (a rejected passage, or one a human accounted for), or
@@ -225,34 +255,70 @@ def tones(lines: DataFrame, evidence: DataFrame, accounted: DataFrame) -> DataFr
     anywhere: list[list[tuple]] = []  # read once in each task
 
     def passages_of(rows: pa.Table) -> list[tuple]:
-        """(kind, row_id, text, amounts, line) of the passages that have any text."""
         at = rows.column("at")
         numbers = at.to_pylist() if at.null_count < len(at) else [None] * len(at)
-        columns = zip(*(strings(rows.column(c)) for c in ("kind", "row_id", "passage")), amounts(rows.column("amounts")), numbers, strict=True)
-        return [(kind, row, text, cents, at) for kind, row, passage, cents, at in columns if (text := evidence_key(passage))]
+        return known(zip(*(strings(rows.column(c)) for c in ("kind", "row_id", "passage")), amounts(rows.column("amounts")), numbers, strict=True))
 
     def decide(a: pa.Table, b: pa.Table) -> pa.Table:
         if not anywhere:
             store, root = fs.FileSystem.from_uri(path)
             anywhere.append(passages_of(ds.dataset(root, filesystem=store, format="parquet").to_table()))
-        passages = sorted(passages_of(b) + anywhere[0], key=lambda p: (p[0] != "dish", p[1] or "", p[2])) if a.num_rows else []
-        met = overlaps([evidence_key(t) for t in strings(a.column("text"))], [p[2] for p in passages])
-        out = []
-        for over, line, cents in zip(met, a.column("line").to_pylist(), amounts(a.column("cents")), strict=True):
-            first = passages[over[0]] if over else None  # dishes come before other passages
-            if first is not None and first[0] == "dish":
-                same = not first[3] or not set(first[3]).isdisjoint(cents)
-                out.append(("covered" if same else "price_mismatch", first[1]))
-            elif any(passages[i][0] == "rejected" or passages[i][0] == "accounted" and passages[i][4] in (None, line) for i in over):
-                out.append(("not_dish", None))
-            else:
-                out.append(("uncovered", None))
+        lines = list(zip(strings(a.column("text")), a.column("line").to_pylist(), amounts(a.column("cents")), strict=True))
+        out = decided(lines, passages_of(b) + anywhere[0])
         return a.append_column("tone", pa.array([t for t, _ in out], pa.string())).append_column("row_id", pa.array([r for _, r in out], pa.string()))
 
     placed = rows.where("source_id is not null")
     return lines.groupBy("source_id").cogroup(placed.groupBy("source_id")).applyInArrow(decide, schema)
 
 
+def lists(column: pa.ListArray) -> list[list[tuple]]:
+    """The lists of structs of a column as tuples, null ones as empty; a whole column at once, as in `amounts`."""
+
+    def values(a: pa.Array) -> list:
+        if a.null_count == len(a):
+            return [None] * len(a)
+        return amounts(pa.chunked_array([a])) if pa.types.is_list(a.type) else strings(pa.chunked_array([a])) if pa.types.is_string(a.type) else a.to_pylist()
+
+    ends, there = column.offsets.to_numpy().tolist(), column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    rows = list(zip(*map(values, column.values.slice(0, ends[-1]).flatten()), strict=True))
+    return [rows[i:j] if ok else [] for i, j, ok in zip(ends, ends[1:], there, strict=False)]
+
+
+def card_tones(cards: DataFrame, *columns: str) -> DataFrame:
+    """The columns (of LINE) that are asked for of each source's priced lines, with tone and row_id as in
+    `tones`, as a saved table.
+
+    cards: source_id, text, evidence (an array of kind, row_id, quote, amounts) and accounted (one of line,
+    text), a row for each source with all that holds for it. A source's lines are read and decided on in
+    one task at once, so neither lines nor evidence are stored, dealt out or sorted; a task holds TEXT_BYTES
+    of sources and AT_ONCE of their lines.
+    """
+    names = LINES[1:]
+    places, with_source = [names.index(c) for c in columns if c != "source_id"], "source_id" in columns
+    asked = [*(["source_id"] if with_source else []), *(c for c in columns if c != "source_id")]
+    schema = pa.schema([*(ARROW.field(c) for c in asked), ("tone", pa.string()), ("row_id", pa.string())])
+
+    def toned(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for source, text, evidence, accounted in zip(batch.column(0).to_pylist(), batch.column(1), lists(batch.column(2)), lists(batch.column(3)), strict=True):
+            rows = priced_records(text.as_py() or "")
+            passages = known((*e, None) for e in evidence) + known(("accounted", None, passage, [], at) for at, passage in accounted)
+            head = (source,) if with_source else ()
+            for r, tone in zip(rows, decided([(r[7], r[0], r[6]) for r in rows], passages), strict=True):
+                yield (*head, *[r[i] for i in places], *tone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from frames(toned(batch), schema=schema)
+
+    rows = cards.select(
+        F.col("source_id").cast("long").alias("source_id"),
+        "text",
+        F.col("evidence").cast("array<struct<kind:string,row_id:string,quote:string,amounts:array<long>>>").alias("evidence"),
+        F.col("accounted").cast("array<struct<line:long,text:string>>").alias("accounted"),
+    )
+    return saved(rows.mapInArrow(run, f"{', '.join(f'{c} {KINDS[c]}' for c in asked)}, tone string, row_id string"), "tones", TEXT_BYTES)
+
+
 def uncovered(toned: DataFrame, limit: int = LISTED) -> tuple[DataFrame, DataFrame]:
     """(the first `limit` uncovered lines, in order of source and line; one row with available, total,
     shown and omitted). Without any line at all nothing is available, which isn't the same as none

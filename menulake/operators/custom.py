@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -34,49 +34,56 @@ def html_menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.menu_items(load(spark, sf_dir, "pages"))
 
 
-def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(source_id, text) of each restaurant's printed card, a section for each category, where one of
-    five items has its price on the next line; and the items (source_id, item_id, label, price)."""
+def printed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, item_id, category, label, price, and the item's line on the restaurant's card: one of
+    five items has its price on the next line."""
     code = F.translate(F.lpad(F.col("item_id").cast("string"), 7, "0"), "0123456789", "abcdefghij")
     items = run_sql(spark, sf_dir, "SELECT restaurant_id AS source_id, item_id, name, category, CAST(floor(price_cents / 10) AS BIGINT) AS price FROM dishes").withColumn("label", F.concat_ws(" ", "name", code))
     printed = F.concat(F.floor(F.col("price") / 100), F.lit(","), F.lpad((F.col("price") % 100).cast("string"), 2, "0"))
-    line = F.concat("label", F.when(F.col("item_id") % 5 == 0, "\n").otherwise("  "), printed)
-    joined = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["line"]), "\n")
-    sections = items.groupBy("source_id", "category").agg(joined(F.struct("item_id", line.alias("line"))).alias("lines")).withColumn("line", F.concat_ws("\n", "category", "lines"))
-    return sections.groupBy("source_id").agg(joined(F.struct("category", "line")).alias("text")), items
+    return items.withColumn("line", F.concat("label", F.when(F.col("item_id") % 5 == 0, "\n").otherwise("  "), printed))
+
+
+def captures(items: DataFrame, *more: Column) -> DataFrame:
+    """source_id, text and more aggregates of each restaurant's printed card, a section for each category.
+    Items are dealt out to their restaurants once, as they are."""
+    first = lambda rows, x, i: (i == 0) | ~x["category"].eqNullSafe(F.get(rows, i - 1)["category"])
+    printed = lambda rows: F.array_join(F.transform(rows, lambda x, i: F.when(first(rows, x, i), F.concat_ws("\n", x["category"], x["line"])).otherwise(x["line"])), "\n")
+    cards = items.repartition("source_id").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("category", "item_id", "line"))).alias("rows"), *more)
+    return cards.withColumn("text", printed(F.col("rows"))).drop("rows")
 
 
 def price_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = coverage.priced_lines(captures(spark, sf_dir)[0])
+    lines = coverage.priced_lines(captures(printed_items(spark, sf_dir)))
     return lines.select("source_id", "section", "name", F.col("cents")[0].alias("price"), "paired", "loose")
 
 
 def toned_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Lines of the cards, with the columns that are asked for besides the texts and prices, where three of four items are dishes that quote their name, some at another
-    price, and some of the rest are rejected passages or accounted for."""
-    sources, items = captures(spark, sf_dir)
+    """Lines of the cards, the columns that are asked for, where three of four items are dishes that quote
+    their name, some at another price, and some of the rest are rejected passages or accounted for."""
     dish, other = F.col("item_id") % 4 != 0, F.col("item_id") % 7 == 0
-    quotes = items.where(dish | (F.col("item_id") % 11 == 0)).select("source_id", F.when(dish, "dish").otherwise("rejected").alias("kind"), F.col("item_id").cast("string").alias("row_id"), F.col("label").alias("quote"), F.array(F.col("price") + F.when(other, 50).otherwise(0)).alias("amounts"))
-    done = items.where(~dish & (F.col("item_id") % 13 == 0)).select("source_id", F.lit(None).cast("long").alias("line"), F.upper("label").alias("text"))
-    return coverage.tones(coverage.priced_lines(sources).select("source_id", "line", "text", "cents", *columns), quotes, done)
+    quote = F.struct(F.when(dish, "dish").otherwise("rejected").alias("kind"), F.col("item_id").cast("string").alias("row_id"), F.col("label").alias("quote"), F.array(F.col("price") + F.when(other, 50).otherwise(0)).alias("amounts"))
+    done = F.struct(F.lit(None).cast("long").alias("line"), F.upper("label").alias("text"))
+    evidence = F.collect_list(F.when(dish | (F.col("item_id") % 11 == 0), quote)).alias("evidence")
+    accounted = F.collect_list(F.when(~dish & (F.col("item_id") % 13 == 0), done)).alias("accounted")
+    return coverage.card_tones(captures(printed_items(spark, sf_dir), evidence, accounted), *columns)
 
 
 def line_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toned_lines(spark, sf_dir, "name").select("source_id", "name", "tone", F.col("row_id").cast("long").alias("item_id"))
+    return toned_lines(spark, sf_dir, "source_id", "name").select("source_id", "name", "tone", F.col("row_id").cast("long").alias("item_id"))
 
 
 def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 lines that no dish covers, as a review shows them."""
-    return coverage.uncovered(toned_lines(spark, sf_dir, "segment", "section", "name"))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
+    return coverage.uncovered(toned_lines(spark, sf_dir, "source_id", "line", "segment", "section", "name", "cents"))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
 
 
 def uncovered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"available": "boolean", "total": "long", "shown": "long", "omitted": "long"}
-    return coverage.uncovered(toned_lines(spark, sf_dir, "segment"))[1].select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    return coverage.uncovered(toned_lines(spark, sf_dir, "source_id", "line", "segment"))[1].select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def coverage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.diagnosis(toned_lines(spark, sf_dir, "paired", "loose"))
+    return coverage.diagnosis(toned_lines(spark, sf_dir, "source_id", "paired", "loose"))
 
 
 def answer_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,22 @@ def test_tones_pass_on_the_columns_they_get(spark):
     assert "name_line" not in toned._jdf.queryExecution().executedPlan().toString()
 
 
+def test_card_tones_are_the_tones_of_the_lines(spark):
+    sources = spark.createDataFrame([(1, CARD), (2, None), (3, "Soep van de dag  6,50\nBrood  3,00"), (None, "Friet  4,00")], "source_id long, text string")
+    evidence = [(1, "dish", "0.0.0", "uiensoep met KAAS 6,50", [650]), (1, "dish", "0.0.1", "Friet", [400]), (1, "rejected", None, "Tarbot", None), (3, "dish", "9.9.9", "Brood", [None, 300]), (3, "dish", "8", " ", [1])]
+    accounted = [(1, 12, "Zeebaars"), (1, 13, "Carpaccio van rund"), (1, None, "Small bites 9,00")]
+    kinds = "source_id long, kind string, row_id string, quote string, amounts array<int>", "source_id long, line long, text string"
+    toned = coverage.tones(coverage.priced_lines(sources), spark.createDataFrame(evidence, kinds[0]), spark.createDataFrame(accounted, kinds[1]))
+    own = [(sid, text, [e[1:] for e in evidence if e[0] == sid] or None, [a[1:] for a in accounted if a[0] == sid]) for sid, text in sources.collect()]
+    cards = spark.createDataFrame(own, "source_id long, text string, evidence array<struct<kind:string,row_id:string,quote:string,amounts:array<int>>>, accounted array<struct<line:int,text:string>>")
+    asked = ["source_id", "line", "cents", "name", "paired", "tone", "row_id"]
+    got = coverage.card_tones(cards.repartition(1), *asked[:5])
+    in_order = lambda df: sorted(map(str, df.select(*asked).collect()))
+    assert got.columns == asked and in_order(got) == in_order(toned) and got.count() == 12
+    assert {r.tone for r in got.collect()} == {"covered", "price_mismatch", "not_dish", "uncovered"}
+    assert coverage.card_tones(cards, "segment").columns == ["segment", "tone", "row_id"]
+
+
 def test_usual_prices_equal_all_tokens():
     rng = random.Random(21)
     parts = ["Soep", "ui", " ", "  ", "\t", "1", "12", "1234", ",", ".", ",50", "12,50", "4,5", "€", "€ 4", "uur", "gram", "%", "–", "-", "tot", "12.30", "|", "٣", "_"]

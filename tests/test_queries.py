@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from menulake import queries as core
-from menulake.operators import extract, state
+from menulake import storage
+from menulake.operators import custom, extract, state
 from menulake.operators.match import staged_bag_match
 from menulake.operators.reduce import changes, latest_by
 from menulake.plans.dialect import DUCK, PLANS, SPARK, TABLES, run_sql, with_views
@@ -184,3 +185,18 @@ def test_listed_lines_are_the_first_that_are_uncovered(spark):
     at = [(r.source_id, r.line) for r in got]
     assert len(got) == min(len(tones), 200) == core.queries()["uncovered_summary"](spark, SF).first().shown and at == sorted(set(at))
     assert {(r.source_id, r.name) for r in got} <= {(r.source_id, r.name) for r in tones}
+
+
+def test_toned_lines_store_tones_only_and_deal_items_out_once(spark):
+    for q in ("line_tones", "uncovered_lines", "uncovered_summary", "coverage_diagnosis"):
+        before = len(storage._made)
+        core.queries()[q](spark, SF)
+        assert [path.rsplit("menulake-", 1)[1].split("-")[0] for path in storage._made[before:]] == ["tones"]
+    items = run_sql(spark, SF, "SELECT l_suppkey AS source_id, l_partkey AS item_id, l_shipdate AS category, l_returnflag AS line FROM lineitem")
+    assert custom.captures(items, F.count("line").alias("n"))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(source_id") == 1
+
+
+def test_captured_cards_have_a_section_for_each_category(spark):
+    items = [(1, 7, "VIS", "Tarbot  9,00"), (1, 3, "VIS", "Zalm  8,00"), (1, 5, "VLEES", "Biefstuk\n7,50"), (1, 2, None, "Brood  1,00"), (1, 8, "VIS", None), (None, 1, "VIS", "Haring  2,00")]
+    got = custom.captures(spark.createDataFrame(items, "source_id long, item_id long, category string, line string")).collect()
+    assert {r.source_id: r.text for r in got} == {1: "Brood  1,00\nVIS\nZalm  8,00\nTarbot  9,00\nVLEES\nBiefstuk\n7,50", None: "VIS\nHaring  2,00"}
