@@ -284,9 +284,9 @@ def lists(column: pa.ListArray) -> list[list[tuple]]:
     return [rows[i:j] if ok else [] for i, j, ok in zip(ends, ends[1:], there, strict=False)]
 
 
-def card_tones(cards: DataFrame, *columns: str) -> DataFrame:
+def card_tones(cards: DataFrame, *columns: str, only: str | None = None) -> DataFrame:
     """The columns (of LINE) that are asked for of each source's priced lines, with tone and row_id as in
-    `tones`, as a saved table.
+    `tones`, as a saved table. only: lines of this tone; all are decided on, but the others leave no task.
 
     cards: source_id, text, evidence (an array of kind, row_id, quote, amounts) and accounted (one of line,
     text), a row for each source with all that holds for it. A source's lines are read and decided on in
@@ -304,7 +304,8 @@ def card_tones(cards: DataFrame, *columns: str) -> DataFrame:
             passages = known((*e, None) for e in evidence) + known(("accounted", None, passage, [], at) for at, passage in accounted)
             head = (source,) if with_source else ()
             for r, tone in zip(rows, decided([(r[7], r[0], r[6]) for r in rows], passages), strict=True):
-                yield (*head, *[r[i] for i in places], *tone)
+                if only in (None, tone[0]):
+                    yield (*head, *[r[i] for i in places], *tone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

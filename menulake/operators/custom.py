@@ -34,22 +34,38 @@ def html_menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.menu_items(load(spark, sf_dir, "pages"))
 
 
+def card_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, item_id, name, category, price of each item on a restaurant's card."""
+    return run_sql(spark, sf_dir, "SELECT restaurant_id AS source_id, item_id, name, category, CAST(floor(price_cents / 10) AS BIGINT) AS price FROM dishes")
+
+
+def label_of(name: Column, item_id: Column) -> Column:
+    return F.concat_ws(" ", name, F.translate(F.lpad(item_id.cast("string"), 7, "0"), "0123456789", "abcdefghij"))
+
+
+def line_of(label: Column, item_id: Column, price: Column) -> Column:
+    """An item's line on the card: one of five items has its price on the next line."""
+    printed = F.concat(F.floor(price / 100), F.lit(","), F.lpad((price % 100).cast("string"), 2, "0"))
+    return F.concat(label, F.when(item_id % 5 == 0, "\n").otherwise("  "), printed)
+
+
 def printed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, item_id, category, label, price, and the item's line on the restaurant's card: one of
-    five items has its price on the next line."""
-    code = F.translate(F.lpad(F.col("item_id").cast("string"), 7, "0"), "0123456789", "abcdefghij")
-    items = run_sql(spark, sf_dir, "SELECT restaurant_id AS source_id, item_id, name, category, CAST(floor(price_cents / 10) AS BIGINT) AS price FROM dishes").withColumn("label", F.concat_ws(" ", "name", code))
-    printed = F.concat(F.floor(F.col("price") / 100), F.lit(","), F.lpad((F.col("price") % 100).cast("string"), 2, "0"))
-    return items.withColumn("line", F.concat("label", F.when(F.col("item_id") % 5 == 0, "\n").otherwise("  "), printed))
+    """source_id, item_id, category, label, price, and the item's line on the restaurant's card."""
+    items = card_items(spark, sf_dir).withColumn("label", label_of(F.col("name"), F.col("item_id")))
+    return items.withColumn("line", line_of(F.col("label"), F.col("item_id"), F.col("price")))
+
+
+def card_text(rows: Column) -> Column:
+    """The printed card of items in order (structs with category and line), a section for each category."""
+    first = lambda x, i: (i == 0) | ~x["category"].eqNullSafe(F.get(rows, i - 1)["category"])
+    return F.array_join(F.transform(rows, lambda x, i: F.when(first(x, i), F.concat_ws("\n", x["category"], x["line"])).otherwise(x["line"])), "\n")
 
 
 def captures(items: DataFrame, *more: Column) -> DataFrame:
     """source_id, text and more aggregates of each restaurant's printed card, a section for each category.
     Items are dealt out to their restaurants once, as they are."""
-    first = lambda rows, x, i: (i == 0) | ~x["category"].eqNullSafe(F.get(rows, i - 1)["category"])
-    printed = lambda rows: F.array_join(F.transform(rows, lambda x, i: F.when(first(rows, x, i), F.concat_ws("\n", x["category"], x["line"])).otherwise(x["line"])), "\n")
     cards = items.repartition("source_id").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("category", "item_id", "line"))).alias("rows"), *more)
-    return cards.withColumn("text", printed(F.col("rows"))).drop("rows")
+    return cards.withColumn("text", card_text(F.col("rows"))).drop("rows")
 
 
 def price_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +73,34 @@ def price_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("source_id", "section", "name", F.col("cents")[0].alias("price"), "paired", "loose")
 
 
-def toned_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Lines of the cards, the columns that are asked for, where three of four items are dishes that quote
-    their name, some at another price, and some of the rest are rejected passages or accounted for."""
-    dish, other = F.col("item_id") % 4 != 0, F.col("item_id") % 7 == 0
-    quote = F.struct(F.when(dish, "dish").otherwise("rejected").alias("kind"), F.col("item_id").cast("string").alias("row_id"), F.col("label").alias("quote"), F.array(F.col("price") + F.when(other, 50).otherwise(0)).alias("amounts"))
-    done = F.struct(F.lit(None).cast("long").alias("line"), F.upper("label").alias("text"))
-    evidence = F.collect_list(F.when(dish | (F.col("item_id") % 11 == 0), quote)).alias("evidence")
-    accounted = F.collect_list(F.when(~dish & (F.col("item_id") % 13 == 0), done)).alias("accounted")
-    return coverage.card_tones(captures(printed_items(spark, sf_dir), evidence, accounted), *columns)
+def evidenced_cards(items: DataFrame) -> DataFrame:
+    """source_id, text, evidence and accounted of each restaurant's card, where three of four items are dishes
+    that quote their name, some at another price, and some of the rest are rejected passages or accounted for.
+
+    items: as `card_items`. Only these short rows are dealt out and sorted; a card's texts, several times
+    as long, are made of its own rows when these are together. Spark must not merge partitions by the
+    bytes of the short rows, so their number is the session's.
+    """
+    dealt = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
+    cards = dealt.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("category", "item_id", "name", "price"))).alias("rows"))
+
+    def printed(x: Column) -> Column:
+        label = label_of(x["name"], x["item_id"])
+        return F.struct(x["category"].alias("category"), x["item_id"].alias("item_id"), x["price"].alias("price"), label.alias("label"), line_of(label, x["item_id"], x["price"]).alias("line"))
+
+    def quote(x: Column) -> Column:
+        amount = x["price"] + F.when(x["item_id"] % 7 == 0, 50).otherwise(0)
+        return F.struct(F.when(dish(x), "dish").otherwise("rejected").alias("kind"), x["item_id"].cast("string").alias("row_id"), x["label"].alias("quote"), F.array(amount).alias("amounts"))
+
+    dish = lambda x: x["item_id"] % 4 != 0
+    quoted = F.transform(F.filter("rows", lambda x: dish(x) | (x["item_id"] % 11 == 0)), quote)
+    done = F.transform(F.filter("rows", lambda x: ~dish(x) & (x["item_id"] % 13 == 0)), lambda x: F.struct(F.lit(None).cast("long").alias("line"), F.upper(x["label"]).alias("text")))
+    return cards.withColumn("rows", F.transform("rows", printed)).select("source_id", card_text(F.col("rows")).alias("text"), quoted.alias("evidence"), done.alias("accounted"))
+
+
+def toned_lines(spark: SparkSession, sf_dir: str, *columns: str, only: str | None = None) -> DataFrame:
+    """Lines of the cards (`evidenced_cards`), the columns that are asked for; only: of that tone."""
+    return coverage.card_tones(evidenced_cards(card_items(spark, sf_dir)), *columns, only=only)
 
 
 def line_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +109,7 @@ def line_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 lines that no dish covers, as a review shows them."""
-    return coverage.uncovered(toned_lines(spark, sf_dir, "source_id", "line", "segment", "section", "name", "cents"))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
+    return coverage.uncovered(toned_lines(spark, sf_dir, "source_id", "line", "segment", "section", "name", "cents", only="uncovered"))[0].select("source_id", "line", "section", "name", F.col("cents")[0].alias("price"))
 
 
 def uncovered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

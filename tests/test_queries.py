@@ -196,6 +196,26 @@ def test_toned_lines_store_tones_only_and_deal_items_out_once(spark):
     assert custom.captures(items, F.count("line").alias("n"))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(source_id") == 1
 
 
+def test_uncovered_lines_store_their_tone_only(spark):
+    before = len(storage._made)
+    core.queries()["uncovered_lines"](spark, SF)
+    (path,) = storage._made[before:]
+    stored = spark.read.parquet(path)
+    assert {r.tone for r in stored.select("tone").distinct().collect()} == {"uncovered"}
+    assert stored.count() == core.queries()["line_tones"](spark, SF).where("tone = 'uncovered'").count()
+
+
+def test_cards_are_dealt_out_as_short_rows(spark):
+    rows = [(1, 12, "Zalm", "VIS", 850), (1, 3, "Tarbot", "VIS", 900), (1, 5, None, "VLEES", 705), (1, 52, "Brood", None, 100), (2, 44, "Friet", "BIJ", None), (None, 13, "Soep", "VOOR", 5)]
+    cards = custom.evidenced_cards(spark.createDataFrame(rows, "source_id long, item_id long, name string, category string, price long"))
+    got = {r.source_id: r for r in cards.collect()}
+    assert got[1].text == "Brood aaaaafc  1,00\nVIS\nTarbot aaaaaad  9,00\nZalm aaaaabc  8,50\nVLEES\naaaaaaf\n7,05" and (got[2].text, got[None].text) == ("BIJ", "VOOR\nSoep aaaaabd  0,05")
+    assert [tuple(e) for e in got[1].evidence] == [("dish", "3", "Tarbot aaaaaad", [900]), ("dish", "5", "aaaaaaf", [705])] and [tuple(a) for a in got[1].accounted] == [(None, "BROOD AAAAAFC")]
+    assert [tuple(e) for e in got[2].evidence] == [("rejected", "44", "Friet aaaaaee", [None])] and got[2].accounted == got[None].accounted == []
+    above, *_, below = cards._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")
+    assert "Project" in above and "source_id#" in below and "Project" not in below
+
+
 def test_captured_cards_have_a_section_for_each_category(spark):
     items = [(1, 7, "VIS", "Tarbot  9,00"), (1, 3, "VIS", "Zalm  8,00"), (1, 5, "VLEES", "Biefstuk\n7,50"), (1, 2, None, "Brood  1,00"), (1, 8, "VIS", None), (None, 1, "VIS", "Haring  2,00")]
     got = custom.captures(spark.createDataFrame(items, "source_id long, item_id long, category string, line string")).collect()
