@@ -284,6 +284,24 @@ def lists(column: pa.ListArray) -> list[list[tuple]]:
     return [rows[i:j] if ok else [] for i, j, ok in zip(ends, ends[1:], there, strict=False)]
 
 
+def card_rows(cards: DataFrame) -> DataFrame:
+    """The columns of cards (`card_tones`) as tasks read them."""
+    return cards.select(
+        F.col("source_id").cast("long").alias("source_id"),
+        "text",
+        F.col("evidence").cast("array<struct<kind:string,row_id:string,quote:string,amounts:array<long>>>").alias("evidence"),
+        F.col("accounted").cast("array<struct<line:long,text:string>>").alias("accounted"),
+    )
+
+
+def decided_cards(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[tuple], list[tuple[str, str | None]]]]:
+    """(source, its priced lines, tone and row_id of each of them) of some `card_rows`."""
+    for source, text, evidence, accounted in zip(batch.column(0).to_pylist(), batch.column(1), lists(batch.column(2)), lists(batch.column(3)), strict=True):
+        rows = priced_records(text.as_py() or "")
+        passages = known((*e, None) for e in evidence) + known(("accounted", None, passage, [], at) for at, passage in accounted)
+        yield source, rows, decided([(r[7], r[0], r[6]) for r in rows], passages)
+
+
 def card_tones(cards: DataFrame, *columns: str, only: str | None = None) -> DataFrame:
     """The columns (of LINE) that are asked for of each source's priced lines, with tone and row_id as in
     `tones`, as a saved table. only: lines of this tone; all are decided on, but the others leave no task.
@@ -299,11 +317,9 @@ def card_tones(cards: DataFrame, *columns: str, only: str | None = None) -> Data
     schema = pa.schema([*(ARROW.field(c) for c in asked), ("tone", pa.string()), ("row_id", pa.string())])
 
     def toned(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for source, text, evidence, accounted in zip(batch.column(0).to_pylist(), batch.column(1), lists(batch.column(2)), lists(batch.column(3)), strict=True):
-            rows = priced_records(text.as_py() or "")
-            passages = known((*e, None) for e in evidence) + known(("accounted", None, passage, [], at) for at, passage in accounted)
+        for source, rows, own in decided_cards(batch):
             head = (source,) if with_source else ()
-            for r, tone in zip(rows, decided([(r[7], r[0], r[6]) for r in rows], passages), strict=True):
+            for r, tone in zip(rows, own, strict=True):
                 if only in (None, tone[0]):
                     yield (*head, *[r[i] for i in places], *tone)
 
@@ -311,13 +327,19 @@ def card_tones(cards: DataFrame, *columns: str, only: str | None = None) -> Data
         for batch in batches:
             yield from frames(toned(batch), schema=schema)
 
-    rows = cards.select(
-        F.col("source_id").cast("long").alias("source_id"),
-        "text",
-        F.col("evidence").cast("array<struct<kind:string,row_id:string,quote:string,amounts:array<long>>>").alias("evidence"),
-        F.col("accounted").cast("array<struct<line:long,text:string>>").alias("accounted"),
-    )
-    return saved(rows.mapInArrow(run, f"{', '.join(f'{c} {KINDS[c]}' for c in asked)}, tone string, row_id string"), "tones", TEXT_BYTES)
+    return saved(card_rows(cards).mapInArrow(run, f"{', '.join(f'{c} {KINDS[c]}' for c in asked)}, tone string, row_id string"), "tones", TEXT_BYTES)
+
+
+def card_counts(cards: DataFrame) -> DataFrame:
+    """source_id, lines and uncovered of each source of the cards (as in `card_tones`) that has lines, as a
+    saved table: a task counts a source's lines as it decides on them, and no line leaves it."""
+    schema = pa.schema([ARROW.field("source_id"), ("lines", pa.int64()), ("uncovered", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from frames(((source, len(own), sum(t == "uncovered" for t, _ in own)) for source, _, own in decided_cards(batch) if own), schema=schema)
+
+    return saved(card_rows(cards).mapInArrow(run, "source_id long, lines long, uncovered long"), "tones", TEXT_BYTES)
 
 
 def uncovered(toned: DataFrame, limit: int = LISTED) -> tuple[DataFrame, DataFrame]:
@@ -326,8 +348,14 @@ def uncovered(toned: DataFrame, limit: int = LISTED) -> tuple[DataFrame, DataFra
     uncovered."""
     open_ = toned.where("tone = 'uncovered'")
     listed = open_.orderBy("source_id", "line", "segment").limit(limit)
-    counts = toned.agg((F.count(F.lit(1)) > 0).alias("available"), F.count_if(F.col("tone") == "uncovered").alias("total"))
-    return listed, counts.select("available", "total", F.least("total", F.lit(limit)).alias("shown"), F.greatest(F.col("total") - limit, F.lit(0)).alias("omitted"))
+    return listed, summary(toned.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("tone") == "uncovered").alias("uncovered")), limit)
+
+
+def summary(counts: DataFrame, limit: int = LISTED) -> DataFrame:
+    """One row with available, total, shown and omitted, of counts (lines, uncovered) of any sources."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = counts.agg((total("lines") > 0).alias("available"), total("uncovered").alias("total"))
+    return sums.select("available", "total", F.least("total", F.lit(limit)).alias("shown"), F.greatest(F.col("total") - limit, F.lit(0)).alias("omitted"))
 
 
 def diagnosis(toned: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncovered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"available": "boolean", "total": "long", "shown": "long", "omitted": "long"}
-    return coverage.uncovered(toned_lines(spark, sf_dir, "source_id", "line", "segment"))[1].select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    return coverage.summary(coverage.card_counts(evidenced_cards(card_items(spark, sf_dir)))).select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def coverage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:

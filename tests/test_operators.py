@@ -215,6 +215,20 @@ def test_card_tones_are_the_tones_of_the_lines(spark):
     assert coverage.card_tones(cards, "segment").columns == ["segment", "tone", "row_id"]
 
 
+def test_card_counts_are_those_of_the_tones(spark):
+    done = [(12, "Zeebaars"), (13, "Carpaccio van rund"), (None, "Small bites 9,00")]
+    own = [(1, CARD, [("dish", "0.0.0", "uiensoep met KAAS 6,50", [650]), ("dish", "0.0.1", "Friet", [400])], done), (2, None, None, None), (3, "Soep van de dag  6,50\nBrood  3,00", [], None), (None, "Friet  4,00", None, [(None, "FRIET")])]
+    cards = spark.createDataFrame(own, "source_id long, text string, evidence array<struct<kind:string,row_id:string,quote:string,amounts:array<int>>>, accounted array<struct<line:int,text:string>>").repartition(1)
+    toned, counts = coverage.card_tones(cards, "source_id", "line", "segment"), coverage.card_counts(cards)
+    want = {sid: (0, 0) for sid in (1, 3, None)}
+    for r in toned.collect():
+        want[r.source_id] = want[r.source_id][0] + 1, want[r.source_id][1] + (r.tone == "uncovered")
+    assert {r.source_id: (r.lines, r.uncovered) for r in counts.collect()} == want and want[3] == (2, 2) and want[None] == (1, 0)
+    for limit in (3, 200):
+        assert coverage.summary(counts, limit).first() == coverage.uncovered(toned, limit)[1].first()
+    assert coverage.summary(counts.limit(0)).first()[:] == (False, 0, 0, 0)
+
+
 def test_usual_prices_equal_all_tokens():
     rng = random.Random(21)
     parts = ["Soep", "ui", " ", "  ", "\t", "1", "12", "1234", ",", ".", ",50", "12,50", "4,5", "€", "€ 4", "uur", "gram", "%", "–", "-", "tot", "12.30", "|", "٣", "_"]
